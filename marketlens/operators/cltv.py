@@ -168,7 +168,7 @@ def revenue_comparison(fact: DataFrame, scored: DataFrame, by: str = "cltv_segme
         .groupBy(by)
         .agg(
             F.coalesce(F.sum(money("past_revenue")), F.lit(0)).cast("double").alias("past_revenue"),
-            F.coalesce(F.sum(money("predicted_cltv")), F.lit(0)).cast("double").alias("predicted_cltv"),
+            F.coalesce(F.sum(F.col("predicted_cltv").cast("decimal(28,6)")), F.lit(0)).cast("double").alias("predicted_cltv"),
         )
     )
 
