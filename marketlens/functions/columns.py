@@ -98,7 +98,9 @@ def cut(value: Column | str, edges: Sequence[Column | float], labels: Sequence)
 
 
 def half_even(c: Column | str, scale: int = 2) -> Column:
-    return F.bround(_col(c), scale)
+    """Round the scaled double, ties to even."""
+    unit = F.lit(10.0**scale)
+    return F.rint(_col(c) * unit) / unit
 
 
 def scalar(df: DataFrame, value: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import CATEGORY, CUSTOMER, ORDER, PAYMENT, money_sum, money_total
+from ..functions.skew import skew_join
 from .cltv import SEGMENT
 
 _SEP = "\u001f"
@@ -30,7 +31,7 @@ def segment_baskets(b: DataFrame, cltv: DataFrame, segment: str | None = None) -
     labels = cltv.where(F.col(SEGMENT).isNotNull()).select(CUSTOMER, SEGMENT)
     if segment is not None:
         labels = labels.where(F.col(SEGMENT) == segment)
-    return b.join(labels, CUSTOMER)
+    return skew_join(b, labels, CUSTOMER)
 
 
 def multi_item(b: DataFrame) -> DataFrame:

@@ -3,9 +3,10 @@
 One fact row per order x item x payment, by left joins, so an order without
 items keeps one row and a payment repeats for every item. ``sales_fact`` holds
 those rows; ``order_fact`` holds one row per order x payment together with the
-number of fact rows it stands for. Every operator that needs no item column
-gives the same answer on both, and the second moves far less data: items are
-counted per order on the map side, before any shuffle.
+number of fact rows it stands for; item columns that are asked for split the
+count. Operators give the same answer on both, and the second moves far less
+data: items are counted on the map side, before any shuffle, so an order of
+any length arrives as few rows.
 
 Only the joins whose columns are asked for are built.
 """
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import CATEGORY, CITY, CUSTOMER, ORDER, PAYMENT, PURCHASED, ROWS, STATE, ZIP, money
+from ..functions.skew import skew_join
 from ..sources.tables import RetailTables
 
 #: What the analyses use when no columns are named.
@@ -43,7 +45,7 @@ def _orders(t: RetailTables, wanted: Sequence[str]) -> tuple[DataFrame, set[str]
     key = "customer_id"
     base = t.orders.select(ORDER, key, *[c for c in own if c != key])
     dims = t.customers.select(key, *[c for c in lacking if c != key])
-    joined = base.join(dims, key, "left")
+    joined = skew_join(base, dims, key, keep="big")
     return (joined if key in wanted else joined.drop(key)), {ORDER, *own, *lacking}
 
 
@@ -57,25 +59,36 @@ def _payments(t: RetailTables, wanted: Sequence[str], taken: set[str], grain: st
     return t.order_payments.select(ORDER, *cols)
 
 
+def _items(t: RetailTables, wanted: Sequence[str], taken: set[str], known_category: bool = False) -> tuple[DataFrame, list[str]]:
+    """Items with the wanted item and product columns."""
+    item_cols = _own(t.order_items, wanted, taken)
+    product_cols = _own(t.products, wanted, {*taken, *item_cols})
+    cols = [*item_cols, *product_cols]
+    needed = [*product_cols, *([CATEGORY] if known_category and CATEGORY not in product_cols else [])]
+    if not needed:
+        return t.order_items.select(ORDER, *cols), cols
+    key = "product_id"
+    products = t.products.select(key, *needed)
+    items = t.order_items.select(ORDER, *item_cols, *([] if key in item_cols else [key]))
+    # Before the order columns are attached: the rows are narrow here, and the
+    # result ends up placed by order for the joins to come.
+    if known_category:
+        items = skew_join(items, products.where(F.col(CATEGORY).isNotNull()), key)
+    else:
+        items = skew_join(items, products, key, keep="big")
+    return items.select(ORDER, *cols), cols
+
+
 def sales_fact(t: RetailTables, columns: Sequence[str] = FACT_COLUMNS) -> DataFrame:
     """One row per order x item x payment, with the named columns."""
     fact, taken = _orders(t, columns)
     if t.order_items is not None:
-        items_cols = _own(t.order_items, columns, taken)
-        taken |= set(items_cols)
-        product_cols = _own(t.products, columns, taken)
-        taken |= set(product_cols)
-        key = ["product_id"] if product_cols and "product_id" not in items_cols else []
-        items = t.order_items.select(ORDER, *items_cols, *key)
-        if product_cols:
-            # Before the order columns are attached: the rows are narrow here,
-            # and the result ends up placed by order for the joins to come.
-            items = items.join(t.products.select("product_id", *product_cols), "product_id", "left")
-            items = items.drop(*key)
-        fact = fact.join(items, ORDER, "left")
+        items, cols = _items(t, columns, taken)
+        taken |= set(cols)
+        fact = skew_join(items, fact, ORDER, keep="small")
     payments = _payments(t, columns, taken, ITEM_X_PAYMENT)
     if payments is not None:
-        fact = fact.join(payments, ORDER, "left")
+        fact = skew_join(fact, payments, ORDER, keep="big")
     return fact.select(ORDER, *[c for c in columns if c in fact.columns and c != ORDER])
 
 
@@ -87,25 +100,25 @@ def order_fact(
 ) -> DataFrame:
     """One row per order x payment and the number of fact rows it stands for.
 
-    ``payment_grain="order"`` counts each order and its payments once.
-    ``complete_items`` counts only items whose product has a category.
+    Item and product columns among ``columns`` split the rows further, one per
+    combination. ``complete_items`` counts only items whose product has a
+    category. ``payment_grain="order"`` counts each order and its payments once.
     """
     if payment_grain not in (ITEM_X_PAYMENT, PER_ORDER):
         raise ValueError(f"unknown payment grain: {payment_grain}")
     fact, taken = _orders(t, columns)
-    payments = _payments(t, columns, taken, payment_grain)
+    one = F.lit(1).cast("bigint")
     if t.order_items is None or (payment_grain == PER_ORDER and not complete_items):
-        fact = fact.withColumn(ROWS, F.lit(1).cast("bigint"))
+        fact = fact.withColumn(ROWS, one)
     else:
-        items = t.order_items.select(ORDER, "product_id")
-        if complete_items:
-            known = t.products.where(F.col(CATEGORY).isNotNull()).select("product_id")
-            items = items.join(known, "product_id", "inner")
-        per_order = items.groupBy(ORDER).agg(F.count(F.lit(1)).alias(ROWS))
-        how = "inner" if complete_items else "left"
-        fact = fact.join(per_order, ORDER, how)
-        one = F.lit(1).cast("bigint")
+        items, cols = _items(t, columns, taken, complete_items)
+        if payment_grain == PER_ORDER:
+            cols = []
+        taken |= set(cols)
+        counted = items.groupBy(ORDER, *cols).agg(F.count(one).alias(ROWS))
+        fact = fact.join(counted, ORDER, "inner" if complete_items else "left")
         fact = fact.withColumn(ROWS, one if payment_grain == PER_ORDER else F.coalesce(F.col(ROWS), one))
+    payments = _payments(t, columns, taken, payment_grain)
     if payments is not None:
         fact = fact.join(payments, ORDER, "left")
     return fact.select(ORDER, *[c for c in columns if c in fact.columns and c != ORDER], ROWS)

@@ -22,6 +22,7 @@ from ..functions.columns import (
     money_total,
     month_key,
 )
+from ..functions.skew import skew_join
 from .cltv import SEGMENT
 
 METRICS = ("total_revenue", "total_orders")
@@ -36,7 +37,7 @@ REVENUE_PER_UNIT = 10
 
 
 def cltv_geo(fact: DataFrame, cltv: DataFrame) -> DataFrame:
-    return fact.join(cltv.select(CUSTOMER, "better_cltv"), CUSTOMER)
+    return skew_join(fact, cltv.select(CUSTOMER, "better_cltv"), CUSTOMER)
 
 
 def zip_centroids(geo: DataFrame) -> DataFrame:

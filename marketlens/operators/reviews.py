@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import CATEGORY, ORDER, PURCHASED, elapsed_days
+from ..functions.skew import skew_join
 
 DELIVERED = "order_delivered_customer_date"
 ESTIMATED = "order_estimated_delivery_date"
@@ -27,7 +28,7 @@ def review_fact(fact: DataFrame, reviews: DataFrame, max_days: int = 100) -> Dat
     """
     sold = fact.where(F.col("seller_id").isNotNull())
     rf = sold.withColumn("delivery_days", elapsed_days(PURCHASED, DELIVERED)).where(F.col("delivery_days") < max_days)
-    rf = rf.join(reviews.select(ORDER, "review_id", "review_score"), ORDER)
+    rf = skew_join(rf, reviews.select(ORDER, "review_id", "review_score"), ORDER)
     return rf.withColumns(
         {
             "low_score": F.col("review_score") < 3,

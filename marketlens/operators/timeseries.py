@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import CATEGORY, CUSTOMER, ORDER, PURCHASED, money_sum, month_key
+from ..functions.skew import skew_join
 from .cltv import SEGMENT
 
 
 def with_time_keys(fact: DataFrame, cltv: DataFrame) -> DataFrame:
     """Add the month, the calendar month and the customer's value segment."""
     keyed = fact.withColumns({"order_month": month_key(PURCHASED), "month": F.month(PURCHASED)})
-    return keyed.join(cltv.select(CUSTOMER, SEGMENT), CUSTOMER, "left")
+    return skew_join(keyed, cltv.select(CUSTOMER, SEGMENT), CUSTOMER, keep="big")
 
 
 def monthly(fact: DataFrame, by: Sequence[str] = ()) -> DataFrame:

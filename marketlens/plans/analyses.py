@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import CATEGORY, PAYMENT
+from ..functions.columns import CATEGORY
 from ..functions.staging import materialize
 from ..operators import basket, churn, cltv, geo, lifetime_model, reviews, rfm
 from ..operators.cleaning import clean_tables
@@ -29,13 +29,17 @@ class Retail:
         return cls(star_tables(spark, folder))
 
     def orders(self, *extra: str, complete_items: bool = False) -> DataFrame:
-        """Collapsed fact: one row per order and payment."""
+        """Collapsed fact: one row per order and payment, split by item columns."""
         return order_fact(self.tables, (*ORDER_COLUMNS, *extra), complete_items=complete_items)
 
     def items(self, *columns: str) -> DataFrame:
         """Fact with one row per item and payment."""
         return sales_fact(self.tables, columns)
 
+    def category_rows(self, *extra: str) -> DataFrame:
+        """Collapsed fact split by product category."""
+        return self.orders(CATEGORY, *extra)
+
     # customers
 
     def rfm(self, rule: str = "all", precedence: str = "first") -> DataFrame:
@@ -69,7 +73,7 @@ class Retail:
 
     def baskets(self, segment: str | None = None) -> DataFrame:
         """Cleaned baskets of several items, of one value segment or of all."""
-        found = basket.baskets(self.items("customer_unique_id", CATEGORY, PAYMENT))
+        found = basket.baskets(self.category_rows())
         if segment is not None:
             found = basket.segment_baskets(found, self.cltv(), segment)
         return basket.clean_items(basket.multi_item(found))

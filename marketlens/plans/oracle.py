@@ -235,8 +235,8 @@ _part(
 )
 _part(
     "splits",
-    """SELECT list_filter(items, (x, i) -> (mask >> (i - 1)) & 1 = 1) AS ante,
-    list_filter(items, (x, i) -> (mask >> (i - 1)) & 1 = 0) AS cons, freq
+    """SELECT list_filter(items, lambda x, i: (mask >> (i - 1)) & 1 = 1) AS ante,
+    list_filter(items, lambda x, i: (mask >> (i - 1)) & 1 = 0) AS cons, freq
     FROM (SELECT items, freq, unnest(range(1, (1 << len(items)) - 1)) AS mask FROM itemsets WHERE len(items) > 1)""",
     "itemsets",
 )
@@ -411,7 +411,7 @@ _twin(
     "a13_profile",
     " UNION ALL ".join(
         f"""SELECT {i} AS position, '{name}' AS column_name, '{kind}' AS data_type,
-    round_even((count(*) - count({col})) * 100.0::DOUBLE / count(*), 2) AS null_pct, count(*) AS row_count,
+    round_even(((count(*) - count({col})) * 100.0::DOUBLE / count(*)) * 100.0::DOUBLE, 0) / 100.0::DOUBLE AS null_pct, count(*) AS row_count,
     {len(_PROFILE)} AS column_count FROM fact"""
         for i, (name, col, kind) in enumerate(_PROFILE)
     ),
@@ -466,9 +466,9 @@ _twin(
 )
 _twin(
     "b09_segment_summary",
-    """SELECT CustomerGroup, round_even(CAST(sum(Recency) AS DOUBLE) / count(*), 2) AS Recency,
-    round_even(CAST(sum(Frequency) AS DOUBLE) / count(*), 2) AS Frequency,
-    round_even(CAST(sum(CAST(Monetary AS DECIMAL(18,2))) AS DOUBLE) / count(*), 2) AS Monetary, count(*) AS CustomerCount
+    """SELECT CustomerGroup, round_even((CAST(sum(Recency) AS DOUBLE) / count(*)) * 100.0::DOUBLE, 0) / 100.0::DOUBLE AS Recency,
+    round_even((CAST(sum(Frequency) AS DOUBLE) / count(*)) * 100.0::DOUBLE, 0) / 100.0::DOUBLE AS Frequency,
+    round_even((CAST(sum(CAST(Monetary AS DECIMAL(18,2))) AS DOUBLE) / count(*)) * 100.0::DOUBLE, 0) / 100.0::DOUBLE AS Monetary, count(*) AS CustomerCount
     FROM rfm GROUP BY 1""",
     "rfm",
 )
@@ -589,7 +589,7 @@ _twin(
 )
 _twin(
     "c16_repeat_rate",
-    """SELECT CLTV_new_Segment, round(avg(CASE WHEN total_orders > 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS repeat_flag
+    """SELECT CLTV_new_Segment, avg(CASE WHEN total_orders > 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS repeat_flag
     FROM cltv GROUP BY 1""",
     "cltv",
 )
@@ -657,7 +657,7 @@ _twin(
 _twin("e08_label_encode", "SELECT customer_unique_id, CLTV_new_Segment, cltv_segment_encoded FROM churn", "churn")
 _twin(
     "e09_churn_rate_by",
-    "SELECT CLTV_new_Segment, count(*) AS customers, round(avg(churned), 6) AS churn_rate FROM churn GROUP BY 1",
+    "SELECT CLTV_new_Segment, count(*) AS customers, avg(churned) AS churn_rate FROM churn GROUP BY 1",
     "churn",
 )
 _twin("e09_class_counts", "SELECT churned, count(*) AS customer_count FROM churn GROUP BY 1", "churn")
@@ -689,14 +689,14 @@ _part("parts", f"SELECT *, CASE WHEN {_hash(42, 10000)} < 8000 THEN 'train' ELSE
 _twin("e11_split", "SELECT customer_unique_id, part FROM parts", "parts")
 _twin(
     "e12_dummy_baseline",
-    """SELECT round(avg(CASE WHEN churned = (SELECT CASE WHEN avg(churned) > 0.5 THEN 1 ELSE 0 END FROM parts WHERE part = 'train')
-    THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS baseline_accuracy FROM parts WHERE part = 'test'""",
+    """SELECT avg(CASE WHEN churned = (SELECT CASE WHEN avg(churned) > 0.5 THEN 1 ELSE 0 END FROM parts WHERE part = 'train')
+    THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS baseline_accuracy FROM parts WHERE part = 'test'""",
     "parts",
 )
 _twin(
     "e16_class_weights",
-    """SELECT churned, count(*) AS n, round((SELECT count(*) FROM churn) / (2.0::DOUBLE * count(*)), 6) AS balanced_weight,
-    CASE WHEN churned = 1 THEN round((SELECT CAST(count(*) FILTER (churned = 0) AS DOUBLE) / count(*) FILTER (churned = 1) FROM churn), 6)
+    """SELECT churned, count(*) AS n, ((SELECT count(*) FROM churn) / (2.0::DOUBLE * count(*))) AS balanced_weight,
+    CASE WHEN churned = 1 THEN ((SELECT CAST(count(*) FILTER (churned = 0) AS DOUBLE) / count(*) FILTER (churned = 1) FROM churn))
     ELSE 1.0::DOUBLE END AS pos_weight FROM churn GROUP BY churned""",
     "churn",
 )
@@ -719,32 +719,32 @@ _part(
 )
 _twin(
     "e19_class_report",
-    """SELECT class, round(p, 6) AS precision, round(r, 6) AS recall, round(f, 6) AS f1_score, support FROM by_class
-    UNION ALL SELECT 'accuracy', round((tp + tn) / (tp + tn + fp + fn), 6), round((tp + tn) / (tp + tn + fp + fn), 6),
-    round((tp + tn) / (tp + tn + fp + fn), 6), tp + tn + fp + fn FROM cells
-    UNION ALL SELECT 'macro avg', round(avg(p), 6), round(avg(r), 6), round(avg(f), 6), CAST(sum(support) AS BIGINT) FROM by_class
-    UNION ALL SELECT 'weighted avg', round(sum(p * support) / sum(support), 6), round(sum(r * support) / sum(support), 6),
-    round(sum(f * support) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM by_class""",
+    """SELECT class, p AS precision, r AS recall, f AS f1_score, support FROM by_class
+    UNION ALL SELECT 'accuracy', ((tp + tn) / (tp + tn + fp + fn)), ((tp + tn) / (tp + tn + fp + fn)),
+    ((tp + tn) / (tp + tn + fp + fn)), tp + tn + fp + fn FROM cells
+    UNION ALL SELECT 'macro avg', avg(p), avg(r), avg(f), CAST(sum(support) AS BIGINT) FROM by_class
+    UNION ALL SELECT 'weighted avg', sum(p * support) / sum(support), sum(r * support) / sum(support),
+    sum(f * support) / sum(support), CAST(sum(support) AS BIGINT) FROM by_class""",
     "by_class",
 )
 _twin(
     "e20_roc",
-    """SELECT round(threshold, 6) AS threshold, round(CAST(fps AS DOUBLE) / (SELECT sum(neg) FROM curve), 6) AS fpr,
-    round(CAST(tps AS DOUBLE) / (SELECT sum(pos) FROM curve), 6) AS tpr FROM curve
+    """SELECT threshold, CAST(fps AS DOUBLE) / (SELECT sum(neg) FROM curve) AS fpr,
+    CAST(tps AS DOUBLE) / (SELECT sum(pos) FROM curve) AS tpr FROM curve
     UNION ALL SELECT CAST(NULL AS DOUBLE), 0.0::DOUBLE, 0.0::DOUBLE""",
     "curve",
 )
 _twin(
     "e20_auc",
-    """SELECT round((SELECT sum(CASE WHEN a.probability > b.probability THEN 1.0::DOUBLE WHEN a.probability = b.probability THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END)
+    """SELECT ((SELECT sum(CASE WHEN a.probability > b.probability THEN 1.0::DOUBLE WHEN a.probability = b.probability THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END)
     FROM scored a JOIN scored b ON a.actual = 1 AND b.actual = 0)
-    / ((SELECT count(*) FROM scored WHERE actual = 1) * CAST((SELECT count(*) FROM scored WHERE actual = 0) AS DOUBLE)), 6) AS auc""",
+    / ((SELECT count(*) FROM scored WHERE actual = 1) * CAST((SELECT count(*) FROM scored WHERE actual = 0) AS DOUBLE))) AS auc""",
     "scored",
 )
 _twin(
     "e21_pr_curve",
-    """SELECT round(threshold, 6) AS threshold, round(CAST(tps AS DOUBLE) / (tps + fps), 6) AS precision,
-    round(CAST(tps AS DOUBLE) / (SELECT sum(pos) FROM curve), 6) AS recall FROM curve
+    """SELECT threshold, CAST(tps AS DOUBLE) / (tps + fps) AS precision,
+    CAST(tps AS DOUBLE) / (SELECT sum(pos) FROM curve) AS recall FROM curve
     UNION ALL SELECT CAST(NULL AS DOUBLE), 1.0::DOUBLE, 0.0::DOUBLE""",
     "curve",
 )
@@ -777,19 +777,19 @@ _twin(
     "SELECT list_aggregate(items, 'string_agg', ', ') AS items, CAST(len(items) AS INTEGER) AS item_count, freq FROM itemsets",
     "itemsets",
 )
-_RN = ", ".join(f"round({c}, 6) AS {c}" for c in ("antecedent_support", "consequent_support", "support", "confidence", "lift"))
+_RN = ", ".join(("antecedent_support", "consequent_support", "support", "confidence", "lift"))
 _twin("f06_association_rules", f"SELECT antecedents, consequents, {_RN} FROM rules1", "rules1")
 _twin("f07_rule_label", "SELECT rule FROM rules1", "rules1")
 _twin("f08_order_revenue", "SELECT * FROM order_revenue", "order_revenue")
 _twin("f09_rule_revenue", "SELECT rule, estimated_revenue FROM rules", "rules")
 _twin(
     "f10_top_bundles",
-    "SELECT rule, round(lift, 6) AS lift, estimated_revenue FROM rules ORDER BY estimated_revenue DESC, rules.lift DESC, rule LIMIT 10",
+    "SELECT rule, lift, estimated_revenue FROM rules ORDER BY estimated_revenue DESC, rules.lift DESC, rule LIMIT 10",
     "rules",
 )
 _twin(
     "f11_rule_points",
-    "SELECT rule, round(support, 6) AS support, round(confidence, 6) AS confidence, round(lift, 6) AS lift FROM rules1",
+    "SELECT rule, support, confidence, lift FROM rules1",
     "rules1",
 )
 _twin(
@@ -797,7 +797,7 @@ _twin(
     "SELECT DISTINCT item FROM entries WHERE item NOT IN (SELECT unnest(cons) FROM rules1 WHERE lift >= 1.25)",
     "rules1",
 )
-_twin("f13_rule_edges", "SELECT antecedents AS src, consequents AS dst, round(lift, 6) AS weight FROM rules1", "rules1")
+_twin("f13_rule_edges", "SELECT antecedents AS src, consequents AS dst, lift AS weight FROM rules1", "rules1")
 _twin(
     "f13_rule_nodes",
     """SELECT node, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree, count(*) AS degree FROM (
@@ -806,7 +806,7 @@ _twin(
 )
 _twin(
     "f14_filter_rules",
-    """SELECT rule, round(support, 6) AS support, round(confidence, 6) AS confidence, round(lift, 6) AS lift, estimated_revenue
+    """SELECT rule, support, confidence, lift, estimated_revenue
     FROM rules WHERE rules.confidence >= 0.07 AND rules.lift >= 1.2 AND rules.support >= 0.004""",
     "rules",
 )
@@ -834,7 +834,7 @@ _part(
 )
 _twin(
     "g03_rolling_mean",
-    "SELECT order_month, total_revenue, order_count, round(rev3, 2) AS revenue_3mo, round(ord3, 6) AS orders_3mo FROM rolled",
+    "SELECT order_month, total_revenue, order_count, round(rev3, 2) AS revenue_3mo, ord3 AS orders_3mo FROM rolled",
     "rolled",
 )
 _twin(
@@ -867,11 +867,11 @@ _twin(
 _twin(
     "h02_review_fact",
     """SELECT order_id, seller_id, category AS product_category, review_score, delivery_days, low_score, delayed,
-    round(freight_ratio, 6) AS freight_ratio FROM rf""",
+    freight_ratio FROM rf""",
     "rf",
 )
-_STATS = """count(review_score) AS num_reviews, round(avg(review_score), 6) AS avg_rating, round(stddev_samp(review_score), 6) AS rating_std,
-    round(avg(CAST(low_score AS INTEGER)) * 100, 6) AS pct_low_scores"""
+_STATS = """count(review_score) AS num_reviews, avg(review_score) AS avg_rating, round(stddev_samp(review_score), 6) AS rating_std,
+    (avg(CAST(low_score AS INTEGER)) * 100) AS pct_low_scores"""
 _twin("h03_rating_stats_seller", f"SELECT seller_id, {_STATS} FROM rf GROUP BY 1", "rf")
 _twin(
     "h03_rating_stats_category",
@@ -880,36 +880,36 @@ _twin(
 )
 _twin(
     "h04_top_rated",
-    """SELECT seller_id, count(review_score) AS num_reviews, round(avg(review_score), 6) AS avg_rating FROM rf GROUP BY 1
+    """SELECT seller_id, count(review_score) AS num_reviews, avg(review_score) AS avg_rating FROM rf GROUP BY 1
     ORDER BY avg(review_score) DESC, num_reviews DESC, seller_id LIMIT 10""",
     "rf",
 )
 _twin(
     "h04_worst_rated",
-    """SELECT category AS product_category, count(review_score) AS num_reviews, round(avg(review_score), 6) AS avg_rating FROM rf
+    """SELECT category AS product_category, count(review_score) AS num_reviews, avg(review_score) AS avg_rating FROM rf
     WHERE category IS NOT NULL GROUP BY 1 HAVING count(review_score) >= 10 ORDER BY avg(review_score), product_category LIMIT 10""",
     "rf",
 )
 _twin(
     "h05_delivery_by_score",
-    "SELECT review_score, round(avg(delivery_days), 6) AS avg_delivery_days, count(*) AS num_orders FROM rf GROUP BY 1",
+    "SELECT review_score, avg(delivery_days) AS avg_delivery_days, count(*) AS num_orders FROM rf GROUP BY 1",
     "rf",
 )
 _twin(
     "h06_slow_sellers",
-    """SELECT seller_id, count(*) AS num_orders, round(avg(review_score), 6) AS avg_rating, round(avg(delivery_days), 6) AS avg_delivery_days
+    """SELECT seller_id, count(*) AS num_orders, avg(review_score) AS avg_rating, avg(delivery_days) AS avg_delivery_days
     FROM rf GROUP BY 1 HAVING count(*) >= 10 AND avg(review_score) <= 3 ORDER BY avg(delivery_days) DESC, seller_id LIMIT 10""",
     "rf",
 )
 _twin(
     "h07_delay_impact",
-    """SELECT CASE WHEN delayed THEN 'Late' ELSE 'On-Time' END AS delayed, round(avg(review_score), 6) AS avg_rating,
+    """SELECT CASE WHEN delayed THEN 'Late' ELSE 'On-Time' END AS delayed, avg(review_score) AS avg_rating,
     count(review_score) AS count FROM rf GROUP BY rf.delayed""",
     "rf",
 )
 _twin(
     "h08_freight_vs_rating",
-    """SELECT seller_id, category AS product_category, count(*) AS num_reviews, round(avg(review_score), 6) AS avg_rating,
+    """SELECT seller_id, category AS product_category, count(*) AS num_reviews, avg(review_score) AS avg_rating,
     round(avg(freight_ratio), 6) AS avg_freight_ratio FROM rf WHERE category IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 10""",
     "rf",
 )
@@ -925,26 +925,26 @@ _twin(
 )
 _twin(
     "i02_zip_centroids",
-    "SELECT zip AS geolocation_zip_code_prefix, round(lat, 6) AS lat, round(lon, 6) AS lon, geo_city, geo_state FROM centroids",
+    "SELECT zip AS geolocation_zip_code_prefix, lat, lon, geo_city, geo_state FROM centroids",
     "centroids",
 )
 _twin("i03_zip_month", "SELECT * FROM zip_month", "zip_month")
 _twin(
     "i04_geo_month",
-    """SELECT customer_zip_code_prefix, year_month, total_revenue, total_orders, state, city, round(lat, 6) AS lat,
-    round(lon, 6) AS lon, geo_city, geo_state FROM geo_month""",
+    """SELECT customer_zip_code_prefix, year_month, total_revenue, total_orders, state, city, lat,
+    lon, geo_city, geo_state FROM geo_month""",
     "geo_month",
 )
 _twin(
     "i05_geo_bubbles",
-    """SELECT state, city, round(lat, 6) AS lat, round(lon, 6) AS lon, CAST(sum(CAST(total_revenue AS DECIMAL(18,2))) AS DOUBLE) AS total_revenue
+    """SELECT state, city, lat, lon, CAST(sum(CAST(total_revenue AS DECIMAL(18,2))) AS DOUBLE) AS total_revenue
     FROM geo_month WHERE year_month BETWEEN '1995-06' AND '1998-03' AND city <> 'AUTOMOBILE' GROUP BY state, city, geo_month.lat, geo_month.lon""",
     "geo_month",
 )
 _twin(
     "i06_scaled_metric",
-    """SELECT state, city, round(lat, 6) AS lat, round(lon, 6) AS lon, CAST(sum(total_orders) AS BIGINT) AS total_orders,
-    round(CAST(sum(total_orders) AS DOUBLE) / 18735 * 40000 + 1000, 6) AS scaled_metric
+    """SELECT state, city, lat, lon, CAST(sum(total_orders) AS BIGINT) AS total_orders,
+    (CAST(sum(total_orders) AS DOUBLE) / 18735 * 40000 + 1000) AS scaled_metric
     FROM geo_month GROUP BY state, city, geo_month.lat, geo_month.lon""",
     "geo_month",
 )
@@ -957,7 +957,7 @@ _twin(
 for _level in ("state", "city"):
     _twin(
         f"i08_value_per_customer_{_level}",
-        f"""SELECT customer_{_level}, total_revenue, unique_customers, round(total_revenue / unique_customers, 6) AS avg_cltv_per_customer
+        f"""SELECT customer_{_level}, total_revenue, unique_customers, total_revenue / unique_customers AS avg_cltv_per_customer
         FROM (SELECT {_level} AS customer_{_level}, CAST(sum(pay) AS DOUBLE) AS total_revenue,
         count(DISTINCT customer_unique_id) AS unique_customers FROM fact WHERE {_level} IS NOT NULL GROUP BY 1)
         ORDER BY total_revenue / unique_customers DESC, customer_{_level} LIMIT 10""",
@@ -973,7 +973,7 @@ _twin(
 )
 _part(
     "means",
-    "SELECT R AS cluster, " + ", ".join(f"round_even(avg({c}), 2) AS {c}" for c in _CF)
+    "SELECT R AS cluster, " + ", ".join(f"round_even((avg({c})) * 100.0::DOUBLE, 0) / 100.0::DOUBLE AS {c}" for c in _CF)
     + " FROM cluster_features JOIN scores USING (customer_unique_id) GROUP BY 1",
     "cluster_features",
     "scores",
@@ -1006,13 +1006,13 @@ _twin(
 )
 _twin(
     "i17_drop_detection",
-    """SELECT customer_state, year_month, revenue, round(cltv, 0) AS cltv, prev_revenue, round(pct_change, 6) AS pct_change,
+    """SELECT customer_state, year_month, revenue, round(cltv, 0) AS cltv, prev_revenue, pct_change,
     coalesce(drops.pct_change < -20, false) AS drop_flag FROM drops""",
     "drops",
 )
 _twin(
     "i17_flagged_drops",
-    "SELECT customer_state, year_month, revenue, round(pct_change, 6) AS pct_change FROM drops WHERE drops.pct_change < -20",
+    "SELECT customer_state, year_month, revenue, pct_change FROM drops WHERE drops.pct_change < -20",
     "drops",
 )
 

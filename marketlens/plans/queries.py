@@ -265,13 +265,13 @@ def b11_score_matrix_mf(spark, d):
 @query
 def b12_category_by_segment(spark, d):
     shop = Retail.from_star(spark, d)
-    return rfm.category_by_segment(shop.items(CUSTOMER, CATEGORY), shop.rfm(), "BehaviorSegment")
+    return rfm.category_by_segment(shop.category_rows(), shop.rfm(), "BehaviorSegment")
 
 
 @query
 def b12_category_by_group(spark, d):
     shop = Retail.from_star(spark, d)
-    return rfm.category_by_segment(shop.items(CUSTOMER, CATEGORY), shop.rfm(rule="code"), "CustomerGroup")
+    return rfm.category_by_segment(shop.category_rows(), shop.rfm(rule="code"), "CustomerGroup")
 
 
 @query
@@ -403,7 +403,7 @@ def c12_revenue_comparison_model(spark, d):
 @query
 def c13_top_categories_per_segment(spark, d):
     shop = Retail.from_star(spark, d)
-    return cltv.top_categories_per_segment(shop.items(CUSTOMER, CATEGORY), shop.cltv())
+    return cltv.top_categories_per_segment(shop.category_rows(), shop.cltv())
 
 
 @query
@@ -426,7 +426,7 @@ def c15_cltv_by_first_quarter(spark, d):
 @query
 def c16_repeat_rate(spark, d):
     shop = Retail.from_star(spark, d)
-    return cltv.repeat_rate(shop.orders(), shop.cltv()).withColumns(r6("repeat_flag"))
+    return cltv.repeat_rate(shop.orders(), shop.cltv())
 
 
 # D: probabilistic lifetime model
@@ -557,7 +557,7 @@ def e08_label_encode(spark, d):
 
 @query
 def e09_churn_rate_by(spark, d):
-    return churn.churn_rate_by(Retail.from_star(spark, d).churn()).withColumns(r6("churn_rate"))
+    return churn.churn_rate_by(Retail.from_star(spark, d).churn())
 
 
 @query
@@ -585,7 +585,7 @@ def e11_split(spark, d):
 @query
 def e12_dummy_baseline(spark, d):
     train, test = churn.split(churn.churn_features(Retail.from_star(spark, d).orders()))
-    return churn_models.dummy_baseline(train, test).withColumns(r6("baseline_accuracy"))
+    return churn_models.dummy_baseline(train, test)
 
 
 def _split_data(spark, d):
@@ -616,7 +616,7 @@ def e15_boosted_trees(spark, d):
 
 @query
 def e16_class_weights(spark, d):
-    return churn.class_weights(Retail.from_star(spark, d).churn()).withColumns(r6("balanced_weight", "pos_weight"))
+    return churn.class_weights(Retail.from_star(spark, d).churn())
 
 
 @query
@@ -648,22 +648,22 @@ def e18_confusion(spark, d):
 
 @query
 def e19_class_report(spark, d):
-    return metrics.class_report(_scored(spark, d)).withColumns(r6("precision", "recall", "f1_score"))
+    return metrics.class_report(_scored(spark, d))
 
 
 @query
 def e20_roc(spark, d):
-    return metrics.roc(_scored(spark, d)).withColumns(r6("threshold", "fpr", "tpr"))
+    return metrics.roc(_scored(spark, d))
 
 
 @query
 def e20_auc(spark, d):
-    return metrics.auc(_scored(spark, d)).withColumns(r6("auc"))
+    return metrics.auc(_scored(spark, d))
 
 
 @query
 def e21_pr_curve(spark, d):
-    return metrics.pr_curve(_scored(spark, d)).withColumns(r6("threshold", "precision", "recall"))
+    return metrics.pr_curve(_scored(spark, d))
 
 
 @query
@@ -709,27 +709,27 @@ def _joined(items: str) -> Column:
 
 @query
 def f01_baskets(spark, d):
-    rows = basket.baskets(Retail.from_star(spark, d).items(CUSTOMER, CATEGORY))
+    rows = basket.baskets(Retail.from_star(spark, d).category_rows())
     return rows.select(ORDER, CUSTOMER, _joined("items").alias("items"))
 
 
 @query
 def f02_segment_baskets(spark, d):
     shop = Retail.from_star(spark, d)
-    rows = basket.segment_baskets(basket.baskets(shop.items(CUSTOMER, CATEGORY)), shop.cltv(), SEGMENT_OF_BASKETS)
+    rows = basket.segment_baskets(basket.baskets(shop.category_rows()), shop.cltv(), SEGMENT_OF_BASKETS)
     return rows.select(ORDER, CUSTOMER, _joined("items").alias("items"), cltv.SEGMENT)
 
 
 @query
 def f03_multi_item(spark, d):
-    rows = basket.multi_item(basket.baskets(Retail.from_star(spark, d).items(CUSTOMER, CATEGORY)))
+    rows = basket.multi_item(basket.baskets(Retail.from_star(spark, d).category_rows()))
     return rows.select(ORDER, CUSTOMER, F.size("items").alias("item_count"))
 
 
 @query
 def f04_clean_items(spark, d):
     shop = Retail.from_star(spark, d)
-    shouted = shop.items(CUSTOMER, CATEGORY).withColumn(CATEGORY, F.concat(F.lit("  "), F.upper(CATEGORY), F.lit(" ")))
+    shouted = shop.category_rows().withColumn(CATEGORY, F.concat(F.lit("  "), F.upper(CATEGORY), F.lit(" ")))
     rows = basket.clean_items(basket.baskets(shouted))
     return rows.select(ORDER, _joined("items").alias("items"))
 
@@ -752,7 +752,7 @@ def f06_association_rules(spark, d):
     b = materialize(Retail.from_star(spark, d).baskets(SEGMENT_OF_BASKETS), "baskets")
     itemsets = materialize(basket.frequent_itemsets(b), "itemsets")
     rules = basket.association_rules(itemsets, b.count())
-    return rules.select(_joined("antecedents").alias("antecedents"), _joined("consequents").alias("consequents"), *[F.round(c, 6).alias(c) for c in _RULE_NUMBERS])
+    return rules.select(_joined("antecedents").alias("antecedents"), _joined("consequents").alias("consequents"), *_RULE_NUMBERS)
 
 
 @query
@@ -772,12 +772,12 @@ def f09_rule_revenue(spark, d):
 
 @query
 def f10_top_bundles(spark, d):
-    return basket.top_bundles(_rules(spark, d)).select("rule", F.round("lift", 6).alias("lift"), "estimated_revenue")
+    return basket.top_bundles(_rules(spark, d)).select("rule", "lift", "estimated_revenue")
 
 
 @query
 def f11_rule_points(spark, d):
-    return basket.rule_points(_rules(spark, d)).withColumns(r6("support", "confidence", "lift"))
+    return basket.rule_points(_rules(spark, d))
 
 
 @query
@@ -790,7 +790,7 @@ def f12_dead_ends(spark, d):
 
 @query
 def f13_rule_edges(spark, d):
-    return basket.rule_edges(_rules(spark, d)).withColumns(r6("weight"))
+    return basket.rule_edges(_rules(spark, d))
 
 
 @query
@@ -801,7 +801,7 @@ def f13_rule_nodes(spark, d):
 @query
 def f14_filter_rules(spark, d):
     kept = basket.filter_rules(_rules(spark, d), confidence=0.07, lift=1.2, support=0.004)
-    return kept.select("rule", F.round("support", 6).alias("support"), F.round("confidence", 6).alias("confidence"), F.round("lift", 6).alias("lift"), "estimated_revenue")
+    return kept.select("rule", "support", "confidence", "lift", "estimated_revenue")
 
 
 @query
@@ -828,7 +828,7 @@ def g03_rolling_mean(spark, d):
     months = timeseries.monthly(Retail.from_star(spark, d).orders())
     months = timeseries.rolling_mean(months, "order_month", "total_revenue", out="revenue_3mo")
     months = timeseries.rolling_mean(months, "order_month", "order_count", out="orders_3mo")
-    return months.withColumns(r6("orders_3mo") | {"revenue_3mo": F.round("revenue_3mo", 2)})
+    return months.withColumn("revenue_3mo", F.round("revenue_3mo", 2))
 
 
 @query
@@ -862,7 +862,7 @@ def g06_forecast_error(spark, d):
 
 @query
 def g07_category_monthly(spark, d):
-    return timeseries.category_monthly(Retail.from_star(spark, d).items(PURCHASED, PAYMENT, CATEGORY), "small ring")
+    return timeseries.category_monthly(Retail.from_star(spark, d).category_rows(), "small ring")
 
 
 # H: reviews
@@ -876,49 +876,49 @@ def h01_sentiment(spark, d):
 @query
 def h02_review_fact(spark, d):
     rf = Retail.from_star(spark, d).review_fact()
-    return rf.select(ORDER, "seller_id", CATEGORY, "review_score", "delivery_days", "low_score", "delayed", F.round("freight_ratio", 6).alias("freight_ratio"))
+    return rf.select(ORDER, "seller_id", CATEGORY, "review_score", "delivery_days", "low_score", "delayed", "freight_ratio")
 
 
 @query
 def h03_rating_stats_seller(spark, d):
-    return reviews.rating_stats(Retail.from_star(spark, d).review_fact(), "seller_id").withColumns(r6("avg_rating", "rating_std", "pct_low_scores"))
+    return reviews.rating_stats(Retail.from_star(spark, d).review_fact(), "seller_id").withColumns(r6("rating_std"))
 
 
 @query
 def h03_rating_stats_category(spark, d):
-    return reviews.rating_stats(Retail.from_star(spark, d).review_fact(), CATEGORY).withColumns(r6("avg_rating", "rating_std", "pct_low_scores"))
+    return reviews.rating_stats(Retail.from_star(spark, d).review_fact(), CATEGORY).withColumns(r6("rating_std"))
 
 
 @query
 def h04_top_rated(spark, d):
     stats = reviews.rating_stats(Retail.from_star(spark, d).review_fact(), "seller_id")
-    return reviews.top_rated(stats, "seller_id").select("seller_id", "num_reviews", F.round("avg_rating", 6).alias("avg_rating"))
+    return reviews.top_rated(stats, "seller_id").select("seller_id", "num_reviews", "avg_rating")
 
 
 @query
 def h04_worst_rated(spark, d):
     stats = reviews.rating_stats(Retail.from_star(spark, d).review_fact(), CATEGORY)
-    return reviews.worst_rated(stats, CATEGORY).select(CATEGORY, "num_reviews", F.round("avg_rating", 6).alias("avg_rating"))
+    return reviews.worst_rated(stats, CATEGORY).select(CATEGORY, "num_reviews", "avg_rating")
 
 
 @query
 def h05_delivery_by_score(spark, d):
-    return reviews.delivery_by_score(Retail.from_star(spark, d).review_fact()).withColumns(r6("avg_delivery_days"))
+    return reviews.delivery_by_score(Retail.from_star(spark, d).review_fact())
 
 
 @query
 def h06_slow_sellers(spark, d):
-    return reviews.slow_sellers(Retail.from_star(spark, d).review_fact(), max_rating=3.0).withColumns(r6("avg_rating", "avg_delivery_days"))
+    return reviews.slow_sellers(Retail.from_star(spark, d).review_fact(), max_rating=3.0)
 
 
 @query
 def h07_delay_impact(spark, d):
-    return reviews.delay_impact(Retail.from_star(spark, d).review_fact()).withColumns(r6("avg_rating"))
+    return reviews.delay_impact(Retail.from_star(spark, d).review_fact())
 
 
 @query
 def h08_freight_vs_rating(spark, d):
-    return reviews.freight_vs_rating(Retail.from_star(spark, d).review_fact()).withColumns(r6("avg_rating", "avg_freight_ratio"))
+    return reviews.freight_vs_rating(Retail.from_star(spark, d).review_fact()).withColumns(r6("avg_freight_ratio"))
 
 
 # I: geography
@@ -928,12 +928,12 @@ def h08_freight_vs_rating(spark, d):
 def i01_cltv_geo(spark, d):
     shop = Retail.from_star(spark, d)
     rows = geo.cltv_geo(shop.orders(STATE), shop.cltv())
-    return rows.select(ORDER, CUSTOMER, STATE, "better_cltv")
+    return rows.select(ORDER, CUSTOMER, STATE, "better_cltv", "fact_rows")
 
 
 @query
 def i02_zip_centroids(spark, d):
-    return geo.zip_centroids(Retail.from_star(spark, d).tables.geolocation).withColumns(r6("lat", "lon"))
+    return geo.zip_centroids(Retail.from_star(spark, d).tables.geolocation)
 
 
 @query
@@ -943,20 +943,20 @@ def i03_zip_month(spark, d):
 
 @query
 def i04_geo_month(spark, d):
-    return Retail.from_star(spark, d).geo_months().drop("geolocation_zip_code_prefix").withColumns(r6("lat", "lon"))
+    return Retail.from_star(spark, d).geo_months().drop("geolocation_zip_code_prefix")
 
 
 @query
 def i05_geo_bubbles(spark, d):
     table = geo.geo_bubbles(Retail.from_star(spark, d).geo_months(), "1995-06", "1998-03", "total_revenue", ["AUTOMOBILE"])
-    return table.withColumns(r6("lat", "lon"))
+    return table
 
 
 @query
 def i06_scaled_metric(spark, d):
     months = Retail.from_star(spark, d).geo_months()
     table = geo.scaled_metric(geo.geo_bubbles(months, metric="total_orders"), "total_orders")
-    return table.withColumns(r6("lat", "lon", "scaled_metric"))
+    return table
 
 
 @query
@@ -966,12 +966,12 @@ def i07_top_cities(spark, d):
 
 @query
 def i08_value_per_customer_state(spark, d):
-    return geo.value_per_customer(Retail.from_star(spark, d).orders(STATE)).withColumns(r6("avg_cltv_per_customer"))
+    return geo.value_per_customer(Retail.from_star(spark, d).orders(STATE))
 
 
 @query
 def i08_value_per_customer_city(spark, d):
-    return geo.value_per_customer(Retail.from_star(spark, d).orders(CITY), CITY).withColumns(r6("avg_cltv_per_customer"))
+    return geo.value_per_customer(Retail.from_star(spark, d).orders(CITY), CITY)
 
 
 @query
@@ -1052,14 +1052,14 @@ def i16_segment_state_pivot(spark, d):
 def i17_drop_detection(spark, d):
     shop = Retail.from_star(spark, d)
     table = geo.drop_detection(shop.orders(STATE), shop.cltv(), value="better_cltv")
-    return table.withColumns({"cltv": F.round("cltv", 0), **r6("pct_change")})
+    return table.withColumn("cltv", F.round("cltv", 0))
 
 
 @query
 def i17_flagged_drops(spark, d):
     shop = Retail.from_star(spark, d)
     table = geo.drop_detection(shop.orders(STATE), shop.cltv(), value="better_cltv").where("drop_flag")
-    return table.select(STATE, "year_month", "revenue", F.round("pct_change", 6).alias("pct_change"))
+    return table.select(STATE, "year_month", "revenue", "pct_change")
 
 
 # J: shared operators
@@ -1095,7 +1095,7 @@ def j04_complete_pairs(spark, d):
 @query
 def j05_containment_join(spark, d):
     """Sets of two categories that one order bought, and the orders holding each."""
-    b = materialize(basket.multi_item(basket.baskets(Retail.from_star(spark, d).items(CUSTOMER, CATEGORY, PAYMENT))), "baskets")
+    b = materialize(basket.multi_item(basket.baskets(Retail.from_star(spark, d).category_rows())), "baskets")
     pairs = b.where(F.size("items") == 2).select(F.col("items").alias("set_items")).distinct()
     found = basket.containment_join(pairs, materialize(basket.basket_patterns(b), "patterns"))
     counts = found.groupBy("set_items").agg(F.sum("baskets").alias("orders"), F.sum("revenue").cast("double").alias("revenue"))
