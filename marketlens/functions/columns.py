@@ -59,19 +59,40 @@ def money(c: Column | str) -> Column:
     return _col(c).cast("decimal(18,2)")
 
 
+def _cents(c: str) -> Column:
+    return F.rint(F.col(c) * 100).cast("bigint")
+
+
+#: Fact rows up to which cents times rows fits a long.
+_LONG_ROWS = 1_000
+
+
 def money_total(df: DataFrame, col: str = PAYMENT, where: Column | None = None) -> Column:
-    """Aggregate: exact sum over fact rows as decimal; nothing sums to zero."""
-    value = money(col)
+    """Aggregate: exact sum over fact rows in cents; nothing sums to zero.
+
+    Rows are turned into whole cents, which are cheap to multiply, and added
+    up as decimals, which do not overflow and do not depend on the order.
+    """
+    value = _cents(col)
     if ROWS in df.columns:
-        value = value * F.col(ROWS).cast("decimal(15,0)")
+        rows = F.col(ROWS)
+        few = (value * rows).cast("decimal(34,0)")
+        many = value.cast("decimal(18,0)") * rows.cast("decimal(15,0)")
+        value = F.when(rows <= _LONG_ROWS, few).otherwise(many)
+    else:
+        value = value.cast("decimal(18,0)")
     if where is not None:
         value = F.when(where, value)
-    return F.coalesce(F.sum(value), F.lit(0).cast("decimal(38,2)"))
+    return F.coalesce(F.sum(value).cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)"))
+
+
+def from_cents(total: Column) -> Column:
+    return total.cast("double") / 100
 
 
 def money_sum(df: DataFrame, col: str = PAYMENT, where: Column | None = None) -> Column:
     """Aggregate: exact sum over fact rows, handed out as double."""
-    return money_total(df, col, where).cast("double")
+    return from_cents(money_total(df, col, where))
 
 
 def money_mean(df: DataFrame, col: str = PAYMENT) -> Column:

@@ -6,7 +6,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import CATEGORY, CUSTOMER, ORDER, PAYMENT, money_sum, money_total
+from ..functions.columns import CATEGORY, CUSTOMER, ORDER, PAYMENT, from_cents, money_sum, money_total
 from ..functions.skew import skew_join
 from .cltv import SEGMENT
 
@@ -14,7 +14,7 @@ _SEP = "\u001f"
 
 
 def baskets(fact: DataFrame) -> DataFrame:
-    """One row per order and customer: its set of categories and its revenue.
+    """One row per order and customer: its set of categories and its revenue in cents.
 
     Missing categories are no item. Sets are built on the map side too, so an
     order of any length arrives as at most one row per task and category.
@@ -22,7 +22,7 @@ def baskets(fact: DataFrame) -> DataFrame:
     known = fact.where(F.col(ORDER).isNotNull() & F.col(CUSTOMER).isNotNull())
     aggs = [F.array_sort(F.collect_set(CATEGORY)).alias("items")]
     if PAYMENT in fact.columns:
-        aggs.append(money_total(fact).alias("revenue"))
+        aggs.append(money_total(fact).alias("revenue_cents"))
     return known.groupBy(ORDER, CUSTOMER).agg(*aggs)
 
 
@@ -47,7 +47,10 @@ def clean_items(b: DataFrame) -> DataFrame:
 def frequent_itemsets(b: DataFrame, min_support: float = 0.001) -> DataFrame:
     """Itemsets in at least ``min_support`` of the baskets, found by FP-growth."""
     # a hair below, so that a support that meets the limit is not lost to rounding
-    model = FPGrowth(itemsCol="items", minSupport=min_support * (1 - 1e-9)).fit(b.select("items"))
+    floor = min_support * (1 - 1e-9)
+    # the conditional trees are grown per partition: no fewer than there are cores
+    parts = max(b.sparkSession.sparkContext.defaultParallelism, int(b.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    model = FPGrowth(itemsCol="items", minSupport=floor, numPartitions=parts).fit(b.select("items"))
     return model.freqItemsets.select(F.array_sort("items").alias("items"), "freq")
 
 
@@ -116,7 +119,7 @@ def basket_patterns(b: DataFrame) -> DataFrame:
     Orders repeat few combinations of categories, so what follows depends on
     the combinations, not on the orders.
     """
-    return b.groupBy("items").agg(F.count(F.lit(1)).alias("baskets"), F.sum("revenue").alias("revenue"))
+    return b.groupBy("items").agg(F.count(F.lit(1)).alias("baskets"), F.sum("revenue_cents").alias("revenue_cents"))
 
 
 def rule_revenue(rules: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -125,7 +128,7 @@ def rule_revenue(rules: DataFrame, patterns: DataFrame) -> DataFrame:
     ``rules`` and ``patterns`` are read twice and should be written tables.
     """
     sets = rules.select(F.col("antecedents").alias("set_items"))
-    found = containment_join(sets, patterns).groupBy("set_items").agg(F.sum("revenue").cast("double").alias("r"))
+    found = containment_join(sets, patterns).groupBy("set_items").agg(from_cents(F.sum("revenue_cents")).alias("r"))
     joined = rules.join(found, F.col("antecedents") == F.col("set_items"), "left").drop("set_items")
     return joined.withColumn("estimated_revenue", F.coalesce("r", F.lit(0.0))).drop("r")
 

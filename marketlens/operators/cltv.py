@@ -16,6 +16,7 @@ from ..functions.columns import (
     count_rows,
     cut,
     elapsed_days,
+    from_cents,
     money,
     money_mean,
     money_sum,
@@ -199,7 +200,7 @@ def cohort_summary(fact: DataFrame) -> DataFrame:
         .where(F.col("first").isNotNull())
     )
     return per_customer.groupBy(quarter_key("first").alias("first_purchase_quarter")).agg(
-        F.count(F.lit(1)).alias("customer_count"), F.sum("revenue").cast("double").alias("total_revenue")
+        F.count(F.lit(1)).alias("customer_count"), from_cents(F.sum("revenue")).alias("total_revenue")
     )
 
 

@@ -17,6 +17,7 @@ from ..functions.columns import (
     ZIP,
     count_rows,
     count_values,
+    from_cents,
     money,
     money_sum,
     money_total,
@@ -163,7 +164,7 @@ def drop_detection(fact: DataFrame, scored: DataFrame, pct: float = -20.0, value
     worth = (money(value) * F.col("rows").cast("decimal(15,0)")).alias("worth")
     joined = per_customer.join(scored.select(CUSTOMER, value), CUSTOMER).select(STATE, "year_month", "paid", worth)
     totals = joined.groupBy(STATE, "year_month").agg(
-        F.sum("paid").cast("double").alias("revenue"), F.coalesce(F.sum("worth"), F.lit(0)).cast("double").alias("cltv")
+        from_cents(F.sum("paid")).alias("revenue"), F.coalesce(F.sum("worth"), F.lit(0)).cast("double").alias("cltv")
     )
     before = F.lag("revenue").over(Window.partitionBy(STATE).orderBy("year_month"))
     out = totals.withColumn("prev_revenue", before)

@@ -66,7 +66,7 @@ class Retail:
 
     def churn(self) -> DataFrame:
         """Holdout data set with the encoded value segment."""
-        data = churn.churn_dataset(churn.churn_features(self.orders()), self.cltv())
+        data = materialize(churn.churn_dataset(churn.churn_features(self.orders()), self.cltv()), "churn")
         return churn.label_encode(data, cltv.SEGMENT, "cltv_segment_encoded")
 
     # baskets

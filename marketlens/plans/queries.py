@@ -12,7 +12,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import CATEGORY, CITY, CUSTOMER, ORDER, PAYMENT, PURCHASED, STATE, ZIP
+from ..functions.columns import CATEGORY, CITY, CUSTOMER, ORDER, PAYMENT, PURCHASED, STATE, ZIP, from_cents
 from ..functions.ordering import global_row_number, running_sum
 from ..functions.staging import materialize, scratch_dir
 from ..operators import (
@@ -1098,7 +1098,7 @@ def j05_containment_join(spark, d):
     b = materialize(basket.multi_item(basket.baskets(Retail.from_star(spark, d).category_rows())), "baskets")
     pairs = b.where(F.size("items") == 2).select(F.col("items").alias("set_items")).distinct()
     found = basket.containment_join(pairs, materialize(basket.basket_patterns(b), "patterns"))
-    counts = found.groupBy("set_items").agg(F.sum("baskets").alias("orders"), F.sum("revenue").cast("double").alias("revenue"))
+    counts = found.groupBy("set_items").agg(F.sum("baskets").alias("orders"), from_cents(F.sum("revenue_cents")).alias("revenue"))
     return counts.select(_joined("set_items").alias("set_items"), "orders", "revenue")
 
 

@@ -54,13 +54,15 @@ def star_tables(spark: SparkSession, folder: str) -> RetailTables:
             F.col("n_name").alias("customer_state"),
         )
     )
-    tax = F.col("l_tax").cast("decimal(4,2)")
+    # price x tax in whole cents, rounded half up: exact without decimals
+    price, tax = (F.rint(F.col(c) * 100).cast("bigint") for c in ("l_extendedprice", "l_tax"))
+    freight = F.floor((price * tax + 50) / 100) / 100.0
     order_items = src["lineitem"].select(
         F.col("l_orderkey").alias("order_id"),
         F.col("l_partkey").alias("product_id"),
         F.col("l_suppkey").alias("seller_id"),
         F.col("l_extendedprice").alias("price"),
-        F.round(F.col("l_extendedprice").cast("decimal(12,2)") * tax, 2).cast("double").alias("freight_value"),
+        freight.alias("freight_value"),
         F.col("l_shipdate").alias("order_delivered_customer_date"),
     )
     order_reviews = src["orders"].select(
