@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from itertools import product
 
 from pyspark.ml.feature import StringIndexer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import (
@@ -111,7 +111,7 @@ def customer_features(fact: DataFrame) -> DataFrame:
             "purchase_span_days": elapsed_days("first_purchase", "last_purchase"),
         }
     )
-    return out.withColumn("order_frequency", F.col("purchase_span_days") / F.col("num_orders"))
+    return out.withColumn("order_frequency", F.try_divide("purchase_span_days", "num_orders"))
 
 
 def churn_dataset(features: DataFrame, cltv: DataFrame) -> DataFrame:
@@ -142,16 +142,31 @@ def churn_rate_by(df: DataFrame, by: str = SEGMENT) -> DataFrame:
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every pair of columns, from one aggregate.
+    """Pearson correlation of every pair of columns, over the rows that have both.
 
-    A column that never varies has no correlation: NULL.
+    A column that never varies has no correlation: NULL. ``df`` is read twice.
     """
-    half = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    wide = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}|{b}") for a, b in half])
+    df = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    ends = df.agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[f(c).alias(f"{name}_{c}") for c in cols for name, f in (("n", F.count), ("lo", F.min), ("hi", F.max))],
+    ).first()
+    varies = [c for c in cols if ends[f"lo_{c}"] != ends[f"hi_{c}"]]
+
+    def pair(a: str, b: str) -> Column:
+        if a == b:
+            return F.lit(1.0)
+        if ends[f"n_{a}"] == ends[f"n_{b}"] == ends["rows"]:
+            return F.corr(a, b)
+        both_a, both_b = F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
+        return F.try_divide(F.covar_pop(a, b), F.stddev_pop(both_a) * F.stddev_pop(both_b))
+
+    half = [(a, b) for i, a in enumerate(varies) for b in varies[i:]]
+    wide = df.agg(F.count(F.lit(1)), *[pair(a, b).alias(f"{a}|{b}") for a, b in half])
     rows = []
     for a, b in product(cols, cols):
         name = f"{a}|{b}" if (a, b) in half else f"{b}|{a}"
-        value = F.nanvl(F.col(f"`{name}`"), F.lit(None).cast("double"))
+        value = F.col(f"`{name}`") if {a, b} <= set(varies) else F.lit(None).cast("double")
         rows.append(F.struct(F.lit(a).alias("row_name"), F.lit(b).alias("col_name"), value.alias("corr")))
     return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 

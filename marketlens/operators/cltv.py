@@ -297,7 +297,7 @@ def pareto_segment(
     exact = df.withColumn("_v", F.col(col).cast("decimal(28,6)"))
     summed = running_sum(exact, [F.col(col).desc(), F.col(key).asc()], {"_v": "_cum"})
     total = scalar(df, F.sum(F.col(col).cast("decimal(28,6)")))
-    share = F.col("_cum").cast("double") / total.cast("double")
+    share = F.try_divide(F.col("_cum").cast("double"), total.cast("double"))
     out_df = summed.withColumn("cum_cltv", F.col("_cum").cast("double")).withColumn("cum_cltv_perc", share)
     return out_df.withColumn(out, cut("cum_cltv_perc", edges, labels)).drop("_v", "_cum")
 

@@ -72,7 +72,7 @@ def cluster_features(features: DataFrame) -> DataFrame:
         {
             "recency_days": elapsed_days(F.col("last_purchase"), latest),
             "purchase_span_days": elapsed_days("first_purchase", "last_purchase"),
-            "avg_order_value": F.col("total_revenue") / F.col("num_orders"),
+            "avg_order_value": F.try_divide("total_revenue", "num_orders"),
         }
     )
 

@@ -33,7 +33,7 @@ def review_fact(fact: DataFrame, reviews: DataFrame, max_days: int = 100) -> Dat
         {
             "low_score": F.col("review_score") < 3,
             "delayed": F.coalesce(F.col(DELIVERED) > F.col(ESTIMATED), F.lit(False)),
-            "freight_ratio": F.col("freight_value") / F.col("price"),
+            "freight_ratio": F.try_divide("freight_value", "price"),
         }
     )
 
@@ -52,7 +52,7 @@ def _score_deviation() -> Column:
 
 def rating_stats(rf: DataFrame, key: str) -> DataFrame:
     """Number, mean and deviation of scores and the share of low ones per key."""
-    low = F.count_if(F.col("low_score")) / F.count("low_score") * 100
+    low = F.try_divide(F.count_if(F.col("low_score")), F.count("low_score")) * 100
     return (
         rf.where(F.col(key).isNotNull())
         .groupBy(key)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from conftest import by_key, rows_of
 from marketlens.functions.columns import CATEGORY, CITY, CUSTOMER, ORDER, PAYMENT, PURCHASED, STATE, ZIP
-from marketlens.operators import basket, churn, cleaning, cltv, fact, filters, geo, profile, reviews, rfm, timeseries
+from marketlens.operators import basket, churn, cltv, fact, filters, geo, profile, reviews, rfm, timeseries
 from marketlens.sources.tables import export_csv, load_tables
 
 
@@ -300,4 +300,3 @@ def test_empty_market(spark, raw_market):
     none = Retail(replace(raw_market, orders=raw_market.orders.where("false")))
     assert none.rfm_summary().count() == 0
     assert none.cltv().count() == 0
-    assert cleaning.valid_items(raw_market.order_items).count() == 10
