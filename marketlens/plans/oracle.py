@@ -201,37 +201,14 @@ _part(
     "cltv",
 )
 _part("nb", "SELECT CAST(count(DISTINCT order_id) AS DOUBLE) AS n FROM entries", "entries")
-_part("f1", "SELECT item AS a, count(*) AS freq FROM entries GROUP BY 1 HAVING count(*) / (SELECT n FROM nb) >= 0.001", "nb")
-_part(
-    "f2",
-    """SELECT x.item AS a, y.item AS b, count(*) AS freq FROM entries x JOIN entries y ON x.order_id = y.order_id
-    AND x.item < y.item GROUP BY 1, 2 HAVING count(*) / (SELECT n FROM nb) >= 0.001""",
-    "nb",
-)
-_part(
-    "f3",
-    """SELECT x.item AS a, y.item AS b, z.item AS c, count(*) AS freq FROM entries x
-    JOIN entries y ON x.order_id = y.order_id AND x.item < y.item
-    JOIN entries z ON x.order_id = z.order_id AND y.item < z.item
-    GROUP BY 1, 2, 3 HAVING count(*) / (SELECT n FROM nb) >= 0.001""",
-    "nb",
-)
-_part(
-    "f4",
-    """SELECT f.a, f.b, f.c, z.item AS d, count(*) AS freq FROM f3 f
-    JOIN entries w ON w.item = f.a JOIN entries x ON x.order_id = w.order_id AND x.item = f.b
-    JOIN entries y ON y.order_id = w.order_id AND y.item = f.c
-    JOIN entries z ON z.order_id = w.order_id AND z.item > f.c
-    GROUP BY 1, 2, 3, 4 HAVING count(*) / (SELECT n FROM nb) >= 0.001""",
-    "f3",
-)
 _part(
     "itemsets",
-    """SELECT [a] AS items, freq FROM f1 UNION ALL SELECT [a, b], freq FROM f2 UNION ALL SELECT [a, b, c], freq FROM f3
-    UNION ALL SELECT [a, b, c, d], freq FROM f4""",
-    "f1",
-    "f2",
-    "f4",
+    """SELECT items, count(*) AS freq FROM (
+    SELECT list_filter(items, lambda x, i: (mask >> (i - 1)) & 1 = 1) AS items FROM (
+    SELECT items, unnest(range(1, 1 << len(items))) AS mask FROM (
+    SELECT list(item ORDER BY item) AS items FROM entries GROUP BY order_id)))
+    GROUP BY items HAVING count(*) / (SELECT n FROM nb) >= 0.001""",
+    "nb",
 )
 _part(
     "splits",
