@@ -31,9 +31,19 @@ def scratch_dir(spark: SparkSession) -> str:
     return _own_dirs[sc.applicationId]
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the application's part of the shared folder."""
+    app = spark.sparkContext.applicationId
+    return f"{scratch_dir(spark)}/marketlens/{app}/{label}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
-    """Compute ``df`` now, write it as parquet and return the written table."""
+    """Compute ``df`` now, write it as parquet and return the written table.
+
+    The tables of one application lie in one folder, to be dropped together
+    when its results have been read.
+    """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/marketlens/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

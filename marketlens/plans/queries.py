@@ -5,7 +5,6 @@ Every query reads the whole given tables. Names start with the operator's id.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from datetime import date
 
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import CATEGORY, CITY, CUSTOMER, ORDER, PAYMENT, PURCHASED, STATE, ZIP, from_cents
 from ..functions.ordering import global_row_number, running_sum
-from ..functions.staging import materialize, scratch_dir
+from ..functions.staging import materialize, scratch_path
 from ..operators import (
     basket,
     churn,
@@ -179,7 +178,7 @@ def a15_dedupe_columns(spark, d):
 def a16_export_csv(spark, d):
     """Written as CSV and read back."""
     table = Retail.from_star(spark, d).rfm()
-    path = f"{scratch_dir(spark)}/marketlens/export-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "export")
     export_csv(table, path)
     return spark.read.schema(table.schema).option("header", True).csv(path)
 
@@ -695,7 +694,7 @@ def e24_scored_output(spark, d):
     """The predictions as exported."""
     _, train, test = _split_data(spark, d)
     table = churn_models.score(churn_models.train_lr(train), test).select(*_SCORED)
-    path = f"{scratch_dir(spark)}/marketlens/export-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "export")
     export_csv(table, path)
     return spark.read.schema(table.schema).option("header", True).csv(path)
 

@@ -110,7 +110,9 @@ def write_market(folder: Path) -> None:
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(8, "tests", memory="8g")
+    session = local_session(8, "tests", memory="8g")
+    session.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    return session
 
 
 @pytest.fixture(scope="session")
