@@ -144,30 +144,36 @@ def churn_rate_by(df: DataFrame, by: str = SEGMENT) -> DataFrame:
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pearson correlation of every pair of columns, over the rows that have both.
 
-    A column that never varies has no correlation: NULL. ``df`` is read twice.
+    A column that never varies has no correlation: NULL. ``df`` is read twice:
+    the means of the first pass keep the products of the second small and, with
+    no gaps in the columns, make them all it needs.
     """
     df = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    ends = df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[f(c).alias(f"{name}_{c}") for c in cols for name, f in (("n", F.count), ("lo", F.min), ("hi", F.max))],
-    ).first()
+    facts = (("n", F.count), ("lo", F.min), ("hi", F.max), ("mean", F.avg))
+    ends = df.agg(F.count(F.lit(1)).alias("rows"), *[f(c).alias(f"{name}_{c}") for c in cols for name, f in facts]).first()
     varies = [c for c in cols if ends[f"lo_{c}"] != ends[f"hi_{c}"]]
+    whole = [c for c in varies if ends[f"n_{c}"] == ends["rows"]]
+    off = {c: F.col(c) - F.lit(ends[f"mean_{c}"]) for c in varies}
+    pairs = [(a, b) for i, a in enumerate(varies) for b in varies[i:]]
 
-    def pair(a: str, b: str) -> Column:
-        if a == b:
-            return F.lit(1.0)
-        if ends[f"n_{a}"] == ends[f"n_{b}"] == ends["rows"]:
-            return F.corr(a, b)
+    def gapped(a: str, b: str) -> Column:
         both_a, both_b = F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
         return F.try_divide(F.covar_pop(a, b), F.stddev_pop(both_a) * F.stddev_pop(both_b))
 
-    half = [(a, b) for i, a in enumerate(varies) for b in varies[i:]]
-    wide = df.agg(F.count(F.lit(1)), *[pair(a, b).alias(f"{a}|{b}") for a, b in half])
-    rows = []
-    for a, b in product(cols, cols):
-        name = f"{a}|{b}" if (a, b) in half else f"{b}|{a}"
-        value = F.col(f"`{name}`") if {a, b} <= set(varies) else F.lit(None).cast("double")
-        rows.append(F.struct(F.lit(a).alias("row_name"), F.lit(b).alias("col_name"), value.alias("corr")))
+    sums = [F.sum(off[a] * off[b]) if {a, b} <= set(whole) else gapped(a, b) for a, b in pairs]
+    wide = df.agg(F.count(F.lit(1)), *[v.alias(f"{a}|{b}") for v, (a, b) in zip(sums, pairs)])
+
+    def found(a: str, b: str) -> Column:
+        if not {a, b} <= set(varies):
+            return F.lit(None).cast("double")
+        if a == b:
+            return F.lit(1.0)
+        value = F.col(f"`{a}|{b}`" if (a, b) in pairs else f"`{b}|{a}`")
+        if {a, b} <= set(whole):
+            return value / F.sqrt(F.col(f"`{a}|{a}`") * F.col(f"`{b}|{b}`"))
+        return value
+
+    rows = [F.struct(F.lit(a).alias("row_name"), F.lit(b).alias("col_name"), found(a, b).alias("corr")) for a, b in product(cols, cols)]
     return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
