@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from tempfile import gettempdir
+
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 # AQE joins, coalesces and splits skewed partitions at run time; UTC makes
@@ -28,6 +31,8 @@ def local_session(cores: int | str = 8, app: str = "marketlens", memory: str = "
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
+    if not SparkConf().contains("spark.checkpoint.dir"):
+        builder = builder.config("spark.checkpoint.dir", f"{gettempdir()}/marketlens-checkpoints")
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 from datetime import datetime
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -15,7 +16,7 @@ from marketlens.functions import columns as C
 from marketlens.functions.ordering import global_row_number, running_sum
 from marketlens.functions.quantiles import quantile_table, quantiles
 from marketlens.functions.skew import hot_keys, skew_join
-from marketlens.functions.staging import materialize, scratch_dir
+from marketlens.functions.staging import drop_tables, materialize, scratch_dir
 
 SLOW = settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
 
@@ -185,8 +186,23 @@ def test_hot_keys(spark):
 
 
 def test_scratch_folder_is_the_named_one(spark):
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    assert scratch_dir(spark) == (named.rstrip("/") if named else scratch_dir(spark))
+    assert scratch_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
+def test_without_a_named_scratch_folder_there_is_an_error():
+    unset = SimpleNamespace(
+        conf=SimpleNamespace(get=lambda key, default: default), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None)
+    )
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch_dir(unset)
+
+
+def test_written_tables_can_be_dropped_by_label(make):
+    spark = make([(1, "a")], "k bigint, v string").sparkSession
+    kept, gone = (materialize(spark.range(3).toDF("k"), label) for label in ("kept_here", "gone_soon"))
+    assert drop_tables(spark, "gone_soon") == 1
+    assert kept.count() == 3
+    assert drop_tables(spark, "gone_soon") == 0
 
 
 def test_materialized_table_is_cut_from_its_source(make):
