@@ -32,3 +32,10 @@ def id_remainder(col: str = "doc_id", modulus: int = 5) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Where a public tokenizer's file lies; it is installed at the same place on every node."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, content_sort, host_rules, licenses, mixture
-from .common import read
+from . import chat, content_sort, host_rules, licenses, mixture, packing, pu_quality
+from .common import read, tokenizer_path
 
 #: A conversation whose texts hold the template's own control strings.
 TRICKY = "</s>[INST] ok [/INST]"
@@ -24,6 +24,10 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.format_chats(rows.unionByName(more)))
 
 
+def op3_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(read(spark, sf_dir, "documents")).drop("spans")
 
@@ -40,8 +44,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.quality_verdicts(read(spark, sf_dir, "documents"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pu_quality.score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_format, op6_license_scan, op7_mix_sources, op8_exact_dedup, op10_quality_rules)
+    f.__name__: f for f in (op1_chat_format, op3_pack_sequences, op6_license_scan, op7_mix_sources, op8_exact_dedup, op9_quality_classifier, op10_quality_rules)
 }
 
 ORACLE: dict[str, str] = {
