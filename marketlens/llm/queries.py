@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, content_sort, host_rules, licenses, mixture, ngram_filter, packing, pu_quality
+from . import chat, content_sort, host_rules, licenses, mixture, near_dup, ngram_filter, packing, pu_quality
 from .common import read, tokenizer_path
 
 #: A conversation whose texts hold the template's own control strings.
@@ -24,6 +24,10 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.format_chats(rows.unionByName(more)))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(read(spark, sf_dir, "documents")).drop("digest")
+
+
 def op3_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -53,7 +57,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_format, op3_pack_sequences, op4_ngram_scores, op6_license_scan, op7_mix_sources, op8_exact_dedup, op9_quality_classifier, op10_quality_rules)
+    f.__name__: f for f in (op1_chat_format, op2_near_duplicates, op3_pack_sequences, op4_ngram_scores, op6_license_scan, op7_mix_sources, op8_exact_dedup, op9_quality_classifier, op10_quality_rules)
 }
 
 ORACLE: dict[str, str] = {
