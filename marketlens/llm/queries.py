@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, content_sort, host_rules, licenses, mixture, near_dup, ngram_filter, packing, pu_quality
+from . import chat, content_sort, host_rules, licenses, mixture, near_dup, ngram_filter, packing, pii, pu_quality
 from .common import read, tokenizer_path
 
 #: A conversation whose texts hold the template's own control strings.
@@ -36,6 +36,10 @@ def op4_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_filter.score_documents(read(spark, sf_dir, "documents"))
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_digests(read(spark, sf_dir, "documents"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(read(spark, sf_dir, "documents")).drop("spans")
 
@@ -57,7 +61,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_format, op2_near_duplicates, op3_pack_sequences, op4_ngram_scores, op6_license_scan, op7_mix_sources, op8_exact_dedup, op9_quality_classifier, op10_quality_rules)
+    f.__name__: f for f in (op1_chat_format, op2_near_duplicates, op3_pack_sequences, op4_ngram_scores, op5_personal_data, op6_license_scan, op7_mix_sources, op8_exact_dedup, op9_quality_classifier, op10_quality_rules)
 }
 
 ORACLE: dict[str, str] = {
