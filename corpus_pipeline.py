@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from marketlens.functions.staging import materialize
-from marketlens.llm import content_sort, host_rules, mixture
+from marketlens.llm import content_sort, host_rules, mixture, near_dup, packing
+from marketlens.llm.common import tokenizer_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,12 +23,28 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return content_sort.drop_copies(docs)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies keep one document."""
+    return near_dup.drop_near_copies(docs)
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sample documents so that source, language and topic meet their targets."""
     return mixture.drop_unsampled(docs)
 
 
-STAGES = [("quality", quality), ("exact_copies", exact_copies), ("mixing", mixing)]
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Fill sequences of 2048 tokens, every source at its share."""
+    return packing.pack_documents(docs, tokenizer_path())
+
+
+STAGES = [
+    ("quality", quality),
+    ("exact_copies", exact_copies),
+    ("near_copies", near_copies),
+    ("mixing", mixing),
+    ("packed", packed),
+]
 
 #: Near copies and token ids cannot be computed in SQL.
 ORACLE_SQL = None
