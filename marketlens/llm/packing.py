@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterable, Mapping
+from collections.abc import Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +39,7 @@ from ..functions.staging import materialize
 CLOSING_ID = 1
 WINDOW = 2048
 
+_PUNCTUATION = b".,;:!?"
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
@@ -46,34 +47,51 @@ class WordEncoder:
     """Token ids of texts as bytes, with the ids of white-space separated parts kept.
 
     The tokenizer's own splitting never joins across white space, so a text's
-    ids are those of its parts in turn. The store of parts is emptied when it
-    reaches ``limit`` entries.
+    ids are those of its parts in turn; nor does it join letters with ASCII
+    punctuation behind them, and ASCII letters count in lower case, so a part of
+    that form is looked up as a lower-case word and its punctuation. The store
+    is emptied when it reaches ``limit`` entries; texts are taken ``step`` at a
+    time to hold few of them in pieces.
     """
 
-    def __init__(self, path: str, width: int, limit: int = 400_000, longest: int = 64):
+    def __init__(self, path: str, width: int, limit: int = 800_000, longest: int = 64, step: int = 256):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.type, self.limit, self.longest = Tokenizer.from_file(path), f"<u{width}", limit, longest
+        self.tokenizer, self.type = Tokenizer.from_file(path), f"<u{width}"
+        self.limit, self.longest, self.step = limit, longest, step
         self.closing = np.array([CLOSING_ID], self.type).tobytes()
         self.known: dict[bytes, bytes] = {}
 
-    def encode(self, texts: Iterable[str | None]) -> list[bytes]:
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        return [ids for at in range(0, len(texts), self.step) for ids in self._encode(texts[at : at + self.step])]
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
         parts = [(t or "").encode().split() for t in texts]
         if len(self.known) > self.limit:
             self.known.clear()
         known = self.known
-        new = list({w for ws in parts for w in ws if w not in known})
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-            known.update((w, np.array(e.ids, self.type).tobytes()) for w, e in zip(some, found))
+        new = {w for ws in parts for w in ws if w not in known}
+        halves = {}
+        for w in new:
+            word = w.rstrip(_PUNCTUATION)
+            if word.isalpha():  # of bytes: ASCII letters only
+                halves[w] = (word.lower(), w[len(word) :])
+        asked = {x for both in halves.values() for x in both if x} | (new - halves.keys())
+        self._learn([w for w in asked if w not in known])
+        for w, (word, marks) in halves.items():
+            if w not in known:
+                known[w] = known[word] + (known[marks] if marks else b"")
         out = [b"".join([known[w] for w in ws]) + self.closing for ws in parts]
         for w in new:
             if len(w) > self.longest:
                 del known[w]
         return out
 
+    def _learn(self, words: list[bytes]) -> None:
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        self.known.update((w, np.array(e.ids, self.type).tobytes()) for w, e in zip(words, found))
+
 
 def _width(path: str) -> int:
     """Bytes that hold any id of the tokenizer."""
