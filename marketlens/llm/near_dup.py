@@ -10,14 +10,15 @@ Jaccard similarity for sets of any size.
 Candidates. 48 bands of five registers: a pair of similarity 0.75 shares no
 band with probability 2e-6. Documents with equal sets are one class. In each
 band bucket every class is paired with the bucket's smallest class only; pairs
-whose collision-corrected estimate is below 0.6 (five standard deviations under
+whose collision-corrected estimate is below 0.64 (four standard deviations under
 0.75) are dropped, the rest is verified on full shingle sets, and connected
 components are formed. Buckets that then still hold several components are
 gone through again: all pairs between different components are estimated,
-block against block inside tasks, and again the likely ones are verified. So
-no link between components is missed for want of a comparison, no pair is
-emitted that is not likely, and families of near copies cost one comparison
-per member.
+block against block inside tasks: first each block pair gives the likeliest
+pairs that would join its components (a spanning forest), and once those are
+verified and joined, all likely pairs still between components. So no link
+between components is missed for want of a comparison, and families of near
+copies cost a few comparisons per member, not one per pair.
 
 Links need 100 * intersection >= 75 * union.
 
@@ -31,7 +32,7 @@ matter; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +50,7 @@ BANDS, ROWS = 48, 5
 BUCKETS = BANDS * ROWS
 MANTISSA = 8
 ROUNDS = 3
-LIKELY = 0.6
+LIKELY = 0.64
 PERCENT = 75
 BLOCK = 512
 
@@ -190,25 +191,58 @@ def _members(classes: DataFrame) -> DataFrame:
 PAIR = "a bigint, b bigint"
 
 
-def _across(table: pa.Table) -> pa.Table:
+def _forest(u: np.ndarray, v: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Places of edges (u, v) that make a spanning forest, heaviest first (Boruvka's rounds)."""
+    _, both = np.unique(np.concatenate([u, v]), return_inverse=True)
+    u, v = both[: len(u)], both[len(u) :]
+    label, taken = np.arange(both.max(initial=-1) + 1), []
+    rank = np.empty(len(u), np.int64)
+    rank[np.argsort(weight, kind="stable")] = np.arange(len(u))
+    by_rank = np.argsort(rank)
+    while True:
+        x, y = label[u], label[v]
+        live = np.flatnonzero(x != y)
+        if not len(live):
+            return np.unique(taken).astype(np.int64)
+        best = np.full(len(label), -1)
+        np.maximum.at(best, x[live], rank[live])
+        np.maximum.at(best, y[live], rank[live])
+        chosen = by_rank[np.unique(best[best >= 0])]
+        taken += chosen.tolist()
+        for i in chosen:  # join along the chosen edges
+            low, high = sorted((label[u[i]], label[v[i]]))
+            if low != high:
+                label[label == high] = low
+
+
+def _across(forest: bool) -> Callable[[pa.Table], pa.Table]:
     """Likely pairs between different components of one block, or between two blocks of a bucket."""
-    n, comp, cls = (table.column(c).to_numpy() for c in ("n", "comp", "cls"))
-    regs, low = _matrix(table.column("regs").combine_chunks()), table.column("own").to_numpy() == table.column("i")[0].as_py()
-    left = np.flatnonzero(low)
-    right = left if table.column("i")[0].as_py() == table.column("j")[0].as_py() else np.flatnonzero(~low)
-    matches = np.zeros((len(left), len(right)), np.int32)
-    for r in range(BUCKETS):
-        matches += regs[left, r][:, None] == regs[right, r][None, :]
-    a, b = n[left][:, None].astype(float), n[right][None, :].astype(float)
-    good = (comp[left][:, None] != comp[right][None, :]) & (estimate(matches, a, b) >= LIKELY)
-    good &= 100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b)
-    x, y = np.nonzero(good)
-    x, y = cls[left[x]], cls[right[y]]
-    return pa.table({"a": np.maximum(x, y), "b": np.minimum(x, y)})
-
-
-def _rest(members: DataFrame, classes: DataFrame, comps: DataFrame) -> DataFrame:
-    """Likely pairs of different components that share a bucket and have not been compared."""
+
+    def run(table: pa.Table) -> pa.Table:
+        n, comp, cls, own = (table.column(c).to_numpy() for c in ("n", "comp", "cls", "own"))
+        i, j = (table.column(c)[0].as_py() for c in ("i", "j"))
+        regs = _matrix(table.column("regs").combine_chunks())
+        left = np.flatnonzero(own == i)
+        right = left if i == j else np.flatnonzero(own == j)
+        matches = np.zeros((len(left), len(right)), np.int32)
+        for r in range(BUCKETS):
+            matches += regs[left, r][:, None] == regs[right, r][None, :]
+        a, b = n[left][:, None].astype(float), n[right][None, :].astype(float)
+        similar = estimate(matches, a, b)
+        good = (comp[left][:, None] != comp[right][None, :]) & (similar >= LIKELY)
+        good &= 100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b)
+        x, y = np.nonzero(good)
+        if forest and len(x):
+            kept = _forest(comp[left[x]], comp[right[y]], similar[x, y])
+            x, y = x[kept], y[kept]
+        x, y = cls[left[x]], cls[right[y]]
+        return pa.table({"a": np.maximum(x, y), "b": np.minimum(x, y)})
+
+    return run
+
+
+def _rest(members: DataFrame, classes: DataFrame, comps: DataFrame, forest: bool) -> DataFrame:
+    """Likely pairs of different components that share a bucket: all, or a forest of each block pair."""
     comp = F.coalesce(F.col("comp"), F.col("cls")).alias("comp")
     rows = members.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", "first", comp)
     # the bucket's first class has been compared with all others
@@ -222,7 +256,7 @@ def _rest(members: DataFrame, classes: DataFrame, comps: DataFrame) -> DataFrame
     rows = rows.select("key", "cls", "comp", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("other"))
     units = rows.select("key", "cls", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     units = units.join(classes.select("cls", "n", "regs"), "cls")
-    return units.groupBy("key", "i", "j").applyInArrow(_across, PAIR).distinct()
+    return units.groupBy("key", "i", "j").applyInArrow(_across(forest), PAIR).distinct()
 
 
 # verification ---------------------------------------------------------------
@@ -314,9 +348,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     star = members.where("cls <> first").select(F.col("cls").alias("a"), F.col("first").alias("b")).distinct()
     links = verified(materialize(_likely(star, classes), "likely"), classes, docs)
     comps = components(links)
-    more = materialize(_rest(members, classes, comps), "likely")
-    links = links.unionByName(verified(more, classes, docs))
-    comps = components(links)
+    tried = star
+    for forest in (True, False):
+        more = _rest(members, classes, comps, forest).join(tried, ["a", "b"], "left_anti")
+        more = materialize(more, "likely")
+        tried = tried.unionByName(more)
+        links = links.unionByName(verified(more, classes, docs))
+        comps = components(links)
     of_class = classes.select("cls", F.col("rep.doc_id").alias("least_id")).join(comps.withColumnRenamed("node", "cls"), "cls", "left")
     of_class = of_class.select("cls", "least_id", F.coalesce("comp", "cls").alias("comp"))
     smallest = of_class.groupBy("comp").agg(F.min("least_id").alias("component_id"))
