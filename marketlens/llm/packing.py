@@ -49,12 +49,14 @@ class WordEncoder:
     The tokenizer's own splitting never joins across white space, so a text's
     ids are those of its parts in turn; nor does it join letters with ASCII
     punctuation behind them, and ASCII letters count in lower case, so a part of
-    that form is looked up as a lower-case word and its punctuation. The store
-    is emptied when it reaches ``limit`` entries; texts are taken ``step`` at a
-    time to hold few of them in pieces.
+    that form is looked up as a lower-case word and its punctuation. Encoded
+    words are kept in two generations of ``limit`` entries, of which the older
+    is dropped; parts put together from them are kept up to ``limit`` and then
+    put together anew. Texts are taken ``step`` at a time to hold few of them in
+    pieces.
     """
 
-    def __init__(self, path: str, width: int, limit: int = 800_000, longest: int = 64, step: int = 256):
+    def __init__(self, path: str, width: int, limit: int = 200_000, longest: int = 64, step: int = 256):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -62,6 +64,8 @@ class WordEncoder:
         self.limit, self.longest, self.step = limit, longest, step
         self.closing = np.array([CLOSING_ID], self.type).tobytes()
         self.known: dict[bytes, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         return [ids for at in range(0, len(texts), self.step) for ids in self._encode(texts[at : at + self.step])]
@@ -70,27 +74,31 @@ class WordEncoder:
         parts = [(t or "").encode().split() for t in texts]
         if len(self.known) > self.limit:
             self.known.clear()
-        known = self.known
+        if len(self.words) > self.limit:
+            self.words, self.older = {}, self.words
+        known, halves = self.known, {}
         new = {w for ws in parts for w in ws if w not in known}
-        halves = {}
         for w in new:
             word = w.rstrip(_PUNCTUATION)
-            if word.isalpha():  # of bytes: ASCII letters only
-                halves[w] = (word.lower(), w[len(word) :])
-        asked = {x for both in halves.values() for x in both if x} | (new - halves.keys())
-        self._learn([w for w in asked if w not in known])
+            # of bytes: ASCII letters only
+            halves[w] = (word.lower(), w[len(word) :]) if word.isalpha() else (w, b"")
+        self._learn({x for both in halves.values() for x in both if x})
         for w, (word, marks) in halves.items():
-            if w not in known:
-                known[w] = known[word] + (known[marks] if marks else b"")
+            known[w] = self.words[word] + (self.words[marks] if marks else b"")
         out = [b"".join([known[w] for w in ws]) + self.closing for ws in parts]
         for w in new:
             if len(w) > self.longest:
                 del known[w]
+                self.words.pop(halves[w][0], None)
         return out
 
-    def _learn(self, words: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        self.known.update((w, np.array(e.ids, self.type).tobytes()) for w, e in zip(words, found))
+    def _learn(self, asked: set[bytes]) -> None:
+        """Have the ids of these words among ``words``."""
+        words, older = self.words, self.older
+        words.update((w, older[w]) for w in asked if w not in words and w in older)
+        some = [w for w in asked if w not in words]
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
+        words.update((w, np.array(e.ids, self.type).tobytes()) for w, e in zip(some, found))
 
 
 def _width(path: str) -> int:
