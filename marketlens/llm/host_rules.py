@@ -76,7 +76,8 @@ def host_rates(measured: DataFrame, host: str, m: str) -> DataFrame:
     """host, n_docs, n_failed, rate: the posterior mean under a beta prior fitted to all hosts.
 
     The prior's mean is the corpus' failure rate and its strength comes from how
-    much the hosts' rates vary beyond binomial noise. Without any such variation
+    much the hosts' rates vary beyond binomial noise; it counts as one document
+    at least. Without any such variation
     (or with a single host) all hosts get the corpus' rate.
     """
     hosts = measured.groupBy(F.col(host).alias("host")).agg(
@@ -95,7 +96,7 @@ def host_rates(measured: DataFrame, host: str, m: str) -> DataFrame:
     spread = total["ffn"] - total["n"] * mean * mean
     v, k, room = mean * (1 - mean), total["k"], total["n"] - total["nn"] / total["n"]
     rho = (spread - (k - 1) * v) / (v * (room - (k - 1))) if v > 0 and room > k - 1 else 0.0
-    rho = min(max(rho, 0.0), 1.0)
+    rho = min(max(rho, 0.0), 0.5)
     strength = (1 - rho) / rho if rho > 0 else None
     rate = F.lit(mean) if strength is None else (f + F.lit(strength * mean)) / (n + F.lit(strength))
     return hosts.withColumn("rate", rate.cast("double"))
