@@ -63,22 +63,15 @@ def _cents(c: str) -> Column:
     return F.rint(F.col(c) * 100).cast("bigint")
 
 
-#: Fact rows up to which cents times rows fits a long.
-_LONG_ROWS = 1_000
-
-
 def money_total(df: DataFrame, col: str = PAYMENT, where: Column | None = None) -> Column:
     """Aggregate: exact sum over fact rows in cents; nothing sums to zero.
 
-    Rows are turned into whole cents, which are cheap to multiply, and added
-    up as decimals, which do not overflow and do not depend on the order.
+    Values are turned into whole cents and multiplied and added up as decimals,
+    which do not overflow and do not depend on the order.
     """
     value = _cents(col)
     if ROWS in df.columns:
-        rows = F.col(ROWS)
-        few = (value * rows).cast("decimal(34,0)")
-        many = value.cast("decimal(18,0)") * rows.cast("decimal(15,0)")
-        value = F.when(rows <= _LONG_ROWS, few).otherwise(many)
+        value = value.cast("decimal(18,0)") * F.col(ROWS).cast("decimal(15,0)")
     else:
         value = value.cast("decimal(18,0)")
     if where is not None:

@@ -1,9 +1,7 @@
 """Exact linear-interpolation quantiles that do not gather the data.
 
-``percentile`` keeps every distinct value in one task's memory. That is used
-only for tables counted to be small; above the limit the value counts are
-sorted across the cluster and each order statistic is looked up by its rank.
-Both ways give the same number.
+The value counts are sorted across the cluster and each order statistic is
+looked up by its rank, whatever the size of the table.
 """
 
 from __future__ import annotations
@@ -15,24 +13,13 @@ from pyspark.sql import functions as F
 
 from .ordering import running_sum
 
-#: Rows up to which one task may hold a whole column.
-IN_TASK_ROWS = 1_000_000
-
-
-def quantile_table(
-    df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = (), in_task_rows: int | None = None
-) -> DataFrame:
+def quantile_table(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Quantiles of ``col`` per group, in columns ``q0``, ``q1``, ...
 
-    ``df`` is read more than once, so it should be a written table.
+    ``df`` is read more than once, so it should be a written table. A group
+    without values has no row.
     """
-    limit = IN_TASK_ROWS if in_task_rows is None else in_task_rows
-    values = df.select(*by, F.col(col).cast("double").alias("v")).where("v IS NOT NULL")
-    if values.count() <= limit:
-        return values.groupBy(*by).agg(
-            *[F.percentile("v", F.lit(float(p))).alias(f"q{i}") for i, p in enumerate(probs)]
-        )
-    return _by_rank(values, probs, by)
+    return _by_rank(df.select(*by, F.col(col).cast("double").alias("v")).where("v IS NOT NULL"), probs, by)
 
 
 def _by_rank(values: DataFrame, probs: Sequence[float], by: Sequence[str]) -> DataFrame:
@@ -71,24 +58,14 @@ def _by_rank(values: DataFrame, probs: Sequence[float], by: Sequence[str]) -> Da
     return found.select(*by, *cols)
 
 
-def quantiles(
-    df: DataFrame, wanted: dict[str, Sequence[float]], in_task_rows: int | None = None, rows: int | None = None
-) -> dict[str, list[float]]:
+def quantiles(df: DataFrame, wanted: dict[str, Sequence[float]]) -> dict[str, list[float]]:
     """Quantiles of several columns of a written table, as plain numbers.
 
-    ``rows`` is the table's row count where the caller already knows it.
+    The columns are stacked, so that one pass ranks them all.
     """
-    limit = IN_TASK_ROWS if in_task_rows is None else in_task_rows
-    if (df.count() if rows is None else rows) <= limit:
-        row = df.agg(
-            *[
-                F.percentile(F.col(c).cast("double"), F.array(*[F.lit(float(p)) for p in ps])).alias(c)
-                for c, ps in wanted.items()
-            ]
-        ).first()
-        return {c: list(row[c]) if row[c] is not None else [None] * len(ps) for c, ps in wanted.items()}
-    out = {}
-    for c, ps in wanted.items():
-        row = quantile_table(df, c, ps, in_task_rows=limit).first()
-        out[c] = [row[f"q{i}"] if row is not None else None for i in range(len(ps))]
-    return out
+    stacked = df.select(
+        F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in wanted])).alias("x")
+    ).select("x.*")
+    probs = sorted({float(p) for ps in wanted.values() for p in ps})
+    rows = {r["name"]: r for r in quantile_table(stacked, "v", probs, ["name"]).collect()}  # one row per column
+    return {c: [rows[c][f"q{probs.index(float(p))}"] if c in rows else None for p in ps] for c, ps in wanted.items()}

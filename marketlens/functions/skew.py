@@ -1,9 +1,9 @@
 """Joins that stay balanced when one key holds a large share of the rows.
 
-A shuffle sends all rows of a key to one task. Keys found to be hot are taken
-out of the shuffle: their few rows on the other side are broadcast, and the
-hot rows stay where they are. Which keys count as hot decides only how the
-work is spread, never what comes out.
+Spark splits a partition that is too large on the side whose rows an outer join
+keeps, and on either side of an inner join. A join that keeps the rows of the
+side without repeats is therefore made of an inner join and of the rows that
+have no partner; both plans are the same at any size and start no job.
 """
 
 from __future__ import annotations
@@ -11,52 +11,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Share of all rows from which a key is hot; there are at most 1/share of them.
-HOT_SHARE = 0.001
-#: Tables in fewer files are too small for a hot key to hold up a task for long.
-CHECKED_FILES = 64
-#: Rows the other side may have for all hot keys together to be broadcast.
-BROADCAST_ROWS = 100_000
 
-
-def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> tuple[list, bool]:
-    """Keys with at least ``share`` of the rows, and whether NULL is one.
-
-    The frequent-items sketch misses none; a second narrow pass counts its
-    candidates.
-    """
-    keys = df.select(key)
-    candidates = keys.where(F.col(key).isNotNull()).stat.freqItems([key], share).first()[0] or []
-    candidates = [k for k in candidates if k is not None]
-    group = F.when(F.col(key).isNull(), F.lit("null")).when(F.col(key).isin(candidates), F.lit("hot")).otherwise(F.lit("rest"))
-    named = F.when(group == "hot", F.col(key))
-    counts = keys.groupBy(group.alias("g"), named.alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()
-    enough = share * sum(r["n"] for r in counts)
-    hot = [r["k"] for r in counts if r["g"] == "hot" and r["n"] >= enough]
-    return hot, any(r["g"] == "null" and r["n"] >= enough for r in counts)
-
-
-def skew_join(
-    big: DataFrame, small: DataFrame, key: str, keep: str = "neither", files: int | None = None, share: float = HOT_SHARE
-) -> DataFrame:
+def skew_join(big: DataFrame, small: DataFrame, key: str, keep: str = "neither") -> DataFrame:
     """Equi-join on ``key``; ``keep`` names the side whose rows all remain.
 
     ``big`` is the side on which a key may repeat without bound.
     """
-    how = {"big": "left", "small": "right", "neither": "inner"}[keep]
-    plain = big.join(small, key, how)
-    if len(big.inputFiles()) < (CHECKED_FILES if files is None else files):
-        return plain
-    hot, null_is_hot = hot_keys(big, key, share)
-    if not hot and not (null_is_hot and keep == "big"):
-        return plain
-    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
-    partners = small.where(is_hot)
-    if partners.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-        return plain
-    # A hot key occurs in ``big``, so none of its partners can be left over.
-    # NULL matches nothing: rows to be kept need not be shuffled for it.
-    aside = is_hot | F.col(key).isNull() if keep == "big" else is_hot
-    cold = big.where(~aside).join(small.where(~is_hot), key, how)
-    hot_part = big.where(aside).join(F.broadcast(partners), key, "left" if keep == "big" else "inner")
-    return cold.unionByName(hot_part.select(cold.columns))
+    if keep == "big":
+        return big.join(small, key, "left")
+    both = big.join(small, key)
+    if keep == "neither":
+        return both
+    alone = small.join(big.select(key).distinct(), key, "left_anti")
+    absent = [F.lit(None).cast(f.dataType).alias(f.name) for f in big.schema if f.name != key]
+    return both.unionByName(alone.select(*alone.columns, *absent).select(*both.columns))

@@ -98,7 +98,7 @@ def segment_cltv(basic: DataFrame, months: int = 12) -> DataFrame:
     out = out.withColumn("better_cltv", F.col("avg_order_value") * F.lit(frequency) * months)
     ends = [None if v is None else v * frequency * months for v in (total["avg_order_value_min"], total["avg_order_value_max"])]
     out = out.withColumn("cltv_normalized", scaled(F.col("better_cltv"), *ends))
-    edges = quantiles(out, {"better_cltv": (0.2, 0.8)}, rows=total["n"])["better_cltv"]
+    edges = quantiles(out, {"better_cltv": (0.2, 0.8)})["better_cltv"]
     return out.withColumn(SEGMENT, cut("better_cltv", edges, SEGMENTS))
 
 

@@ -15,7 +15,7 @@ from conftest import rows_of
 from marketlens.functions import columns as C
 from marketlens.functions.ordering import global_row_number, running_sum
 from marketlens.functions.quantiles import quantile_table, quantiles
-from marketlens.functions.skew import hot_keys, skew_join
+from marketlens.functions.skew import skew_join
 from marketlens.functions.staging import drop_tables, materialize, scratch_dir
 
 SLOW = settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
@@ -137,13 +137,12 @@ PROBS = (0.0, 0.2, 0.25, 0.5, 0.75, 0.99, 1.0)
 
 @SLOW
 @given(values=st.lists(st.one_of(st.none(), st.integers(-20, 20)), min_size=1, max_size=80))
-def test_quantiles_both_ways_equal_numpy(spark, values):
+def test_quantiles_equal_numpy(spark, values):
     known = [v for v in values if v is not None]
     df = materialize(spark.createDataFrame([(None if v is None else float(v),) for v in values], "v double"))
     want = [float(np.quantile(known, p)) for p in PROBS] if known else [None] * len(PROBS)
-    for limit in (10**6, 0):
-        got = quantiles(df, {"v": PROBS}, in_task_rows=limit)["v"]
-        assert got == pytest.approx(want, abs=1e-9) if known else got == want
+    got = quantiles(df, {"v": PROBS})["v"]
+    assert got == pytest.approx(want, abs=1e-9) if known else got == want
 
 
 def test_grouped_quantiles_by_rank(spark):
@@ -152,9 +151,10 @@ def test_grouped_quantiles_by_rank(spark):
     rows = [("big", 7.0 if rng.random() < 0.4 else round(rng.gauss(0, 5), 1)) for _ in range(900)]
     rows += [("small", float(v)) for v in (1, 2, 3, 4)] + [(None, 5.0), ("none", None)]
     df = materialize(spark.createDataFrame(rows, "g string, v double"))
-    got = {limit: rows_of(quantile_table(df, "v", (0.25, 0.5, 0.75), ["g"], in_task_rows=limit)) for limit in (10**6, 0)}
-    assert got[0] == got[10**6]
-    assert ("small", 1.75, 2.5, 3.25) in got[0]
+    got = rows_of(quantile_table(df, "v", (0.25, 0.5, 0.75), ["g"]))
+    whole = df.where("v IS NOT NULL").groupBy("g").agg(*[F.percentile("v", F.lit(p)) for p in (0.25, 0.5, 0.75)])
+    assert got == rows_of(whole)
+    assert ("small", 1.75, 2.5, 3.25) in got
 
 
 # joins
@@ -167,22 +167,11 @@ def test_skew_join_equals_the_plain_join(spark, keep, how, nulls):
     big = spark.createDataFrame(rows, "k string, v bigint").repartition(5)
     partners = [("hot", "a"), ("hot", "b"), ("k1", "c"), ("absent", "d"), (None, "e")]
     small = spark.createDataFrame(partners, "k string, w string")
-    got = skew_join(big, small, "k", keep, files=0, share=0.2)
+    jobs = spark.sparkContext.statusTracker()
+    before = len(jobs.getJobIdsForGroup(None))
+    got = skew_join(big, small, "k", keep)
+    assert len(jobs.getJobIdsForGroup(None)) == before
     assert rows_of(got.select("k", "v", "w")) == rows_of(big.join(small, "k", how).select("k", "v", "w"))
-    plan = got._jdf.queryExecution().executedPlan().toString()
-    assert "Union" in plan and "BroadcastHashJoin" in plan
-
-
-def test_skew_join_is_plain_without_hot_keys(spark):
-    big = spark.createDataFrame([(i,) for i in range(1000)], "k bigint")
-    small = spark.createDataFrame([(1, "x")], "k bigint, w string")
-    assert "Union" not in skew_join(big, small, "k", files=0, share=0.01)._jdf.queryExecution().executedPlan().toString()
-
-
-def test_hot_keys(spark):
-    df = spark.createDataFrame([(1,)] * 50 + [(None,)] * 30 + [(i,) for i in range(100, 120)], "k bigint").repartition(4)
-    assert hot_keys(df, "k", 0.2) == ([1], True)
-    assert hot_keys(df, "k", 0.6) == ([], False)
 
 
 def test_scratch_folder_is_the_named_one(spark):
