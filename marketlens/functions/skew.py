@@ -1,27 +1,20 @@
-"""Joins that stay balanced when one key holds a large share of the rows.
+"""Joins of a side whose keys may repeat without bound with one whose keys do not.
 
-Spark splits a partition that is too large on the side whose rows an outer join
-keeps, and on either side of an inner join. A join that keeps the rows of the
-side without repeats is therefore made of an inner join and of the rows that
-have no partner; both plans are the same at any size and start no job.
+The plan is the same at any size and building it starts no job. At run time
+Spark splits a partition that is too large on either side of an inner join and
+on the side whose rows an outer join keeps (``spark.sql.adaptive.skewJoin``).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 def skew_join(big: DataFrame, small: DataFrame, key: str, keep: str = "neither") -> DataFrame:
     """Equi-join on ``key``; ``keep`` names the side whose rows all remain.
 
-    ``big`` is the side on which a key may repeat without bound.
+    ``big`` is the side on which a key may repeat. Keeping ``small`` leaves the
+    rows placed by key, which later joins and groupings reuse; in that case
+    Spark does not split a hot key of ``big``.
     """
-    if keep == "big":
-        return big.join(small, key, "left")
-    both = big.join(small, key)
-    if keep == "neither":
-        return both
-    alone = small.join(big.select(key).distinct(), key, "left_anti")
-    absent = [F.lit(None).cast(f.dataType).alias(f.name) for f in big.schema if f.name != key]
-    return both.unionByName(alone.select(*alone.columns, *absent).select(*both.columns))
+    return big.join(small, key, {"big": "left", "small": "right", "neither": "inner"}[keep])
