@@ -177,8 +177,9 @@ def disclosing(near: DataFrame, docs: DataFrame, theta: float, min_support: int)
     entities = entities.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     words = F.array_distinct(F.regexp_extract_all(F.lower(text_of()), F.lit(TERM_PATTERN), F.lit(0)))
     texts = docs.select(F.xxhash64(text_of()).alias("digest"), F.explode(words).alias("term"))
-    asked = together.select("term").distinct()
-    holding = texts.join(asked, "term", "left_semi").groupBy("digest", "term").agg(F.count(F.lit(1)).alias("times"))
+    # all words are counted before the join: few terms are asked for in a small
+    # corpus and nearly all in a large one
+    holding = texts.groupBy("digest", "term").agg(F.count(F.lit(1)).alias("times"))
     holding = holding.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     total = docs.select(F.xxhash64(text_of()).alias("digest")).distinct().agg(F.count(F.lit(1))).scalar()
     counts = together.join(entities, "entity").join(holding, "term", "left")
