@@ -53,7 +53,7 @@ def measure_text(text: str | None) -> tuple[int, int, int, int, int]:
 
 @F.arrow_udf(T.StructType([T.StructField(m, T.LongType()) for m in MEASURES]))
 def measures(texts: pa.Array) -> pa.Array:
-    rows = [measure_text(t) for t in texts.to_pylist()]
+    rows = [measure_text(t) for at in range(0, len(texts), 256) for t in texts.slice(at, 256).to_pylist()]
     return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(len(MEASURES))], names=list(MEASURES))
 
 

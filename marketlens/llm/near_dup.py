@@ -141,10 +141,12 @@ SKETCH = T.StructType().add("n", "long").add("cls", "long").add("regs", "binary"
 @F.arrow_udf(SKETCH)
 def sketch(texts: pa.Array) -> pa.Array:
     n, cls, regs = [], [], []
-    for s in shingle_sets(texts.to_pylist()):
-        n.append(len(s))
-        cls.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None)
-        regs.append(registers(s).tobytes() if len(s) else None)
+    # few texts are held in words at a time
+    for at in range(0, len(texts), 256):
+        for s in shingle_sets(texts.slice(at, 256).to_pylist()):
+            n.append(len(s))
+            cls.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None)
+            regs.append(registers(s).tobytes() if len(s) else None)
     return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(regs, pa.binary())], names=["n", "cls", "regs"])
 
 
