@@ -116,7 +116,9 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     def ids_of(texts: pa.Array) -> pa.Array:
         if path not in _ENCODERS:
             _ENCODERS[path] = WordEncoder(path, width)
-        return pa.array(_ENCODERS[path].encode(texts.to_pylist()), pa.binary())
+        encoder = _ENCODERS[path]
+        steps = range(0, len(texts), encoder.step)
+        return pa.array([ids for at in steps for ids in encoder.encode(texts.slice(at, encoder.step).to_pylist())], pa.binary())
 
     ids = docs.select(
         F.monotonically_increasing_id().alias("row"),
