@@ -161,7 +161,7 @@ def drop_detection(fact: DataFrame, scored: DataFrame, pct: float = -20.0, value
     per_customer = known.groupBy(CUSTOMER, STATE, month_key(PURCHASED).alias("year_month")).agg(
         money_total(fact).alias("paid"), count_rows(fact).alias("rows")
     )
-    worth = (money(value) * F.col("rows").cast("decimal(15,0)")).alias("worth")
+    worth = (F.col(value).cast("decimal(22,6)") * F.col("rows").cast("decimal(15,0)")).alias("worth")
     joined = per_customer.join(scored.select(CUSTOMER, value), CUSTOMER).select(STATE, "year_month", "paid", worth)
     totals = joined.groupBy(STATE, "year_month").agg(
         from_cents(F.sum("paid")).alias("revenue"), F.coalesce(F.sum("worth"), F.lit(0)).cast("double").alias("cltv")

@@ -125,13 +125,26 @@ def _mean_loss(df: DataFrame, cols: Sequence[str], loglik: Callable, penalizer:
     return evaluate
 
 
-def _minimize(loss: Callable, start: np.ndarray, steps: int = 60, tol: float = 1e-7) -> np.ndarray:
-    """Damped Newton descent in log parameters, two passes over the data a step."""
+class Fit(dict):
+    """Parameters by name; ``converged`` tells whether the search reached a minimum, in ``steps``."""
+
+    def __init__(self, names: Sequence[str], values: Sequence[float], converged: bool, steps: int):
+        super().__init__(zip(names, (float(v) for v in values)))
+        self.converged, self.steps = converged, steps
+
+
+def _minimize(
+    loss: Callable, start: np.ndarray, steps: int = 60, tol: float = 1e-7, flat: float = 1e-3
+) -> tuple[np.ndarray, bool, int]:
+    """Damped Newton descent in log parameters, two passes over the data a step.
+
+    Converged: a step gains less than ``tol``, or none gains and no slope exceeds ``flat``.
+    """
     d, h = len(start), 1e-3
     eye = np.eye(d) * h
     pairs = [(i, j) for i in range(d) for j in range(i + 1, d)]
-    theta = np.log(start)
-    for _ in range(steps):
+    theta, converged, taken = np.log(start), False, 0
+    for taken in range(1, steps + 1):
         around = [theta, *(theta + e for e in eye), *(theta - e for e in eye)]
         around += [theta + a * eye[i] + b * eye[j] for i, j in pairs for a, b in product((1, -1), (1, -1))]
         f = loss(np.exp(around))
@@ -152,12 +165,14 @@ def _minimize(loss: Callable, start: np.ndarray, steps: int = 60, tol: float = 1
         g = loss(np.exp(candidates))
         best = int(np.argmin(g))
         if not g[best] < f[0]:
+            converged = bool(np.abs(grad).max() < flat)
             break
         gain = f[0] - g[best]
         theta = candidates[best]
         if gain < tol * max(1.0, abs(g[best])):
+            converged = True
             break
-    return np.exp(theta)
+    return np.exp(theta), converged, taken
 
 
 def _best_start(loss: Callable, grid: Sequence[Sequence[float]]) -> np.ndarray:
@@ -165,7 +180,7 @@ def _best_start(loss: Callable, grid: Sequence[Sequence[float]]) -> np.ndarray:
     return starts[int(np.argmin(loss(starts)))]
 
 
-def fit_pareto_nbd(summary: DataFrame, penalizer: float = 1.0) -> dict[str, float]:
+def fit_pareto_nbd(summary: DataFrame, penalizer: float = 1.0) -> Fit:
     """Fit r, alpha, s, beta; customers with equal histories are folded first."""
     folded = summary.groupBy("frequency", "recency", "T").agg(F.count(F.lit(1)).alias("n"))
     folded = materialize(folded, "histories")
@@ -181,13 +196,13 @@ def fit_pareto_nbd(summary: DataFrame, penalizer: float = 1.0) -> dict[str, floa
     )
     loss = _mean_loss(scaled, ("frequency", "recency", "T"), pareto_nbd_loglik, penalizer)
     start = _best_start(loss, [(0.3, 1.0, 3.0), (0.3, 1.0, 3.0), (0.1, 0.5, 1.5), (0.3, 1.0, 3.0)])
-    params = dict(zip(PARETO_NBD, (float(v) for v in _minimize(loss, start))))
+    params = Fit(PARETO_NBD, *_minimize(loss, start))
     params["alpha"] /= scale
     params["beta"] /= scale
     return params
 
 
-def fit_gamma_gamma(summary: DataFrame, penalizer: float = 0.1) -> dict[str, float]:
+def fit_gamma_gamma(summary: DataFrame, penalizer: float = 0.1) -> Fit:
     """Fit p, q, v on repeat customers with a positive mean spend."""
     kept = summary.where((F.col("frequency") > 0) & (F.col("monetary_value") > 0))
     folded = kept.groupBy(
@@ -196,7 +211,7 @@ def fit_gamma_gamma(summary: DataFrame, penalizer: float = 0.1) -> dict[str, flo
     folded = materialize(folded, "spend")
     loss = _mean_loss(folded, ("frequency", "monetary_value"), gamma_gamma_loglik, penalizer)
     start = _best_start(loss, [(0.5, 2.0, 6.0), (0.5, 2.0, 6.0), (0.5, 3.0, 20.0)])
-    return dict(zip(GAMMA_GAMMA, (float(v) for v in _minimize(loss, start))))
+    return Fit(GAMMA_GAMMA, *_minimize(loss, start))
 
 
 def expected_purchases(x, tx, t, horizon: float, params: Sequence[float]) -> np.ndarray:

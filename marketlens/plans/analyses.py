@@ -1,7 +1,8 @@
 """Analyses over one set of retail tables.
 
 Each method reads only the columns and builds only the joins that its answer
-needs, so the facts are made per question rather than once for all.
+needs. An answer that looks at the orders twice writes them once
+(``written_orders``) and hands them on.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import CATEGORY
+from ..functions.columns import CATEGORY, ORDER
 from ..functions.staging import materialize
 from ..operators import basket, churn, cltv, geo, lifetime_model, reviews, rfm
 from ..operators.cleaning import clean_tables
@@ -32,6 +33,10 @@ class Retail:
         """Collapsed fact: one row per order and payment, split by item columns."""
         return order_fact(self.tables, (*ORDER_COLUMNS, *extra), complete_items=complete_items)
 
+    def written_orders(self, *extra: str) -> DataFrame:
+        """``orders`` as a written table, for answers that read it more than once."""
+        return materialize(self.orders(*extra), "orders")
+
     def items(self, *columns: str) -> DataFrame:
         """Fact with one row per item and payment."""
         return sales_fact(self.tables, columns)
@@ -47,31 +52,33 @@ class Retail:
 
     # customers
 
-    def rfm(self, rule: str = "all", precedence: str = "first") -> DataFrame:
+    def rfm(self, rule: str = "all", precedence: str = "first", orders: DataFrame | None = None) -> DataFrame:
         """Scored customers with group and behaviour segment."""
-        scored = rfm.rfm_scores(rfm.rfm_base(self.orders()))
+        scored = rfm.rfm_scores(rfm.rfm_base(self.orders() if orders is None else orders))
         return rfm.behavior_segment(rfm.customer_group(scored, rule), precedence)
 
     def rfm_summary(self) -> DataFrame:
         return rfm.segment_summary(self.rfm())
 
-    def cltv(self) -> DataFrame:
+    def cltv(self, orders: DataFrame | None = None) -> DataFrame:
         """Customer values with both segmentations."""
-        return cltv.segment_cltv(cltv.cltv_basic(self.orders()))
+        return cltv.segment_cltv(cltv.cltv_basic(self.orders() if orders is None else orders))
 
     def rfm_cltv(self) -> DataFrame:
-        return cltv.rfm_cltv(self.rfm(), self.cltv())
+        rows = self.written_orders()
+        return cltv.rfm_cltv(self.rfm(orders=rows), self.cltv(rows))
 
-    def repeat_summary(self, cap: int | None = 365, positive: bool = True) -> DataFrame:
+    def repeat_summary(self, cap: int | None = 365, positive: bool = True, orders: DataFrame | None = None) -> DataFrame:
         """Filtered model input: repeat customers."""
-        return cltv.rft_filter(cltv.rft_summary(self.orders()), cap=cap, positive=positive)
+        return cltv.rft_filter(cltv.rft_summary(self.orders() if orders is None else orders), cap=cap, positive=positive)
 
-    def modelled_cltv(self, horizon: float = 365.0, cap: int | None = 365) -> DataFrame:
-        return lifetime_model.model_cltv(self.repeat_summary(cap), horizon)
+    def modelled_cltv(self, horizon: float = 365.0, cap: int | None = 365, orders: DataFrame | None = None) -> DataFrame:
+        return lifetime_model.model_cltv(self.repeat_summary(cap, orders=orders), horizon)
 
     def churn(self) -> DataFrame:
         """Holdout data set with the encoded value segment."""
-        data = materialize(churn.churn_dataset(churn.churn_features(self.orders()), self.cltv()), "churn")
+        rows = self.written_orders()
+        data = materialize(churn.churn_dataset(churn.churn_features(rows), self.cltv(rows)), "churn")
         return churn.label_encode(data, cltv.SEGMENT, "cltv_segment_encoded")
 
     # baskets
@@ -93,8 +100,14 @@ class Retail:
 
     # reviews and places
 
-    def review_fact(self) -> DataFrame:
-        return reviews.review_fact(self.items(*reviews.REVIEW_COLUMNS), self.tables.order_reviews)
+    def sold_categories(self) -> DataFrame:
+        """Every product that an order holds, with its category."""
+        t = self.tables
+        sold = t.order_items.join(t.orders.select(ORDER), ORDER, "left_semi").select("product_id").distinct()
+        return sold.join(t.products.select("product_id", CATEGORY), "product_id")
+
+    def review_fact(self, *extra: str) -> DataFrame:
+        return reviews.review_fact(self.items(*reviews.REVIEW_COLUMNS, *extra), self.tables.order_reviews)
 
     def geo_months(self) -> DataFrame:
         fact = self.orders("customer_zip_code_prefix", "customer_state", "customer_city")

@@ -42,6 +42,13 @@ QUERIES: dict[str, Query] = {}
 SEGMENT_OF_BASKETS = "Medium CLTV"
 STATES = ["NATION_3", "NATION_7", "NATION_12"]
 GAMMA = {"p": 6.0, "q": 4.0, "v": 15000.0}
+#: With q below 1 the population's mean is negative, and so are some customers' values.
+ODD_GAMMA = {"p": 0.048, "q": 0.5, "v": 15000.0}
+TRAINERS = {
+    "Random Forest": churn_models.train_rf,
+    "Logistic Regression": churn_models.train_lr,
+    "Gradient Boosting": churn_models.train_gbt,
+}
 
 
 def query(fn: Query) -> Query:
@@ -152,7 +159,7 @@ def a11_slice_by(spark, d):
 
 @query
 def a12_facet_values(spark, d):
-    return filters.facet_values(Retail.from_star(spark, d).items(CATEGORY), CATEGORY)
+    return filters.facet_values(Retail.from_star(spark, d).sold_categories(), CATEGORY)
 
 
 @query
@@ -183,6 +190,15 @@ def a16_export_csv(spark, d):
     return spark.read.schema(table.schema).option("header", True).csv(path)
 
 
+@query
+def a16_export_cltv_csv(spark, d):
+    """The table of customer values, written as CSV and read back."""
+    table = Retail.from_star(spark, d).cltv()
+    path = scratch_path(spark, "export")
+    export_csv(table, path)
+    return spark.read.schema(table.schema).option("header", True).csv(path)
+
+
 # B: RFM
 
 
@@ -281,7 +297,8 @@ def b13_revenue_by_segment(spark, d):
 @query
 def b14_segment_orders_by_month(spark, d):
     shop = Retail.from_star(spark, d)
-    return rfm.segment_orders_by_month(shop.orders(), shop.rfm())
+    rows = shop.written_orders()
+    return rfm.segment_orders_by_month(rows, shop.rfm(orders=rows))
 
 
 @query
@@ -355,7 +372,7 @@ def c09_box_stats(spark, d):
 
 
 def _histogram(spark, d, col):
-    table = cltv.histogram(materialize(Retail.from_star(spark, d).repeat_summary(cap=None)), col)
+    table = cltv.histogram(materialize(Retail.from_star(spark, d).repeat_summary()), col)
     return table.withColumns(r6("bin_start"))
 
 
@@ -374,29 +391,31 @@ def c11_score_vs_cltv(spark, d):
     return cltv.score_vs_cltv(Retail.from_star(spark, d).rfm_cltv()).withColumns(r6("min_cltv", "mean_cltv", "max_cltv"))
 
 
-def _stand_in(shop: Retail) -> DataFrame:
+def _stand_in(shop: Retail, orders: DataFrame | None = None, gamma: dict[str, float] = GAMMA) -> DataFrame:
     """Repeat customers scored with stated parameters instead of fitted ones."""
-    scored = lifetime_model.predict_value(shop.repeat_summary(), GAMMA)
+    scored = lifetime_model.predict_value(shop.repeat_summary(orders=orders), gamma)
     scored = scored.withColumn("predicted_purchases", F.col("frequency") / (F.col("T") + 365.0) * 365.0)
     return lifetime_model.predicted_cltv(scored)
 
 
-def _tertiles(shop: Retail) -> DataFrame:
-    table = materialize(_stand_in(shop), "scored")
+def _tertiles(shop: Retail, orders: DataFrame | None = None) -> DataFrame:
+    table = materialize(_stand_in(shop, orders), "scored")
     return cltv.cut_quantile(table, "predicted_cltv", "cltv_segment", (1 / 3, 2 / 3), ("Low", "Mid", "High"))
 
 
 @query
 def c12_revenue_comparison(spark, d):
     shop = Retail.from_star(spark, d)
-    table = cltv.revenue_comparison(shop.orders(), _tertiles(shop))
+    rows = shop.written_orders()
+    table = cltv.revenue_comparison(rows, _tertiles(shop, rows))
     return table.withColumn("predicted_cltv", F.round("predicted_cltv", 1))
 
 
 @query
 def c12_revenue_comparison_model(spark, d):
     shop = Retail.from_star(spark, d)
-    return cltv.revenue_comparison(shop.orders(), shop.modelled_cltv())
+    rows = shop.written_orders()
+    return cltv.revenue_comparison(rows, shop.modelled_cltv(orders=rows))
 
 
 @query
@@ -413,13 +432,15 @@ def c14_cohort_summary(spark, d):
 @query
 def c15_cltv_by_quarter(spark, d):
     shop = Retail.from_star(spark, d)
-    return cltv.cltv_by_quarter(shop.orders(), shop.cltv()).withColumns(r6("cltv_normalized"))
+    rows = shop.written_orders()
+    return cltv.cltv_by_quarter(rows, shop.cltv(rows)).withColumns(r6("cltv_normalized"))
 
 
 @query
 def c15_cltv_by_first_quarter(spark, d):
     shop = Retail.from_star(spark, d)
-    return cltv.cltv_by_quarter(shop.orders(), shop.cltv(), "first").withColumns(r6("cltv_normalized"))
+    rows = shop.written_orders()
+    return cltv.cltv_by_quarter(rows, shop.cltv(rows), "first").withColumns(r6("cltv_normalized"))
 
 
 @query
@@ -446,13 +467,14 @@ def d03_bounds(spark, d):
     return cltv.bounds(Retail.from_star(spark, d).repeat_summary())
 
 
-def _params(spark, params: dict[str, float]) -> DataFrame:
-    return spark.createDataFrame([tuple(params.values())], ", ".join(f"{k} double" for k in params))
+def _params(spark, fit: lifetime_model.Fit) -> DataFrame:
+    columns = [*(f"{k} double" for k in fit), "converged boolean", "steps int"]
+    return spark.createDataFrame([(*fit.values(), fit.converged, fit.steps)], ", ".join(columns))
 
 
 @query
 def d04_fit_pareto_nbd(spark, d):
-    return _params(spark, lifetime_model.fit_pareto_nbd(Retail.from_star(spark, d).repeat_summary(cap=None)))
+    return _params(spark, lifetime_model.fit_pareto_nbd(Retail.from_star(spark, d).repeat_summary()))
 
 
 @query
@@ -462,7 +484,7 @@ def d05_fit_gamma_gamma(spark, d):
 
 @query
 def d06_predict_purchases(spark, d):
-    kept = materialize(Retail.from_star(spark, d).repeat_summary(cap=None), "summary")
+    kept = materialize(Retail.from_star(spark, d).repeat_summary(), "summary")
     return lifetime_model.predict_purchases(kept, lifetime_model.fit_pareto_nbd(kept))
 
 
@@ -479,7 +501,8 @@ def d08_predicted_cltv(spark, d):
 
 @query
 def d08_anomalies(spark, d):
-    return lifetime_model.anomalies(_stand_in(Retail.from_star(spark, d))).select(CUSTOMER, "predicted_cltv")
+    scored = _stand_in(Retail.from_star(spark, d), gamma=ODD_GAMMA)
+    return lifetime_model.anomalies(scored).select(CUSTOMER, F.round("predicted_cltv", 4).alias("predicted_cltv"))
 
 
 @query
@@ -501,7 +524,8 @@ def d10_pareto_segment(spark, d):
 @query
 def d11_regression_error(spark, d):
     shop = Retail.from_star(spark, d)
-    both = _stand_in(shop).join(shop.cltv().select(CUSTOMER, "better_cltv"), CUSTOMER)
+    rows = shop.written_orders()
+    both = _stand_in(shop, rows).join(shop.cltv(rows).select(CUSTOMER, "better_cltv"), CUSTOMER)
     return cltv.regression_error(both, "better_cltv", "predicted_cltv").select(
         F.round("mae", 3).alias("mae"), F.round("rmse", 3).alias("rmse")
     )
@@ -538,14 +562,16 @@ def e05_customer_features(spark, d):
 @query
 def e06_churn_dataset(spark, d):
     shop = Retail.from_star(spark, d)
-    data = churn.churn_dataset(churn.churn_features(shop.orders()), shop.cltv())
+    rows = shop.written_orders()
+    data = churn.churn_dataset(churn.churn_features(rows), shop.cltv(rows))
     return data.select(CUSTOMER, "total_orders", "total_revenue", "churned", cltv.SEGMENT)
 
 
 @query
 def e07_churn_cltv_dataset(spark, d):
     shop = Retail.from_star(spark, d)
-    data = churn.churn_cltv_dataset(churn.churn_label(shop.orders(), "inactive"), _tertiles(shop))
+    rows = shop.written_orders()
+    data = churn.churn_cltv_dataset(churn.churn_label(rows, "inactive"), _tertiles(shop, rows))
     return data.select(CUSTOMER, "churned", "frequency", "recency", "T", F.round("predicted_cltv", 4).alias("predicted_cltv"), "cltv_segment")
 
 
@@ -610,7 +636,7 @@ def e14_logistic_regression(spark, d):
 @query
 def e15_boosted_trees(spark, d):
     _, train, test = _split_data(spark, d)
-    return churn_models.score(churn_models.train_gbt(train, rounds=20, depth=4), test).select(*_SCORED)
+    return churn_models.score(churn_models.train_gbt(train), test).select(*_SCORED)
 
 
 @query
@@ -621,8 +647,8 @@ def e16_class_weights(spark, d):
 @query
 def e17_cross_val(spark, d):
     data, _, _ = _split_data(spark, d)
-    folds = churn_models.cross_val(churn_models.train_lr, data)
-    return spark.createDataFrame(list(enumerate(folds)), "fold int, accuracy double")
+    rows = [(name, i, a) for name, fit in TRAINERS.items() for i, a in enumerate(churn_models.cross_val(fit, data))]
+    return spark.createDataFrame(rows, "model string, fold int, accuracy double")
 
 
 @query
@@ -674,17 +700,13 @@ def e22_importances(spark, d):
 @query
 def e23_compare_models(spark, d):
     data, train, test = _split_data(spark, d)
-    trainers = {
-        "Random Forest": lambda df: churn_models.train_rf(df, trees=20),
-        "Logistic Regression": lambda df: churn_models.train_lr(df, iterations=50),
-    }
     results = [
         churn_models.ModelResult(
             name,
             materialize(churn_models.score(fit(train), test), "scored"),
-            sum(acc := churn_models.cross_val(fit, data, folds=2)) / len(acc),
+            sum(acc := churn_models.cross_val(fit, data)) / len(acc),
         )
-        for name, fit in trainers.items()
+        for name, fit in TRAINERS.items()
     ]
     return churn_models.compare_models(results)
 
@@ -787,6 +809,12 @@ def f12_dead_ends(spark, d):
     return basket.dead_ends(b, strong)
 
 
+@query
+def f12_dead_ends_of_all_rules(spark, d):
+    rules, b = Retail.from_star(spark, d).rules(SEGMENT_OF_BASKETS)
+    return basket.dead_ends(b, rules)
+
+
 @query
 def f13_rule_edges(spark, d):
     return basket.rule_edges(_rules(spark, d))
@@ -814,7 +842,8 @@ def f15_uplift(spark, d):
 @query
 def g01_with_time_keys(spark, d):
     shop = Retail.from_star(spark, d)
-    return timeseries.with_time_keys(shop.orders(), shop.cltv()).select(ORDER, "order_month", "month", cltv.SEGMENT)
+    rows = shop.written_orders()
+    return timeseries.with_time_keys(rows, shop.cltv(rows)).select(ORDER, "order_month", "month", cltv.SEGMENT)
 
 
 @query
@@ -874,7 +903,7 @@ def h01_sentiment(spark, d):
 
 @query
 def h02_review_fact(spark, d):
-    rf = Retail.from_star(spark, d).review_fact()
+    rf = Retail.from_star(spark, d).review_fact(CATEGORY)
     return rf.select(ORDER, "seller_id", CATEGORY, "review_score", "delivery_days", "low_score", "delayed", "freight_ratio")
 
 
@@ -885,7 +914,7 @@ def h03_rating_stats_seller(spark, d):
 
 @query
 def h03_rating_stats_category(spark, d):
-    return reviews.rating_stats(Retail.from_star(spark, d).review_fact(), CATEGORY).withColumns(r6("rating_std"))
+    return reviews.rating_stats(Retail.from_star(spark, d).review_fact(CATEGORY), CATEGORY).withColumns(r6("rating_std"))
 
 
 @query
@@ -896,7 +925,7 @@ def h04_top_rated(spark, d):
 
 @query
 def h04_worst_rated(spark, d):
-    stats = reviews.rating_stats(Retail.from_star(spark, d).review_fact(), CATEGORY)
+    stats = reviews.rating_stats(Retail.from_star(spark, d).review_fact(CATEGORY), CATEGORY)
     return reviews.worst_rated(stats, CATEGORY).select(CATEGORY, "num_reviews", "avg_rating")
 
 
@@ -910,6 +939,11 @@ def h06_slow_sellers(spark, d):
     return reviews.slow_sellers(Retail.from_star(spark, d).review_fact(), max_rating=3.0)
 
 
+@query
+def h06_slow_sellers_rated_two(spark, d):
+    return reviews.slow_sellers(Retail.from_star(spark, d).review_fact())
+
+
 @query
 def h07_delay_impact(spark, d):
     return reviews.delay_impact(Retail.from_star(spark, d).review_fact())
@@ -917,7 +951,7 @@ def h07_delay_impact(spark, d):
 
 @query
 def h08_freight_vs_rating(spark, d):
-    return reviews.freight_vs_rating(Retail.from_star(spark, d).review_fact()).withColumns(r6("avg_freight_ratio"))
+    return reviews.freight_vs_rating(Retail.from_star(spark, d).review_fact(CATEGORY)).withColumns(r6("avg_freight_ratio"))
 
 
 # I: geography
@@ -926,7 +960,8 @@ def h08_freight_vs_rating(spark, d):
 @query
 def i01_cltv_geo(spark, d):
     shop = Retail.from_star(spark, d)
-    rows = geo.cltv_geo(shop.orders(STATE), shop.cltv())
+    orders = shop.written_orders(STATE)
+    rows = geo.cltv_geo(orders, shop.cltv(orders))
     return rows.select(ORDER, CUSTOMER, STATE, "better_cltv", "fact_rows")
 
 
@@ -1038,26 +1073,30 @@ def i15_state_month_pivot(spark, d):
 @query
 def i16_segments_by_state(spark, d):
     shop = Retail.from_star(spark, d)
-    return geo.segments_by_state(shop.orders(STATE), shop.cltv())
+    rows = shop.written_orders(STATE)
+    return geo.segments_by_state(rows, shop.cltv(rows))
 
 
 @query
 def i16_segment_state_pivot(spark, d):
     shop = Retail.from_star(spark, d)
-    return geo.segment_state_pivot(geo.segments_by_state(shop.orders(STATE), shop.cltv()), STATES)
+    rows = shop.written_orders(STATE)
+    return geo.segment_state_pivot(geo.segments_by_state(rows, shop.cltv(rows)), STATES)
 
 
 @query
 def i17_drop_detection(spark, d):
     shop = Retail.from_star(spark, d)
-    table = geo.drop_detection(shop.orders(STATE), shop.cltv(), value="better_cltv")
-    return table.withColumn("cltv", F.round("cltv", 0))
+    rows = shop.written_orders(STATE)
+    table = geo.drop_detection(rows, shop.cltv(rows), value="better_cltv")
+    return table.withColumn("cltv", F.round(F.col("cltv").cast("decimal(28,6)"), 2).cast("double"))
 
 
 @query
 def i17_flagged_drops(spark, d):
     shop = Retail.from_star(spark, d)
-    table = geo.drop_detection(shop.orders(STATE), shop.cltv(), value="better_cltv").where("drop_flag")
+    rows = shop.written_orders(STATE)
+    table = geo.drop_detection(rows, shop.cltv(rows), value="better_cltv").where("drop_flag")
     return table.select(STATE, "year_month", "revenue", "pct_change")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -102,20 +103,30 @@ class RetailTables:
         return {name: df for name, df in found.items() if df is not None}
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "csv") -> DataFrame:
+#: Tables whose CSV fields may hold line breaks. Their files cannot be split.
+MULTI_LINE = ("order_reviews",)
+
+
+def read_table(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "csv", multi_line: bool = False) -> DataFrame:
     """One table with its stated schema; columns are matched by name."""
     if fmt == "csv":
         reader = spark.read.schema(schema).option("header", True).option("enforceSchema", False)
-        return reader.option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)
+        return reader.option("quote", '"').option("escape", '"').option("multiLine", multi_line).csv(path)
     if fmt == "parquet":
         return spark.read.parquet(path)
     raise ValueError(f"unknown table format: {fmt}")
 
 
-def load_tables(spark: SparkSession, folder: str, fmt: str = "csv", names: dict[str, str] | None = None) -> RetailTables:
+def load_tables(
+    spark: SparkSession,
+    folder: str,
+    fmt: str = "csv",
+    names: dict[str, str] | None = None,
+    multi_line: Sequence[str] = MULTI_LINE,
+) -> RetailTables:
     """Read every table from ``folder``; ``names`` maps tables to file names."""
     names = names or {name: f"{name}.{fmt}" for name in SCHEMAS}
-    frames = {name: read_table(spark, f"{folder.rstrip('/')}/{file}", SCHEMAS[name], fmt) for name, file in names.items()}
+    frames = {name: read_table(spark, f"{folder.rstrip('/')}/{file}", SCHEMAS[name], fmt, name in multi_line) for name, file in names.items()}
     return RetailTables(**frames)
 
 

@@ -240,7 +240,7 @@ def test_baskets(market):
 
 
 def test_review_fact(market):
-    rf = market.review_fact()
+    rf = market.review_fact(CATEGORY)
     got = rows_of(rf.select(ORDER, "seller_id", "review_id", "delivery_days", "low_score", "delayed"))
     assert got == [
         ("o1", "s1", "r1", 3, False, False), ("o1", "s1", "r1", 3, False, False),

@@ -58,6 +58,7 @@ def test_pareto_nbd_recovers_planted_parameters(spark):
     rows = simulate(6000, planted, 60, 11)
     df = spark.createDataFrame(rows, f"{CUSTOMER} bigint, frequency bigint, recency double, T double")
     got = lm.fit_pareto_nbd(df, penalizer=0.0)
+    assert got.converged
     assert got["r"] / got["alpha"] == pytest.approx(planted[0] / planted[1], rel=0.15)
     assert got["s"] / got["beta"] == pytest.approx(planted[2] / planted[3], rel=0.4)
     # no worse than the truth on its own data
@@ -96,6 +97,7 @@ def test_gamma_gamma_recovers_planted_parameters(spark):
     m = rng.gamma(p * x, 1 / (nu * x))
     df = spark.createDataFrame(list(zip(range(n), x.tolist(), m.tolist())), f"{CUSTOMER} bigint, frequency bigint, monetary_value double")
     got = lm.fit_gamma_gamma(df, penalizer=0.0)
+    assert got.converged
     assert got["p"] * got["v"] / (got["q"] - 1) == pytest.approx(p * v / (q - 1), rel=0.1)
     assert got["q"] == pytest.approx(q, rel=0.25)
     pulled = lm.predict_value(df, got).toPandas()
@@ -111,6 +113,13 @@ def test_fit_does_not_depend_on_partitions(spark):
     assert list(a.values()) == pytest.approx(list(b.values()), rel=1e-3)
 
 
+def test_a_search_that_cannot_go_on_says_so():
+    _, converged, _ = lm._minimize(lambda sets: np.full(len(sets), np.inf), np.array([1.0, 1.0]))
+    assert not converged
+    _, converged, steps = lm._minimize(lambda sets: (np.log(sets) ** 2).sum(axis=1), np.array([3.0, 0.2]))
+    assert converged and steps < 60
+
+
 # churn models
 
 FEATURES = ("f1", "f2")

@@ -60,3 +60,22 @@ def test_dimension_joins_are_optional(star):
     assert "part" in scans(plan_of(star.items(CATEGORY)))
     assert {"customer", "nation"} <= set(scans(plan_of(star.items(STATE, CITY))))
     assert "customer" not in scans(plan_of(star.items(CUSTOMER, PURCHASED)))
+
+
+def test_reviews_join_products_only_for_the_category(star):
+    assert "part" not in scans(plan_of(star.review_fact()))
+    assert "part" in scans(plan_of(star.review_fact(CATEGORY)))
+
+
+def test_facet_values_need_no_order_columns(star):
+    read = scans(plan_of(filters.facet_values(star.sold_categories(), CATEGORY)))
+    assert set(re.findall(r"(\w+):", read["orders"])) == {"o_orderkey"}
+
+
+def test_an_answer_builds_the_orders_once(star, monkeypatch):
+    built, orders = [], type(star).orders
+    monkeypatch.setattr(type(star), "orders", lambda self, *a, **k: built.append(a) or orders(self, *a, **k))
+    star.rfm_cltv()
+    assert len(built) == 1
+    star.churn()
+    assert len(built) == 2
