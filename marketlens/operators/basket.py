@@ -11,6 +11,8 @@ from ..functions.skew import skew_join
 from .cltv import SEGMENT
 
 _SEP = "\u001f"
+#: Itemsets longer than this are an error, as each of k items has 2^k - 2 splits.
+LONGEST_SPLIT = 24
 
 
 def baskets(fact: DataFrame) -> DataFrame:
@@ -58,17 +60,24 @@ def _key(items: Column | str) -> Column:
     return F.concat_ws(_SEP, items)
 
 
+def _masks(items: str) -> Column:
+    """A bit pattern for every split of the items into two parts that are not empty."""
+    too_long = F.raise_error(F.lit(f"an itemset of more than {LONGEST_SPLIT} items has too many splits: raise the support"))
+    splits = F.expr(f"sequence(1L, shiftleft(1L, size({items})) - 2L)")
+    return F.when(F.size(items) <= LONGEST_SPLIT, splits).otherwise(too_long)
+
+
 def association_rules(itemsets: DataFrame, n_baskets: int, min_lift: float = 1.0) -> DataFrame:
     """Every split of every itemset into antecedent and consequent.
 
-    Two equi-joins look up the supports of both sides. ``itemsets`` is read
+    An itemset of more than ``LONGEST_SPLIT`` items raises an error. Two equi-joins look up the supports of both sides. ``itemsets`` is read
     three times and should be a written table.
     """
     n = F.lit(float(n_baskets))
     by_key = itemsets.select(_key("items").alias("k"), F.col("freq").alias("f"))
     splits = (
         itemsets.where(F.size("items") > 1)
-        .withColumn("mask", F.expr("explode(sequence(1L, shiftleft(1L, size(items)) - 2L))"))
+        .withColumn("mask", F.explode(_masks("items")))
         .select(
             F.expr("filter(items, (x, i) -> (shiftright(mask, i) & 1L) = 1L)").alias("antecedents"),
             F.expr("filter(items, (x, i) -> (shiftright(mask, i) & 1L) = 0L)").alias("consequents"),
@@ -127,8 +136,12 @@ def rule_revenue(rules: DataFrame, patterns: DataFrame) -> DataFrame:
 
     ``rules`` and ``patterns`` are read twice and should be written tables.
     """
-    sets = rules.select(F.col("antecedents").alias("set_items"))
-    found = containment_join(sets, patterns).groupBy("set_items").agg(from_cents(F.sum("revenue_cents")).alias("r"))
+    # single items are added up without a join: a popular one stands in most patterns
+    single = patterns.select(F.explode("items").alias("item"), "revenue_cents").groupBy(F.array("item").alias("set_items"))
+    sets = rules.where(F.size("antecedents") > 1).select(F.col("antecedents").alias("set_items"))
+    several = containment_join(sets, patterns).groupBy("set_items")
+    cents = F.sum("revenue_cents").alias("cents")
+    found = single.agg(cents).unionByName(several.agg(cents)).select("set_items", from_cents(F.col("cents")).alias("r"))
     joined = rules.join(found, F.col("antecedents") == F.col("set_items"), "left").drop("set_items")
     return joined.withColumn("estimated_revenue", F.coalesce("r", F.lit(0.0))).drop("r")
 

@@ -61,6 +61,21 @@ _part(
     "fact",
 )
 
+_part(
+    "payments",
+    """SELECT o_orderkey AS pay_order, (cents // n + CASE WHEN k = 1 THEN cents % n ELSE 0 END) / 100.0::DOUBLE AS amount FROM (
+    SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS cents, o_orderkey % 3 + 1 AS n,
+    unnest(range(1, o_orderkey % 3 + 2)) AS k FROM orders)""",
+)
+_part(
+    "paid_fact",
+    """SELECT f.* REPLACE (amount AS payment_value, CAST(amount AS DECIMAL(18,2)) AS pay)
+    FROM fact f JOIN payments ON order_id = pay_order""",
+    "fact",
+    "payments",
+)
+_part("paid_rfm_base", _PARTS["rfm_base"][1].replace("FROM fact", "FROM paid_fact"), "paid_fact")
+
 
 def _scored(base: str) -> str:
     return f"""SELECT b.*,
@@ -306,13 +321,17 @@ _part(
 
 # A
 
-_twin(
-    "a01_load_tables",
-    """SELECT 'orders' AS table_name, count(*) AS row_count FROM orders UNION ALL SELECT 'customers', count(*) FROM customer
+_SIZES = """SELECT 'orders' AS table_name, count(*) AS row_count FROM orders UNION ALL SELECT 'customers', count(*) FROM customer
     UNION ALL SELECT 'order_items', count(*) FROM items UNION ALL SELECT 'order_reviews', count(*) FROM orders
     UNION ALL SELECT 'products', count(*) FROM part UNION ALL SELECT 'geolocation', count(*) FROM supplier
-    UNION ALL SELECT 'sellers', count(*) FROM supplier""",
+    UNION ALL SELECT 'sellers', count(*) FROM supplier"""
+_twin("a01_load_tables", _SIZES, "items")
+_twin(
+    "a01_load_csv_tables",
+    f"""{_SIZES} UNION ALL SELECT 'order_payments', count(*) FROM payments
+    UNION ALL SELECT 'category_translation', count(DISTINCT p_name) FROM part""",
     "items",
+    "payments",
 )
 _twin(
     "a02_coerce_ts",
@@ -354,6 +373,12 @@ _twin(
     n_name AS customer_state, CAST(1 AS BIGINT) AS fact_rows
     FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey""",
 )
+_twin(
+    "a07_sales_fact_payments",
+    f"SELECT {_FACT_COLUMNS}, product_id, seller_id, price, freight_value, category AS product_category FROM paid_fact",
+    "paid_fact",
+)
+ORACLE["a07_sales_fact_payments_per_order"] = ORACLE["a07_sales_fact_per_order"]
 _twin(
     "a08_complete_rows",
     """SELECT state AS customer_state, city AS customer_city, category AS product_category, count(*) AS row_count FROM fact
@@ -419,6 +444,13 @@ _twin(
     "SELECT b.* REPLACE (n AS Frequency) FROM rfm_base b JOIN (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1) ON k = customer_unique_id",
     "rfm_base",
 )
+_twin("b01_rfm_base_payments", "SELECT * FROM paid_rfm_base", "paid_rfm_base")
+_twin(
+    "b01_rfm_base_payments_per_order",
+    f"""SELECT o_custkey AS customer_unique_id,
+    {_days('max(o_orderdate)', '(SELECT max(o_orderdate) FROM orders) + INTERVAL 1 DAY')} AS Recency, count(*) AS Frequency,
+    CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS Monetary FROM orders WHERE o_custkey IS NOT NULL GROUP BY 1""",
+)
 _twin("b02_rfm_scores", "SELECT customer_unique_id, R, F, M FROM scores", "scores")
 _twin("b03_rfm_code", "SELECT customer_unique_id, RFM_Score FROM rfm", "rfm")
 _GROUP_CODE = "CASE WHEN CAST(RFM_Score AS INTEGER) >= 444 THEN 'High-value' WHEN CAST(RFM_Score AS INTEGER) >= 222 THEN 'Medium-value' ELSE 'Low-value' END"

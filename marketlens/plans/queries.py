@@ -6,6 +6,7 @@ Every query reads the whole given tables. Names start with the operator's id.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,8 +32,8 @@ from ..operators import (
     rfm,
     timeseries,
 )
-from ..sources.star import read_star
-from ..sources.tables import export_csv
+from ..sources.star import read_star, star_tables, with_payments
+from ..sources.tables import export_csv, export_tables, load_tables
 from .analyses import Retail
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +69,16 @@ def a01_load_tables(spark, d):
     return Retail.from_star(spark, d).table_sizes()
 
 
+@query
+def a01_load_csv_tables(spark, d):
+    """All nine tables, written as CSV and read back."""
+    tables = with_payments(star_tables(spark, d))
+    products = tables.products.withColumnRenamed("product_category", "product_category_name")
+    folder = scratch_path(spark, "csv_tables")
+    export_tables(replace(tables, products=products), folder)
+    return Retail(load_tables(spark, folder)).table_sizes()
+
+
 @query
 def a02_coerce_ts(spark, d):
     raw = read_star(spark, d, "orders").select(
@@ -133,6 +144,21 @@ def a07_sales_fact_per_order(spark, d):
     return fact.build_sales_fact(Retail.from_star(spark, d).tables, payment_grain="order")
 
 
+def _paid(spark, d) -> Retail:
+    """The shop with payments in a table of their own, one to three per order."""
+    return Retail(with_payments(star_tables(spark, d)))
+
+
+@query
+def a07_sales_fact_payments(spark, d):
+    return fact.build_sales_fact(_paid(spark, d).tables)
+
+
+@query
+def a07_sales_fact_payments_per_order(spark, d):
+    return fact.build_sales_fact(_paid(spark, d).tables, payment_grain="order")
+
+
 @query
 def a08_complete_rows(spark, d):
     rows = filters.complete_rows(Retail.from_star(spark, d).items(STATE, CITY, CATEGORY))
@@ -212,6 +238,16 @@ def b01_rfm_base_orders(spark, d):
     return rfm.rfm_base(Retail.from_star(spark, d).orders(), freq="orders")
 
 
+@query
+def b01_rfm_base_payments(spark, d):
+    return rfm.rfm_base(_paid(spark, d).orders())
+
+
+@query
+def b01_rfm_base_payments_per_order(spark, d):
+    return rfm.rfm_base(fact.order_fact(_paid(spark, d).tables, payment_grain="order"))
+
+
 def _scores(spark, d):
     return rfm.rfm_scores(rfm.rfm_base(Retail.from_star(spark, d).orders()))
 

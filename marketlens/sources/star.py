@@ -8,6 +8,8 @@ to fetch them.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,3 +100,24 @@ def star_tables(spark: SparkSession, folder: str) -> RetailTables:
         geolocation=geolocation,
         sellers=sellers,
     )
+
+
+def with_payments(t: RetailTables) -> RetailTables:
+    """The same tables with one to three payments per order in a table of their own.
+
+    An order has ``order_id % 3 + 1`` payments of equal whole cents; the first
+    takes what is left over. Product categories get a dictionary as well.
+    """
+    number = F.col("order_id") % 3 + 1
+    split = t.orders.select(
+        "order_id", number.alias("n"), F.rint(F.col("payment_value") * 100).cast("bigint").alias("cents")
+    ).withColumn("payment_sequential", F.explode(F.sequence(F.lit(1).cast("bigint"), "n")))
+    rest = F.when(F.col("payment_sequential") == 1, F.col("cents") % F.col("n")).otherwise(0)
+    amount = (F.floor(F.col("cents") / F.col("n")) + rest) / 100.0
+    names = t.products.select(F.col("product_category").alias("product_category_name")).distinct()
+    return replace(
+        t,
+        orders=t.orders.drop("payment_value"),
+        order_payments=split.select("order_id", "payment_sequential", amount.alias("payment_value")),
+        category_translation=names.withColumn("product_category_name_english", F.upper("product_category_name")),
+    )

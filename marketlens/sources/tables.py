@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _S, _D, _I = T.StringType(), T.DoubleType(), T.IntegerType()
@@ -133,3 +134,10 @@ def load_tables(
 def export_csv(df: DataFrame, path: str, mode: str = "error") -> None:
     """Write as CSV with a header: one file per partition, no gathering."""
     df.write.mode(mode).option("header", True).csv(path)
+
+
+def export_tables(tables: RetailTables, folder: str) -> None:
+    """Write the tables as CSV folders with the stated columns; those a table lacks are empty."""
+    for name, df in tables.named().items():
+        cols = [(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in SCHEMAS[name]]
+        export_csv(df.select(*cols), f"{folder.rstrip('/')}/{name}.csv")

@@ -5,7 +5,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from conftest import by_key, rows_of
+from helpers import by_key, rows_of
 from marketlens.functions.staging import materialize
 from marketlens.operators import basket
 
@@ -104,3 +104,10 @@ def test_support_that_just_meets_the_limit_counts(make):
 def test_items_are_cleaned(make):
     b = make([([" B", "b ", "A", None],)], "items array<string>")
     assert basket.clean_items(b).first()["items"] == ["a", "b"]
+
+
+def test_an_itemset_too_long_to_split_is_an_error(make):
+    items = [f"i{k:02}" for k in range(basket.LONGEST_SPLIT + 1)]
+    itemsets = make([(items, 3), (items[:1], 3)], "items array<string>, freq bigint")
+    with pytest.raises(Exception, match="too many splits"):
+        basket.association_rules(itemsets, 3).collect()

@@ -8,7 +8,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from conftest import by_key, rows_of
+from helpers import by_key, rows_of
 from marketlens.functions.columns import CUSTOMER
 from marketlens.functions.staging import materialize
 from marketlens.operators import churn, cltv, profile, rfm

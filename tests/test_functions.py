@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from conftest import rows_of
+from helpers import rows_of
 from marketlens.functions import columns as C
 from marketlens.functions.ordering import global_row_number, running_sum
 from marketlens.functions.quantiles import quantile_table, quantiles

@@ -7,7 +7,7 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import by_key, rows_of
+from helpers import by_key, rows_of
 from marketlens.functions.columns import CATEGORY, CITY, CUSTOMER, ORDER, PAYMENT, PURCHASED, STATE, ZIP
 from marketlens.operators import basket, churn, cltv, fact, filters, geo, profile, reviews, rfm, timeseries
 from marketlens.sources.tables import export_csv, load_tables

@@ -5,7 +5,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from conftest import by_key, rows_of
+from helpers import by_key, rows_of
 from marketlens.operators import churn, metrics
 
 SLOW = settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))

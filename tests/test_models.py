@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from conftest import by_key, rows_of
+from helpers import by_key, rows_of
 from marketlens.functions.columns import CUSTOMER
 from marketlens.functions.staging import materialize
 from marketlens.operators import churn_models, clusters, metrics, timeseries
