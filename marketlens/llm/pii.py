@@ -175,12 +175,12 @@ def disclosing(near: DataFrame, docs: DataFrame, theta: float, min_support: int)
     together = materialize(together, "term_pairs")
     entities = near.groupBy("digest", "entity").agg(F.count(F.lit(1)).alias("times"))
     entities = entities.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text_of()), F.lit(TERM_PATTERN), F.lit(0)))
-    texts = docs.select(F.xxhash64(text_of()).alias("digest"), F.explode(words).alias("term"))
-    # all words are counted before the join: few terms are asked for in a small
-    # corpus and nearly all in a large one
-    holding = texts.groupBy("digest", "term").agg(F.count(F.lit(1)).alias("times"))
-    holding = holding.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM_PATTERN), F.lit(0)))
+    # each distinct text moves once, so its words are added up on the map side; all
+    # are counted before the join: few terms are asked for in a small corpus and
+    # nearly all in a large one
+    texts = docs.select(text_of().alias("text")).groupBy(F.xxhash64("text").alias("digest")).agg(F.first("text").alias("text"))
+    holding = texts.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     total = docs.select(F.xxhash64(text_of()).alias("digest")).distinct().agg(F.count(F.lit(1))).scalar()
     counts = together.join(entities, "entity").join(holding, "term", "left")
     n_term = F.greatest("n_both", F.coalesce("n_term", "n_both"))
