@@ -7,8 +7,9 @@ a hash of their id.
 
 Classes a target does not name form the class "" ("the rest"), so there are at
 most the product of the named classes (plus one each) cells: the cell table is
-bounded by the targets, whatever the size of the corpus. A missing margin
-weight for the rest is what the named weights leave of 1.
+bounded by the targets, whatever the size of the corpus. The rest of a margin
+keeps its own share of the tokens, and named weights divide what it leaves; a
+share that an ``AtMost`` target gives up goes to the rest.
 
 Defined results: null class values belong to the rest; a null text has no
 tokens; a class with a target and no tokens is left out and its weight is shared
@@ -31,7 +32,7 @@ class AtMost(float):
     """A target that is the class' own share of the tokens, but no more than this."""
 
 
-#: Margins of the production mixture; the rest has what is left.
+#: Margins of the production mixture; the rest keeps its own share.
 TARGETS: dict[str, dict[str, float]] = {
     "source": {"src0": AtMost(0.30)},
     "lang": {"en": 0.60, "de": 0.15, "fr": 0.15, "es": 0.10},
@@ -87,8 +88,14 @@ def cell_rates(totals: Mapping[tuple[str, ...], int], targets: Mapping[str, Mapp
     for axis, t in enumerate(targets.values()):
         own = _margin(table, axis) / table.sum()
         named = [min(w, own[i]) if isinstance(w, AtMost) else w for i, w in enumerate(t.values())]
-        wanted = np.array([*named, max(0.0, 1 - sum(named))])
+        wanted = np.array([*named, 0.0])
         wanted[own == 0] = 0
+        if any(isinstance(w, AtMost) for w in t.values()):
+            wanted[-1] = max(0.0, 1 - sum(named)) if own[-1] else 0.0
+        elif wanted.sum():
+            wanted = np.append(wanted[:-1] * (1 - own[-1]) / wanted.sum(), own[-1])
+        else:
+            wanted[-1] = own[-1]
         if not wanted.sum():
             raise ValueError(f"no tokens in any class of {list(targets)[axis]} that has a target")
         margins.append(wanted / wanted.sum())

@@ -358,6 +358,27 @@ def test_mixture(spark, awkward, no_docs):
     assert mixture.drop_unsampled(awkward).columns == awkward.columns
 
 
+def mixed_bag(spark, groups):
+    """Documents (source, lang) of ten words each, as many as asked."""
+    rows = [(s, la) for (s, la), n in groups.items() for _ in range(n)]
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(10)), s, la) for i, (s, la) in enumerate(rows)]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string")
+
+
+def test_unnamed_languages_keep_their_share(spark):
+    langs = {"en": 300, "de": 150, "fr": 150, "es": 100, "it": 200, None: 100}
+    docs = mixed_bag(spark, {("s%d" % (i % 5), la): n // 5 for la, n in langs.items() for i in range(5)})
+    of = dict(docs.select("doc_id", "lang").collect())
+    rows = mixture.mixture_verdicts(docs).collect()
+    expected = Counter()
+    for r in rows:
+        assert r["rate"] > 0
+        expected[of[r["doc_id"]]] += r["rate"] * r["tokens"]
+    total = sum(expected.values())
+    want = {"en": 0.42, "de": 0.105, "fr": 0.105, "es": 0.07, "it": 0.2, None: 0.1}
+    assert {la: n / total for la, n in expected.items()} == pytest.approx(want, abs=1e-6)
+
+
 # quality
 
 
