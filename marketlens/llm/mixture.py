@@ -5,39 +5,56 @@ margins meet the targets, each cell's weight becomes a sampling probability
 (the cell that needs most keeps all its documents), and documents are drawn by
 a hash of their id.
 
-Classes a target does not name form the class "" ("the rest"), so there are at
-most the product of the named classes (plus one each) cells: the cell table is
-bounded by the targets, whatever the size of the corpus. The rest of a margin
-keeps its own share of the tokens, and named weights divide what it leaves; a
-share that an ``AtMost`` target gives up goes to the rest.
-
-Defined results: null class values belong to the rest; a null text has no
-tokens; a class with a target and no tokens is left out and its weight is shared
-among the others; repeated rows are drawn together (same id); an empty table
-gives no rows.
+A margin has named weights or one cap for all its values (``AtMost``). Values a
+target does not name form the class "" ("the rest"), which keeps its own share
+of the tokens; named weights divide what it leaves. Of a capped margin only the
+values that would pass the cap are classes of their own: totals of all values
+stay a distributed table, the heavy values are looked up in it, the classes are
+raked, and every other value's share of the mixture is compared with the cap in
+the table, until none is above it. So any source is held down, whatever their
+number, and the raked table stays small (a round adds few values, since few can
+be above a fraction of the cap).
+
+A cap that cannot be met (fewer sources than its inverse) makes the shares
+equal; none is sampled below ``LEAST`` of the others for the cap alone.
+
+Defined results: null class values belong to the rest, and so do empty values of
+a capped margin, which are of no known source; a null text has no tokens; a
+class with a target and no tokens is left out and its weight is shared among the
+others; repeated rows are drawn together (same id); an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.staging import materialize
 from .common import WORD, fresh, text_of
 
 
-class AtMost(float):
-    """A target that is the class' own share of the tokens, but no more than this."""
+class AtMost(NamedTuple):
+    """A margin of which no value has more than this share of the mixture."""
 
+    share: float
+
+
+Targets = Mapping[str, "Mapping[str, float] | AtMost"]
 
 #: Margins of the production mixture; the rest keeps its own share.
-TARGETS: dict[str, dict[str, float]] = {
-    "source": {"src0": AtMost(0.30)},
+TARGETS: dict[str, dict[str, float] | AtMost] = {
+    "source": AtMost(0.30),
     "lang": {"en": 0.60, "de": 0.15, "fr": 0.15, "es": 0.10},
     "topic": {"prose": 0.90, "table": 0.025},
 }
+#: The lowest rate, beside that of other values, that a cap gives.
+LEAST = 0.1
+_SLACK = 1 + 1e-6
 
 
 def n_tokens(text: Column) -> Column:
@@ -54,85 +71,161 @@ def topic(text: Column) -> Column:
 
 
 def rake(
-    tokens: np.ndarray, margins: list[np.ndarray], tolerance: float = 1e-9, max_rounds: int = 1_000
+    tokens: np.ndarray, margins: list[np.ndarray], tolerance: float = 1e-9, max_rounds: int = 1_000, caps: tuple[int, ...] = ()
 ) -> np.ndarray:
     """Fit the table of tokens to the margins (each sums to 1); returns shares that sum to 1.
 
-    Margins that contradict each other (a class with tokens only in cells that
-    another margin holds small) are met as nearly as ``max_rounds`` rounds get.
+    The margins of the axes in ``caps`` are upper limits. Margins that
+    contradict each other (a class with tokens only in cells that another
+    margin holds small) are met as nearly as ``max_rounds`` rounds get.
     """
+
+    def goal(axis: int, now: np.ndarray) -> np.ndarray:
+        return np.minimum(margins[axis], now) if axis in caps else margins[axis]
+
     share = tokens / tokens.sum()
     for _ in range(max_rounds):
-        for axis, wanted in enumerate(margins):
+        for axis in range(len(margins)):
             now = _margin(share, axis)
-            factor = np.divide(wanted, now, out=np.zeros_like(wanted), where=now > 0)
+            factor = np.divide(goal(axis, now), now, out=np.zeros_like(now), where=now > 0)
             share = share * factor.reshape([-1 if a == axis else 1 for a in range(share.ndim)])
-        if max(np.abs(_margin(share, axis) - wanted).max() for axis, wanted in enumerate(margins)) < tolerance:
+        share = share / share.sum()
+        now = [_margin(share, axis) for axis in range(len(margins))]
+        if max(np.abs(n - goal(axis, n)).max() for axis, n in enumerate(now)) < tolerance:
             break
-    return share / share.sum()
+    return share
 
 
 def _margin(table: np.ndarray, axis: int) -> np.ndarray:
     return table.sum(axis=tuple(a for a in range(table.ndim) if a != axis))
 
 
-def cell_rates(totals: Mapping[tuple[str, ...], int], targets: Mapping[str, Mapping[str, float]]) -> dict[tuple[str, ...], tuple[float, float]]:
-    """For each cell its share of the mixture and the probability of keeping a document."""
-    names = [[*t, ""] for t in targets.values()]
+def _level(own: np.ndarray, cap: float) -> tuple[float, float]:
+    """Where to cut the shares (the last is the rest) so that none is above the cap, and the cap that this meets."""
+    named, rest = own[:-1], own[-1]
+    if not named.size or named.max() <= cap:
+        return 1.0, cap
+    low, high = LEAST * named.max(), named.max()
+    for _ in range(100):
+        level = (low + high) / 2
+        low, high = (level, high) if level < cap * (np.minimum(named, level).sum() + rest) else (low, level)
+    return high, max(cap, high / (np.minimum(named, high).sum() + rest))
+
+
+class Rates(NamedTuple):
+    """For each cell its share of the mixture and the probability of keeping a document.
+
+    ``limits`` has for each capped axis the share of all tokens above which a
+    value is cut, and the share of the mixture that no value may pass.
+    """
+
+    cells: dict[tuple[str, ...], tuple[float, float]]
+    limits: dict[str, tuple[float, float]]
+
+
+def cell_rates(totals: Mapping[tuple[str, ...], int], targets: Targets, heavy: Mapping[str, list[str]]) -> Rates:
+    """Rates of the cells; ``heavy`` names the values of each capped axis that are classes of their own."""
+    names = [[*_named(a, targets, heavy), ""] for a in targets]
     table = np.zeros([len(n) for n in names])
+    place = {cell: tuple(n.index(v) for n, v in zip(names, cell)) for cell in totals}
     for cell, n in totals.items():
-        table[tuple(names[a].index(v) for a, v in enumerate(cell))] += n
+        table[place[cell]] += n
     if not table.sum():
-        return {}
+        return Rates({}, {})
+    held, limits = table / table.sum(), {}
+    for axis, (a, t) in enumerate(targets.items()):
+        if isinstance(t, AtMost):
+            own = _margin(held, axis)
+            limits[a] = level, _ = _level(own, t.share)
+            cut = np.append(np.minimum(own[:-1], level), own[-1])
+            factor = np.divide(cut, own, out=np.zeros_like(own), where=own > 0)
+            held = held * factor.reshape([-1 if x == axis else 1 for x in range(held.ndim)])
+            held = held / held.sum()
     margins = []
-    for axis, t in enumerate(targets.values()):
-        own = _margin(table, axis) / table.sum()
-        named = [min(w, own[i]) if isinstance(w, AtMost) else w for i, w in enumerate(t.values())]
-        wanted = np.array([*named, 0.0])
-        wanted[own == 0] = 0
-        if any(isinstance(w, AtMost) for w in t.values()):
-            wanted[-1] = max(0.0, 1 - sum(named)) if own[-1] else 0.0
-        elif wanted.sum():
-            wanted = np.append(wanted[:-1] * (1 - own[-1]) / wanted.sum(), own[-1])
-        else:
-            wanted[-1] = own[-1]
+    for axis, (a, t) in enumerate(targets.items()):
+        own = _margin(held, axis)
+        if isinstance(t, AtMost):
+            margins.append(np.append(np.full(len(own) - 1, limits[a][1]), np.inf))
+            continue
+        wanted = np.array([*t.values()]) * (own[:-1] > 0)
+        if wanted.sum():
+            wanted = wanted * (1 - own[-1]) / wanted.sum()
+        wanted = np.append(wanted, own[-1])
         if not wanted.sum():
-            raise ValueError(f"no tokens in any class of {list(targets)[axis]} that has a target")
+            raise ValueError(f"no tokens in any class of {a} that has a target")
         margins.append(wanted / wanted.sum())
-    share = rake(table, margins)
+    share = rake(held, margins, caps=tuple(i for i, t in enumerate(targets.values()) if isinstance(t, AtMost)))
     ratio = np.divide(share, table, out=np.zeros_like(share), where=table > 0)
     rate = ratio / ratio.max()
-    return {c: (float(share[i]), float(rate[i])) for c in totals for i in [tuple(names[a].index(v) for a, v in enumerate(c))]}
-
-
-def _classes(targets: Mapping[str, Mapping[str, float]], columns: Mapping[str, Column]) -> list[Column]:
-    out = []
-    for axis, t in targets.items():
-        value = columns.get(axis, F.col(axis))
-        out.append(F.when(value.isin(list(t)), value).otherwise(F.lit("")))
-    return out
-
-
-def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] = TARGETS, seed: int = 7) -> tuple[DataFrame, str]:
+    return Rates({c: (float(share[i]), float(rate[i])) for c, i in place.items()}, limits)
+
+
+def _named(axis: str, targets: Targets, heavy: Mapping[str, list[str]]) -> list[str]:
+    return heavy[axis] if axis in heavy else list(targets[axis])
+
+
+def _class(value: Column, names: list[str]) -> Column:
+    return F.when(value.isin(names), value).otherwise(F.lit("")) if names else F.lit("")
+
+
+def _rate_table(cells: DataFrame, targets: Targets, rates: Rates) -> DataFrame:
+    """One row per cell: its classes, share and rate; small, for joins by broadcast."""
+    kind = T.StructType([T.StructField(f"_{a}", T.StringType(), False) for a in targets])
+    kind = kind.add("_share", "double", False).add("_rate", "double", False)
+    return F.broadcast(cells.sparkSession.createDataFrame([(*c, *v) for c, v in rates.cells.items()], kind))
+
+
+def fit(cells: DataFrame, targets: Targets) -> tuple[Rates, dict[str, list[str]]]:
+    """Rates for the written table ``cells`` (margins' values and n), and the heavy values of the capped margins."""
+    total = cells.agg(F.sum("n")).first()[0] or 0
+    caps = {a: t.share for a, t in targets.items() if isinstance(t, AtMost)}
+    heavy: dict[str, list[str]] = {}
+    for a, cap in caps.items():
+        sums = cells.where(F.col(a) != "").groupBy(a).agg(F.sum("n").alias("n"))
+        heavy[a] = sorted(r[a] for r in sums.where(F.col("n") > total * cap / 2).collect())
+    while True:
+        classes = {a: _class(F.col(a), _named(a, targets, heavy)) for a in targets}
+        placed = cells.select("*", *[c.alias(f"_{a}") for a, c in classes.items()])
+        sums = placed.groupBy(*[f"_{a}" for a in targets]).agg(F.sum("n").alias("n")).collect()
+        rates = cell_rates({tuple(r[f"_{a}"] for a in targets): r["n"] for r in sums}, targets, heavy)
+        if not rates.cells:
+            return rates, heavy
+        mixed = sum(r["n"] * rates.cells[tuple(r[f"_{a}"] for a in targets)][1] for r in sums)
+        rated = placed.join(_rate_table(cells, targets, rates), [f"_{a}" for a in targets])
+        more = {}
+        for a, (level, limit) in rates.limits.items():
+            light = rated.where((F.col(a) != "") & (F.col(f"_{a}") == "")).groupBy(a)
+            light = light.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("_rate")).alias("kept"))
+            over = (F.col("n") > total * level * _SLACK) | (F.col("kept") > mixed * limit * _SLACK)
+            more[a] = [r[a] for r in light.where(over).collect()]
+        if not any(more.values()):
+            return rates, heavy
+        heavy = {a: sorted([*heavy[a], *more[a]]) for a in heavy}
+
+
+def mix(docs: DataFrame, targets: Targets = TARGETS, seed: int = 7) -> tuple[DataFrame, str]:
     """``docs`` with a struct column: classes, tokens, share, rate, kept; and that column's name.
 
     The margins' topic is computed from the text; other margins are columns.
     """
     m = fresh("mix")
-    classes = _classes(targets, {"topic": topic(text_of())})
-    cell = F.struct(*[c.alias(a) for a, c in zip(targets, classes)])
+    values = {a: topic(text_of()) if a == "topic" else F.col(a).cast("string") for a in targets}
+    cell = F.struct(
+        *[(F.coalesce(v, F.lit("")) if isinstance(targets[a], AtMost) else _class(v, list(targets[a]))).alias(a) for a, v in values.items()]
+    )
     placed = docs.withColumn(m, F.struct(cell.alias("cell"), n_tokens(text_of()).alias("tokens")))
-    totals = placed.groupBy(*[F.col(f"{m}.cell.{a}").alias(a) for a in targets]).agg(F.sum(f"{m}.tokens").alias("n"))
-    rates = cell_rates({tuple(r[a] for a in targets): r["n"] for r in totals.collect()}, targets)
-    share, rate = F.lit(0.0), F.lit(0.0)
-    for c, (s, p) in rates.items():
-        here = F.lit(True)
-        for a, v in zip(targets, c):
-            here &= F.col(f"{m}.cell.{a}") == v
-        share, rate = F.when(here, F.lit(s)).otherwise(share), F.when(here, F.lit(p)).otherwise(rate)
+    cells = placed.groupBy(*[F.col(f"{m}.cell.{a}").alias(a) for a in targets]).agg(F.sum(f"{m}.tokens").alias("n"))
+    cells = materialize(cells, "mixture_cells")
+    rates, heavy = fit(cells, targets)
+    keys = {a: F.col(f"{m}.cell.{a}") for a in targets}
+    keys |= {a: _class(keys[a], names) for a, names in heavy.items()}
+    table = _rate_table(cells, targets, rates)
+    table = table.select(F.struct(*[F.col(f"_{a}").alias(a) for a in targets]).alias(f"{m}_cell"), F.struct("_share", "_rate").alias(f"{m}_rates"))
+    placed = placed.withColumn(f"{m}_cell", F.struct(*[c.alias(a) for a, c in keys.items()])).join(table, f"{m}_cell", "left")
+    share, rate = [F.coalesce(f"{m}_rates.{x}", F.lit(0.0)) for x in ("_share", "_rate")]
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 40)) / float(1 << 40)
     out = placed.withColumn(
-        m, F.struct(F.col(f"{m}.cell.*"), F.col(f"{m}.tokens"), share.alias("share"), rate.alias("rate"))
+        m, F.struct(F.col(f"{m}_cell.*"), F.col(f"{m}.tokens"), share.alias("share"), rate.alias("rate"))
     ).withColumn(m, F.col(m).withField("kept", draw < F.col(f"{m}.rate")))
     return out, m
 

@@ -379,6 +379,30 @@ def test_unnamed_languages_keep_their_share(spark):
     assert {la: n / total for la, n in expected.items()} == pytest.approx(want, abs=1e-6)
 
 
+@pytest.mark.parametrize("hot", [{"src7": 600}, {"src7": 500, "src8": 500}, {"src7": 280}])
+def test_any_hot_source_is_held_down(spark, hot):
+    groups = {("h%d" % i, la): n for i in range(40) for la, n in {"en": 12, "de": 3, "fr": 3, "es": 2}.items()}
+    # only this source has much of the scarcest language: meeting the target lifts it above its own share
+    groups |= {(s, la): int(n * w) for s, n in hot.items() for la, w in {"en": 0.5, "de": 0.1, "fr": 0.1, "es": 0.3}.items()}
+    docs = mixed_bag(spark, groups)
+    of = dict(docs.select("doc_id", "source").collect())
+    expected = Counter()
+    for r in mixture.mixture_verdicts(docs).collect():
+        expected[of[r["doc_id"]]] += r["rate"] * r["tokens"]
+    assert max(expected.values()) / sum(expected.values()) <= 0.3 + 1e-4
+    assert len(expected) == 40 + len(hot) and min(expected.values()) > 0
+
+
+def test_a_light_source_that_mixing_lifts_is_held_down(spark):
+    rows = [("h%d" % i, la, n) for i in range(40) for la, n in (("en", 22), ("de", 4))]
+    # 6 % of the tokens, but most of two languages that are owed a quarter
+    rows += [("only", "fr", 39), ("only", "es", 26), ("h0", "es", 13), ("h1", "fr", 13)]
+    cells = spark.createDataFrame(rows, "source string, lang string, n bigint")
+    rates, heavy = mixture.fit(cells, {"source": mixture.AtMost(0.15), "lang": mixture.TARGETS["lang"]})
+    assert heavy["source"] == ["only"]
+    assert sum(s for c, (s, _) in rates.cells.items() if c[0] == "only") <= 0.15 + 1e-4
+
+
 # quality
 
 
