@@ -15,13 +15,19 @@ the table, until none is above it. So any source is held down, whatever their
 number, and the raked table stays small (a round adds few values, since few can
 be above a fraction of the cap).
 
+Nothing is scaled by the scarcest cell without a limit: after the caps, a class
+or cell has at least ``FEWEST`` and at most ``MOST`` times its own share of the
+tokens. A scarce class thus misses its weight, the other named classes divide
+what it leaves, and the mixture keeps at least 1 / ``MOST`` of the tokens that
+the caps alone would keep. No document is repeated.
+
 A cap that cannot be met (fewer sources than its inverse) makes the shares
 equal; none is sampled below ``LEAST`` of the others for the cap alone.
 
 Defined results: null class values belong to the rest, and so do empty values of
 a capped margin, which are of no known source; a null text has no tokens; a
 class with a target and no tokens is left out and its weight is shared among the
-others; repeated rows are drawn together (same id); an empty table gives no rows.
+others; a cell without tokens keeps its documents, which weigh nothing; repeated rows are drawn together (same id); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -54,6 +60,8 @@ TARGETS: dict[str, dict[str, float] | AtMost] = {
 }
 #: The lowest rate, beside that of other values, that a cap gives.
 LEAST = 0.1
+#: Least and largest share of a class or cell in the mixture, in parts of its own share.
+FEWEST, MOST = 0.25, 2.0
 _SLACK = 1 + 1e-6
 
 
@@ -71,25 +79,31 @@ def topic(text: Column) -> Column:
 
 
 def rake(
-    tokens: np.ndarray, margins: list[np.ndarray], tolerance: float = 1e-9, max_rounds: int = 1_000, caps: tuple[int, ...] = ()
+    tokens: np.ndarray,
+    margins: list[np.ndarray],
+    tolerance: float = 1e-9,
+    max_rounds: int = 1_000,
+    caps: tuple[int, ...] = (),
+    bounds: tuple[float, float] | None = None,
 ) -> np.ndarray:
     """Fit the table of tokens to the margins (each sums to 1); returns shares that sum to 1.
 
-    The margins of the axes in ``caps`` are upper limits. Margins that
-    contradict each other (a class with tokens only in cells that another
-    margin holds small) are met as nearly as ``max_rounds`` rounds get.
+    The margins of the axes in ``caps`` are upper limits. Every share stays
+    within ``bounds`` times the cell's own. Margins that contradict each other
+    or the bounds (a class with tokens only in cells that another margin holds
+    small) are met as nearly as ``max_rounds`` rounds get.
     """
 
     def goal(axis: int, now: np.ndarray) -> np.ndarray:
         return np.minimum(margins[axis], now) if axis in caps else margins[axis]
 
-    share = tokens / tokens.sum()
+    share = own = tokens / tokens.sum()
     for _ in range(max_rounds):
         for axis in range(len(margins)):
             now = _margin(share, axis)
             factor = np.divide(goal(axis, now), now, out=np.zeros_like(now), where=now > 0)
             share = share * factor.reshape([-1 if a == axis else 1 for a in range(share.ndim)])
-        share = share / share.sum()
+        share = share / share.sum() if bounds is None else _bounded(share, own, bounds)
         now = [_margin(share, axis) for axis in range(len(margins))]
         if max(np.abs(n - goal(axis, n)).max() for axis, n in enumerate(now)) < tolerance:
             break
@@ -100,6 +114,19 @@ def _margin(table: np.ndarray, axis: int) -> np.ndarray:
     return table.sum(axis=tuple(a for a in range(table.ndim) if a != axis))
 
 
+def _bounded(wanted: np.ndarray, own: np.ndarray, bounds: tuple[float, float]) -> np.ndarray:
+    """``wanted``, scaled so that it sums to what ``own`` does when held within ``bounds`` times ``own``."""
+    least, most = (b * own for b in bounds)
+    scaled = wanted * (own.sum() / wanted.sum())
+    if (scaled >= least).all() and (scaled <= most).all():
+        return scaled
+    low, high = -60.0, 60.0
+    for _ in range(100):
+        by = (low + high) / 2
+        low, high = (by, high) if np.clip(scaled * np.exp(by), least, most).sum() < own.sum() else (low, by)
+    return np.clip(scaled * np.exp(high), least, most)
+
+
 def _level(own: np.ndarray, cap: float) -> tuple[float, float]:
     """Where to cut the shares (the last is the rest) so that none is above the cap, and the cap that this meets."""
     named, rest = own[:-1], own[-1]
@@ -123,7 +150,12 @@ class Rates(NamedTuple):
     limits: dict[str, tuple[float, float]]
 
 
-def cell_rates(totals: Mapping[tuple[str, ...], int], targets: Targets, heavy: Mapping[str, list[str]]) -> Rates:
+def cell_rates(
+    totals: Mapping[tuple[str, ...], int],
+    targets: Targets,
+    heavy: Mapping[str, list[str]],
+    bounds: tuple[float, float] = (FEWEST, MOST),
+) -> Rates:
     """Rates of the cells; ``heavy`` names the values of each capped axis that are classes of their own."""
     names = [[*_named(a, targets, heavy), ""] for a in targets]
     table = np.zeros([len(n) for n in names])
@@ -149,14 +181,15 @@ def cell_rates(totals: Mapping[tuple[str, ...], int], targets: Targets, heavy: M
             continue
         wanted = np.array([*t.values()]) * (own[:-1] > 0)
         if wanted.sum():
-            wanted = wanted * (1 - own[-1]) / wanted.sum()
+            wanted = _bounded(wanted, own[:-1], bounds)
         wanted = np.append(wanted, own[-1])
         if not wanted.sum():
             raise ValueError(f"no tokens in any class of {a} that has a target")
         margins.append(wanted / wanted.sum())
-    share = rake(held, margins, caps=tuple(i for i, t in enumerate(targets.values()) if isinstance(t, AtMost)))
+    capped = tuple(i for i, t in enumerate(targets.values()) if isinstance(t, AtMost))
+    share = rake(held, margins, caps=capped, bounds=bounds)
     ratio = np.divide(share, table, out=np.zeros_like(share), where=table > 0)
-    rate = ratio / ratio.max()
+    rate = np.where(table > 0, ratio / ratio.max(), 1.0)
     return Rates({c: (float(share[i]), float(rate[i])) for c, i in place.items()}, limits)
 
 
@@ -175,7 +208,9 @@ def _rate_table(cells: DataFrame, targets: Targets, rates: Rates) -> DataFrame:
     return F.broadcast(cells.sparkSession.createDataFrame([(*c, *v) for c, v in rates.cells.items()], kind))
 
 
-def fit(cells: DataFrame, targets: Targets) -> tuple[Rates, dict[str, list[str]]]:
+def fit(
+    cells: DataFrame, targets: Targets, bounds: tuple[float, float] = (FEWEST, MOST)
+) -> tuple[Rates, dict[str, list[str]]]:
     """Rates for the written table ``cells`` (margins' values and n), and the heavy values of the capped margins."""
     total = cells.agg(F.sum("n")).first()[0] or 0
     caps = {a: t.share for a, t in targets.items() if isinstance(t, AtMost)}
@@ -187,7 +222,7 @@ def fit(cells: DataFrame, targets: Targets) -> tuple[Rates, dict[str, list[str]]
         classes = {a: _class(F.col(a), _named(a, targets, heavy)) for a in targets}
         placed = cells.select("*", *[c.alias(f"_{a}") for a, c in classes.items()])
         sums = placed.groupBy(*[f"_{a}" for a in targets]).agg(F.sum("n").alias("n")).collect()
-        rates = cell_rates({tuple(r[f"_{a}"] for a in targets): r["n"] for r in sums}, targets, heavy)
+        rates = cell_rates({tuple(r[f"_{a}"] for a in targets): r["n"] for r in sums}, targets, heavy, bounds)
         if not rates.cells:
             return rates, heavy
         mixed = sum(r["n"] * rates.cells[tuple(r[f"_{a}"] for a in targets)][1] for r in sums)
@@ -222,7 +257,7 @@ def mix(docs: DataFrame, targets: Targets = TARGETS, seed: int = 7) -> tuple[Dat
     table = _rate_table(cells, targets, rates)
     table = table.select(F.struct(*[F.col(f"_{a}").alias(a) for a in targets]).alias(f"{m}_cell"), F.struct("_share", "_rate").alias(f"{m}_rates"))
     placed = placed.withColumn(f"{m}_cell", F.struct(*[c.alias(a) for a, c in keys.items()])).join(table, f"{m}_cell", "left")
-    share, rate = [F.coalesce(f"{m}_rates.{x}", F.lit(0.0)) for x in ("_share", "_rate")]
+    share, rate = [F.coalesce(f"{m}_rates.{x}", F.lit(other)) for x, other in (("_share", 0.0), ("_rate", 1.0))]
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 40)) / float(1 << 40)
     out = placed.withColumn(
         m, F.struct(F.col(f"{m}_cell.*"), F.col(f"{m}.tokens"), share.alias("share"), rate.alias("rate"))

@@ -398,11 +398,25 @@ def test_a_light_source_that_mixing_lifts_is_held_down(spark):
     # 6 % of the tokens, but most of two languages that are owed a quarter
     rows += [("only", "fr", 39), ("only", "es", 26), ("h0", "es", 13), ("h1", "fr", 13)]
     cells = spark.createDataFrame(rows, "source string, lang string, n bigint")
-    rates, heavy = mixture.fit(cells, {"source": mixture.AtMost(0.15), "lang": mixture.TARGETS["lang"]})
+    rates, heavy = mixture.fit(cells, {"source": mixture.AtMost(0.15), "lang": mixture.TARGETS["lang"]}, bounds=(0.0, 1e9))
     assert heavy["source"] == ["only"]
     assert sum(s for c, (s, _) in rates.cells.items() if c[0] == "only") <= 0.15 + 1e-4
 
 
+@pytest.mark.parametrize("scarce", [0, 1, 3])
+def test_a_scarce_class_does_not_empty_the_mixture(spark, scarce):
+    docs = mixed_bag(spark, {("s%d" % i, la): n for i in range(5) for la, n in {"en": 190, "de": 45, "fr": 45, "es": scarce}.items()})
+    of = dict(docs.select("doc_id", "lang").collect())
+    rows = mixture.mixture_verdicts(docs).collect()
+    expected = Counter()
+    for r in rows:
+        expected[of[r["doc_id"]]] += r["rate"] * r["tokens"]
+    assert sum(expected.values()) >= sum(r["tokens"] for r in rows) / mixture.MOST - 1e-6
+    assert min(r["rate"] for r in rows) >= mixture.FEWEST / mixture.MOST
+    # the others keep the proportions of their weights
+    assert expected["en"] / expected["de"] == pytest.approx(4, rel=1e-3)
+
+
 # quality
 
 
