@@ -1,14 +1,21 @@
 """Mixture-controlled packing of token sequences by deficit round-robin.
 
-Every source is a queue of document chunks. In each round a queue's deficit
-grows by its quantum (its target share of one window); it sends the chunks its
-deficit covers and carries the rest on. A chunk that ends at token e of its
-queue is therefore sent in round ceil(e / quantum), whatever the other queues
-do, so rounds need no sequential pass: chunks are sorted by (round, source,
-place in queue), a distributed running sum gives each its place in the stream,
-and the stream is cut into windows. Deficits thus carry across windows and
-across partitions alike. All windows but the last are full; a document is cut
-only at window bounds and, if it is longer than a chunk, between its chunks.
+Every source is a queue of documents. In each round a queue's deficit grows by
+its quantum (its target share of one window) and it sends what the deficit
+covers, cutting documents where the quantum ends. Token k of a queue is
+therefore sent in round ceil(k / quantum), whatever the other queues do, so
+rounds need no sequential pass: a distributed running sum gives each document
+its place in its queue, documents are cut at the bounds of their queue's rounds,
+the pieces are sorted by (round, source, place in queue), a second running sum
+gives each its place in the stream, and the stream is cut into windows. So every
+full window, not only their sum, has the target proportions, but for one token a
+source. All windows but the last are full.
+
+A queue whose quantum is below ``LEAST_PIECE`` tokens would send single words.
+It saves up over as many rounds as give it that many tokens and then sends them
+at once; queues that save up over equally many rounds are numbered and take
+their turns in as many groups, so they do not all send together. No piece is longer than the larger of the
+quantum and ``LEAST_PIECE`` plus one quantum, or than ``chunk`` if given.
 
 Without ``weights`` a source's target is its share of all tokens, so all queues
 run dry in the same round. With weights a queue that runs dry leaves the round
@@ -32,12 +39,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.ordering import running_sum
+from ..functions.ordering import global_row_number, running_sum
 from ..functions.staging import materialize
 
 #: Ends each document.
 CLOSING_ID = 1
 WINDOW = 2048
+#: A queue sends at least so many tokens at once, the ends of documents aside.
+LEAST_PIECE = 16
 
 _PUNCTUATION = b".,;:!?"
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -130,7 +139,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
 
 def _queues(chunks: DataFrame, weights: Mapping[str, float] | None, window: int) -> DataFrame:
-    """Each source's tokens, where its queue starts in the order of all queues, and its quantum."""
+    """Where each source's queue starts in the order of all queues, its quantum, the rounds it saves up over, and its turn in them."""
     queues = chunks.groupBy("source").agg(
         F.sum("length").alias("tokens"), F.min(F.col("upto") - F.col("length")).alias("before")
     )
@@ -141,25 +150,46 @@ def _queues(chunks: DataFrame, weights: Mapping[str, float] | None, window: int)
         share = F.lit(None).cast("double")
         for source, weight in weights.items():
             share = F.when(F.col("source") == source, F.lit(float(weight) / sum(weights.values()))).otherwise(share)
-    return materialize(queues.select("source", "before", (window * share).alias("quantum")), "queues")
+    # a source without a weight comes last and sends window by window
+    rounds = F.coalesce(F.greatest(F.lit(1), F.ceil(LEAST_PIECE / F.col("quantum"))), F.lit(1)).cast("bigint")
+    queues = queues.select("source", "before", (window * share).alias("quantum")).withColumn("rounds", rounds)
+    numbered = global_row_number(queues, [F.col("rounds"), F.col("source")], "number")
+    return materialize(numbered.withColumn("phase", F.col("number") % F.col("rounds")).drop("number"), "queues")
 
 
 def pack(
     encoded: DataFrame, window: int = WINDOW, chunk: int | None = None, weights: Mapping[str, float] | None = None
 ) -> DataFrame:
     """Pieces (row, start, length, sequence_id, offset) of the written table ``encoded``."""
-    step = chunk or window
-    n = F.col("n_tokens")
-    begin = F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1, F.lit(step).cast("bigint")))
-    chunks = encoded.select("row", "source", "n_tokens", begin.alias("begin")).select(
-        "row", "source", "begin", F.least(F.lit(step), n - F.col("begin")).alias("length")
-    )
+    documents = encoded.select("row", "source", F.col("n_tokens").alias("length"))
     # documents of a queue come in the order of a hash of their row number
-    line = [F.col("source"), F.xxhash64("row"), F.col("row"), F.col("begin")]
-    lined = running_sum(chunks, line, {"length": "upto"})
-    sent = lined.join(_queues(lined, weights, window), "source").withColumn("end", F.col("upto") - F.col("before"))
-    turn = F.ceil(F.col("end") / F.col("quantum"))
-    sent = sent.select("row", "source", "begin", "length", "end", turn.alias("turn"))
+    lined = running_sum(documents, [F.col("source"), F.xxhash64("row"), F.col("row")], {"length": "upto"})
+    queued = lined.join(_queues(lined, weights, window), "source")
+    quota = F.col("rounds") * F.coalesce("quantum", F.lit(float(window)))
+    queued = queued.select(
+        "row",
+        "source",
+        "quantum",
+        "rounds",
+        "phase",
+        quota.alias("quota"),
+        (F.col("upto") - F.col("length") - F.col("before")).alias("from"),
+        (F.col("upto") - F.col("before")).alias("end"),
+    )
+    # tokens floor((turn - 1) * quota) to floor(turn * quota) of the queue make a turn; one more on
+    # either side, since floors of products and of quotients may differ
+    turns = F.sequence(F.greatest(F.lit(1), F.floor(F.col("from") / F.col("quota"))), F.floor(F.col("end") / F.col("quota")) + 2)
+    cut = queued.withColumn("turn", F.explode(turns))
+    low = F.greatest(F.col("from"), F.floor((F.col("turn") - 1) * F.col("quota")))
+    high = F.least(F.col("end"), F.floor(F.col("turn") * F.col("quota")))
+    cut = cut.withColumns({"low": low, "high": high}).where(F.col("low") < F.col("high"))
+    place = F.when(F.col("quantum").isNotNull(), (F.col("turn") - 1) * F.col("rounds") + F.col("phase"))
+    sent = cut.select("row", "source", place.alias("turn"), F.col("low").alias("end"), (F.col("low") - F.col("from")).alias("begin"), (F.col("high") - F.col("low")).alias("length"))
+    if chunk:
+        parts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1, F.lit(chunk).cast("bigint")))
+        sent = sent.withColumn("part", parts).select(
+            "row", "source", "turn", (F.col("end") + F.col("part")).alias("end"), (F.col("begin") + F.col("part")).alias("begin"), F.least(F.lit(chunk), F.col("length") - F.col("part")).alias("length")
+        )
     stream = running_sum(sent, [F.col("turn").asc_nulls_last(), F.col("source"), F.col("end")], {"length": "to"})
     at = F.col("to") - F.col("length")
     first = F.floor(at / window)

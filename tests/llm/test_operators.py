@@ -215,6 +215,38 @@ def test_deficits_stay_below_a_chunk(spark):
         assert all(abs(sent[x] - all_sent * total[x] / sum(total.values())) <= 300 + 256 for x in total)
 
 
+@pytest.mark.parametrize("weights", [None, {"hot": 0.4, "even": 0.3, "small": 0.2, "tiny": 0.1}])
+def test_every_full_window_meets_its_target(spark, weights):
+    rng = np.random.default_rng(2)
+    sources = rng.choice(["hot", "even", "small", "tiny"], 1200, p=[0.6, 0.25, 0.13, 0.02])
+    rows = [(i, str(s), int(rng.integers(1, 900))) for i, s in enumerate(sources)]
+    encoded = spark.createDataFrame(rows, "row bigint, source string, n_tokens bigint")
+    source, total = {r: s for r, s, _ in rows}, Counter()
+    for _, s, n in rows:
+        total[s] += n
+    share = weights or {s: n / sum(total.values()) for s, n in total.items()}
+    per, cover = defaultdict(Counter), Counter()
+    for p in packing.pack(encoded, window=1024, weights=weights).collect():
+        per[p["sequence_id"]][source[p["row"]]] += p["length"]
+        cover[p["row"]] += p["length"]
+    assert cover == {r: n for r, _, n in rows}
+    full = int(min(total[s] / share[s] for s in share)) // 1024 - 1
+    assert full > 10
+    assert all(abs(per[w][s] - 1024 * share[s]) <= 2 * len(share) for w in range(full) for s in share)
+
+
+def test_many_small_sources_share_windows(spark):
+    rows = [(i, "big" if i % 2 else f"s{i % 400}", 200) for i in range(4000)]
+    encoded = spark.createDataFrame(rows, "row bigint, source string, n_tokens bigint")
+    big, sizes = Counter(), []
+    for p in packing.pack(encoded, window=1024).collect():
+        big[p["sequence_id"]] += p["length"] * (p["row"] % 2)
+        sizes.append(p["length"])
+    windows = 4000 * 200 // 1024
+    assert all(abs(big[w] - 512) <= 64 for w in range(20, windows - 20))
+    assert np.median(sizes) >= 8
+
+
 def test_nothing_to_pack(no_docs):
     assert packing.pack_documents(no_docs, tokenizer_path()).count() == 0
 
