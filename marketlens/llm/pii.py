@@ -1,12 +1,13 @@
 """Personal data by pattern, and the terms that would give it away.
 
 Base spans come from regular expressions with checks (number ranges, Luhn sum,
-digit counts). On top of them the corpus decides which words near a protected
+digit counts). On top of them the corpus decides which words beside a protected
 value reveal it: a term t discloses an entity c when, over the distinct texts
 of the whole corpus, PMI(t; c) >= theta * IC(c), with PMI = log2 p(t, c) /
 (p(t) p(c)) and IC = -log2 p(c), and they occur together in at least
-``min_support`` texts. Removing c alone would leave t to tell it, so t's
-occurrences in the context of c become spans of kind ``term``; ``sanitise``
+``min_support`` texts. The context of a value is the whole text. Removing c
+alone would leave t to tell it, so all of t's occurrences in any text that holds
+c become spans of kind ``term``; ``sanitise``
 generalises all spans to the name of their kind. Texts without a protected
 value get no spans.
 
@@ -40,8 +41,6 @@ KINDS: tuple[tuple[str, str, str], ...] = (
 )
 TERM = "term"
 TERM_PATTERN = r"\p{L}[\p{L}\p{N}_-]{2,}+"
-#: Characters of context on either side of a protected value.
-CONTEXT = 64
 _BLOCK = 1_000
 
 
@@ -76,52 +75,42 @@ def _placed(gaps: Column) -> Column:
     Positions are summed up in blocks: growing one long array step by step
     would take the square of its length.
     """
-    fields = ("value", "before", "after")
 
     def walk(part: Column) -> Column:
         def step(acc: Column, x: Column) -> Column:
             start = acc["at"] + x["gap"]
-            one = F.struct(start.alias("start"), (start + x["len"]).alias("end"), *[x[f].alias(f) for f in fields])
+            one = F.struct(start.alias("start"), (start + x["len"]).alias("end"), x["value"].alias("value"))
             return F.struct((start + x["len"]).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-        empty = F.array().cast("array<struct<start:bigint,end:bigint,value:string,before:string,after:string>>")
+        empty = F.array().cast("array<struct<start:bigint,end:bigint,value:string>>")
         return F.aggregate(part, F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("out")), step)
 
     def shift(done: Column, part: Column) -> Column:
         moved = F.transform(
             part["out"],
-            lambda x: F.struct((x["start"] + done["at"]).alias("start"), (x["end"] + done["at"]).alias("end"), *[x[f].alias(f) for f in fields]),
+            lambda x: F.struct((x["start"] + done["at"]).alias("start"), (x["end"] + done["at"]).alias("end"), x["value"].alias("value")),
         )
         return F.struct((done["at"] + part["at"]).alias("at"), F.concat(done["out"], F.array(moved)).alias("out"))
 
     blocks = F.transform(
         F.sequence(F.lit(1), F.size(gaps), F.lit(_BLOCK)), lambda i: walk(F.slice(gaps, i, F.lit(_BLOCK)))
     )
-    none = F.array().cast("array<array<struct<start:bigint,end:bigint,value:string,before:string,after:string>>>")
+    none = F.array().cast("array<array<struct<start:bigint,end:bigint,value:string>>>")
     joined = F.aggregate(blocks, F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("out")), shift)
     return F.flatten(joined["out"])
 
 
 def _gaps(text: Column, pattern: str, found: Column) -> Column:
-    """What lies between the matches, with the matches: (gap, len, value, before, after)."""
-    pieces = F.split(text, pattern, -1)
-    n = F.size(found)
-    bare = F.zip_with(
-        F.slice(pieces, F.lit(1), n),
-        found,
-        lambda p, m: F.struct(
-            F.char_length(p).cast("bigint").alias("gap"), F.char_length(m).cast("bigint").alias("len"), m.alias("value"), F.right(p, F.lit(CONTEXT)).alias("before")
-        ),
-    )
+    """What lies before each match, with the match: (gap, len, value)."""
     return F.zip_with(
-        bare,
-        F.slice(pieces, F.lit(2), n),
-        lambda x, p: F.struct(x["gap"].alias("gap"), x["len"].alias("len"), x["value"].alias("value"), x["before"].alias("before"), F.left(p, F.lit(CONTEXT)).alias("after")),
+        F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)),
+        found,
+        lambda p, m: F.struct(F.char_length(p).cast("bigint").alias("gap"), F.char_length(m).cast("bigint").alias("len"), m.alias("value")),
     )
 
 
 def matches(df: DataFrame, text: str, pattern: str, out: str, gate: Column | None = None) -> DataFrame:
-    """Add ``out``: array of (start, end, value, before, after) of the pattern's matches, in code points."""
+    """Add ``out``: array of (start, end, value) of the pattern's matches, in code points."""
     found, gaps = f"_{out}_found", f"_{out}_gaps"
     hits = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
     df = df.withColumn(found, hits if gate is None else F.when(gate, hits).otherwise(F.array().cast("array<string>")))
@@ -132,7 +121,7 @@ def matches(df: DataFrame, text: str, pattern: str, out: str, gate: Column | Non
 
 
 def _labelled(kind: int) -> Callable[[Column], Column]:
-    fields = ("start", "end", "value", "before", "after")
+    fields = ("start", "end", "value")
     return lambda m: F.struct(F.lit(kind).alias("kind"), *[m[f].alias(f) for f in fields])
 
 
@@ -140,41 +129,34 @@ def _of_kind(kind: int) -> Callable[[Column], Column]:
     return lambda s: s["kind"] == kind
 
 
-def base_spans(docs: DataFrame, *keep: str) -> DataFrame:
-    """row, doc_id, digest of the text, and ``base``: array of (kind, start, end, value, before, after)."""
+def base_spans(docs: DataFrame, keep_text: bool = False) -> DataFrame:
+    """row, doc_id, digest of the text, ``base``: array of (kind, start, end, value), and the text if it has any (or is to be kept)."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text_of().alias("text"))
     for kind, sign, pattern in KINDS:
         rows = matches(rows, "text", pattern, kind, F.contains(F.col("text"), F.lit(sign)) if sign else None)
     named = [F.transform(F.filter(kind, _valid(kind)), _labelled(i)) for i, (kind, _, _) in enumerate(KINDS)]
-    return rows.select("row", "doc_id", F.xxhash64("text").alias("digest"), *keep, F.concat(*named).alias("base"))
+    rows = rows.select("row", "doc_id", F.xxhash64("text").alias("digest"), "text", F.concat(*named).alias("base"))
+    return rows if keep_text else rows.withColumn("text", F.when(F.size("base") > 0, F.col("text")))
 
 
 def mentions(found: DataFrame) -> DataFrame:
-    """Terms near protected values: row, digest, entity, term, start, end."""
-    one = found.select("row", "digest", "base", F.explode("base").alias("m"))
-    entity = F.concat_ws(":", F.col("m.kind").cast("string"), F.lower(F.col("m.value")))
-    # words cut off by the end of the context are left out
-    before = F.when(F.char_length("m.before") < CONTEXT, F.col("m.before")).otherwise(F.regexp_replace("m.before", r"^\S*+", ""))
-    after = F.when(F.char_length("m.after") < CONTEXT, F.col("m.after")).otherwise(F.regexp_replace("m.after", r"\S+$", ""))
-    one = one.select("row", "digest", "base", entity.alias("entity"), F.col("m.start").alias("from"), F.col("m.end").alias("to"), before.alias("before"), after.alias("after"))
-    one = matches(matches(one, "before", TERM_PATTERN, "left"), "after", TERM_PATTERN, "right")
-
-    def moved(side: str, by: Column) -> Column:
-        return F.transform(side, lambda t: F.struct(F.lower(t["value"]).alias("term"), (t["start"] + by).alias("start"), (t["end"] + by).alias("end")))
-
-    terms = F.concat(moved("left", F.col("from") - F.char_length("before")), moved("right", F.col("to")))
-    out = one.select("row", "digest", "entity", "base", F.explode(terms).alias("t")).select("row", "digest", "entity", "base", "t.*")
-    clash = F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
-    return out.where(~clash).drop("base")
+    """Texts with protected values: row, digest, their entities, and terms: array of (term, start, end) outside of the values."""
+    entities = F.array_distinct(F.transform("base", lambda b: F.concat_ws(":", b["kind"].cast("string"), F.lower(b["value"]))))
+    some = matches(found.where(F.size("base") > 0), "text", TERM_PATTERN, "words")
+    clear = F.filter("words", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (b["end"] > t["start"])))
+    terms = F.transform(clear, lambda t: F.struct(F.lower(t["value"]).alias("term"), t["start"].alias("start"), t["end"].alias("end")))
+    return some.select("row", "digest", entities.alias("entities"), terms.alias("terms"))
 
 
 def disclosing(near: DataFrame, docs: DataFrame, theta: float, min_support: int) -> DataFrame:
     """(entity, term) pairs where the term reveals the entity, with the counts behind it."""
-    pairs = near.groupBy("digest", "entity", "term").agg(F.count(F.lit(1)).alias("times"))
-    together = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= min_support)
-    together = materialize(together, "term_pairs")
-    entities = near.groupBy("digest", "entity").agg(F.count(F.lit(1)).alias("times"))
-    entities = entities.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    once = near.groupBy("digest").agg(F.first("entities").alias("entities"), F.first(F.array_distinct("terms.term")).alias("terms"))
+    entities = near.select("digest", F.explode("entities").alias("entity")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    # an entity of fewer texts has no pair of enough support
+    entities = materialize(entities.where(F.col("n_entity") >= min_support), "entities")
+    pairs = once.select(F.explode("entities").alias("entity"), "terms").join(entities.select("entity"), "entity")
+    together = pairs.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
+    together = materialize(together.where(F.col("n_both") >= min_support), "term_pairs")
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM_PATTERN), F.lit(0)))
     # each distinct text moves once, so its words are added up on the map side; all
     # are counted before the join: few terms are asked for in a small corpus and
@@ -191,10 +173,12 @@ def disclosing(near: DataFrame, docs: DataFrame, theta: float, min_support: int)
 
 def find_spans(docs: DataFrame, theta: float = 0.9, min_support: int = 3, keep_text: bool = False) -> DataFrame:
     """doc_id, digest-free spans of every row: ``base`` and ``terms``, arrays of (kind, start, end)."""
-    found = materialize(base_spans(docs, *(["text"] if keep_text else [])), "base_spans")
+    found = materialize(base_spans(docs, keep_text), "base_spans")
     near = materialize(mentions(found), "mentions")
     told = materialize(disclosing(near, docs, theta, min_support), "disclosing")
-    terms = near.join(told, ["entity", "term"], "left_semi").groupBy("row").agg(
+    held = near.select("row", F.explode("entities").alias("entity"), "terms").join(told.select("entity").distinct(), "entity", "left_semi")
+    held = held.select("row", "entity", F.inline("terms"))
+    terms = held.join(told, ["entity", "term"], "left_semi").groupBy("row").agg(
         F.array_sort(F.collect_set(F.struct(F.lit(len(KINDS)).alias("kind"), "start", "end"))).alias("terms")
     )
     plain = F.transform("base", lambda b: F.struct(b["kind"].alias("kind"), b["start"].alias("start"), b["end"].alias("end")))

@@ -332,6 +332,19 @@ def test_terms_that_disclose(spark):
     assert all(clean[d] == t for d, t in rest)
 
 
+def test_terms_disclose_from_anywhere_in_the_text(spark):
+    filler = "the clean words of a common note "
+    near = [(i, f"Zanzibarian {filler * 4}wrote in 2024, room 17, from zed@example.org, and {filler * 4}so Zanzibarian {i}") for i in range(5)]
+    near += [(10 + i, f"Querulous{i}: a{i}@example.org, list@example.org {filler}about Marzipanian") for i in range(5)]
+    rest = [(100 + i, f"{filler}wrote {i} in about room from and so") for i in range(200)]
+    docs = spark.createDataFrame(near + rest, "doc_id bigint, text string")
+    clean = {r["doc_id"]: r["clean_text"] for r in pii.sanitise(docs).collect()}
+    for d, t in near[:5]:
+        assert clean[d] == t.replace("Zanzibarian", "[TERM]").replace("zed@example.org", "[EMAIL]")
+    assert clean[12] == f"Querulous2: [EMAIL], [EMAIL] {filler}about [TERM]"
+    assert all(clean[d] == t for d, t in rest)
+
+
 def test_no_personal_data(no_docs):
     assert pii.span_digests(no_docs).count() == 0
 
