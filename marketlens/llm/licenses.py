@@ -122,10 +122,15 @@ def _verify(joined: bytes, a: int, b: int, notice: Notice) -> list[tuple[str, in
     a = joined.rfind(b" ", 0, a) + 1 if a else 0
     b = joined.find(b" ", b) if joined.find(b" ", b) >= 0 else len(joined)
     before, part = len(joined[:a].decode()), joined[a:b].decode()
-    return [
-        (notice.label, before + m.start(), before + m.end(), sum(m.fuzzy_counts))
-        for m in notice.pattern.finditer(part)
-    ]
+    # the best match may stand behind others: what lies on either side of it is searched as well
+    out, open_parts, least = [], [(0, len(part))], len(notice.text) - notice.edits
+    while open_parts:
+        low, high = open_parts.pop()
+        m = notice.pattern.search(part, low, high) if high - low >= least else None
+        if m:
+            out.append((notice.label, before + m.start(), before + m.end(), sum(m.fuzzy_counts)))
+            open_parts += [(low, m.start()), (m.end(), high)]
+    return out
 
 
 SPAN = T.StructType().add("label", "string").add("start", "long").add("end", "long").add("edits", "integer")

@@ -361,6 +361,17 @@ def test_license_places_and_fuzzy_notices(awkward, no_docs):
     assert licenses.scan_licenses(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("order", [(0, 1), (1, 0), (0, 1, 0), (0, 0, 1)])
+def test_no_notice_is_lost_before_a_better_one(order):
+    kinds = ("licensed under the apache licence version 2 0", "licensed under the apache license version 2 0")
+    places, at = [], 0
+    for k in order:
+        places.append((at, at + len(kinds[k])))
+        at += len(kinds[k]) + 1
+    found = [(a, b) for label, a, b, _ in licenses.fuzzy_spans(" ".join(kinds[k] for k in order).encode()) if label == "apache"]
+    assert set(places) <= set(found)
+
+
 @pytest.mark.parametrize("text, label", [(t, label) for t, label in licenses.NOTICES])
 def test_pigeonhole_seeds_lose_no_match(text, label):
     rng, notice = np.random.default_rng(len(text)), licenses.compile_notice(text, label)
