@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
+from .text_parts import Cutter, steps
+
 #: Sorts of hash no word has: a word holds no blank.
 END = xxhash.xxh3_64_intdigest(b" end")
 START = xxhash.xxh3_64_intdigest(b" start")
@@ -15,34 +18,25 @@ _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-class _Words(dict):
-    """Word -> hash, computed when first asked for."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_WORDS = _Words()
-_LIMIT = 500_000
-
+_CUT = Cutter()
 
-def words_of(text: str | None) -> list[bytes]:
-    """Words with A-Z in lower case, split at ASCII white space alone; null is empty."""
-    return (text or "").encode().lower().split()
 
+def hashed_words(texts: pa.Array | Sequence[str | None], end: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in turn and the number for each text; with ``end``, one END after each.
 
-def hashed_words(texts: Sequence[str | None], end: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in turn and the number for each text; with ``end``, one END after each."""
-    if len(_WORDS) > _LIMIT:
-        _WORDS.clear()
-    known, close = _WORDS, [END] if end else []
-    out, counts = [], np.empty(len(texts), np.int64)
-    for i, text in enumerate(texts):
-        words = [known[w] for w in words_of(text)] + close
-        counts[i] = len(words)
-        out.append(np.array(words, np.uint64))
-    return (np.concatenate(out) if out else np.empty(0, np.uint64)), counts
+    Words have A-Z in lower case and end at ASCII white space alone; null is empty.
+    """
+    if not isinstance(texts, pa.Array):
+        texts = pa.array(texts, pa.string())
+    out, counts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for some in steps(texts.cast(pa.string())):
+        parts = _CUT(some)
+        h = np.array([xxhash.xxh3_64_intdigest(w) for w in parts.distinct.to_pylist()], np.uint64)[parts.which]
+        if end:
+            h = np.insert(h, np.cumsum(parts.counts), np.uint64(END))
+        out.append(h)
+        counts.append(parts.counts + end)
+    return np.concatenate(out), np.concatenate(counts)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -88,7 +88,7 @@ def _word_packs(buckets: int) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             chunk, learn = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False)
-            h, n = hashed_words(b.column(2).to_pylist(), end=True)
+            h, n = hashed_words(b.column(2), end=True)
             starts, rows = _starts(n), []
             order = np.argsort(chunk, kind="stable")
             cuts = np.flatnonzero(np.diff(chunk[order])) + 1
@@ -151,7 +151,7 @@ def word_counts(texts: DataFrame, buckets: int) -> DataFrame:
 def _bigram_packs(buckets: int) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h, n = hashed_words(b.column(0).to_pylist(), end=True)
+            h, n = hashed_words(b.column(0), end=True)
             keys, counts = np.unique(bigrams(h, _starts(n)), return_counts=True)
             rows = [
                 (bucket, (keys[p] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), (keys[p] >> np.uint64(32)).astype("<u2").tobytes(), counts[p].astype("<u4").tobytes())

@@ -12,8 +12,8 @@ One pass from left to right gives the count of every prefix, bounded by the
 longest piece at each position; which neighbours stay apart is remembered.
 
 Two characters that no piece holds side by side are never merged across.
-Texts are cut at all such borders and the counts of a part are kept, in two
-generations bounded in bytes, so a text is put together from known parts.
+Texts are cut at all such borders and the counts of a part are kept, within
+bounded bytes, so a text is put together from known parts.
 
 What is stored per text is the change of the count at each code point (one
 byte each where they fit, which they do in every vocabulary of short pieces;
@@ -41,13 +41,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .text_parts import Kept, steps
+
 #: What a blank becomes.
 BLANK = "▁"
-#: Bytes of parts kept by one Python worker, counted with what an entry itself takes.
-KEPT_BYTES = 48 << 20
-_ENTRY_BYTES = 250
-#: Bytes of text cut into parts at a time.
-STEP_BYTES = 4 << 20
+#: Bytes of parts kept by one Python worker.
+KEPT_BYTES = 32 << 20
 
 TABLE = T.StructType().add("n_tokens", "long").add("width", "integer").add("steps", "binary")
 
@@ -55,51 +54,55 @@ TABLE = T.StructType().add("n_tokens", "long").add("width", "integer").add("step
 class Pieces:
     """A vocabulary of pieces merged by score, and the counts of all prefixes of a string of it."""
 
+    #: Neighbours remembered by one Python worker.
+    REMEMBERED = 200_000
+
     def __init__(self, scores: dict[str, float]):
-        self.scores = scores
+        self.pieces, self.scores = list(scores), list(scores.values())
+        self.number = {p: i for i, p in enumerate(self.pieces)}
         self.longest = max(map(len, scores), default=1)
         #: characters that some piece holds side by side
         self.joined = {p[i : i + 2] for p in scores for i in range(len(p) - 1)}
-        self.apart: dict[tuple[str | None, str], bool] = {}
+        self.apart: dict[int, bool] = {}
 
     def merged(self, text: str) -> list[str]:
         """What merging makes of a short string: best score first, leftmost of equals."""
-        parts, scores = list(text), self.scores
+        parts, number, scores = list(text), self.number, self.scores
         while True:
             best, at = -np.inf, -1
             for i in range(len(parts) - 1):
-                score = scores.get(parts[i] + parts[i + 1])
-                if score is not None and (at < 0 or score > best):
-                    best, at = score, i
+                piece = number.get(parts[i] + parts[i + 1])
+                if piece is not None and (at < 0 or scores[piece] > best):
+                    best, at = scores[piece], i
             if at < 0:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def fits(self, before: str | None, piece: str) -> bool:
-        """Whether ``piece`` can follow ``before`` (None: a border that nothing crosses)."""
-        known = self.apart.get((before, piece))
+    def fits(self, before: int, piece: int) -> bool:
+        """Whether the piece can follow ``before`` (-1: a border that nothing crosses)."""
+        pair = (before + 1) * len(self.pieces) + piece
+        known = self.apart.get(pair)
         if known is None:
-            if len(self.apart) > 400_000:
+            if len(self.apart) >= self.REMEMBERED:
                 self.apart.clear()
-            known = self.merged((before or "") + piece) == ([before, piece] if before else [piece])
-            self.apart[before, piece] = known
+            alone = [self.pieces[i] for i in (before, piece) if i >= 0]
+            known = self.apart[pair] = self.merged("".join(alone)) == alone
         return known
 
     def prefix_counts(self, text: str) -> list[int]:
         """Tokens of each prefix of ``text``, the empty one included."""
-        scores, longest, fits = self.scores, self.longest, self.fits
-        counts: list[int] = [0]
-        last: list[str | None] = [None]
+        number, longest, fits = self.number, self.longest, self.fits
+        counts, last = [0], [-1]
         for end in range(1, len(text) + 1):
             for size in range(1, min(longest, end) + 1):
-                piece = text[end - size : end]
-                if piece in scores and fits(last[end - size], piece):
+                piece = number.get(text[end - size : end])
+                if piece is not None and fits(last[end - size], piece):
                     counts.append(counts[end - size] + 1)
                     last.append(piece)
                     break
             else:  # a character without a piece, in bytes; nothing merges with it
                 counts.append(counts[end - 1] + len(text[end - 1].encode()))
-                last.append(None)
+                last.append(-1)
         return counts
 
     def steps(self, text: str) -> list[int]:
@@ -146,30 +149,19 @@ def load_pieces(path: str) -> Pieces:
 
 
 class PrefixTables:
-    """Steps of whole texts, with those of known parts kept in two generations."""
+    """Steps of whole texts, put together from those of known parts."""
 
     def __init__(self, pieces: Pieces, kept_bytes: int = KEPT_BYTES, narrow: int = 126):
-        self.pieces, self.borders, self.kept_bytes, self.narrow = pieces, Borders(pieces), kept_bytes, narrow
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.held = 0
-
-    def part(self, part: str) -> bytes | None:
-        """Steps of a part as single bytes, or None if one does not fit."""
-        steps = self.young.get(part)
-        if steps is None:
-            steps = self.old.get(part)
-            if steps is None:
-                found = self.pieces.steps(part.replace(" ", BLANK))
-                if max(found) > self.narrow or min(found) < -self.narrow:
-                    return None
-                steps = bytes([s & 255 for s in found])
-            if len(part) <= 64:
-                self.held += 5 * len(part) + _ENTRY_BYTES
-                if self.held > self.kept_bytes / 2:
-                    self.young, self.old, self.held = {}, self.young, 0
-                self.young[part] = steps
-        return steps
+        self.pieces, self.borders, self.narrow = pieces, Borders(pieces), narrow
+        self.kept = Kept(lambda parts: [self._narrow(p) for p in parts], kept_bytes)
+
+    def _steps(self, part: bytes) -> list[int]:
+        return self.pieces.steps(part.decode().replace(" ", BLANK))
+
+    def _narrow(self, part: bytes) -> bytes:
+        """Steps of a part as single bytes; nothing if one does not fit."""
+        steps = self._steps(part)
+        return bytes([s & 255 for s in steps]) if max(steps) <= self.narrow and min(steps) >= -self.narrow else b""
 
     def tables(self, texts: pa.Array) -> pa.StructArray:
         """``TABLE`` of each text."""
@@ -182,15 +174,14 @@ class PrefixTables:
         apart = self.borders.apart(np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32))
         apart[first] = True
         offsets = np.append(at[apart], len(data)).astype(np.int32)
-        parts = pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(data)).dictionary_encode()
-        distinct = parts.dictionary.to_pylist()
-        known = [self.part(p) for p in distinct]
-        if None not in known:
+        parts = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        known = self.kept(parts.dictionary)
+        if pc.min(pc.binary_length(known)).as_py() != 0:
             # the steps of all parts in turn are those of all characters in turn
-            taken = pa.array(known, pa.binary()).take(parts.indices)
+            taken = known.take(parts.indices)
             steps = np.frombuffer(taken.buffers()[2], np.int8)[: len(at)].copy()
         else:
-            wide = [self.pieces.steps(p.replace(" ", BLANK)) for p in distinct]
+            wide = [self._steps(p) for p in parts.dictionary.to_pylist()]
             steps = np.concatenate([wide[i] for i in parts.indices.to_pylist()]).astype(np.int32)
         # the first character takes over the blank's step
         size = np.diff(np.append(first, len(at)))
@@ -209,15 +200,6 @@ class PrefixTables:
 _TABLES: dict[str, PrefixTables] = {}
 
 
-def steps_of(texts: pa.Array) -> Iterable[pa.Array]:
-    """Runs of texts of about ``STEP_BYTES``, one text at least."""
-    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy()
-    step = np.cumsum(sizes) // STEP_BYTES
-    firsts = np.flatnonzero(np.diff(step, prepend=-1))
-    for at, end in zip(firsts.tolist(), [*firsts[1:].tolist(), len(texts)]):
-        yield texts.slice(at, end - at)
-
-
 def prefix_tables(docs: DataFrame, path: str, out: str = "prefix") -> DataFrame:
     """``docs`` with a column of type ``TABLE``: the count of every prefix of ``text``, and of the whole."""
 
@@ -225,7 +207,7 @@ def prefix_tables(docs: DataFrame, path: str, out: str = "prefix") -> DataFrame:
     def table_of(texts: pa.Array) -> pa.Array:
         if path not in _TABLES:
             _TABLES[path] = PrefixTables(load_pieces(path))
-        found = [_TABLES[path].tables(some) for some in steps_of(texts.cast(pa.string()))]
+        found = [_TABLES[path].tables(some) for some in steps(texts.cast(pa.string()))]
         return pa.concat_arrays(found) if found else pa.array([], pa.struct([("n_tokens", pa.int64()), ("width", pa.int32()), ("steps", pa.binary())]))
 
     return docs.withColumn(out, table_of("text"))
