@@ -34,13 +34,14 @@ from collections.abc import Mapping
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.ordering import global_row_number, running_sum
 from ..functions.staging import materialize
+from .text_parts import Cutter, Kept, steps
 
 #: Ends each document.
 CLOSING_ID = 1
@@ -48,66 +49,86 @@ WINDOW = 2048
 #: A queue sends at least so many tokens at once, the ends of documents aside.
 LEAST_PIECE = 16
 
+#: Bytes of known parts kept by one Python worker.
+KEPT_BYTES = 32 << 20
+_LETTERS = b"abcdefghijklmnopqrstuvwxyz"
 _PUNCTUATION = b".,;:!?"
+#: Stands between parts that are encoded together; its id comes from nothing else. So many at a time.
+_BETWEEN, _TOGETHER = b"7", 2000
+#: What shows whether a tokenizer can be given texts in lower-case parts.
+_PROBES = (
+    "Ab CD\tef\n\ngh  ij.",
+    "It's, we're;they'll e.g. U.S. (x),'s 3.5 a,b 10:30!? ...",
+    "Ünï ÇA É\u0301a \u00a0x\u3000y Ως 漢字,かな 😀. a\u0301,",
+    "<|endoftext|>. <a>,b <|x|>",
+)
+
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
 class WordEncoder:
-    """Token ids of texts as bytes, with the ids of white-space separated parts kept.
-
-    The tokenizer's own splitting never joins across white space, so a text's
-    ids are those of its parts in turn; nor does it join letters with ASCII
-    punctuation behind them, and ASCII letters count in lower case, so a part of
-    that form is looked up as a lower-case word and its punctuation. Encoded
-    words are kept in two generations of ``limit`` entries, of which the older
-    is dropped; parts put together from them are kept up to ``limit`` and then
-    put together anew. Texts are taken ``step`` at a time to hold few of them in
-    pieces.
+    """Token ids of texts as bytes, with the ids of their parts kept.
+
+    Texts are cut at white space and between ASCII letters and punctuation, and
+    A-Z count in lower case. That is right for a tokenizer whose own splitting
+    does both; ``load`` refuses others (``ValueError``).
     """
 
-    def __init__(self, path: str, width: int, limit: int = 200_000, longest: int = 64, step: int = 256):
+    def __init__(self, tokenizer, kept_bytes: int = KEPT_BYTES):
+        self.tokenizer = tokenizer
+        self.type = np.dtype("<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.cutter, self.kept = Cutter(_LETTERS, _PUNCTUATION), Kept(self._ids, kept_bytes)
+        ids = tokenizer.encode(_BETWEEN.decode(), add_special_tokens=False).ids
+        if len(ids) != 1:
+            raise ValueError("the tokenizer has no id for a digit of its own")
+        self.between = ids[0]
+
+    @classmethod
+    def load(cls, path: str) -> WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.type = Tokenizer.from_file(path), f"<u{width}"
-        self.limit, self.longest, self.step = limit, longest, step
-        self.closing = np.array([CLOSING_ID], self.type).tobytes()
-        self.known: dict[bytes, bytes] = {}
-        self.words: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        return [ids for at in range(0, len(texts), self.step) for ids in self._encode(texts[at : at + self.step])]
-
-    def _encode(self, texts: list[str | None]) -> list[bytes]:
-        parts = [(t or "").encode().split() for t in texts]
-        if len(self.known) > self.limit:
-            self.known.clear()
-        if len(self.words) > self.limit:
-            self.words, self.older = {}, self.words
-        known, halves = self.known, {}
-        new = {w for ws in parts for w in ws if w not in known}
-        for w in new:
-            word = w.rstrip(_PUNCTUATION)
-            # of bytes: ASCII letters only
-            halves[w] = (word.lower(), w[len(word) :]) if word.isalpha() else (w, b"")
-        self._learn({x for both in halves.values() for x in both if x})
-        for w, (word, marks) in halves.items():
-            known[w] = self.words[word] + (self.words[marks] if marks else b"")
-        out = [b"".join([known[w] for w in ws]) + self.closing for ws in parts]
-        for w in new:
-            if len(w) > self.longest:
-                del known[w]
-                self.words.pop(halves[w][0], None)
+        encoder = cls(Tokenizer.from_file(path))
+        for probe in _PROBES:
+            whole = encoder.tokenizer.encode(probe, add_special_tokens=False).ids
+            if np.frombuffer(encoder.encode(pa.array([probe]))[0].as_py(), encoder.type).tolist() != [*whole, CLOSING_ID]:
+                raise ValueError(f"{path} does not split texts at white space and punctuation, or tells A from a")
+        return encoder
+
+    def _ids(self, parts: list[bytes]) -> list[bytes]:
+        """Ids of each part. Parts are encoded many at a time, told apart by a digit between them."""
+        out: list[bytes] = [b""] * len(parts)
+        single = [i for i, p in enumerate(parts) if _BETWEEN in p]
+        joined = [i for i, p in enumerate(parts) if _BETWEEN not in p]
+        for i, e in zip(single, self.tokenizer.encode_batch_fast([parts[i].decode() for i in single], add_special_tokens=False)):
+            out[i] = np.array(e.ids, self.type).tobytes()
+        for at in range(0, len(joined), _TOGETHER):
+            some = joined[at : at + _TOGETHER]
+            text = (b" " + _BETWEEN + b" ").join([parts[i] for i in some]).decode()
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.type)
+            cuts = np.flatnonzero(ids == self.between)
+            if len(cuts) != len(some) - 1:
+                raise ValueError("the tokenizer does not keep parts between blanks apart")
+            data, size = ids.tobytes(), self.type.itemsize
+            begins, ends = [0, *(size * (cuts + 1)).tolist()], [*(size * cuts).tolist(), len(data)]
+            for i, a, b in zip(some, begins, ends):
+                out[i] = data[a:b]
         return out
 
-    def _learn(self, asked: set[bytes]) -> None:
-        """Have the ids of these words among ``words``."""
-        words, older = self.words, self.older
-        words.update((w, older[w]) for w in asked if w not in words and w in older)
-        some = [w for w in asked if w not in words]
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-        words.update((w, np.array(e.ids, self.type).tobytes()) for w, e in zip(some, found))
+    def encode(self, texts: pa.Array) -> pa.Array:
+        """Ids of each text and the closing id."""
+        return pa.concat_arrays([self._encode(some) for some in steps(texts)]) if len(texts) else pa.array([], pa.binary())
+
+    def _encode(self, texts: pa.Array) -> pa.Array:
+        size, parts = self.type.itemsize, self.cutter(texts)
+        known = self.kept(parts.distinct)
+        length = pc.binary_length(known).to_numpy()[parts.which] if len(known) else np.empty(0, np.int32)
+        upto = np.concatenate([[0], np.cumsum(length, dtype=np.int64)])[np.concatenate([[0], np.cumsum(parts.counts)])]
+        taken = known.take(pa.array(parts.which))
+        ids = np.frombuffer(taken.buffers()[2] or b"", self.type, upto[-1] // size)
+        ids = np.insert(ids, upto[1:] // size, self.type.type(CLOSING_ID))
+        offsets = (upto + size * np.arange(len(upto))).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
 
 
 def _width(path: str) -> int:
@@ -124,10 +145,8 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     @F.arrow_udf(T.BinaryType())
     def ids_of(texts: pa.Array) -> pa.Array:
         if path not in _ENCODERS:
-            _ENCODERS[path] = WordEncoder(path, width)
-        encoder = _ENCODERS[path]
-        steps = range(0, len(texts), encoder.step)
-        return pa.array([ids for at in steps for ids in encoder.encode(texts.slice(at, encoder.step).to_pylist())], pa.binary())
+            _ENCODERS[path] = WordEncoder.load(path)
+        return _ENCODERS[path].encode(texts.cast(pa.string()))
 
     ids = docs.select(
         F.monotonically_increasing_id().alias("row"),
@@ -190,7 +209,7 @@ def pack(
         sent = sent.withColumn("part", parts).select(
             "row", "source", "turn", (F.col("end") + F.col("part")).alias("end"), (F.col("begin") + F.col("part")).alias("begin"), F.least(F.lit(chunk), F.col("length") - F.col("part")).alias("length")
         )
-    stream = running_sum(sent, [F.col("turn").asc_nulls_last(), F.col("source"), F.col("end")], {"length": "to"})
+    stream = running_sum(sent, [F.col("turn").isNull(), F.col("turn"), F.col("source"), F.col("end")], {"length": "to"})
     at = F.col("to") - F.col("length")
     first = F.floor(at / window)
     last = F.floor((F.col("to") - 1) / window)
@@ -206,34 +225,27 @@ def pack(
     )
 
 
-PIECE = (
-    T.StructType()
-    .add("start", "long")
-    .add("length", "long")
-    .add("sequence_id", "long")
-    .add("offset", "long")
-    .add("ids_crc32", "long")
-)
+PLACE = T.StructType().add("start", "long").add("length", "long").add("sequence_id", "long").add("offset", "long")
+PIECE = T.StructType([*PLACE.fields, T.StructField("ids_crc32", T.LongType())])
 
 
 def with_checksums(pieces: DataFrame, encoded: DataFrame, width: int) -> DataFrame:
     """Join pieces to their document's ids (once per document) and add each piece's checksum."""
-    kind = to_arrow_type(T.ArrayType(PIECE))
 
     @F.arrow_udf(T.ArrayType(PIECE))
     def check(ids: pa.Array, placed: pa.Array) -> pa.Array:
-        out = []
-        for data, rows in zip(ids.to_pylist(), placed.to_pylist()):
-            tokens = np.frombuffer(data, f"<u{width}")
-            for r in rows:
-                some = tokens[r["start"] : r["start"] + r["length"]]
-                r["ids_crc32"] = zlib.crc32(some.astype("<u4").tobytes())
-            out.append(rows)
-        return pa.array(out, kind)
-
-    by_row = pieces.groupBy("row").agg(
-        F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("pieces")
-    )
+        places = placed.flatten()
+        start, length = (places.field(f).to_numpy() for f in ("start", "length"))
+        begin, end = (4 * start).tolist(), (4 * (start + length)).tolist()
+        ends = np.concatenate([[0], np.cumsum(placed.value_lengths().to_numpy())])
+        sums = []
+        for data, low, high in zip(ids, ends[:-1].tolist(), ends[1:].tolist()):
+            tokens = memoryview(np.frombuffer(data.as_buffer(), f"<u{width}").astype("<u4")).cast("B")
+            sums += [zlib.crc32(tokens[a:b]) for a, b in zip(begin[low:high], end[low:high])]
+        fields = [places.field(f) for f in PLACE.names] + [pa.array(sums, pa.int64())]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, names=PIECE.names))
+
+    by_row = pieces.groupBy("row").agg(F.collect_list(F.struct(*PLACE.names)).alias("pieces"))
     joined = encoded.join(by_row, "row").select("doc_id", "n_tokens", check("ids", "pieces").alias("pieces"))
     return joined.select("doc_id", F.col("n_tokens").alias("doc_tokens"), F.inline("pieces"))
 
