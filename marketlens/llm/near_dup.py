@@ -11,14 +11,20 @@ Candidates. 48 bands of five registers: a pair of similarity 0.75 shares no
 band with probability 2e-6. Documents with equal sets are one class. In each
 band bucket every class is paired with the bucket's smallest class only; pairs
 whose collision-corrected estimate is below 0.64 (four standard deviations under
-0.75) are dropped, the rest is verified on full shingle sets, and connected
-components are formed. Buckets that then still hold several components are
-gone through again: all pairs between different components are estimated,
-block against block inside tasks: first each block pair gives the likeliest
-pairs that would join its components (a spanning forest), and once those are
-verified and joined, all likely pairs still between components. So no link
-between components is missed for want of a comparison, and families of near
-copies cost a few comparisons per member, not one per pair.
+0.75) are dropped, the rest is verified on full shingle sets. Buckets that then
+hold classes not yet joined by likely pairs are gone through block against block
+inside tasks, each giving a spanning forest of its likely pairs, so that two
+classes of a bucket that may be a link are always in one *family*, a component
+of likely pairs.
+
+Verification. A family whose links so far leave several components is compared
+as a whole, once, not bucket by bucket: its classes are dealt into blocks of
+bounded bytes, block meets block with the full sets, all likely pairs of
+different components are compared exactly there, and only a spanning forest of
+the links goes out. A component that fills blocks of its own does not meet
+itself. So no link between components is missed, no table of pairs is made
+beyond the few each class has with its buckets' first classes, and a family that
+is linked already costs nothing more.
 
 Links need 100 * intersection >= 75 * union.
 
@@ -32,7 +38,7 @@ matter; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +58,10 @@ MANTISSA = 8
 ROUNDS = 3
 LIKELY = 0.64
 PERCENT = 75
-BLOCK = 512
+#: Classes of a block whose sketches are compared.
+BLOCK = 2048
+#: Bytes of sets in a block of a family; a set counts as ``LEAST_BYTES`` at least, for its sketch.
+BLOCK_BYTES, LEAST_BYTES = 8 << 20, 4096
 
 _ROUND = np.uint64(0xC2B2AE3D27D4EB4F)
 _OWN = mix(np.arange(1, BUCKETS + 1, dtype=np.uint64) * np.uint64(0x165667B19E3779F9))
@@ -61,7 +70,7 @@ _OWN = mix(np.arange(1, BUCKETS + 1, dtype=np.uint64) * np.uint64(0x165667B19E37
 # shingles and sketches ------------------------------------------------------
 
 
-def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
+def shingle_sets(texts: pa.Array | list[str | None]) -> list[np.ndarray]:
     """Sorted hashes of each text's distinct shingles."""
     h, counts = hashed_words(texts)
     long = h[: max(0, len(h) - WORDS + 1)]
@@ -143,7 +152,7 @@ def sketch(texts: pa.Array) -> pa.Array:
     n, cls, regs = [], [], []
     # few texts are held in words at a time
     for at in range(0, len(texts), 256):
-        for s in shingle_sets(texts.slice(at, 256).to_pylist()):
+        for s in shingle_sets(texts.slice(at, 256)):
             n.append(len(s))
             cls.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None)
             regs.append(registers(s).tobytes() if len(s) else None)
@@ -183,11 +192,11 @@ def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _members(classes: DataFrame) -> DataFrame:
-    """Band buckets with several classes: key, cls, first (its smallest class), size."""
-    rows = classes.select("cls", F.explode(keys_of("regs")).alias("key"))
-    bucket = Window.partitionBy("key")
-    found = rows.withColumns({"size": F.count(F.lit(1)).over(bucket), "first": F.min("cls").over(bucket)})
-    return materialize(found.where("size > 1"), "band_members")
+    """Band buckets with several classes: key, cls, first (its smallest class)."""
+    rows = materialize(classes.select("cls", F.explode(keys_of("regs")).alias("key")), "band_keys")
+    # counted on the map side; the join back can split a bucket that many share
+    several = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("cls").alias("first")).where("size > 1")
+    return materialize(rows.join(several.drop("size"), "key"), "band_members")
 
 
 PAIR = "a bigint, b bigint"
@@ -217,48 +226,63 @@ def _forest(u: np.ndarray, v: np.ndarray, weight: np.ndarray) -> np.ndarray:
                 label[label == high] = low
 
 
-def _across(forest: bool) -> Callable[[pa.Table], pa.Table]:
-    """Likely pairs between different components of one block, or between two blocks of a bucket."""
-
-    def run(table: pa.Table) -> pa.Table:
-        n, comp, cls, own = (table.column(c).to_numpy() for c in ("n", "comp", "cls", "own"))
-        i, j = (table.column(c)[0].as_py() for c in ("i", "j"))
-        regs = _matrix(table.column("regs").combine_chunks())
-        left = np.flatnonzero(own == i)
-        right = left if i == j else np.flatnonzero(own == j)
-        matches = np.zeros((len(left), len(right)), np.int32)
-        for r in range(BUCKETS):
-            matches += regs[left, r][:, None] == regs[right, r][None, :]
-        a, b = n[left][:, None].astype(float), n[right][None, :].astype(float)
+def _likely_pairs(table: pa.Table, group: str, rows: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places x, y and estimates of the likely pairs of different ``group`` of a block, or of two blocks."""
+    n, comp, own = (table.column(c).to_numpy() for c in ("n", group, "own"))
+    i, j = (table.column(c)[0].as_py() for c in ("i", "j"))
+    regs = np.ascontiguousarray(_matrix(table.column("regs").combine_chunks()).T)
+    left = np.flatnonzero(own == i)
+    right = left if i == j else np.flatnonzero(own == j)
+    theirs = regs[:, right]
+    for at in range(0, len(left), rows):
+        some = left[at : at + rows]
+        matches = np.zeros((len(some), len(right)), np.uint8)
+        for mine, other in zip(regs[:, some], theirs):
+            matches += mine[:, None] == other[None, :]
+        a, b = n[some][:, None].astype(float), n[right][None, :].astype(float)
         similar = estimate(matches, a, b)
-        good = (comp[left][:, None] != comp[right][None, :]) & (similar >= LIKELY)
+        good = (comp[some][:, None] != comp[right][None, :]) & (similar >= LIKELY)
         good &= 100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b)
+        if i == j:
+            good &= some[:, None] < right[None, :]
         x, y = np.nonzero(good)
-        if forest and len(x):
-            kept = _forest(comp[left[x]], comp[right[y]], similar[x, y])
-            x, y = x[kept], y[kept]
-        x, y = cls[left[x]], cls[right[y]]
-        return pa.table({"a": np.maximum(x, y), "b": np.minimum(x, y)})
+        yield some[x], right[y], similar[x, y]
+
+
+def _pair_table(cls: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.Table:
+    x, y = cls[x], cls[y]
+    return pa.table({"a": np.maximum(x, y), "b": np.minimum(x, y)})
+
+
+def _join_forest(found: Iterable[tuple[np.ndarray, ...]], comp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (x, y) of a spanning forest over the components, from batches of pairs and weights."""
+    x, y, weight = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    for more in found:
+        x, y, weight = (np.concatenate(both) for both in zip((x, y, weight), more))
+        kept = _forest(comp[x], comp[y], weight)
+        x, y, weight = x[kept], y[kept], weight[kept]
+    return x, y
+
 
-    return run
+def _across(table: pa.Table) -> pa.Table:
+    """A forest of the likely pairs between families of one block, or between two blocks of a bucket."""
+    return _pair_table(table.column("cls").to_numpy(), *_join_forest(_likely_pairs(table, "fam"), table.column("fam").to_numpy()))
 
 
-def _rest(members: DataFrame, classes: DataFrame, comps: DataFrame, forest: bool) -> DataFrame:
-    """Likely pairs of different components that share a bucket: all, or a forest of each block pair."""
-    comp = F.coalesce(F.col("comp"), F.col("cls")).alias("comp")
-    rows = members.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", "first", comp)
+def _rest(members: DataFrame, classes: DataFrame, families: DataFrame) -> DataFrame:
+    """Likely pairs that join families which share a bucket: a forest of each block pair."""
+    fam = F.coalesce(F.col("comp"), F.col("cls")).alias("fam")
+    rows = members.join(families.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", "first", fam)
     # the bucket's first class has been compared with all others
-    rows = rows.where(F.col("cls") != F.col("first"))
-    bucket = Window.partitionBy("key")
-    rows = rows.withColumns(
-        {"low": F.min("comp").over(bucket), "high": F.max("comp").over(bucket), "size": F.count(F.lit(1)).over(bucket)}
-    ).where("low <> high")
+    rows = materialize(rows.where(F.col("cls") != F.col("first")), "bucket_families")
+    split = rows.groupBy("key").agg(F.min("fam").alias("low"), F.max("fam").alias("high"), F.count(F.lit(1)).alias("size"))
+    rows = rows.join(split.where("low <> high").select("key", "size"), "key")
     blocks = F.ceil(F.col("size") / BLOCK)
     own = F.pmod(F.xxhash64("cls"), blocks)
-    rows = rows.select("key", "cls", "comp", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("other"))
-    units = rows.select("key", "cls", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    rows = rows.select("key", "cls", "fam", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("other"))
+    units = rows.select("key", "cls", "fam", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     units = units.join(classes.select("cls", "n", "regs"), "cls")
-    return units.groupBy("key", "i", "j").applyInArrow(_across(forest), PAIR).distinct()
+    return units.groupBy("key", "i", "j").applyInArrow(_across, PAIR).distinct()
 
 
 # verification ---------------------------------------------------------------
@@ -271,7 +295,7 @@ def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b, block, is_head, cls = (batch.column(i).to_pylist() for i in range(4))
         out = []
         for at in range(0, len(cls), 256):
-            for i, s in enumerate(shingle_sets(batch.column(4).slice(at, 256).to_pylist()), at):
+            for i, s in enumerate(shingle_sets(batch.column(4).slice(at, 256)), at):
                 if is_head[i]:
                     key, head = (b[i], block[i]), s
                     continue
@@ -303,6 +327,92 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
     return materialize(rows.mapInArrow(_verify, PAIR).distinct(), "links")
 
 
+# verification inside families ------------------------------------------------
+
+
+def common_shingles(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray, width: int = 1 << 14, pairs: int = 8192) -> np.ndarray:
+    """Exact sizes of the intersections of sets x[i] and y[i], by bit rows over the shingles that several hold."""
+    out = np.zeros(len(x), np.int64)
+    sizes = np.array([len(s) for s in sets])
+    _, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.cumsum(times > 1) - 1
+    shared = times[place] > 1
+    row, column = np.repeat(np.arange(len(sets)), sizes)[shared], column[place[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, (low, low + width))
+        bit = (column[a:b] - low).astype(np.uint64)
+        bits = np.zeros((len(sets), width >> 6), np.uint64)
+        np.bitwise_or.at(bits, (row[a:b], bit >> np.uint64(6)), np.uint64(1) << (bit & np.uint64(63)))
+        bits = bits[:, : (int(column[b - 1]) - low >> 6) + 1]
+        for at in range(0, len(x), pairs):
+            both = bits[x[at : at + pairs]] & bits[y[at : at + pairs]]
+            out[at : at + pairs] += np.bitwise_count(both).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def _linked(table: pa.Table) -> pa.Table:
+    """A forest of the links between components of one block, or between two blocks of a family."""
+    sets = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
+    n, comp = (table.column(c).to_numpy() for c in ("n", "comp"))
+
+    def links() -> Iterator[tuple[np.ndarray, ...]]:
+        for x, y, similar in _likely_pairs(table, "comp"):
+            used, place = np.unique(np.concatenate([x, y]), return_inverse=True)
+            if len(x):
+                common = common_shingles([sets[i] for i in used], place[: len(x)], place[len(x) :])
+                good = 100 * common >= PERCENT * (n[x] + n[y] - common)
+                yield x[good], y[good], similar[good]
+
+    return _pair_table(table.column("cls").to_numpy(), *_join_forest(links(), comp))
+
+
+@F.arrow_udf(T.BinaryType())
+def _shingle_bytes(texts: pa.Array) -> pa.Array:
+    return pa.array([s.tobytes() for at in range(0, len(texts), 256) for s in shingle_sets(texts.slice(at, 256))], pa.binary())
+
+
+def _blocks(placed: DataFrame) -> DataFrame:
+    """For each component of a family with several: the range of its blocks, low to high, and the family's total.
+
+    Components smaller than a block share the blocks from 0 on; larger ones have their own behind.
+    """
+    size = F.sum(F.greatest(8 * F.col("n"), F.lit(LEAST_BYTES))).alias("size")
+    comps = placed.groupBy("fam", "comp").agg(size)
+    own = F.when(F.col("size") >= BLOCK_BYTES, F.ceil(F.col("size") / BLOCK_BYTES)).otherwise(0)
+    comps = comps.withColumn("own", own.cast("bigint"))
+    pool = F.ceil(F.sum(F.when(F.col("own") == 0, F.col("size")).otherwise(0)) / BLOCK_BYTES)
+    fams = comps.groupBy("fam").agg(pool.alias("pool"), F.sum("own").alias("large"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    comps = comps.join(fams, "fam")
+    small = comps.where("own = 0").select("fam", "comp", F.lit(0).cast("bigint").alias("low"), F.col("pool").alias("high"), (F.col("pool") + F.col("large")).alias("total"), F.lit(True).alias("pooled"))
+    before = Window.partitionBy("fam").orderBy("comp").rowsBetween(Window.unboundedPreceding, -1)  # one row per component of a block or more
+    low = F.col("pool") + F.coalesce(F.sum("own").over(before), F.lit(0))
+    large = comps.where("own > 0").select("fam", "comp", low.alias("low"), (low + F.col("own")).alias("high"), (F.col("pool") + F.col("large")).alias("total"), F.lit(False).alias("pooled"))
+    return small.unionByName(large)
+
+
+def linked_in_families(families: DataFrame, comps: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) that join the components of each family; exact, whatever the family's size."""
+    placed = families.select(F.col("node").alias("cls"), F.col("comp").alias("fam"))
+    placed = placed.join(comps.withColumnRenamed("node", "cls"), "cls", "left").join(classes.select("cls", "n"), "cls")
+    placed = materialize(placed.select("cls", "fam", F.coalesce("comp", "cls").alias("comp"), "n"), "families")
+    asked = placed.join(_blocks(placed), ["fam", "comp"])
+    asked = asked.withColumn("own", F.col("low") + F.pmod(F.xxhash64("cls"), F.col("high") - F.col("low")))
+    asked = asked.join(classes.select("cls", "regs", F.col("rep.doc_id").alias("rep_id"), F.col("rep.digest").alias("rep_digest")), "cls")
+    texts = docs.select("doc_id", F.xxhash64(text_of()).alias("digest"), "text")
+    found = asked.join(texts, F.col("rep_id").eqNullSafe(F.col("doc_id")) & (F.col("rep_digest") == F.col("digest")))
+    sets = found.select("fam", "comp", "cls", "n", "regs", "own", "low", "high", "total", "pooled", _shingle_bytes("text").alias("shingles"))
+    sets = materialize(sets.groupBy("cls").agg(*[F.first(c).alias(c) for c in sets.columns if c != "cls"]), "family_sets")
+    others = F.filter(
+        F.sequence(F.lit(0).cast("bigint"), F.col("total") - 1),
+        lambda o: F.col("pooled") | (o < F.col("low")) | (o >= F.col("high")),
+    )
+    units = sets.withColumn("other", F.explode(others))
+    units = units.select("fam", "comp", "cls", "n", "regs", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "shingles")
+    return materialize(units.groupBy("fam", "i", "j").applyInArrow(_linked, PAIR).distinct(), "links")
+
+
 # components -----------------------------------------------------------------
 
 
@@ -348,15 +458,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = materialize(classes, "classes")
     members = _members(classes)
     star = members.where("cls <> first").select(F.col("cls").alias("a"), F.col("first").alias("b")).distinct()
-    links = verified(materialize(_likely(star, classes), "likely"), classes, docs)
+    likely = materialize(_likely(star, classes), "likely")
+    links = verified(likely, classes, docs)
+    families = components(likely)
+    more = materialize(_rest(members, classes, families), "likely")
+    if not more.isEmpty():
+        families = components(likely.unionByName(more))
+    links = links.unionByName(linked_in_families(families, components(links), classes, docs))
     comps = components(links)
-    tried = star
-    for forest in (True, False):
-        more = _rest(members, classes, comps, forest).join(tried, ["a", "b"], "left_anti")
-        more = materialize(more, "likely")
-        tried = tried.unionByName(more)
-        links = links.unionByName(verified(more, classes, docs))
-        comps = components(links)
     of_class = classes.select("cls", F.col("rep.doc_id").alias("least_id")).join(comps.withColumnRenamed("node", "cls"), "cls", "left")
     of_class = of_class.select("cls", "least_id", F.coalesce("comp", "cls").alias("comp"))
     smallest = of_class.groupBy("comp").agg(F.min("least_id").alias("component_id"))

@@ -140,7 +140,8 @@ def test_near_copies_equal_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(5)
     texts = [t for n in (1, 1, 2, 5, 40, 9) for t in family(rng, n, int(rng.integers(8, 120)))] + ["", None, "a b", "A B", "a b c"]
     rows = [(i * 3, t) for i, t in enumerate(texts)]
-    monkeypatch.setattr(near_dup, "BLOCK", 8)  # so that buckets of this size take several blocks
+    monkeypatch.setattr(near_dup, "BLOCK", 8)  # so that buckets and families of this size take several blocks
+    monkeypatch.setattr(near_dup, "BLOCK_BYTES", 5 * near_dup.LEAST_BYTES)
     got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()
     want = brute_components(rows)
     assert {r["doc_id"]: r["component_id"] for r in got} == want
@@ -148,6 +149,59 @@ def test_near_copies_equal_brute_force(spark, monkeypatch):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+@pytest.mark.parametrize("bytes_", [6 * near_dup.LEAST_BYTES, near_dup.BLOCK_BYTES])
+def test_a_family_of_mostly_unlinked_texts(spark, monkeypatch, bytes_):
+    """Texts just under the threshold: many likely pairs, few links, and what goes out stays in proportion."""
+    monkeypatch.setattr(near_dup, "BLOCK_BYTES", bytes_)
+    rng, made = np.random.default_rng(7), []
+    keep = near_dup.linked_in_families
+    monkeypatch.setattr(near_dup, "linked_in_families", lambda *a: made.append(keep(*a)) or made[-1])
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(120):
+        copy = list(base)
+        for at in rng.integers(0, 200, 2 + i % 4):
+            copy[at] = f"x{rng.integers(10**6)}"
+        rows.append((i, " ".join(copy)))
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == brute_components(rows)
+    blocks = -(-120 * near_dup.LEAST_BYTES // bytes_)
+    assert made[0].count() <= 120 * blocks
+
+
+def test_components_equal_an_exact_search(spark):
+    """All pairs that share a shingle, on whole tables."""
+    rows = pairs_of(documents(spark, "/root/testdata/sf0.01"))
+    sets, holders = {d: shingles(t) for d, t in rows}, defaultdict(list)
+    for d, s in sets.items():
+        for x in s:
+            holders[x].append(d)
+    shared = Counter((a, b) for ds in holders.values() for i, a in enumerate(ds) for b in ds[:i])
+    parent = {d: d for d in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for (a, b), both in shared.items():
+        if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+            low, high = sorted((find(a), find(b)))
+            parent[high] = low
+    got = near_dup.near_duplicates(documents(spark, "/root/testdata/sf0.01")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {d: find(d) for d in sets}
+
+
+@pytest.mark.parametrize("width, pairs", [(64, 3), (1 << 14, 8192)])
+def test_common_shingles(width, pairs):
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 300, n).astype(np.uint64)) for n in (1, 5, 100, 200, 200, 300)]
+    x, y = map(np.array, zip(*[(i, j) for i in range(6) for j in range(6)]))
+    want = [len(np.intersect1d(sets[i], sets[j])) for i, j in zip(x, y)]
+    got = near_dup.common_shingles(sets, x, y, width, pairs)
+    assert [g for g, i, j in zip(got, x, y) if i != j] == [w for w, i, j in zip(want, x, y) if i != j]
+
+
 def test_near_copies_of_awkward_rows(awkward, no_docs):
     got = near_dup.near_duplicates(awkward).collect()
     assert len(got) == awkward.count()
