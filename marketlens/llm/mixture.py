@@ -36,12 +36,15 @@ from collections.abc import Mapping
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.staging import materialize
-from .common import WORD, fresh, text_of
+from .common import fresh
+from .text_parts import BLANKS, steps
 
 
 class AtMost(NamedTuple):
@@ -65,17 +68,33 @@ FEWEST, MOST = 0.25, 2.0
 _SLACK = 1 + 1e-6
 
 
-def n_tokens(text: Column) -> Column:
-    """Words of a text."""
-    return F.regexp_count(text, F.lit(WORD)).cast("bigint")
+FORM = T.StructType().add("tokens", "long").add("topic", "string")
+_BLANK, _BAR, _MARK = (np.isin(np.arange(256), list(b)) for b in (BLANKS, b"|", b"!#$%&*"))
 
 
-def topic(text: Column) -> Column:
-    """A coarse topic by form: tables and lists, shouted or symbol-laden text, prose."""
-    chars = F.char_length(text)
-    bars = chars - F.char_length(F.replace(text, F.lit("|"), F.lit("")))
-    marks = chars - F.char_length(F.translate(text, "!#$%&*", ""))
-    return F.when(bars * 40 > chars, F.lit("table")).when(marks * 40 > chars, F.lit("noise")).otherwise(F.lit("prose"))
+@F.arrow_udf(FORM)
+def form(texts: pa.Array) -> pa.Array:
+    """Words of each text and a coarse topic by form: tables and lists, shouted or symbol-laden text, prose.
+
+    All counts come from one look at the bytes.
+    """
+    tokens, topics = [np.empty(0, np.int64)], [np.empty(0, object)]
+    for some in steps(pc.fill_null(texts.cast(pa.string()), "")):
+        ends = np.frombuffer(some.buffers()[1], np.int32)[some.offset : some.offset + len(some) + 1]
+        data = np.frombuffer(some.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+        ends = ends - ends[0]
+        solid = ~_BLANK[data]
+        begins = solid.copy()
+        begins[1:] &= ~solid[:-1]
+        first = ends[:-1][ends[:-1] < ends[-1]]
+        begins[first] = solid[first]
+        words, tails, bars, marks = (
+            np.diff(np.searchsorted(np.flatnonzero(found), ends)) for found in (begins, data & 0xC0 == 0x80, _BAR[data], _MARK[data])
+        )
+        chars = np.diff(ends) - tails
+        tokens.append(words)
+        topics.append(np.select([bars * 40 > chars, marks * 40 > chars], ["table", "noise"], "prose").astype(object))
+    return pa.StructArray.from_arrays([pa.array(np.concatenate(tokens), pa.int64()), pa.array(np.concatenate(topics), pa.string())], names=FORM.names)
 
 
 def rake(
@@ -238,17 +257,21 @@ def fit(
         heavy = {a: sorted([*heavy[a], *more[a]]) for a in heavy}
 
 
-def mix(docs: DataFrame, targets: Targets = TARGETS, seed: int = 7) -> tuple[DataFrame, str]:
+def mix(docs: DataFrame, targets: Targets = TARGETS, seed: int = 7, keep_text: bool = True) -> tuple[DataFrame, str]:
     """``docs`` with a struct column: classes, tokens, share, rate, kept; and that column's name.
 
     The margins' topic is computed from the text; other margins are columns.
+    Without the text the measured rows are written, so that texts are read once.
     """
-    m = fresh("mix")
-    values = {a: topic(text_of()) if a == "topic" else F.col(a).cast("string") for a in targets}
+    m, seen = fresh("mix"), fresh("form")
+    values = {a: F.col(f"{seen}.topic") if a == "topic" else F.col(a).cast("string") for a in targets}
     cell = F.struct(
         *[(F.coalesce(v, F.lit("")) if isinstance(targets[a], AtMost) else _class(v, list(targets[a]))).alias(a) for a, v in values.items()]
     )
-    placed = docs.withColumn(m, F.struct(cell.alias("cell"), n_tokens(text_of()).alias("tokens")))
+    placed = docs.withColumn(seen, form("text"))
+    placed = placed.withColumn(m, F.struct(cell.alias("cell"), F.col(f"{seen}.tokens").alias("tokens"))).drop(seen)
+    if not keep_text:
+        placed = materialize(placed.drop("text"), "measured")
     cells = placed.groupBy(*[F.col(f"{m}.cell.{a}").alias(a) for a in targets]).agg(F.sum(f"{m}.tokens").alias("n"))
     cells = materialize(cells, "mixture_cells")
     rates, heavy = fit(cells, targets)
@@ -266,7 +289,7 @@ def mix(docs: DataFrame, targets: Targets = TARGETS, seed: int = 7) -> tuple[Dat
 
 
 def mixture_verdicts(docs: DataFrame) -> DataFrame:
-    found, m = mix(docs.select("doc_id", "text", "lang", "source"))
+    found, m = mix(docs.select("doc_id", "text", "lang", "source"), keep_text=False)
     return found.select("doc_id", f"{m}.*")
 
 
