@@ -1,66 +1,155 @@
-"""Global row numbers and running sums over sorted data of any size.
+"""Global row numbers and running sums over data of any size, with one shuffle.
 
-A window without PARTITION BY would move everything into one task. Here the
-rows are range-partitioned and sorted, each row keeps its slot (partition in
-the high bits, place in the low 33), and the only table that is ever gathered
-has one row per partition. The sorted rows are written out in between because
-range bounds come from a sample: recomputing them could move rows.
+A window without PARTITION BY would move everything into one task. Here a
+sample of the keys gives splitters, each row's bucket is the number of
+splitters before it (a binary search over a small array, as a column), and a
+window per bucket numbers or adds up its rows after one hash exchange and one
+sort. What lies before each bucket is added afterwards; the buckets' totals, a
+few for each shuffle partition, are the only rows that reach the driver.
+
+The bucket depends on the row's keys and on splitters that are fixed before the
+work starts, so a task that is run again puts its rows where they were. The
+result does not depend on the splitters at all. The input is written once,
+since it is read for the sample, the totals and the result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .staging import materialize
 
-_SLOT_BITS = 33
+#: Buckets for each shuffle partition, and sampled keys for each bucket.
+_BUCKETS, _SAMPLED = 4, 24
+_SEED = 17
+
+
+class Key(NamedTuple):
+    """A sort key; nulls come first in ascending and last in descending order."""
+
+    column: Column
+    descending: bool = False
+
+    @property
+    def sort(self) -> Column:
+        return self.column.desc_nulls_last() if self.descending else self.column.asc_nulls_first()
+
+    def after(self, mine: Column, other: Column) -> Column:
+        """Whether ``mine`` comes behind ``other`` in the order of this key."""
+        beyond = F.coalesce(mine < other if self.descending else mine > other, F.lit(False))
+        behind_null = (mine.isNull() & other.isNotNull()) if self.descending else (mine.isNotNull() & other.isNull())
+        return beyond | behind_null
+
+
+Order = Sequence["Key | Column | str"]
+
+
+def down(column: Column | str) -> Key:
+    """Largest first, nulls last."""
+    return Key(F.col(column) if isinstance(column, str) else column, True)
+
+
+def _keys(order: Order) -> list[Key]:
+    return [k if isinstance(k, Key) else Key(F.col(k) if isinstance(k, str) else k) for k in order]
+
 
+def _with_keys(df: DataFrame, keys: Sequence[Key]) -> tuple[DataFrame, list[Key]]:
+    """``df`` with each key in a column of its own, and the keys on these columns."""
+    names = [f"_key{i}" for i in range(len(keys))]
+    return df.withColumns({n: k.column for n, k in zip(names, keys)}), [Key(F.col(n), k.descending) for n, k in zip(names, keys)]
 
-def _sorted_slots(df: DataFrame, order: Sequence[Column]) -> DataFrame:
-    placed = (
-        df.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .withColumn("_slot", F.monotonically_increasing_id())
-    )
-    return materialize(placed, "sorted").withColumn("_part", F.shiftright("_slot", _SLOT_BITS))
 
+def _literal(rows: Sequence[Sequence], kind: T.StructType) -> Column:
+    """A constant array of structs, whatever the types; a scalar subquery cannot stand inside a lambda."""
 
-def _before(totals: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Sum over all earlier partitions; ``totals`` has one row per partition."""
-    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    return totals.select(
-        "_part",
-        *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_before_{c}") for c in cols],
-    )
+    def one(value, t: T.DataType) -> str:
+        if value is None:
+            return f"CAST(NULL AS {t.simpleString()})"
+        if isinstance(value, (bytes, bytearray)):
+            return f"X'{bytes(value).hex()}'"
+        text = str(value).encode().hex()
+        return f"CAST(CAST(X'{text}' AS STRING) AS {t.simpleString()})"
 
+    structs = [f"named_struct({', '.join(f"'{f.name}', {one(v, f.dataType)}" for v, f in zip(r, kind))})" for r in rows]
+    return F.expr(f"array({', '.join(structs)})").cast(T.ArrayType(kind))
 
-def global_row_number(df: DataFrame, order: Sequence[Column], out: str = "row_number") -> DataFrame:
-    """Number the rows 1..n in ``order``, which must end in a unique key."""
-    slots = _sorted_slots(df, order)
-    counts = slots.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
-    place = F.col("_slot").bitwiseAND((1 << _SLOT_BITS) - 1)
-    # one row per partition: bounded by the partition count, not by the data
-    return (
-        slots.join(F.broadcast(_before(counts, ["n"])), "_part")
-        .withColumn(out, (F.col("_before_n") + place + 1).cast("bigint"))
-        .drop("_slot", "_part", "_before_n")
-    )
+
+def _splitters(df: DataFrame, keys: Sequence[Key], rows: int) -> list[tuple]:
+    """Sampled keys in order, a few per shuffle partition."""
+    buckets = _BUCKETS * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cols = [f"_key{i}" for i in range(len(keys))]
+    share = min(1.0, _SAMPLED * buckets / max(rows, 1))
+    sample = df.select(*cols).sample(share, _SEED) if share < 1 else df.select(*cols)
+    found = sample.orderBy(*[k.sort for k in keys]).collect()
+    picked = [tuple(found[len(found) * i // buckets]) for i in range(1, buckets)] if found else []
+    return [r for i, r in enumerate(picked) if not i or r != picked[i - 1]]
+
+
+def _bucket(df: DataFrame, keys: Sequence[Key], splitters: list[tuple]) -> Column:
+    """Number of splitters that lie before the row or on it, by binary search."""
+    if not splitters:
+        return F.lit(0)
+    wanted = _literal(splitters, T.StructType([df.schema[f"_key{i}"] for i in range(len(keys))]))
+
+    def reached(s: Column) -> Column:
+        out = F.lit(True)  # a row equal to the splitter belongs behind it
+        for i, k in reversed(list(enumerate(keys))):
+            other = s[f"_key{i}"]
+            out = k.after(k.column, other) | (k.column.eqNullSafe(other) & out)
+        return out
+
+    def halve(span: Column, _: Column) -> Column:
+        middle = F.floor((span["low"] + span["high"]) / 2).cast("int")
+        here = reached(F.get(wanted, middle))
+        low, high = F.when(here, middle + 1).otherwise(span["low"]), F.when(here, span["high"]).otherwise(middle)
+        return F.when(span["low"] < span["high"], F.struct(low.alias("low"), high.alias("high"))).otherwise(span)
+
+    start = F.struct(F.lit(0).alias("low"), F.lit(len(splitters)).alias("high"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(splitters).bit_length())), start, halve, lambda span: span["low"])
+
+
+def _cumulate(df: DataFrame, order: Order, values: dict[str, Column], written: bool) -> DataFrame:
+    """``df`` with the running sums of the named values, each row's own included."""
+    keys = _keys(order)
+    df = df if written else materialize(df, "unordered")
+    keyed, keys = _with_keys(df, keys)
+    splitters = _splitters(keyed, keys, df.count())
+    placed = keyed.withColumn("_part", _bucket(keyed, keys, splitters))
+    sums = placed.groupBy("_part").agg(*[F.sum(v).alias(o) for o, v in values.items()])
+    kind = T.StructType([f for f in sums.schema if f.name in values])
+    # one row per bucket: bounded by the shuffle partitions, not by the data
+    totals = {r["_part"]: r for r in sums.collect()}
+    before, running = [], {f.name: Decimal(0) if isinstance(f.dataType, T.DecimalType) else 0 for f in kind}
+    for part in range(len(splitters) + 1):
+        before.append(tuple(running.values()))
+        if part in totals:
+            running = {o: n + (totals[part][o] or 0) for o, n in running.items()}
+    local = Window.partitionBy("_part").orderBy(*[k.sort for k in keys]).rowsBetween(Window.unboundedPreceding, 0)
+    out = placed.withColumns({f"_local{i}": F.coalesce(F.sum(v).over(local), F.lit(0)) for i, v in enumerate(values.values())})
+    start = F.get(_literal(before, kind), F.col("_part"))
+    out = out.withColumns({o: start[o] + F.col(f"_local{i}") for i, o in enumerate(values)})
+    return out.select(*[c for c in df.columns if c not in values], *values)
+
+
+def global_row_number(df: DataFrame, order: Order, out: str = "row_number", written: bool = False) -> DataFrame:
+    """Number the rows 1..n in ``order``, which must end in a unique key.
+
+    ``written`` says that ``df`` is cheap to read several times.
+    """
+    numbered = _cumulate(df, order, {out: F.lit(1).cast("bigint")}, written)
+    return numbered.withColumn(out, F.col(out).cast("bigint"))
 
 
-def running_sum(df: DataFrame, order: Sequence[Column], values: dict[str, str]) -> DataFrame:
+def running_sum(df: DataFrame, order: Order, values: dict[str, str], written: bool = False) -> DataFrame:
     """Running totals in ``order``: ``values`` maps input to output column.
 
-    Inputs should be integers or decimals, so that the totals do not depend
-    on where the partition bounds fall.
+    ``order`` must end in a unique key. Inputs should be integers or decimals,
+    so that the totals do not depend on where the buckets end.
     """
-    slots = _sorted_slots(df, order)
-    cols = list(values)
-    totals = slots.groupBy("_part").agg(*[F.sum(c).alias(c) for c in cols])
-    local = Window.partitionBy("_part").orderBy("_slot").rowsBetween(Window.unboundedPreceding, 0)
-    out = slots.withColumns({f"_local_{c}": F.coalesce(F.sum(c).over(local), F.lit(0)) for c in cols})
-    out = out.join(F.broadcast(_before(totals, cols)), "_part")
-    out = out.withColumns({o: F.col(f"_before_{c}") + F.col(f"_local_{c}") for c, o in values.items()})
-    return out.drop("_slot", "_part", *[f"_local_{c}" for c in cols], *[f"_before_{c}" for c in cols])
+    return _cumulate(df, order, {o: F.col(c) for c, o in values.items()}, written)

@@ -24,7 +24,7 @@ from ..functions.columns import (
     quarter_key,
     scalar,
 )
-from ..functions.ordering import running_sum
+from ..functions.ordering import down, running_sum
 from ..functions.quantiles import quantile_table, quantiles
 from ..functions.staging import materialize
 
@@ -295,7 +295,7 @@ def pareto_segment(
     The running total is taken over exact decimals across the whole cluster.
     """
     exact = df.withColumn("_v", F.col(col).cast("decimal(28,6)"))
-    summed = running_sum(exact, [F.col(col).desc(), F.col(key).asc()], {"_v": "_cum"})
+    summed = running_sum(exact, [down(col), key], {"_v": "_cum"})
     total = scalar(df, F.sum(F.col(col).cast("decimal(28,6)")))
     share = F.try_divide(F.col("_cum").cast("double"), total.cast("double"))
     out_df = summed.withColumn("cum_cltv", F.col("_cum").cast("double")).withColumn("cum_cltv_perc", share)

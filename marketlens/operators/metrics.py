@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordering import running_sum
+from ..functions.ordering import down, running_sum
 from ..functions.staging import materialize
 
 LABEL, PREDICTED, SCORE = "actual", "predicted", "probability"
@@ -81,7 +81,7 @@ def _ranked(df: DataFrame, label: str, score: str) -> DataFrame:
     counts = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(F.col(score).alias("threshold")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
     )
-    return materialize(running_sum(counts, [F.col("threshold").desc()], {"pos": "tps", "neg": "fps"}), "ranked")
+    return materialize(running_sum(counts, [down("threshold")], {"pos": "tps", "neg": "fps"}), "ranked")
 
 
 def _totals(ranked: DataFrame):

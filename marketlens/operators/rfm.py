@@ -25,7 +25,7 @@ from ..functions.columns import (
     month_key,
     scalar,
 )
-from ..functions.ordering import global_row_number
+from ..functions.ordering import down, global_row_number
 from ..functions.quantiles import quantiles
 from ..functions.staging import materialize
 from .profile import crosstab
@@ -125,7 +125,7 @@ def rfm_quartiles(rfm: DataFrame) -> DataFrame:
     n = scalar(rfm, F.count(F.lit(1)))
     out = rfm.withColumn("R_Quartile", cut("Recency", q, (1, 2, 3, 4)))
     for source, target in (("Frequency", "F_Quartile"), ("Monetary", "M_Quartile")):
-        out = global_row_number(out, [F.col(source).desc(), F.col(CUSTOMER).asc()], "_rank")
+        out = global_row_number(out, [down(source), CUSTOMER], "_rank", written=True)
         out = out.withColumn(target, rank_bucket(F.col("_rank"), n)).drop("_rank")
     return out
 

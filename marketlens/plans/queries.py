@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import CATEGORY, CITY, CUSTOMER, ORDER, PAYMENT, PURCHASED, STATE, ZIP, from_cents
-from ..functions.ordering import global_row_number, running_sum
+from ..functions.ordering import down, global_row_number, running_sum
 from ..functions.staging import materialize, scratch_path
 from ..operators import (
     basket,
@@ -1142,13 +1142,13 @@ def i17_flagged_drops(spark, d):
 @query
 def j01_global_row_number(spark, d):
     base = rfm.rfm_base(Retail.from_star(spark, d).orders()).select(CUSTOMER, "Monetary")
-    return global_row_number(base, [F.desc("Monetary"), F.asc(CUSTOMER)], "place")
+    return global_row_number(base, [down("Monetary"), CUSTOMER], "place")
 
 
 @query
 def j02_running_sum(spark, d):
     orders = Retail.from_star(spark, d).tables.orders.select(ORDER, F.col(PAYMENT).cast("decimal(18,2)").alias("paid"))
-    table = running_sum(orders, [F.desc("paid"), F.asc(ORDER)], {"paid": "running"})
+    table = running_sum(orders, [down("paid"), ORDER], {"paid": "running"})
     return table.select(ORDER, F.col("running").cast("double").alias("running"))
 
 

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from helpers import rows_of
 from marketlens.functions import columns as C
-from marketlens.functions.ordering import global_row_number, running_sum
-from marketlens.functions.quantiles import quantile_table, quantiles
+from marketlens.functions.ordering import down, global_row_number, running_sum
+from marketlens.functions.quantiles import key_value, order_key, quantile_table, quantiles
 from marketlens.functions.skew import skew_join
 from marketlens.functions.staging import drop_tables, materialize, scratch_dir
 
@@ -99,7 +99,7 @@ def test_share_hash_depends_on_the_key_only(make):
 @given(values=st.lists(st.integers(-5, 5), max_size=60), parts=st.integers(1, 6))
 def test_row_numbers_equal_a_window(spark, values, parts):
     df = spark.createDataFrame(list(enumerate(values)), "id bigint, v bigint").repartition(parts)
-    got = global_row_number(df, [F.desc("v"), F.asc("id")], "n")
+    got = global_row_number(df, [down("v"), "id"], "n")
     want = df.withColumn("n", F.row_number().over(Window.orderBy(F.desc("v"), F.asc("id"))).cast("bigint"))
     assert rows_of(got.select("id", "v", "n")) == rows_of(want)
 
@@ -108,7 +108,7 @@ def test_row_numbers_equal_a_window(spark, values, parts):
 @given(values=st.lists(st.integers(-100, 100), max_size=60), parts=st.integers(1, 6))
 def test_running_sums_equal_a_loop(spark, values, parts):
     df = spark.createDataFrame(list(enumerate(values)), "id bigint, v bigint").repartition(parts)
-    got = {r["id"]: r["upto"] for r in running_sum(df, [F.asc("v"), F.asc("id")], {"v": "upto"}).collect()}
+    got = {r["id"]: r["upto"] for r in running_sum(df, ["v", "id"], {"v": "upto"}).collect()}
     total, want = 0, {}
     for i, v in sorted(enumerate(values), key=lambda p: (p[1], p[0])):
         total += v
@@ -122,9 +122,9 @@ def test_order_holds_over_many_partitions(spark):
     try:
         rows = [(i, random.Random(i).randrange(40)) for i in range(3000)]
         df = spark.createDataFrame(rows, "id bigint, v bigint")
-        numbered = global_row_number(df, [F.asc("v"), F.asc("id")], "n").collect()
+        numbered = global_row_number(df, ["v", "id"], "n").collect()
         assert [r["n"] for r in sorted(numbered, key=lambda r: (r["v"], r["id"]))] == list(range(1, 3001))
-        summed = running_sum(df, [F.asc("v"), F.asc("id")], {"v": "s"}).collect()
+        summed = running_sum(df, ["v", "id"], {"v": "s"}).collect()
         assert [r["s"] for r in sorted(summed, key=lambda r: (r["v"], r["id"]))] == list(np.cumsum(sorted(v for _, v in rows)))
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
@@ -198,3 +198,74 @@ def test_materialized_table_is_cut_from_its_source(make):
     df = materialize(make([(1, "a"), (2, None)], "k bigint, v string").withColumn("r", F.rand()))
     assert rows_of(df) == rows_of(df)
     assert df.inputFiles()
+
+
+def test_order_keys_keep_the_order_of_doubles(spark):
+    """Every power of two, numbers next to them, tiny and infinite ones; the key is the value's bits."""
+    import math
+    import struct
+
+    powers = [2.0**e for e in range(-1074, 1024)]
+    values = {0.0, math.inf, math.pi, 1e300, 5e-324, 2.2250738585072011e-308, *powers}
+    values |= {math.nextafter(v, x) for v in powers for x in (0.0, math.inf)}
+    rng = random.Random(1)
+    values |= {v for v in (struct.unpack("<d", rng.randbytes(8))[0] for _ in range(3000)) if v == v}
+    values = sorted(values | {-v for v in values})
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    rows = df.select("v", order_key(F.col("v")).alias("key"), key_value(order_key(F.col("v"))).alias("back")).collect()
+    assert all(r["back"] == r["v"] for r in rows)
+    for r in rows:
+        bits = struct.unpack("<q", struct.pack("<d", abs(r["v"])))[0]
+        assert r["key"] == (bits if r["v"] >= 0 else -bits)
+    nan = spark.createDataFrame([(math.nan,), (None,)], "v double").select(key_value(order_key(F.col("v"))).alias("back")).collect()
+    assert math.isnan(nan[0]["back"]) and nan[1]["back"] is None
+
+
+@pytest.mark.parametrize("scale", [1e-310, 1.0, 1e300])
+def test_quantiles_of_any_size_and_sign(spark, scale):
+    rng = np.random.default_rng(8)
+    v = np.concatenate([rng.standard_normal(300), np.zeros(120), -np.ones(40), rng.integers(-5, 5, 200)]) * scale
+    df = materialize(spark.createDataFrame([(float(x),) for x in v], "v double").repartition(5))
+    got = quantiles(df, {"v": PROBS})["v"]
+    ranked = np.sort(v)
+    for p, q in zip(PROBS, got):
+        at = p * (len(v) - 1)
+        assert ranked[int(np.floor(at))] <= q <= ranked[int(np.ceil(at))]
+
+
+def test_quantiles_exchange_counts_alone(spark):
+    """No value crosses an exchange: what does is grouped by digit first."""
+    df = materialize(spark.range(5000).select((F.col("id") % 3).alias("g"), F.rand(1).alias("v")))
+    plan = quantile_table(df, "v", (0.5,), ["g"])._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "SortMergeJoin" not in plan
+    assert "partial_count" in plan
+
+
+# one exchange
+
+
+def test_running_sums_take_one_exchange_and_no_sorted_table(spark):
+    df = materialize(spark.range(3000).select("id", (F.col("id") * 7919 % 101).alias("v")))
+    for out in (running_sum(df, [down("v"), "id"], {"v": "s"}, written=True), global_row_number(df, [down("v"), "id"], written=True)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        initial = plan[plan.index("Initial Plan") :] if "Initial Plan" in plan else plan
+        assert initial.count("Exchange") == 1 and initial.count("Sort ") == 1
+        assert "/sorted-" not in plan and "rangepartitioning" not in plan
+
+
+@pytest.mark.parametrize("kind", ["string", "double", "decimal(10,2)", "date", "timestamp", "boolean", "binary"])
+def test_order_of_any_type_with_nulls_and_a_hot_value(spark, kind):
+    values = F.when(F.col("id") % 7 == 0, None).when(F.col("id") % 3 == 0, 5).otherwise(F.col("id") * 7919 % 97)
+    v = {
+        "string": F.concat(F.lit("it's \\ ü "), values.cast("string")),
+        "double": F.when(values == 5, float("nan")).otherwise(values / 7),
+        "date": F.date_add(F.lit("2020-01-01").cast("date"), values.cast("int")),
+        "timestamp": F.timestamp_micros(values * 1_000_003),
+        "boolean": values > 40,
+        "binary": values.cast("string").cast("binary"),
+    }.get(kind, values.cast(kind))
+    df = materialize(spark.range(2000).select("id", v.alias("v")))
+    for key, sort in ((down("v"), F.desc_nulls_last("v")), ("v", F.asc_nulls_first("v"))):
+        got = {r["id"]: r["n"] for r in global_row_number(df, [key, "id"], "n").select("id", "n").collect()}
+        want = df.select("id", F.row_number().over(Window.orderBy(sort, "id")).alias("n")).collect()
+        assert got == {r["id"]: r["n"] for r in want}
