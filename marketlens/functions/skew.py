@@ -2,7 +2,8 @@
 
 The plan is the same at any size and building it starts no job. At run time
 Spark splits a partition that is too large on either side of an inner join and
-on the side whose rows an outer join keeps (``spark.sql.adaptive.skewJoin``).
+on the side whose rows an outer or anti join keeps
+(``spark.sql.adaptive.skewJoin``); it cannot split the other side of those.
 """
 
 from __future__ import annotations
@@ -13,8 +14,13 @@ from pyspark.sql import DataFrame
 def skew_join(big: DataFrame, small: DataFrame, key: str, keep: str = "neither") -> DataFrame:
     """Equi-join on ``key``; ``keep`` names the side whose rows all remain.
 
-    ``big`` is the side on which a key may repeat. Keeping ``small`` leaves the
-    rows placed by key, which later joins and groupings reuse; in that case
-    Spark does not split a hot key of ``big``.
+    ``big`` is the side on which a key may repeat. To keep ``small``, the pairs
+    come from an inner join and the rows of ``small`` without a partner from an
+    anti join against the distinct keys of ``big``, which are found on the map
+    side: a hot key of ``big`` can be split in the one and is a single row in
+    the other.
     """
-    return big.join(small, key, {"big": "left", "small": "right", "neither": "inner"}[keep])
+    if keep != "small":
+        return big.join(small, key, {"big": "left", "neither": "inner"}[keep])
+    alone = small.join(big.select(key).distinct(), key, "left_anti")
+    return big.join(small, key).unionByName(alone, allowMissingColumns=True)

@@ -79,16 +79,20 @@ def _items(t: RetailTables, wanted: Sequence[str], taken: set[str], known_catego
     return items.select(ORDER, *cols), cols
 
 
-def sales_fact(t: RetailTables, columns: Sequence[str] = FACT_COLUMNS) -> DataFrame:
-    """One row per order x item x payment, with the named columns."""
+def sales_fact(t: RetailTables, columns: Sequence[str] = FACT_COLUMNS, empty_orders: bool = True) -> DataFrame:
+    """One row per order x item x payment, with the named columns.
+
+    An order of any number of items or payments can be split over tasks.
+    Without ``empty_orders`` orders without items have no row.
+    """
     fact, taken = _orders(t, columns)
     if t.order_items is not None:
         items, cols = _items(t, columns, taken)
         taken |= set(cols)
-        fact = skew_join(items, fact, ORDER, keep="small")
+        fact = skew_join(items, fact, ORDER, keep="small" if empty_orders else "neither")
     payments = _payments(t, columns, taken, ITEM_X_PAYMENT)
     if payments is not None:
-        fact = skew_join(fact, payments, ORDER, keep="big")
+        fact = skew_join(payments, fact, ORDER, keep="small")
     return fact.select(ORDER, *[c for c in columns if c in fact.columns and c != ORDER])
 
 
@@ -120,7 +124,7 @@ def order_fact(
         fact = fact.withColumn(ROWS, one if payment_grain == PER_ORDER else F.coalesce(F.col(ROWS), one))
     payments = _payments(t, columns, taken, payment_grain)
     if payments is not None:
-        fact = fact.join(payments, ORDER, "left")
+        fact = skew_join(payments, fact, ORDER, keep="small")
     return fact.select(ORDER, *[c for c in columns if c in fact.columns and c != ORDER], ROWS)
 
 

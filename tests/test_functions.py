@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from dataclasses import replace
 from datetime import datetime
 from types import SimpleNamespace
 
@@ -17,6 +18,8 @@ from marketlens.functions.ordering import down, global_row_number, running_sum
 from marketlens.functions.quantiles import key_value, order_key, quantile_table, quantiles
 from marketlens.functions.skew import skew_join
 from marketlens.functions.staging import drop_tables, materialize, scratch_dir
+from marketlens.operators.fact import order_fact, sales_fact
+from marketlens.sources.tables import RetailTables
 
 SLOW = settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
 
@@ -174,6 +177,45 @@ def test_skew_join_equals_the_plain_join(spark, keep, how, nulls):
     assert rows_of(got.select("k", "v", "w")) == rows_of(big.join(small, "k", how).select("k", "v", "w"))
 
 
+@pytest.fixture
+def small_skew(spark):
+    """Thresholds at which a few thousand rows are skewed."""
+    wanted = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    yield spark
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_an_order_of_a_third_of_all_items_is_split(small_skew):
+    """Also where its payments repeat, and orders without items or payments stay."""
+    spark = small_skew
+    n = 12_000
+    item = F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 900)
+    items = spark.range(n).select(item.alias("order_id"), (F.col("id") % 11).cast("string").alias("product_id"), (F.col("id") * 7919).alias("price"))
+    orders = spark.range(1000).select(F.col("id").alias("order_id"), F.lit("c").alias("customer_unique_id"))
+    payments = spark.range(n).select(F.when(F.col("id") % 3 == 0, F.lit(8)).otherwise(F.col("id") % 950).alias("order_id"), (F.col("id") * 104729).alias("payment_value"))
+    items, orders, payments = (materialize(x.repartition(6)) for x in (items, orders, payments))
+    sold = RetailTables(orders=orders, customers=None, order_items=items, order_payments=None, order_reviews=None, products=None, category_translation=None, geolocation=None, sellers=None)
+    fact = sales_fact(sold, ("customer_unique_id", "product_id", "price"))
+    assert fact.count() == n + 1000 - items.select("order_id").distinct().count()
+    assert rows_of(fact.select("order_id", "price")) == rows_of(orders.join(items, "order_id", "left").select("order_id", "price"))
+    fact.collect()
+    assert "skew=true" in fact._jdf.queryExecution().executedPlan().toString()
+    paid = order_fact(replace(sold, order_items=None, order_payments=payments), ("customer_unique_id", "payment_value"))
+    assert rows_of(paid.select("order_id", "payment_value")) == rows_of(orders.join(payments, "order_id", "left").select("order_id", "payment_value"))
+    paid.collect()
+    assert "skew=true" in paid._jdf.queryExecution().executedPlan().toString()
+
+
 def test_scratch_folder_is_the_named_one(spark):
     assert scratch_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
 
