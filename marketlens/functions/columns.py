@@ -25,6 +25,9 @@ ZIP = "customer_zip_code_prefix"
 #: with one row per item does not and counts as one each.
 ROWS = "fact_rows"
 
+#: Further columns of a customer state (``operators.customer_state``), one row per customer and month.
+MONTH, ORDERS, PAID_ROWS, CENTS, FIRST, LAST = "state_month", "state_orders", "state_paid_rows", "state_cents", "state_first", "state_last"
+
 _DAY_MICROS = 86_400_000_000
 
 
@@ -38,6 +41,33 @@ def elapsed_days(start: Column | str, end: Column | str) -> Column:
     return F.floor(micros / F.lit(_DAY_MICROS)).cast("int")
 
 
+def is_state(df: DataFrame) -> bool:
+    """Whether ``df`` is a customer state and not a fact."""
+    return CENTS in df.columns
+
+
+def earliest(df: DataFrame, where: Column | None = None) -> Column:
+    """Aggregate: the first purchase."""
+    value = F.col(FIRST if is_state(df) else PURCHASED)
+    return F.min(value if where is None else F.when(where, value))
+
+
+def latest(df: DataFrame, where: Column | None = None) -> Column:
+    """Aggregate: the last purchase."""
+    value = F.col(LAST if is_state(df) else PURCHASED)
+    return F.max(value if where is None else F.when(where, value))
+
+
+def purchased(df: DataFrame) -> Column:
+    """A purchase time in the month of the row; of a fact row, its own."""
+    return F.col(FIRST if is_state(df) else PURCHASED)
+
+
+def count_orders(df: DataFrame) -> Column:
+    """Aggregate: how many orders there are."""
+    return F.sum(ORDERS) if is_state(df) else F.countDistinct(ORDER)
+
+
 def row_weight(df: DataFrame) -> Column:
     """Number of fact rows each row of ``df`` stands for."""
     return F.col(ROWS) if ROWS in df.columns else F.lit(1).cast("bigint")
@@ -50,6 +80,8 @@ def count_rows(df: DataFrame) -> Column:
 
 def count_values(df: DataFrame, col: str) -> Column:
     """Aggregate: how many fact rows have a value in ``col``."""
+    if is_state(df):
+        return F.coalesce(F.sum({PAYMENT: PAID_ROWS, ORDER: ROWS}[col]), F.lit(0).cast("bigint"))
     if ROWS in df.columns:
         return F.coalesce(F.sum(F.when(F.col(col).isNotNull(), F.col(ROWS))), F.lit(0).cast("bigint"))
     return F.count(F.col(col))
@@ -69,11 +101,12 @@ def money_total(df: DataFrame, col: str = PAYMENT, where: Column | None = None)
     Values are turned into whole cents and multiplied and added up as decimals,
     which do not overflow and do not depend on the order.
     """
-    value = _cents(col)
-    if ROWS in df.columns:
-        value = value.cast("decimal(18,0)") * F.col(ROWS).cast("decimal(15,0)")
+    if is_state(df):
+        value = F.col(CENTS)
+    elif ROWS in df.columns:
+        value = _cents(col).cast("decimal(18,0)") * F.col(ROWS).cast("decimal(15,0)")
     else:
-        value = value.cast("decimal(18,0)")
+        value = _cents(col).cast("decimal(18,0)")
     if where is not None:
         value = F.when(where, value)
     return F.coalesce(F.sum(value).cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)"))

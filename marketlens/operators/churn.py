@@ -11,12 +11,17 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import (
     CUSTOMER,
+    LAST,
     ORDER,
     PURCHASED,
     count_values,
+    earliest,
     elapsed_days,
+    is_state,
+    latest,
     money_mean,
     money_sum,
+    purchased,
     row_weight,
     scalar,
     share_hash,
@@ -39,7 +44,7 @@ FEATURES = (
 
 def last_purchase(fact: DataFrame) -> DataFrame:
     known = fact.where(F.col(CUSTOMER).isNotNull())
-    return known.groupBy(CUSTOMER).agg(F.max(PURCHASED).alias("last_purchase"))
+    return known.groupBy(CUSTOMER).agg(latest(fact).alias("last_purchase"))
 
 
 def churn_features(fact: DataFrame, days: int = CHURN_DAYS) -> DataFrame:
@@ -47,18 +52,20 @@ def churn_features(fact: DataFrame, days: int = CHURN_DAYS) -> DataFrame:
 
     The cutoff lies ``days`` before the latest purchase. A customer with
     purchases up to it and none after has churned; since both sides are
-    conditional aggregates of the same rows, no second table is joined.
+    conditional aggregates of the same rows, no second table is joined. A
+    customer state must have been split at the cutoff (``split_state``).
     """
-    cutoff = scalar(fact, F.max(PURCHASED)) - F.expr(f"INTERVAL {int(days)} DAYS")
+    cutoff = scalar(fact, latest(fact)) - F.expr(f"INTERVAL {int(days)} DAYS")
     known = fact.where(F.col(CUSTOMER).isNotNull()).withColumn("_cutoff", cutoff)
-    before = F.col(PURCHASED) <= F.col("_cutoff")
-    after = F.col(PURCHASED) > F.col("_cutoff")
-    has_order = before & F.col(ORDER).isNotNull()
+    # no row of a split state lies on both sides
+    before = (F.col(LAST) if is_state(fact) else F.col(PURCHASED)) <= F.col("_cutoff")
+    after = purchased(fact) > F.col("_cutoff")
+    has_order = before if is_state(fact) else before & F.col(ORDER).isNotNull()
     per_customer = known.groupBy(CUSTOMER).agg(
         F.sum(F.when(has_order, row_weight(fact))).alias("total_orders"),
         money_sum(fact, where=before).alias("total_revenue"),
-        F.max(F.when(before, F.col(PURCHASED))).alias("last_order"),
-        F.min(F.when(before, F.col(PURCHASED))).alias("first_order"),
+        latest(fact, before).alias("last_order"),
+        earliest(fact, before).alias("first_order"),
         F.max("_cutoff").alias("_cutoff"),
         F.max(F.coalesce(after, F.lit(False))).alias("_returned"),
     )
@@ -85,15 +92,15 @@ def churn_label(fact: DataFrame, rule: str = "holdout", days: int = CHURN_DAYS)
     if rule == "holdout":
         return churn_features(fact, days).select(CUSTOMER, "churned")
     if rule == "inactive":
-        latest = scalar(fact, F.max(PURCHASED))
-        idle = elapsed_days(F.col("last_purchase"), latest) > days
+        end = scalar(fact, latest(fact))
+        idle = elapsed_days(F.col("last_purchase"), end) > days
         return last_purchase(fact).select(CUSTOMER, "last_purchase", idle.cast("int").alias("churned"))
     raise ValueError(f"unknown rule: {rule}")
 
 
 def customer_features(fact: DataFrame) -> DataFrame:
     """Full-history features; recency counts to the last midnight of the data."""
-    midnight = F.date_trunc("day", scalar(fact, F.max(PURCHASED)))
+    midnight = F.date_trunc("day", scalar(fact, latest(fact)))
     per_customer = (
         fact.where(F.col(CUSTOMER).isNotNull())
         .groupBy(CUSTOMER)
@@ -101,8 +108,8 @@ def customer_features(fact: DataFrame) -> DataFrame:
             count_values(fact, ORDER).alias("num_orders"),
             money_mean(fact).alias("avg_order_value"),
             money_sum(fact).alias("total_revenue"),
-            F.min(PURCHASED).alias("first_purchase"),
-            F.max(PURCHASED).alias("last_purchase"),
+            earliest(fact).alias("first_purchase"),
+            latest(fact).alias("last_purchase"),
         )
     )
     out = per_customer.withColumns(

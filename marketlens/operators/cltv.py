@@ -10,17 +10,19 @@ from pyspark.sql import functions as F
 from ..functions.columns import (
     CATEGORY,
     CUSTOMER,
-    ORDER,
     PAYMENT,
-    PURCHASED,
+    count_orders,
     count_rows,
     cut,
+    earliest,
     elapsed_days,
     from_cents,
+    latest,
     money,
     money_mean,
     money_sum,
     money_total,
+    purchased,
     quarter_key,
     scalar,
 )
@@ -37,7 +39,7 @@ def cltv_basic(fact: DataFrame) -> DataFrame:
     known = fact.where(F.col(CUSTOMER).isNotNull())
     customers = scalar(known.select(CUSTOMER).distinct(), F.count(F.lit(1)))
     per_customer = known.groupBy(CUSTOMER).agg(
-        F.countDistinct(ORDER).alias("total_orders"),
+        count_orders(fact).alias("total_orders"),
         money_sum(fact).alias("total_payment"),
         money_mean(fact).alias("avg_order_value"),
     )
@@ -196,7 +198,7 @@ def cohort_summary(fact: DataFrame) -> DataFrame:
     per_customer = (
         fact.where(F.col(CUSTOMER).isNotNull())
         .groupBy(CUSTOMER)
-        .agg(F.min(PURCHASED).alias("first"), money_total(fact).alias("revenue"))
+        .agg(earliest(fact).alias("first"), money_total(fact).alias("revenue"))
         .where(F.col("first").isNotNull())
     )
     return per_customer.groupBy(quarter_key("first").alias("first_purchase_quarter")).agg(
@@ -210,11 +212,11 @@ def cltv_by_quarter(fact: DataFrame, scored: DataFrame, quarter: str = "order")
     ``quarter="order"`` takes the quarter of every order, ``"first"`` the
     customer's first.
     """
-    known = fact.where(F.col(CUSTOMER).isNotNull() & F.col(PURCHASED).isNotNull())
+    known = fact.where(F.col(CUSTOMER).isNotNull() & purchased(fact).isNotNull())
     if quarter == "order":
-        rows = known.groupBy(CUSTOMER, quarter_key(PURCHASED).alias("first_quarter")).agg(count_rows(fact).alias("rows"))
+        rows = known.groupBy(CUSTOMER, quarter_key(purchased(fact)).alias("first_quarter")).agg(count_rows(fact).alias("rows"))
     elif quarter == "first":
-        rows = known.groupBy(CUSTOMER).agg(F.min(PURCHASED).alias("first"), count_rows(fact).alias("rows"))
+        rows = known.groupBy(CUSTOMER).agg(earliest(fact).alias("first"), count_rows(fact).alias("rows"))
         rows = rows.select(CUSTOMER, quarter_key("first").alias("first_quarter"), "rows")
     else:
         raise ValueError(f"unknown quarter: {quarter}")
@@ -225,21 +227,21 @@ def cltv_by_quarter(fact: DataFrame, scored: DataFrame, quarter: str = "order")
 
 def repeat_rate(fact: DataFrame, cltv: DataFrame) -> DataFrame:
     """Share of customers with more than one order, per value segment."""
-    orders = fact.where(F.col(CUSTOMER).isNotNull()).groupBy(CUSTOMER).agg(F.countDistinct(ORDER).alias("orders"))
+    orders = fact.where(F.col(CUSTOMER).isNotNull()).groupBy(CUSTOMER).agg(count_orders(fact).alias("orders"))
     joined = orders.join(cltv.where(F.col(SEGMENT).isNotNull()).select(CUSTOMER, SEGMENT), CUSTOMER)
     return joined.groupBy(SEGMENT).agg(F.avg((F.col("orders") > 1).cast("int")).alias("repeat_flag"))
 
 
 def rft_summary(fact: DataFrame) -> DataFrame:
     """Repeat orders, first-to-last days, age and mean payment per customer."""
-    latest = scalar(fact, F.max(PURCHASED))
+    end = scalar(fact, latest(fact))
     per_customer = (
         fact.where(F.col(CUSTOMER).isNotNull())
         .groupBy(CUSTOMER)
         .agg(
-            (F.countDistinct(ORDER) - 1).alias("frequency"),
-            F.min(PURCHASED).alias("first"),
-            F.max(PURCHASED).alias("last"),
+            (count_orders(fact) - 1).alias("frequency"),
+            earliest(fact).alias("first"),
+            latest(fact).alias("last"),
             money_mean(fact).alias("monetary_value"),
         )
     )
@@ -247,7 +249,7 @@ def rft_summary(fact: DataFrame) -> DataFrame:
         CUSTOMER,
         "frequency",
         elapsed_days("first", "last").alias("recency"),
-        elapsed_days(F.col("first"), latest).alias("T"),
+        elapsed_days(F.col("first"), end).alias("T"),
         "monetary_value",
     )
 

@@ -14,15 +14,17 @@ from ..functions.columns import (
     CUSTOMER,
     ORDER,
     PAYMENT,
-    PURCHASED,
+    count_orders,
     count_rows,
     count_values,
     cut,
     elapsed_days,
     half_even,
+    latest,
     money,
     money_sum,
     month_key,
+    purchased,
     scalar,
 )
 from ..functions.ordering import down, global_row_number
@@ -42,14 +44,14 @@ def rfm_base(fact: DataFrame, freq: str = "rows") -> DataFrame:
     """
     if freq not in ("rows", "orders"):
         raise ValueError(f"unknown frequency: {freq}")
-    latest = scalar(fact, F.max(PURCHASED))
-    times = count_values(fact, ORDER) if freq == "rows" else F.countDistinct(ORDER)
+    end = scalar(fact, latest(fact))
+    times = count_values(fact, ORDER) if freq == "rows" else count_orders(fact)
     per_customer = (
         fact.where(F.col(CUSTOMER).isNotNull())
         .groupBy(CUSTOMER)
-        .agg(F.max(PURCHASED).alias("last"), times.alias("Frequency"), money_sum(fact, PAYMENT).alias("Monetary"))
+        .agg(latest(fact).alias("last"), times.alias("Frequency"), money_sum(fact, PAYMENT).alias("Monetary"))
     )
-    recency = elapsed_days(F.col("last"), latest + F.expr("INTERVAL 1 DAY"))
+    recency = elapsed_days(F.col("last"), end + F.expr("INTERVAL 1 DAY"))
     return per_customer.select(CUSTOMER, recency.alias("Recency"), "Frequency", "Monetary")
 
 
@@ -173,14 +175,14 @@ def revenue_by_segment(rfm: DataFrame, by: str = "BehaviorSegment") -> DataFrame
 
 def segment_orders_by_month(fact: DataFrame, rfm: DataFrame) -> DataFrame:
     """Fact rows per month and customer group; customers without a group drop out."""
-    rows = _rows_per_customer(fact.where(F.col(PURCHASED).isNotNull()), month_key(PURCHASED).alias("order_month"))
+    rows = _rows_per_customer(fact.where(purchased(fact).isNotNull()), month_key(purchased(fact)).alias("order_month"))
     joined = rows.join(rfm.select(CUSTOMER, "CustomerGroup"), CUSTOMER)
     return joined.groupBy("order_month", "CustomerGroup").agg(F.sum("rows").alias("order_count"))
 
 
 def segment_customers_by_month(fact: DataFrame, rfm: DataFrame) -> DataFrame:
     """Distinct customers per month and customer group."""
-    active = _rows_per_customer(fact.where(F.col(PURCHASED).isNotNull()), month_key(PURCHASED).alias("order_month"))
+    active = _rows_per_customer(fact.where(purchased(fact).isNotNull()), month_key(purchased(fact)).alias("order_month"))
     # one row per customer and month: counting rows counts customers
     joined = active.join(rfm.select(CUSTOMER, "CustomerGroup"), CUSTOMER)
     return joined.groupBy("order_month", "CustomerGroup").agg(F.count(F.lit(1)).alias("unique_customers"))

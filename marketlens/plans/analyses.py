@@ -1,8 +1,9 @@
 """Analyses over one set of retail tables.
 
 Each method reads only the columns and builds only the joins that its answer
-needs. An answer that looks at the orders twice writes them once
-(``written_orders``) and hands them on.
+needs. Questions about customers are answered from one customer state, which a
+``Retail`` writes when it is first asked for; an answer that looks at the orders
+themselves twice writes them once (``written_orders``) and hands them on.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import CATEGORY, ORDER
 from ..functions.staging import materialize
-from ..operators import basket, churn, cltv, geo, lifetime_model, reviews, rfm
+from ..operators import basket, churn, cltv, customer_state, geo, lifetime_model, reviews, rfm
 from ..operators.cleaning import clean_tables
 from ..operators.fact import ORDER_COLUMNS, order_fact, sales_fact
 from ..sources.star import star_tables
@@ -24,6 +25,7 @@ class Retail:
 
     def __init__(self, tables: RetailTables):
         self.tables = clean_tables(tables)
+        self._state: DataFrame | None = None
 
     @classmethod
     def from_star(cls, spark: SparkSession, folder: str) -> Retail:
@@ -37,24 +39,34 @@ class Retail:
         """``orders`` as a written table, for answers that read it more than once."""
         return materialize(self.orders(*extra), "orders")
 
-    def items(self, *columns: str) -> DataFrame:
+    def items(self, *columns: str, empty_orders: bool = True) -> DataFrame:
         """Fact with one row per item and payment."""
-        return sales_fact(self.tables, columns)
+        return sales_fact(self.tables, columns, empty_orders)
 
     def category_rows(self) -> DataFrame:
-        """Fact rows with their product category.
+        """Fact rows of items, with their product category.
 
         Not collapsed first: an order hardly repeats a category, so counting
-        would cost a shuffle more than it saves; hot orders are split off in
-        the join.
+        would cost a shuffle more than it saves; hot orders are split in the
+        join.
         """
-        return self.items(*ORDER_COLUMNS, CATEGORY)
+        return self.items(*ORDER_COLUMNS, CATEGORY, empty_orders=False)
 
     # customers
 
+    def state(self) -> DataFrame:
+        """The written customer state, made from the orders on the first call."""
+        if self._state is None:
+            self._state = materialize(customer_state.customer_state(self.orders()), "state")
+        return self._state
+
+    def churn_state(self, days: int = churn.CHURN_DAYS) -> DataFrame:
+        """The state split at the churn cutoff."""
+        return materialize(customer_state.split_state(self.state(), self.orders(), days), "churn_state")
+
     def rfm(self, rule: str = "all", precedence: str = "first", orders: DataFrame | None = None) -> DataFrame:
         """Scored customers with group and behaviour segment."""
-        scored = rfm.rfm_scores(rfm.rfm_base(self.orders() if orders is None else orders))
+        scored = rfm.rfm_scores(rfm.rfm_base(self.state() if orders is None else orders))
         return rfm.behavior_segment(rfm.customer_group(scored, rule), precedence)
 
     def rfm_summary(self) -> DataFrame:
@@ -62,23 +74,21 @@ class Retail:
 
     def cltv(self, orders: DataFrame | None = None) -> DataFrame:
         """Customer values with both segmentations."""
-        return cltv.segment_cltv(cltv.cltv_basic(self.orders() if orders is None else orders))
+        return cltv.segment_cltv(cltv.cltv_basic(self.state() if orders is None else orders))
 
     def rfm_cltv(self) -> DataFrame:
-        rows = self.written_orders()
-        return cltv.rfm_cltv(self.rfm(orders=rows), self.cltv(rows))
+        return cltv.rfm_cltv(self.rfm(), self.cltv())
 
     def repeat_summary(self, cap: int | None = 365, positive: bool = True, orders: DataFrame | None = None) -> DataFrame:
         """Filtered model input: repeat customers."""
-        return cltv.rft_filter(cltv.rft_summary(self.orders() if orders is None else orders), cap=cap, positive=positive)
+        return cltv.rft_filter(cltv.rft_summary(self.state() if orders is None else orders), cap=cap, positive=positive)
 
     def modelled_cltv(self, horizon: float = 365.0, cap: int | None = 365, orders: DataFrame | None = None) -> DataFrame:
         return lifetime_model.model_cltv(self.repeat_summary(cap, orders=orders), horizon)
 
     def churn(self) -> DataFrame:
         """Holdout data set with the encoded value segment."""
-        rows = self.written_orders()
-        data = materialize(churn.churn_dataset(churn.churn_features(rows), self.cltv(rows)), "churn")
+        data = materialize(churn.churn_dataset(churn.churn_features(self.churn_state()), self.cltv()), "churn")
         return churn.label_encode(data, cltv.SEGMENT, "cltv_segment_encoded")
 
     # baskets

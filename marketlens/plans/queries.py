@@ -333,7 +333,7 @@ def b13_revenue_by_segment(spark, d):
 @query
 def b14_segment_orders_by_month(spark, d):
     shop = Retail.from_star(spark, d)
-    rows = shop.written_orders()
+    rows = shop.state()
     return rfm.segment_orders_by_month(rows, shop.rfm(orders=rows))
 
 
@@ -442,7 +442,7 @@ def _tertiles(shop: Retail, orders: DataFrame | None = None) -> DataFrame:
 @query
 def c12_revenue_comparison(spark, d):
     shop = Retail.from_star(spark, d)
-    rows = shop.written_orders()
+    rows = shop.state()
     table = cltv.revenue_comparison(rows, _tertiles(shop, rows))
     return table.withColumn("predicted_cltv", F.round("predicted_cltv", 1))
 
@@ -450,7 +450,7 @@ def c12_revenue_comparison(spark, d):
 @query
 def c12_revenue_comparison_model(spark, d):
     shop = Retail.from_star(spark, d)
-    rows = shop.written_orders()
+    rows = shop.state()
     return cltv.revenue_comparison(rows, shop.modelled_cltv(orders=rows))
 
 
@@ -462,27 +462,27 @@ def c13_top_categories_per_segment(spark, d):
 
 @query
 def c14_cohort_summary(spark, d):
-    return cltv.cohort_summary(Retail.from_star(spark, d).orders())
+    return cltv.cohort_summary(Retail.from_star(spark, d).state())
 
 
 @query
 def c15_cltv_by_quarter(spark, d):
     shop = Retail.from_star(spark, d)
-    rows = shop.written_orders()
+    rows = shop.state()
     return cltv.cltv_by_quarter(rows, shop.cltv(rows)).withColumns(r6("cltv_normalized"))
 
 
 @query
 def c15_cltv_by_first_quarter(spark, d):
     shop = Retail.from_star(spark, d)
-    rows = shop.written_orders()
+    rows = shop.state()
     return cltv.cltv_by_quarter(rows, shop.cltv(rows), "first").withColumns(r6("cltv_normalized"))
 
 
 @query
 def c16_repeat_rate(spark, d):
     shop = Retail.from_star(spark, d)
-    return cltv.repeat_rate(shop.orders(), shop.cltv())
+    return cltv.repeat_rate(shop.state(), shop.cltv())
 
 
 # D: probabilistic lifetime model
@@ -560,7 +560,7 @@ def d10_pareto_segment(spark, d):
 @query
 def d11_regression_error(spark, d):
     shop = Retail.from_star(spark, d)
-    rows = shop.written_orders()
+    rows = shop.state()
     both = _stand_in(shop, rows).join(shop.cltv(rows).select(CUSTOMER, "better_cltv"), CUSTOMER)
     return cltv.regression_error(both, "better_cltv", "predicted_cltv").select(
         F.round("mae", 3).alias("mae"), F.round("rmse", 3).alias("rmse")
@@ -598,15 +598,14 @@ def e05_customer_features(spark, d):
 @query
 def e06_churn_dataset(spark, d):
     shop = Retail.from_star(spark, d)
-    rows = shop.written_orders()
-    data = churn.churn_dataset(churn.churn_features(rows), shop.cltv(rows))
+    data = churn.churn_dataset(churn.churn_features(shop.churn_state()), shop.cltv())
     return data.select(CUSTOMER, "total_orders", "total_revenue", "churned", cltv.SEGMENT)
 
 
 @query
 def e07_churn_cltv_dataset(spark, d):
     shop = Retail.from_star(spark, d)
-    rows = shop.written_orders()
+    rows = shop.state()
     data = churn.churn_cltv_dataset(churn.churn_label(rows, "inactive"), _tertiles(shop, rows))
     return data.select(CUSTOMER, "churned", "frequency", "recency", "T", F.round("predicted_cltv", 4).alias("predicted_cltv"), "cltv_segment")
 
@@ -1046,7 +1045,7 @@ def i08_value_per_customer_city(spark, d):
 
 @query
 def i09_standardize(spark, d):
-    features = clusters.cluster_features(churn.customer_features(Retail.from_star(spark, d).orders()))
+    features = clusters.cluster_features(churn.customer_features(Retail.from_star(spark, d).state()))
     table = clusters.standardize(materialize(features, "features"), clusters.CUSTOMER_FEATURES)
     return table.select(CUSTOMER, *[F.round(f"{c}_std", 6).alias(f"{c}_std") for c in clusters.CUSTOMER_FEATURES])
 
@@ -1068,7 +1067,7 @@ def i11_chosen_clusters(spark, d):
 
 
 def _clustered(spark, d):
-    return clusters.customer_clusters(churn.customer_features(Retail.from_star(spark, d).orders()))
+    return clusters.customer_clusters(churn.customer_features(Retail.from_star(spark, d).state()))
 
 
 @query
@@ -1078,7 +1077,7 @@ def i12_customer_clusters(spark, d):
 
 @query
 def i13_pca2(spark, d):
-    features = clusters.cluster_features(churn.customer_features(Retail.from_star(spark, d).orders()))
+    features = clusters.cluster_features(churn.customer_features(Retail.from_star(spark, d).state()))
     return clusters.pca2(materialize(features, "features")).select(CUSTOMER, "pca1", "pca2")
 
 
@@ -1086,7 +1085,7 @@ def i13_pca2(spark, d):
 def i14_label_clusters(spark, d):
     """Clusters given by the recency quartile score, so that SQL can follow."""
     shop = Retail.from_star(spark, d)
-    features = clusters.cluster_features(churn.customer_features(shop.orders()))
+    features = clusters.cluster_features(churn.customer_features(shop.state()))
     given = features.join(_scores(spark, d).select(CUSTOMER, F.col("R").alias("cluster")), CUSTOMER)
     return clusters.label_clusters(materialize(given, "clusters"))
 

@@ -4,8 +4,15 @@ from __future__ import annotations
 
 import re
 
+import pytest
+
 from marketlens.functions.columns import CATEGORY, CITY, CUSTOMER, PAYMENT, PURCHASED, STATE
-from marketlens.operators import filters, rfm
+from marketlens.operators import customer_state, filters, rfm
+from marketlens.plans.analyses import Retail
+from marketlens.plans.queries import QUERIES
+
+SMALL = "/root/testdata/sf0.001"
+
 
 def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
@@ -72,10 +79,26 @@ def test_facet_values_need_no_order_columns(star):
     assert set(re.findall(r"(\w+):", read["orders"])) == {"o_orderkey"}
 
 
-def test_an_answer_builds_the_orders_once(star, monkeypatch):
-    built, orders = [], type(star).orders
-    monkeypatch.setattr(type(star), "orders", lambda self, *a, **k: built.append(a) or orders(self, *a, **k))
-    star.rfm_cltv()
+def test_customer_questions_build_the_orders_once(spark, monkeypatch):
+    built, orders = [], Retail.orders
+    monkeypatch.setattr(Retail, "orders", lambda self, *a, **k: built.append(a) or orders(self, *a, **k))
+    shop = Retail.from_star(spark, SMALL)
+    shop.rfm_cltv()
+    shop.repeat_summary()
     assert len(built) == 1
-    star.churn()
-    assert len(built) == 2
+    shop.churn()
+    assert len(built) == 2  # the month of the cutoff
+
+
+@pytest.mark.parametrize("name, times", [("b12_category_by_segment", 1), ("c13_top_categories_per_segment", 1), ("c16_repeat_rate", 0), ("f02_segment_baskets", 1), ("b14_segment_orders_by_month", 0)])
+def test_answers_by_segment_scan_the_items_once(spark, name, times):
+    plan = plan_of(QUERIES[name](spark, SMALL))
+    plan = plan[plan.index("Initial Plan") :] if "Initial Plan" in plan else plan
+    assert plan.count("/lineitem.parquet") == times
+
+
+def test_the_cutoff_month_alone_is_read_again(spark):
+    shop = Retail.from_star(spark, SMALL)
+    split = customer_state.split_state(shop.state(), shop.orders(), 180)
+    pushed = re.search(r"orders\.parquet\].*?PushedFilters: \[(.*?)\]", plan_of(split)).group(1)
+    assert "GreaterThanOrEqual(o_orderdate" in pushed and "LessThan(o_orderdate" in pushed
