@@ -69,11 +69,16 @@ def _design(days: np.ndarray, start: float, span: float, changes: np.ndarray, wa
     return np.column_stack(cols)
 
 
-def fit_series(ds: pd.Series, y: np.ndarray, periods: int, waves: int = 4, n_changes: int = 5) -> pd.DataFrame:
+def fit_series(ds: pd.Series, y: np.ndarray, periods: int, waves: int = 4, n_changes: int = 25) -> pd.DataFrame:
     """Fit one series and predict its own dates and the next month-ends.
 
-    Ridge least squares on the scaled series; the 80 % band comes from the
-    spread of the residuals.
+    Ridge least squares on the scaled series, with the same trend bends and
+    yearly waves whatever its length: on a short series the ridge holds them
+    back. The 80 % band adds up three variances: the noise around the fit, what
+    the fit leaves open about the coefficients, and, behind the last date, bends
+    yet to come. Those are taken to come as often and to be as strong as the
+    past ones, so the variance they add grows with the third power of the time
+    ahead.
     """
     dates = pd.DatetimeIndex(pd.to_datetime(ds))
     future = pd.date_range(dates.max() + pd.offsets.Day(1), periods=periods, freq="ME") if len(dates) else dates
@@ -82,18 +87,21 @@ def fit_series(ds: pd.Series, y: np.ndarray, periods: int, waves: int = 4, n_cha
     known = len(dates)
     scale = max(float(np.abs(y).max()), 1e-12)
     span = max(days[known - 1] - days[0], 1.0)
-    waves = min(waves, max(0, (known - 2) // 4)) if span >= 365 else 0
-    changes = np.linspace(0, 0.8, n_changes + 2)[1:-1] if known > 2 * (n_changes + 2) else np.empty(0)
+    reach = 0.95  # bends lie in this part of the history
+    changes = np.linspace(0, reach, n_changes + 2)[1:-1]
     x = _design(days, days[0], span, changes, waves)
     # the level is free, the slope nearly so, bends and waves are held back
-    penalty = np.concatenate([[0.0, 1e-3], np.full(len(changes), 1.0), np.full(2 * waves, 0.1)])
-    if known < 2:
-        penalty[1] = 1.0
+    penalty = np.concatenate([[0.0, 1e-3], np.full(n_changes, 0.01), np.full(2 * waves, 0.1)]) + 1e-9
     a = x[:known]
-    beta = np.linalg.solve(a.T @ a + np.diag(penalty + 1e-9), a.T @ (y / scale))
+    inverse = np.linalg.inv(a.T @ a + np.diag(penalty))
+    beta = inverse @ (a.T @ (y / scale))
     yhat = x @ beta * scale
-    free = max(known - x.shape[1], 1)
-    spread = 1.2815515655446004 * np.sqrt(np.sum((y - yhat[:known]) ** 2) / free)
+    free = known - np.trace(a @ inverse @ a.T)
+    noise = np.sum((y - yhat[:known]) ** 2) / max(free, 1.0)
+    bends = beta[2 : 2 + n_changes] * scale
+    ahead = np.maximum(0.0, days - days[known - 1]) / span
+    trend = n_changes / reach * np.mean(bends**2) * ahead**3 / 3
+    spread = 1.2815515655446004 * np.sqrt(noise * (1 + np.einsum("ij,jk,ik->i", x, inverse, x)) + trend)
     return pd.DataFrame(
         {
             "ds": every.date,

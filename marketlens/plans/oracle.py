@@ -865,6 +865,16 @@ _twin(
     count(DISTINCT order_id) AS order_count FROM fact GROUP BY 1, 2""",
     "fact",
 )
+_twin(
+    "g05_forecast_structure",
+    """SELECT state AS customer_state, metric, count(DISTINCT date_trunc('month', ts)) AS months,
+    strftime(min(ts), '%Y-%m-01') AS first_month, strftime(max(ts), '%Y-%m-01') AS last_month,
+    strftime(last_day(max(ts)), '%Y-%m-%d') AS first_forecast,
+    strftime(last_day(date_trunc('month', max(ts)) + INTERVAL 5 MONTH), '%Y-%m-%d') AS last_forecast,
+    true AS ordered, true AS widens
+    FROM fact, (VALUES ('total_revenue'), ('order_count')) AS m(metric) WHERE state IS NOT NULL GROUP BY 1, 2""",
+    "fact",
+)
 _twin(
     "g06_forecast_error",
     """SELECT round(avg(abs(total_revenue - rev3)), 2) AS mae, round(sqrt(avg((total_revenue - rev3) * (total_revenue - rev3))), 2) AS rmse,

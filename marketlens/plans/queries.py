@@ -907,9 +907,21 @@ def g05_forecast(spark, d):
 
 
 @query
-def g05_forecast_total(spark, d):
-    months = timeseries.monthly(Retail.from_star(spark, d).orders())
-    return timeseries.forecast(timeseries.long_series(months), ["metric"])
+def g05_forecast_structure(spark, d):
+    """What can be told of a forecast without fitting one: its dates, the order of its lines, a band that widens."""
+    rows = materialize(g05_forecast(spark, d), "forecast")
+    width = F.col("yhat_upper") - F.col("yhat_lower")
+    ordered = (F.col("yhat_lower") <= F.col("yhat")) & (F.col("yhat") <= F.col("yhat_upper"))
+    future = F.col("is_future")
+    return rows.groupBy(STATE, "metric").agg(
+        F.count_if(~future).alias("months"),
+        F.min("ds").cast("string").alias("first_month"),
+        F.max(F.when(~future, F.col("ds"))).cast("string").alias("last_month"),
+        F.min(F.when(future, F.col("ds"))).cast("string").alias("first_forecast"),
+        F.max(F.when(future, F.col("ds"))).cast("string").alias("last_forecast"),
+        F.bool_and(ordered).alias("ordered"),
+        (F.max_by(width, "ds") > F.min_by(F.when(future, width), F.when(future, F.col("ds")))).alias("widens"),
+    )
 
 
 @query

@@ -251,6 +251,45 @@ def test_short_series_still_forecast(n):
     assert out["yhat"].iloc[-1] == pytest.approx(7.0, rel=0.05)
 
 
+def _path(rng, months, bend, noise):
+    """A trend that bends at random, a yearly wave and noise, on month-ends."""
+    days = pd.date_range("2008-01-31", periods=months, freq="ME")
+    slopes = 1.0 + np.cumsum(rng.normal(0, bend, months) * (rng.random(months) < 0.1))
+    season = 5 * np.sin(2 * np.pi * days.dayofyear.to_numpy() / 365.25)
+    return pd.Series(days), 100 + np.cumsum(slopes) + season + rng.normal(0, noise, months)
+
+
+@pytest.mark.parametrize("months, bend", [(40, 0.0), (72, 0.3), (96, 0.6)])
+def test_bands_hold_what_comes(months, bend):
+    """80 % bands over simulated series, six months ahead."""
+    rng, held = np.random.default_rng(months), []
+    for _ in range(150):
+        ds, y = _path(rng, months + 6, bend, 3.0)
+        out = timeseries.fit_series(ds[:months], y[:months], 6)[months:]
+        held.append((out["yhat_lower"].to_numpy() <= y[months:]) & (y[months:] <= out["yhat_upper"].to_numpy()))
+    assert 0.68 <= np.mean(held) <= 0.93
+
+
+def test_bands_grow_with_the_horizon_and_with_past_bends():
+    rng = np.random.default_rng(4)
+    ds, y = _path(rng, 96, 0.0, 3.0)
+    bent = y + np.where(np.arange(96) > 40, 4.0 * (np.arange(96) - 40), 0) - np.where(np.arange(96) > 60, 8.0 * (np.arange(96) - 60), 0)
+    calm, wild = (timeseries.fit_series(ds, v, 36) for v in (y, bent))
+    for out in (calm, wild):
+        width = (out["yhat_upper"] - out["yhat_lower"]).to_numpy()[96:]
+        assert width[0] < width[11] < width[23] < width[35]
+    grown = [(o["yhat_upper"] - o["yhat_lower"]).to_numpy()[[96, 131]] for o in (calm, wild)]
+    assert grown[1][1] / grown[1][0] > grown[0][1] / grown[0][0]
+
+
+@pytest.mark.parametrize("n", [13, 14, 15, 16])
+def test_one_more_month_does_not_change_the_kind_of_model(n):
+    """A yearly wave shows in the fit on either side of a year and of 14 points."""
+    ds, y = _path(np.random.default_rng(n), n, 0.0, 0.1)
+    flat = timeseries.fit_series(ds, y, 1)["yhat"][:n] - np.poly1d(np.polyfit(np.arange(n), y, 1))(np.arange(n))
+    assert np.abs(flat).max() > 1.0
+
+
 def test_forecast_error_and_rolling_mean(make):
     actual = make([(1, 10.0), (2, 0.0), (3, 20.0)], "ds int, y double")
     fc = make([(1, 11.0), (2, 2.0), (3, 18.0), (4, 5.0)], "ds int, yhat double")
