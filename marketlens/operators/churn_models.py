@@ -6,14 +6,17 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Model
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import CUSTOMER, scalar, share_hash
+from ..functions.columns import CUSTOMER, scalar
+from ..functions.ordering import global_row_number
+from ..functions.staging import materialize
 from . import metrics
+from .boosting import BoostedModel, Settings, fit_boosted
 from .churn import FEATURES
 
 LABEL = "churned"
@@ -56,22 +59,22 @@ def train_lr(train: DataFrame, iterations: int = 300) -> Model:
     return LogisticRegression(labelCol=LABEL, weightCol="weight", maxIter=iterations, regParam=1.0 / n).fit(weighted)
 
 
-def train_gbt(train: DataFrame, rounds: int = 100, depth: int = 6, rate: float = 0.3, seed: int = 42) -> Model:
-    """Boosted trees with positives weighted by the class ratio."""
-    gbt = GBTClassifier(labelCol=LABEL, weightCol="weight", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed)
-    return gbt.fit(with_weight(train, "positive"))
+def train_gbt(train: DataFrame, rounds: int = 100, depth: int = 6, rate: float = 0.3) -> BoostedModel:
+    """Second-order boosted trees with positives weighted by the class ratio. ``train`` should be a written table."""
+    return fit_boosted(train, LABEL, settings=Settings(rounds, depth, rate))[0]
 
 
-def score(model: Model, test: DataFrame) -> DataFrame:
+def score(model: Model | BoostedModel, test: DataFrame) -> DataFrame:
     """Features with the actual label, the prediction and its probability."""
     out = model.transform(test)
+    positive = F.col("positive") if isinstance(model, BoostedModel) else vector_to_array("probability")[1]
     return out.withColumns(
         {
             metrics.LABEL: F.col(LABEL).cast("int"),
             metrics.PREDICTED: F.col("prediction").cast("int"),
-            metrics.SCORE: vector_to_array("probability")[1],
+            metrics.SCORE: positive,
         }
-    ).drop("features", "rawPrediction", "prediction", LABEL)
+    ).drop("features", "rawPrediction", "prediction", "positive", LABEL)
 
 
 def dummy_baseline(train: DataFrame, test: DataFrame, label: str = LABEL) -> DataFrame:
@@ -81,19 +84,39 @@ def dummy_baseline(train: DataFrame, test: DataFrame, label: str = LABEL) -> Dat
     return test.withColumn("_majority", majority).agg((F.sum(hit) / F.count(hit)).alias("baseline_accuracy"))
 
 
-def fold_of(key: str = CUSTOMER, folds: int = 3, seed: int = 7):
-    """Fold number of a row. It does not depend on the label, so every fold
-    holds the classes in the overall proportion, and no class has to be
-    gathered to be dealt out."""
-    return share_hash(key, seed, folds)
-
-
-def cross_val(train_model: Callable[[DataFrame], Model], df: DataFrame, folds: int = 3, key: str = CUSTOMER) -> list[float]:
-    """Accuracy on each held-out fold. ``df`` should be a written table."""
-    placed = df.withColumn("_fold", fold_of(key, folds))
+def with_folds(df: DataFrame, label: str = LABEL, key: str = CUSTOMER, folds: int = 3, seed: int = 7, out: str = "fold") -> DataFrame:
+    """Add a fold number such that the folds' counts of a class differ by at most one.
+
+    The rows of a class are dealt out in turn, in the order of a hash of their
+    key: the whole table is numbered class by class across the cluster, and a
+    row's place in its class is its number less those of the classes before. No
+    class is gathered. ``key`` is unique; ``df`` is read several times and
+    should be a written table.
+    """
+    dealt = F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(seed))))
+    numbered = global_row_number(df, [label, dealt, key], "_place", written=True)
+    sizes = df.groupBy(F.col(label).alias("_class")).agg(F.count(F.lit(1)).alias("n"))
+    behind = F.sort_array(F.collect_list(F.struct("_class", "n")))  # one entry per class
+    classes = sizes.agg(behind.alias("c")).scalar()
+    before = F.aggregate(
+        F.filter("_classes", lambda c: ~c["_class"].eqNullSafe(F.col(label)) & (c["_class"].isNull() | (c["_class"] < F.col(label)))),
+        F.lit(0).cast("bigint"),
+        lambda total, c: total + c["n"],
+    )
+    placed = numbered.withColumn("_classes", classes).withColumn(out, F.pmod(F.col("_place") - 1 - before, F.lit(folds)).cast("int"))
+    return placed.drop("_place", "_classes")
+
+
+def cross_val(train_model: Callable[[DataFrame], Model | BoostedModel], df: DataFrame, folds: int = 3, key: str = CUSTOMER) -> list[float]:
+    """Accuracy on each held-out fold of stratified folds. ``df`` should be a written table.
+
+    The boosted trees of all folds are grown in the same passes.
+    """
+    placed = materialize(with_folds(df, key=key, folds=folds, out="_fold"), "folds")
+    boosted = fit_boosted(placed, LABEL, "_fold", range(folds)) if train_model is train_gbt else None
     out = []
     for i in range(folds):
-        model = train_model(placed.where(F.col("_fold") != i))
+        model = boosted[i] if boosted else train_model(placed.where(F.col("_fold") != i))
         held_out = model.transform(placed.where(F.col("_fold") == i))
         hit = (F.col("prediction") == F.col(LABEL)).cast("int")
         accuracy = held_out.agg((F.sum(hit) / F.count(hit)).alias("a")).first()["a"]
@@ -102,9 +125,9 @@ def cross_val(train_model: Callable[[DataFrame], Model], df: DataFrame, folds: i
     return out
 
 
-def importances(model: Model, features: Sequence[str] = FEATURES) -> DataFrame:
-    """Share of each feature in the tree splits, largest first."""
-    values = model.featureImportances.toArray()
+def importances(model: Model | BoostedModel, features: Sequence[str] = FEATURES) -> DataFrame:
+    """Share of each feature in the tree splits (of boosted trees, in the mean gain), largest first."""
+    values = model.importances if isinstance(model, BoostedModel) else model.featureImportances.toArray()
     spark = SparkSession.active()
     rows = [(name, float(v)) for name, v in zip(features, values)]
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")

@@ -717,11 +717,18 @@ _twin(
     ELSE 1.0::DOUBLE END AS pos_weight FROM churn GROUP BY churned""",
     "churn",
 )
+_part(
+    "folds",
+    """SELECT customer_unique_id, churned, CAST((row_number() OVER (PARTITION BY churned
+    ORDER BY md5(customer_unique_id || '-7'), customer_unique_id) - 1) % 3 AS INTEGER) AS fold FROM churn""",
+    "churn",
+)
 _twin(
     "e17_fold_sizes",
-    f"SELECT CAST({_hash(7, 3)} AS INTEGER) AS fold, churned, count(*) AS customers FROM churn GROUP BY 1, 2",
-    "churn",
+    "SELECT fold, churned, count(*) AS customers FROM folds GROUP BY 1, 2",
+    "folds",
 )
+_twin("e17_folds", "SELECT * FROM folds", "folds")
 _twin(
     "e18_confusion",
     """SELECT 0 AS actual, 0 AS predicted, tn AS count FROM cells UNION ALL SELECT 0, 1, fp FROM cells

@@ -686,9 +686,18 @@ def e17_cross_val(spark, d):
     return spark.createDataFrame(rows, "model string, fold int, accuracy double")
 
 
+def _folds(spark, d):
+    return churn_models.with_folds(materialize(Retail.from_star(spark, d).churn(), "churn"))
+
+
+@query
+def e17_folds(spark, d):
+    return _folds(spark, d).select(CUSTOMER, "churned", "fold")
+
+
 @query
 def e17_fold_sizes(spark, d):
-    data = Retail.from_star(spark, d).churn().withColumn("fold", churn_models.fold_of())
+    data = _folds(spark, d)
     return data.groupBy("fold", "churned").agg(F.count(F.lit(1)).alias("customers"))
 
 
@@ -732,6 +741,12 @@ def e22_importances(spark, d):
     return churn_models.importances(churn_models.train_rf(train))
 
 
+@query
+def e22_boosted_importances(spark, d):
+    _, train, _ = _split_data(spark, d)
+    return churn_models.importances(churn_models.train_gbt(train))
+
+
 @query
 def e23_compare_models(spark, d):
     data, train, test = _split_data(spark, d)
