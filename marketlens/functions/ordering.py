@@ -76,6 +76,8 @@ def _literal(rows: Sequence[Sequence], kind: T.StructType) -> Column:
         text = str(value).encode().hex()
         return f"CAST(CAST(X'{text}' AS STRING) AS {t.simpleString()})"
 
+    # without ANSI casts the parts count as nullable, whatever the columns are
+    kind = T.StructType([T.StructField(f.name, f.dataType, True) for f in kind])
     structs = [f"named_struct({', '.join(f"'{f.name}', {one(v, f.dataType)}" for v, f in zip(r, kind))})" for r in rows]
     return F.expr(f"array({', '.join(structs)})").cast(T.ArrayType(kind))
 

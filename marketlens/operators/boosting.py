@@ -138,8 +138,13 @@ def bin_edges(train: DataFrame, bins: int) -> list[np.ndarray]:
     return [np.unique([r[f"q{i}"] for i in range(len(probs))]) for r in sorted(rows, key=lambda r: r["feature"])]
 
 
-def best_splits(g: np.ndarray, h: np.ndarray, settings: Settings) -> tuple[np.ndarray, ...]:
-    """Feature (-1: none), bin and gain of each node from its sums by (node, feature, bin), and its G and H."""
+def grow(tree: Tree, level: int, g: np.ndarray, h: np.ndarray, settings: Settings) -> None:
+    """Split the nodes of a level by their sums by (node, feature, bin); what a split leaves on either side answers as a leaf.
+
+    Nodes that no row reaches have no sums and stay as they are. The children's
+    answers come from the same sums, so the last level needs no pass.
+    """
+    g, h = g / _UNIT, h / _UNIT
     total_g, total_h = g[:, 0].sum(axis=1), h[:, 0].sum(axis=1)
     left_g, left_h = np.cumsum(g, axis=2)[:, :, :-1], np.cumsum(h, axis=2)[:, :, :-1]
     right_g, right_h = total_g[:, None, None] - left_g, total_h[:, None, None] - left_h
@@ -147,25 +152,20 @@ def best_splits(g: np.ndarray, h: np.ndarray, settings: Settings) -> tuple[np.nd
     def worth(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return a * a / (b + settings.l2)
 
+    def answer(a: float, b: float) -> float:
+        return -settings.rate * a / (b + settings.l2)
+
     gain = worth(left_g, left_h) + worth(right_g, right_h) - worth(total_g, total_h)[:, None, None]
     gain = np.where((left_h >= settings.least_curvature) & (right_h >= settings.least_curvature), gain, -np.inf)
-    flat = gain.reshape(len(g), -1)
-    best = flat.argmax(axis=1)
-    most = flat[np.arange(len(g)), best]
-    feature = np.where(most > _LEAST_GAIN, best // gain.shape[2], -1)
-    return feature, best % gain.shape[2], most, total_g, total_h
-
-
-def grow(tree: Tree, level: int, g: np.ndarray, h: np.ndarray, settings: Settings) -> None:
-    """Set the splits or leaves of the nodes of a level from their sums."""
-    first = 2**level - 1
-    feature, at, gain, total_g, total_h = best_splits(g / _UNIT, h / _UNIT, settings)
-    for i in range(2**level):
-        node = first + i
-        if level < settings.depth and feature[i] >= 0:
-            tree.feature[node], tree.bin[node], tree.gain[node] = feature[i], at[i], gain[i]
-        else:
-            tree.leaf[node] = -settings.rate * total_g[i] / (total_h[i] + settings.l2)
+    if level == 0:
+        tree.leaf[0] = answer(total_g[0], total_h[0])
+    for i, best in enumerate(gain.reshape(len(g), -1).argmax(axis=1)):
+        j, at = divmod(int(best), gain.shape[2])
+        if gain[i, j, at] > _LEAST_GAIN:
+            node = 2**level - 1 + i
+            tree.feature[node], tree.bin[node], tree.gain[node] = j, at, gain[i, j, at]
+            tree.leaf[2 * node + 1] = answer(left_g[i, j, at], left_h[i, j, at])
+            tree.leaf[2 * node + 2] = answer(right_g[i, j, at], right_h[i, j, at])
 
 
 def _level_sums(rows: DataFrame, models: Sequence[BoostedModel], folds: Sequence[int], weights: Sequence[float], done: int, trees: Sequence[Tree], level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -242,7 +242,7 @@ def fit_boosted(train: DataFrame, label: str, fold: str | None = None, folds: Se
         if turn - done == _WRITTEN:
             rows, done = _written(rows, models, done), turn
         trees = [Tree.empty(settings.depth) for _ in models]
-        for level in range(settings.depth + 1):
+        for level in range(settings.depth):
             first = 2**level - 1
             if level and not any((t.feature[(first - 1) // 2 : first] >= 0).any() for t in trees):
                 break

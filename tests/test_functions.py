@@ -295,6 +295,16 @@ def test_running_sums_take_one_exchange_and_no_sorted_table(spark):
         assert "/sorted-" not in plan and "rangepartitioning" not in plan
 
 
+def test_order_without_ansi_casts(spark):
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        df = materialize(spark.range(500).select("id", F.coalesce((F.col("id") % 7).cast("string"), F.lit("")).alias("v")))
+        rows = running_sum(df, ["v", "id"], {"id": "s"}).collect()
+        assert max(r["s"] for r in rows) == 500 * 499 // 2
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
+
+
 @pytest.mark.parametrize("kind", ["string", "double", "decimal(10,2)", "date", "timestamp", "boolean", "binary"])
 def test_order_of_any_type_with_nulls_and_a_hot_value(spark, kind):
     values = F.when(F.col("id") % 7 == 0, None).when(F.col("id") % 3 == 0, 5).otherwise(F.col("id") * 7919 % 97)
