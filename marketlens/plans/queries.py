@@ -17,6 +17,7 @@ from ..functions.ordering import down, global_row_number, running_sum
 from ..functions.staging import materialize, scratch_path
 from ..operators import (
     basket,
+    certificates,
     churn,
     churn_models,
     cleaning,
@@ -524,6 +525,35 @@ def d06_predict_purchases(spark, d):
     return lifetime_model.predict_purchases(kept, lifetime_model.fit_pareto_nbd(kept))
 
 
+@query
+def d04_pareto_nbd_at_rest(spark, d):
+    """The fit's slopes, from a likelihood by series."""
+    kept = materialize(Retail.from_star(spark, d).repeat_summary(), "summary")
+    fit = lifetime_model.fit_pareto_nbd(kept)
+    # fitted on ages scaled to ten units, with the penalty on those parameters
+    scale = 10.0 / kept.agg(F.max("T")).first()[0]
+    params = {k: v * scale if k in ("alpha", "beta") else v for k, v in fit.items()}
+    x, tx, t = F.col("frequency").cast("double"), F.col("recency") * scale, F.col("T") * scale
+    return certificates.slopes(kept, lambda p: certificates.pareto_nbd_loglik(x, tx, t, p), params, 1.0)
+
+
+@query
+def d05_gamma_gamma_at_rest(spark, d):
+    kept = materialize(Retail.from_star(spark, d).repeat_summary(), "summary")
+    x, m = F.col("frequency").cast("double"), F.col("monetary_value").cast("double")
+    return certificates.slopes(kept, lambda p: certificates.gamma_gamma_loglik(x, m, p), lifetime_model.fit_gamma_gamma(kept), 0.1)
+
+
+@query
+def d06_purchase_bounds(spark, d):
+    """Nobody is predicted a negative number, and of equal ages and last purchases more past ones never mean fewer to come."""
+    rows = materialize(d06_predict_purchases(spark, d), "predicted")
+    same = rows.groupBy("recency", "T").agg(F.sort_array(F.collect_set(F.struct("frequency", "predicted_purchases"))).alias("s"))
+    rising = F.aggregate("s", F.struct(F.lit(True).alias("ok"), F.lit(-1.0).alias("p")), lambda acc, s: F.struct((acc["ok"] & (s["predicted_purchases"] >= acc["p"] - 1e-9)).alias("ok"), s["predicted_purchases"].alias("p")), lambda acc: acc["ok"])
+    sound = same.where("recency = T").agg(F.coalesce(F.bool_and(rising), F.lit(True))).scalar()
+    return rows.agg(F.count(F.lit(1)).alias("customers"), F.bool_and(F.col("predicted_purchases") >= 0).alias("not_negative"), F.first(sound).alias("rising"))
+
+
 @query
 def d07_predict_value(spark, d):
     kept = Retail.from_star(spark, d).repeat_summary()
@@ -592,7 +622,7 @@ def e04_churn_features(spark, d):
 
 @query
 def e05_customer_features(spark, d):
-    return churn.customer_features(Retail.from_star(spark, d).orders())
+    return churn.customer_features(Retail.from_star(spark, d).state())
 
 
 @query
@@ -674,6 +704,24 @@ def e15_boosted_trees(spark, d):
     return churn_models.score(churn_models.train_gbt(train), test).select(*_SCORED)
 
 
+@query
+def e13_scored_checks(spark, d):
+    return certificates.scored_checks(e13_random_forest(spark, d))
+
+
+@query
+def e14_logistic_at_rest(spark, d):
+    _, train, _ = _split_data(spark, d)
+    train = materialize(train, "train")
+    weighted = churn_models.with_weight(train)
+    return certificates.logistic_slopes(churn_models.train_lr(train), weighted, "churned", churn.FEATURES, 1.0 / train.count())
+
+
+@query
+def e15_scored_checks(spark, d):
+    return certificates.scored_checks(e15_boosted_trees(spark, d))
+
+
 @query
 def e16_class_weights(spark, d):
     return churn.class_weights(Retail.from_star(spark, d).churn())
@@ -747,6 +795,12 @@ def e22_boosted_importances(spark, d):
     return churn_models.importances(churn_models.train_gbt(train))
 
 
+@query
+def e22_importance_shares(spark, d):
+    rows = materialize(e22_importances(spark, d), "importances")
+    return rows.agg(F.sort_array(F.collect_list("feature")).cast("string").alias("features"), (F.abs(F.sum("importance") - 1) < 1e-9).alias("shares"))
+
+
 @query
 def e23_compare_models(spark, d):
     data, train, test = _split_data(spark, d)
@@ -771,6 +825,12 @@ def e24_scored_output(spark, d):
     return spark.read.schema(table.schema).option("header", True).csv(path)
 
 
+@query
+def e24_exported_scores(spark, d):
+    """The exported table, read back."""
+    return certificates.scored_checks(e24_scored_output(spark, d))
+
+
 # F: market basket
 
 
@@ -1087,6 +1147,11 @@ def i10_geo_cluster_means(spark, d):
     return clusters.cluster_means(clusters.geo_clusters(geo.geo_bubbles(Retail.from_star(spark, d).geo_months())))
 
 
+@query
+def i10_nearest_mean(spark, d):
+    return certificates.nearest_mean(materialize(i10_geo_clusters(spark, d), "clusters"), clusters.GEO_FEATURES)
+
+
 @query
 def i11_chosen_clusters(spark, d):
     table = clusters.geo_clusters(geo.geo_bubbles(Retail.from_star(spark, d).geo_months()))
@@ -1108,6 +1173,17 @@ def i13_pca2(spark, d):
     return clusters.pca2(materialize(features, "features")).select(CUSTOMER, "pca1", "pca2")
 
 
+@query
+def i12_nearest_mean(spark, d):
+    return certificates.nearest_mean(materialize(_clustered(spark, d), "clusters"), clusters.CUSTOMER_FEATURES)
+
+
+@query
+def i13_component_equations(spark, d):
+    features = materialize(clusters.cluster_features(churn.customer_features(Retail.from_star(spark, d).state())), "features")
+    return certificates.component_equations(materialize(clusters.pca2(features), "scores"), clusters.CUSTOMER_FEATURES)
+
+
 @query
 def i14_label_clusters(spark, d):
     """Clusters given by the recency quartile score, so that SQL can follow."""
@@ -1206,3 +1282,10 @@ def j05_containment_join(spark, d):
 def j06_train_score_evaluate(spark, d):
     _, train, test = _split_data(spark, d)
     return metrics.class_report(materialize(churn_models.score(churn_models.train_lr(train), test), "scored"))
+
+
+@query
+def j06_support(spark, d):
+    """Rows per class behind the report."""
+    report = j06_train_score_evaluate(spark, d)
+    return report.where(F.col("class").isin("0", "1", "accuracy")).select("class", "support")

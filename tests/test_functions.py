@@ -6,6 +6,7 @@ from datetime import datetime
 from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from helpers import rows_of
 from marketlens.functions import columns as C
-from marketlens.functions.ordering import down, global_row_number, running_sum
+from marketlens.functions.ordering import Buckets, down, global_row_number, running_sum
 from marketlens.functions.quantiles import key_value, order_key, quantile_table, quantiles
 from marketlens.functions.skew import skew_join
 from marketlens.functions.staging import drop_tables, materialize, scratch_dir
@@ -295,6 +296,23 @@ def test_running_sums_take_one_exchange_and_no_sorted_table(spark):
         assert "/sorted-" not in plan and "rangepartitioning" not in plan
 
 
+def test_buckets_equal_a_search_among_sorted_tuples():
+    import bisect
+
+    rng = random.Random(2)
+    choices = ([-3, 0, 1, 3], ["a", "ab", "b", "ü", ""], [0.5, -1.0, 2.0])
+
+    def rank(row):
+        return tuple((v is not None, v.encode() if isinstance(v, str) else v or 0) for v in row)
+
+    for _ in range(200):
+        rows = [tuple(None if rng.random() < 0.3 else rng.choice(c) for c in choices) for _ in range(60)]
+        splitters = sorted(set(rng.sample(rows, rng.randint(1, 12))), key=rank)
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.float64()))]
+        want = [bisect.bisect_right([rank(s) for s in splitters], rank(r)) for r in rows]
+        assert Buckets(splitters)(columns).tolist() == want
+
+
 def test_order_without_ansi_casts(spark):
     spark.conf.set("spark.sql.ansi.enabled", "false")
     try:
