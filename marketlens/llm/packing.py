@@ -50,7 +50,7 @@ WINDOW = 2048
 LEAST_PIECE = 16
 
 #: Bytes of known parts kept by one Python worker.
-KEPT_BYTES = 32 << 20
+KEPT_BYTES = 16 << 20
 _LETTERS = b"abcdefghijklmnopqrstuvwxyz"
 _PUNCTUATION = b".,;:!?"
 #: Stands between parts that are encoded together; its id comes from nothing else. So many at a time.

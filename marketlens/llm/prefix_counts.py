@@ -46,7 +46,7 @@ from .text_parts import Kept, steps
 #: What a blank becomes.
 BLANK = "▁"
 #: Bytes of parts kept by one Python worker.
-KEPT_BYTES = 32 << 20
+KEPT_BYTES = 16 << 20
 
 TABLE = T.StructType().add("n_tokens", "long").add("width", "integer").add("steps", "binary")
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text cut at a time.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 #: ASCII white space: blank, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = b" \t\n\x0b\x0c\r"
 
@@ -70,6 +70,7 @@ def steps(texts: pa.Array, step_bytes: int = STEP_BYTES) -> Iterator[pa.Array]:
     firsts = np.flatnonzero(np.diff(step, prepend=-1))
     for at, end in zip(firsts.tolist(), [*firsts[1:].tolist(), len(texts)]):
         yield texts.slice(at, end - at)
+    pa.default_memory_pool().release_unused()
 
 
 class Kept:
@@ -81,7 +82,7 @@ class Kept:
     take ``limit`` bytes, entries not asked for since the last time go.
     """
 
-    LONGEST, GATHERED = 64, 30_000
+    LONGEST, GATHERED = 64, 20_000
     _ZOBRIST = np.random.default_rng(11).integers(0, 1 << 63, (LONGEST, 256), dtype=np.uint64)
 
     def __init__(self, find: Callable[[list[bytes]], Sequence[bytes]], limit: int):
