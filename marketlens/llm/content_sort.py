@@ -1,15 +1,19 @@
 """Exact deduplication by content sort.
 
-Rows are range-partitioned on their whole text by sampled splitters and sorted
-(Spark's sort spills to disk), so equal texts lie next to each other and a
-window compares neighbours in full. A text that fills more than half a
-partition would hold up one task; its rows get a salt behind the text, so the
-splitters can divide them, and a pre-aggregated count says how many there are.
+Rows are range-partitioned by sampled splitters and sorted (Spark's sort spills
+to disk), so equal texts lie next to each other and a window compares neighbours
+in full. The splitters are the text's first bytes and its digest, so what is
+sampled is of bounded size however long the texts are; equal texts have both in
+common, and whole texts are compared behind them. A text that fills more than
+half a partition, in rows or in bytes, would hold up one task; its rows get a
+salt, so the splitters can divide them, and a pre-aggregated count says how many
+there are.
 
 Defined results: null counts as the empty text. Of equal texts the row with the
 largest ``doc_id`` stays (null ids come last); of repeated rows with that id
 one stays. ``keep_id`` is null only where all ids of the group are. Columns of
-the input are kept; an empty table gives no rows.
+the input are kept; very long texts are compared whole; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -19,34 +23,41 @@ from pyspark.sql import functions as F
 
 from .common import fresh, partitions, text_of
 
+#: First bytes of a text in a splitter.
+_BEGIN = 32
+
 
 def _hot_texts(docs: DataFrame, parts: int, names: tuple[str, str, str]) -> DataFrame:
-    """Texts with more than rows / (2 * parts) copies: fewer than 2 * parts, so they can be broadcast."""
+    """Copies of a text that hold more than 1 / (2 * parts) of all rows or bytes: fewer than 4 * parts texts, so they can be broadcast."""
     sha, last, size = names
+    volume = fresh("bytes")
+    length = F.octet_length(text_of()).cast("bigint")
     counts = docs.groupBy(F.sha2(text_of().cast("binary"), 256).alias(sha)).agg(
-        F.max("doc_id").alias(last), F.count(F.lit(1)).alias(size)
+        F.max("doc_id").alias(last), F.count(F.lit(1)).alias(size), F.sum(length).alias(volume)
     )
-    rows = docs.agg(F.count(F.lit(1))).scalar()
-    return counts.where(F.col(size) > F.greatest(rows / (2 * parts), F.lit(1)))
+    rows, total = docs.agg(F.count(F.lit(1))).scalar(), docs.agg(F.sum(length)).scalar()
+    share = F.greatest(F.col(size) / rows, F.try_divide(F.col(volume), total))
+    return counts.where((F.col(size) > 1) & (share > 1 / (2 * parts))).drop(volume)
 
 
 def exact_dedup(docs: DataFrame, salts: int | None = None) -> DataFrame:
     """``docs`` with keep_id, group_size, kept and text_sha256 added in a struct column ``dedup``."""
     parts = salts or partitions(docs.sparkSession)
-    text, sha, salt, last, size, place = (fresh(x) for x in ("text", "sha", "salt", "last", "size", "place"))
+    text, sha, salt, last, size, place, begin = (fresh(x) for x in ("text", "sha", "salt", "last", "size", "place", "begin"))
     hot_last, hot_size = fresh("hot_last"), fresh("hot_size")
     hot = _hot_texts(docs, parts, (sha, hot_last, hot_size))
-    rows = docs.withColumns({text: text_of(), sha: F.sha2(text_of().cast("binary"), 256)}).join(
+    first_bytes = F.substring(text_of().cast("binary"), 1, _BEGIN)
+    rows = docs.withColumns({text: text_of(), begin: first_bytes, sha: F.sha2(text_of().cast("binary"), 256)}).join(
         F.broadcast(hot), sha, "left"
     )
     spread = F.when(F.col(hot_size).isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(parts)))
-    by = [text, salt]
+    by = [begin, sha, salt]
     down = F.col("doc_id").desc_nulls_last()
-    group = Window.partitionBy(*by)
+    group = Window.partitionBy(*by, text)
     placed = (
         rows.withColumn(salt, spread.cast("int"))
         .repartitionByRange(parts, *by)
-        .sortWithinPartitions(*by, down)
+        .sortWithinPartitions(*by, text, down)
         .withColumns(
             {
                 place: F.row_number().over(group.orderBy(down)),
