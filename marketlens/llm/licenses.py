@@ -9,13 +9,16 @@ consecutively.
 
 Defined results: null counts as the empty text; a text without words has no
 label, null places and score 0; repeated rows get equal results; whole texts
-are read; other columns do not matter. Labels are sorted and distinct.
+are read, very long ones in time that grows with their length; an empty table
+gives no rows; other columns do not matter. Labels are sorted and distinct.
 """
 
 from __future__ import annotations
 
+import bisect
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -94,43 +97,55 @@ def phrase_places(joined: bytes, phrase: bytes) -> list[int]:
 
 
 def fuzzy_spans(joined: bytes, notices: tuple[Notice, ...] = _NOTICES) -> list[tuple[str, int, int, int]]:
-    """(label, start, end, edits) of every verified notice; places are characters of the joined words."""
-    out = []
+    """(label, start, end, edits) of every verified notice; places are characters of the joined words.
+
+    A seed's stretch is as long as the notice and its edits, whatever the text,
+    and a seed that a found span accounts for opens none, so the time grows with
+    the number of notices in the text. Of overlapping spans of one notice the
+    one with the fewest edits stays.
+    """
+    text, out = joined.decode(), []
+    chars = None if len(text) == len(joined) else np.cumsum((np.frombuffer(joined, np.uint8) & 0xC0) != 0x80)
     for notice in notices:
-        stretches: list[list[int]] = []
+        hits = set()
         for seed, place in notice.seeds:
             at = joined.find(seed)
             while at >= 0:
-                # a match can begin ``edits`` places early or late, and words can touch it
-                stretches.append([at - place - notice.edits - 1, at - place + len(notice.text) + notice.edits + 1])
+                # in characters; seeds are ASCII
+                hits.add((at if chars is None else int(chars[at]) - 1) - place)
                 at = joined.find(seed, at + 1)
-        if not stretches:
-            continue
-        stretches.sort()
-        merged = [stretches[0]]
-        for a, b in stretches[1:]:
-            if a <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], b)
-            else:
-                merged.append([a, b])
-        for a, b in merged:
-            out += _verify(joined, max(a, 0), min(b, len(joined)), notice)
+        found: list[tuple[int, int, int]] = []
+        for begin in sorted(hits):
+            if found and found[-1][0] == 0 and abs(begin - found[-1][1]) <= notice.edits:
+                continue  # the exact span found there
+            span = _verify(text, begin, notice)
+            if span:
+                found.append(span)
+        out += [(notice.label, start, end, edits) for edits, start, end in _fewest_first(found)]
     return sorted(set(out), key=lambda x: (x[1], x[2], x[0]))
 
 
-def _verify(joined: bytes, a: int, b: int, notice: Notice) -> list[tuple[str, int, int, int]]:
-    a = joined.rfind(b" ", 0, a) + 1 if a else 0
-    b = joined.find(b" ", b) if joined.find(b" ", b) >= 0 else len(joined)
-    before, part = len(joined[:a].decode()), joined[a:b].decode()
-    # the best match may stand behind others: what lies on either side of it is searched as well
-    out, open_parts, least = [], [(0, len(part))], len(notice.text) - notice.edits
-    while open_parts:
-        low, high = open_parts.pop()
-        m = notice.pattern.search(part, low, high) if high - low >= least else None
-        if m:
-            out.append((notice.label, before + m.start(), before + m.end(), sum(m.fuzzy_counts)))
-            open_parts += [(low, m.start()), (m.end(), high)]
-    return out
+def _fewest_first(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Spans (edits, start, end) without those that overlap a better one; equals count from the left."""
+    kept: list[tuple[int, int, int]] = []  # in the order of their starts
+    for span in sorted(set(found)):
+        at = bisect.bisect(kept, span[1], key=lambda k: k[1])
+        if (not at or kept[at - 1][2] <= span[1]) and (at == len(kept) or span[2] <= kept[at][1]):
+            kept.insert(at, span)
+    return kept
+
+
+def _verify(text: str, begin: int, notice: Notice) -> tuple[int, int, int] | None:
+    """The best match (edits, start, end) of a notice whose beginning is expected at ``begin``."""
+    end = begin + len(notice.text)
+    if begin >= 0 and text.startswith(notice.text, begin) and not text[max(begin - 1, 0) : begin].strip() and not text[end : end + 1].strip():
+        return 0, begin, end
+    # one character more than a match can reach, so that it is seen whether a word ends there
+    low, high = max(begin - notice.edits, 0), min(end + notice.edits + 1, len(text))
+    m = notice.pattern.search(text, low, high)
+    if not m or (m.end() == high < len(text) and text[high].strip()):
+        return None
+    return sum(m.fuzzy_counts), m.start(), m.end()
 
 
 SPAN = T.StructType().add("label", "string").add("start", "long").add("end", "long").add("edits", "integer")

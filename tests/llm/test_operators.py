@@ -426,6 +426,50 @@ def test_no_notice_is_lost_before_a_better_one(order):
     assert set(places) <= set(found)
 
 
+def unseeded(joined):
+    """All notices by the regex library alone, from the left, best first among what overlaps."""
+    out = []
+    for notice in licenses._NOTICES:
+        found, at = [], 0
+        while True:
+            m = notice.pattern.search(joined, at, len(joined))
+            if not m:
+                break
+            found.append((sum(m.fuzzy_counts), m.start(), m.end()))
+            at = m.start() + 1
+        out += [(notice.label, s, e, n) for n, s, e in licenses._fewest_first(found)]
+    return out
+
+
+def test_seeded_search_equals_an_unseeded_one(spark):
+    held = 0
+    for _, text in pairs_of(documents(spark)):
+        joined = b" ".join(licenses.words_of(text))
+        if not re.search(b"licen|right|public|grant|redist", joined):
+            continue
+        got = licenses.fuzzy_spans(joined)
+        held += bool(got)
+        want = unseeded(joined.decode())
+        assert {s[0] for s in got} == {s[0] for s in want}
+        assert min((s[3] for s in got), default=None) == min((s[3] for s in want), default=None)
+        assert len(got) == len(want)
+    assert held
+
+
+def test_a_megabyte_of_misspelt_notices_takes_about_a_second():
+    import time
+
+    one = "licensed under the apache lisense vrsion 2 0 "
+    text = one * (1_000_000 // len(one))
+    began = time.process_time()
+    got = licenses.fuzzy_spans(" ".join(text.split()).encode())
+    assert len(got) == 1_000_000 // len(one) and {s[0] for s in got} == {"apache"}
+    double = time.process_time() - began
+    began = time.process_time()
+    licenses.fuzzy_spans(" ".join(text[: len(text) // 4].split()).encode())
+    assert double < 8 * (time.process_time() - began) and double < 6
+
+
 @pytest.mark.parametrize("text, label", [(t, label) for t, label in licenses.NOTICES])
 def test_pigeonhole_seeds_lose_no_match(text, label):
     rng, notice = np.random.default_rng(len(text)), licenses.compile_notice(text, label)
@@ -544,6 +588,71 @@ def test_classifier_held_out(spark, awkward, no_docs):
     assert pu_quality.score_quality(awkward, labels.where("false")).where("score = 0.5").count() == awkward.count()
 
 
+def test_positives_alone(spark):
+    """Labels of 0 are not needed: the prior comes from unlabelled text."""
+    folder = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    alone = pu_quality.score_quality(documents(spark, folder), labels.where("quality = 1"))
+    rows = alone.where("held_out").join(labels, "doc_id").select("quality", "score").collect()
+    good, bad = ([r["score"] for r in rows if r["quality"] == q] for q in (1, 0))
+    assert np.mean([g > b for g in good for b in bad]) > 0.9
+    both = pu_quality.score_quality(documents(spark, folder), labels)
+    assert sorted(map(tuple, alone.collect())) == sorted(map(tuple, both.collect()))
+
+
+def risk_table(spark, n=400):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(n, pu_quality.N_FEATURES)).astype(np.float32)
+    rows = [(i, [float(v) for v in r], bool(r[0] + r[1] > 0 and i % 3)) for i, r in enumerate(x)]
+    return spark.createDataFrame(rows, "doc_id bigint, x array<float>, positive boolean").repartition(5), x.astype(float), np.array([r[2] for r in rows])
+
+
+def test_risk_and_gradient_equal_plain_numpy(spark):
+    rows, x, positive = risk_table(spark)
+    design = pu_quality.Design(x.mean(axis=0), x.std(axis=0))
+    w = np.random.default_rng(1).normal(size=design.width) * 0.1
+
+    def risk(w, prior=0.4):
+        z = design(x) @ w
+        loss = lambda v: np.log1p(np.exp(-v))
+        negative = loss(-z).mean() - prior * loss(-z[positive]).mean()
+        return prior * loss(z[positive]).mean() + max(0.0, negative), negative
+
+    sums = pu_quality.risk_sums(rows, design, w)
+    assert pu_quality.nn_risk(sums, 0.4) == pytest.approx(risk(w))
+    n_u, n_p = sums["n_u"][0], sums["n_p"][0]
+    assert (n_u, n_p) == (len(x), positive.sum())
+    slope = 0.4 * sums["p_pos_grad"] / n_p + sums["u_grad"] / n_u - 0.4 * sums["p_neg_grad"] / n_p
+    for i in range(0, design.width, 17):
+        step = np.eye(design.width)[i] * 1e-5
+        assert slope[i] == pytest.approx((risk(w + step)[0] - risk(w - step)[0]) / 2e-5, abs=1e-5)
+    z = design(x) @ w
+    s = 1 / (1 + np.exp(-z))
+    assert sums["u_curve"].reshape(design.width, -1) == pytest.approx(design(x).T @ (design(x) * (s * (1 - s))[:, None]))
+
+
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.85])
+def test_prior_of_planted_positives(share):
+    """Counts of scores of two overlapping classes; the unlabelled are a mixture."""
+    rng = np.random.default_rng(int(100 * share))
+    n = 20_000
+    scores = lambda mean, k: np.histogram(np.clip(rng.normal(mean, 2.0, k), -19.9, 19.9), np.linspace(-20, 20, 401))[0]
+    u = scores(4.0, int(n * share)) + scores(-4.0, int(n * (1 - share)))
+    assert pu_quality.estimate_prior(u, scores(4.0, 4000)) == pytest.approx(share, abs=0.05)
+    assert pu_quality.estimate_prior(u, np.zeros(400, int)) == 0.5
+
+
+def test_prior_on_the_given_tables(spark):
+    folder = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    share = labels.agg(F.avg("quality")).first()[0]
+    found, keep = [], pu_quality.train
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(pu_quality, "train", lambda *a: found.append(keep(*a)) or found[-1])
+        pu_quality.score_quality(documents(spark, folder), labels.where("quality = 1")).count()
+    assert found[0][0] == pytest.approx(share, abs=0.1)
+
+
 def brute_measures(text):
     w = WORD.findall(text or "")
     windows = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
