@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import CATEGORY, CUSTOMER, ORDER, PAYMENT, from_cents, money_sum, money_total
 from ..functions.skew import skew_join
+from ..functions.staging import materialize
 from .cltv import SEGMENT
 
 _SEP = "\u001f"
@@ -109,17 +110,48 @@ def order_revenue(fact: DataFrame) -> DataFrame:
     return known.groupBy(ORDER).agg(money_sum(fact).alias("order_revenue"))
 
 
+def _by_rarity(sets: DataFrame, b: DataFrame) -> DataFrame:
+    """set_items and ``path``: the items from the rarest in the baskets on; sets with an item that no basket has go."""
+    popularity = b.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+    members = sets.select("set_items").distinct().withColumn("item", F.explode("set_items"))
+    ranked = members.join(popularity, "item").groupBy("set_items").agg(F.sort_array(F.collect_list(F.struct("n", "item"))).alias("found"))
+    whole = ranked.where(F.size("found") == F.size("set_items"))
+    return whole.select("set_items", F.transform("found", lambda x: x["item"]).alias("path"))
+
+
+def prefix_tree(paths: DataFrame) -> DataFrame:
+    """One row per beginning of a path: ``node``, the items that lead on, and the set that ends there, if any."""
+    lengths = F.explode(F.sequence(F.lit(1), F.size("path"))).alias("length")
+    steps = paths.select("set_items", "path", lengths)
+    node = _key(F.slice("path", F.lit(1), F.col("length")))
+    ends = F.when(F.col("length") == F.size("path"), F.col("set_items"))
+    return steps.groupBy(node.alias("node")).agg(
+        F.array_compact(F.collect_set(F.get("path", F.col("length")))).alias("next"), F.first(ends, ignorenulls=True).alias("set_items")
+    )
+
+
 def containment_join(sets: DataFrame, b: DataFrame) -> DataFrame:
     """Pair every set (``set_items``) with the baskets (``items``) that hold all of it.
 
-    A set is looked up by one item only, its rarest, and the rest is checked
-    on the spot: no cross join, and no pair is made twice.
+    The sets stand in a prefix tree over their items in order of rarity. Baskets
+    go down level by level, each with the nodes whose whole path it holds, so a
+    set is met only by baskets that hold its beginning: no cross join, and no
+    pair is made twice.
     """
-    popularity = b.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n"))
-    members = sets.select("set_items").distinct().withColumn("item", F.explode("set_items"))
-    rarest = members.join(popularity, "item").groupBy("set_items").agg(F.min_by("item", F.struct("n", "item")).alias("item"))
-    holders = b.withColumn("item", F.explode("items"))
-    return holders.join(rarest, "item").where(F.size(F.array_except("set_items", "items")) == 0).drop("item")
+    paths = materialize(_by_rarity(sets, b), "paths")
+    tree = materialize(prefix_tree(paths), "prefix_tree")
+    levels = paths.agg(F.max(F.size("path"))).first()[0] or 1
+    at = b.withColumn("node", F.explode("items")).join(tree, "node")
+    found = None
+    for level in range(1, levels + 1):
+        if level < levels:
+            at = materialize(at, "prefix_holders")
+        here = at.where(F.col("set_items").isNotNull()).select(*b.columns, "set_items")
+        found = here if found is None else found.unionByName(here)
+        on = F.explode(F.array_intersect("next", "items")).alias("item")
+        at = at.select(*b.columns, F.col("node").alias("path"), on)
+        at = at.select(*b.columns, F.concat_ws(_SEP, "path", "item").alias("node")).join(tree, "node")
+    return found
 
 
 def basket_patterns(b: DataFrame) -> DataFrame:

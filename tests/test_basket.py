@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 from itertools import combinations
 
 import numpy as np
@@ -81,6 +82,20 @@ def test_containment_equals_brute_force(make, orders):
     assert [(tuple(s), o) for s, o in got] == want
 
 
+def test_few_baskets_meet_a_set_they_do_not_hold(make, monkeypatch):
+    """One item is in every basket, and sets share their popular items."""
+    rng = random.Random(9)
+    rows = [(f"o{i}", sorted({"all", *(f"i{min(int(rng.paretovariate(1.1)), 30)}" for _ in range(5))})) for i in range(600)]
+    b = make(rows, "order_id string, items array<string>")
+    sets = {tuple(sorted(rng.sample(r[1], min(len(r[1]), 3)))) for r in rows}
+    met, keep = [], basket.materialize
+    monkeypatch.setattr(basket, "materialize", lambda df, label: (met.append(keep(df, label)), met[-1])[1] if label == "prefix_holders" else keep(df, label))
+    got = basket.containment_join(make([(list(s),) for s in sets], "set_items array<string>"), b).select("set_items", "order_id").collect()
+    want = {(s, o) for s in sets for o, items in rows if set(s) <= set(items)}
+    assert {(tuple(r["set_items"]), r["order_id"]) for r in got} == want and len(got) == len(want)
+    assert sum(m.count() for m in met) <= 2 * len(want)
+
+
 def test_views_of_the_rules(mined):
     b, _, rules = mined
     top = basket.top_bundles(rules, 5).collect()
