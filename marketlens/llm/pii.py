@@ -17,15 +17,16 @@ plain pattern's matches in linear time. Words are counted once per distinct
 text, so copies do not make evidence.
 
 Defined results: a null text is empty and has no spans; rows are searched each,
-repeated ones alike; equal ids do not matter; an empty table gives no rows;
-other columns do not matter.
+repeated ones alike; equal ids do not matter; very long texts are searched
+whole, in time that grows with their length and the values' and words' number;
+an empty table gives no rows; other columns do not matter.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.staging import materialize
@@ -139,24 +140,50 @@ def base_spans(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     return rows if keep_text else rows.withColumn("text", F.when(F.size("base") > 0, F.col("text")))
 
 
-def mentions(found: DataFrame) -> DataFrame:
-    """Texts with protected values: row, digest, their entities, and terms: array of (term, start, end) outside of the values."""
-    entities = F.array_distinct(F.transform("base", lambda b: F.concat_ws(":", b["kind"].cast("string"), F.lower(b["value"]))))
-    some = matches(found.where(F.size("base") > 0), "text", TERM_PATTERN, "words")
-    clear = F.filter("words", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (b["end"] > t["start"])))
-    terms = F.transform(clear, lambda t: F.struct(F.lower(t["value"]).alias("term"), t["start"].alias("start"), t["end"].alias("end")))
-    return some.select("row", "digest", entities.alias("entities"), terms.alias("terms"))
+def mentions(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of texts with protected values: (row, digest, entity), distinct, and (row, digest, term, start, end) outside of the values.
 
-
-def disclosing(near: DataFrame, docs: DataFrame, theta: float, min_support: int) -> DataFrame:
-    """(entity, term) pairs where the term reveals the entity, with the counts behind it."""
-    once = near.groupBy("digest").agg(F.first("entities").alias("entities"), F.first(F.array_distinct("terms.term")).alias("terms"))
-    entities = near.select("digest", F.explode("entities").alias("entity")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    Words and values of a text are merged in the order of their places; a word
+    overlaps a value exactly if a value that begins before it reaches into it or
+    the next value begins within it.
+    """
+    some = matches(found.where(F.size("base") > 0), "text", TERM_PATTERN, "words").drop("text")
+    value = F.concat_ws(":", F.col("b.kind").cast("string"), F.lower("b.value"))
+    entities = some.select("row", "digest", F.explode("base").alias("b")).select("row", "digest", value.alias("entity")).distinct()
+    spans = some.select("row", "digest", F.inline(F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), F.lit(None).cast("string").alias("value")))))
+    words = some.select("row", "digest", F.inline(F.transform("words", lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), w["value"].alias("value")))))
+    is_span = F.col("value").isNull()
+    ahead = Window.partitionBy("row").orderBy("start", F.col("value").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy("row").orderBy(F.desc("start"), F.col("value").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    merged = spans.unionByName(words)
+    merged = merged.withColumn("reach", F.max(F.when(is_span, F.col("end"))).over(ahead))
+    merged = merged.withColumn("next", F.min(F.when(is_span, F.col("start"))).over(back))
+    clear = F.coalesce(F.col("reach") <= F.col("start"), F.lit(True)) & F.coalesce(F.col("next") >= F.col("end"), F.lit(True))
+    terms = merged.where(~is_span & clear).select("row", "digest", F.lower("value").alias("term"), "start", "end")
+    return entities, terms
+
+
+def _classes(entities: DataFrame, min_support: int) -> DataFrame:
+    """entity, class, n_entity of entities of enough texts; those that stand in the same texts are one class.
+
+    A class is told by the number of its texts and sums of hashes of them, so a
+    list of values that recurs as a whole costs as much as one value.
+    """
+    texts = entities.select("digest", "entity").distinct()
+    alike = [F.sum(F.xxhash64(F.lit(i), "digest").cast("decimal(20,0)")).cast("string") for i in (1, 2)]
+    found = texts.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"), F.concat_ws(":", *alike).alias("class"))
     # an entity of fewer texts has no pair of enough support
-    entities = materialize(entities.where(F.col("n_entity") >= min_support), "entities")
-    pairs = once.select(F.explode("entities").alias("entity"), "terms").join(entities.select("entity"), "entity")
-    together = pairs.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
-    together = materialize(together.where(F.col("n_both") >= min_support), "term_pairs")
+    return found.where(F.col("n_entity") >= min_support)
+
+
+def disclosing(entities: DataFrame, terms: DataFrame, docs: DataFrame, theta: float, min_support: int) -> tuple[DataFrame, DataFrame]:
+    """Written tables (entity, class, n_entity) and (class, term, n_both, n_entity, n_term) where the term reveals the class' entities.
+
+    PMI >= theta * IC asks for n_term <= n_entity^theta * total^(1 - theta), as
+    n_both is n_entity at most. So a text's terms are first cut to those not
+    too common for its most frequent entity, which leaves few to be paired.
+    """
+    known = materialize(_classes(entities, min_support), "entities")
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM_PATTERN), F.lit(0)))
     # each distinct text moves once, so its words are added up on the map side; all
     # are counted before the join: few terms are asked for in a small corpus and
@@ -164,21 +191,29 @@ def disclosing(near: DataFrame, docs: DataFrame, theta: float, min_support: int)
     texts = docs.select(text_of().alias("text")).groupBy(F.xxhash64("text").alias("digest")).agg(F.first("text").alias("text"))
     holding = texts.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     total = docs.select(F.xxhash64(text_of()).alias("digest")).distinct().agg(F.count(F.lit(1))).scalar()
-    counts = together.join(entities, "entity").join(holding, "term", "left")
-    n_term = F.greatest("n_both", F.coalesce("n_term", "n_both"))
-    pmi = F.log2(F.col("n_both") * total / (F.col("n_entity") * n_term))
+    held = materialize(entities.select("digest", "entity").distinct().join(known, "entity").select("digest", "class", "n_entity").distinct(), "held_classes")
+    rarest = F.pow("n_entity", F.lit(theta)) * F.pow(total, F.lit(1 - theta))
+    limits = held.groupBy("digest").agg((F.max(rarest) * (1 + 1e-9)).alias("limit"))
+    near = terms.select("digest", "term").distinct().join(limits, "digest").join(holding, "term", "left")
+    # a word that lower case makes another word of is not among the counted ones
+    n_term = F.coalesce("n_term", F.lit(min_support))
+    near = near.where(n_term.between(min_support, F.col("limit"))).select("digest", "term", n_term.alias("n_term"))
+    pairs = held.join(near, "digest").where(F.col("n_term") <= rarest * (1 + 1e-9))
+    together = pairs.groupBy("class", "term").agg(F.count(F.lit(1)).alias("n_both"), F.first("n_entity").alias("n_entity"), F.greatest(F.first("n_term"), F.count(F.lit(1))).alias("n_term"))
+    pmi = F.log2(F.col("n_both") * total / (F.col("n_entity") * F.col("n_term")))
     ic = F.log2(total / F.col("n_entity"))
-    return counts.where((ic > 0) & (pmi >= theta * ic)).select("entity", "term", "n_both", "n_entity", n_term.alias("n_term"))
+    told = together.where((F.col("n_both") >= min_support) & (ic > 0) & (pmi >= theta * ic))
+    return known, materialize(told, "disclosing")
 
 
 def find_spans(docs: DataFrame, theta: float = 0.9, min_support: int = 3, keep_text: bool = False) -> DataFrame:
     """doc_id, digest-free spans of every row: ``base`` and ``terms``, arrays of (kind, start, end)."""
     found = materialize(base_spans(docs, keep_text), "base_spans")
-    near = materialize(mentions(found), "mentions")
-    told = materialize(disclosing(near, docs, theta, min_support), "disclosing")
-    held = near.select("row", F.explode("entities").alias("entity"), "terms").join(told.select("entity").distinct(), "entity", "left_semi")
-    held = held.select("row", "entity", F.inline("terms"))
-    terms = held.join(told, ["entity", "term"], "left_semi").groupBy("row").agg(
+    entities, terms = (materialize(x, label) for x, label in zip(mentions(found), ("mentions", "terms")))
+    known, told = disclosing(entities, terms, docs, theta, min_support)
+    # what a row's values have revealed of them, then where that stands in the row
+    asked = entities.join(known, "entity").select("row", "class").distinct().join(told, "class").select("row", "term").distinct()
+    terms = terms.join(asked, ["row", "term"], "left_semi").groupBy("row").agg(
         F.array_sort(F.collect_set(F.struct(F.lit(len(KINDS)).alias("kind"), "start", "end"))).alias("terms")
     )
     plain = F.transform("base", lambda b: F.struct(b["kind"].alias("kind"), b["start"].alias("start"), b["end"].alias("end")))
@@ -213,11 +248,14 @@ def redact(text: Column, spans: Column) -> Column:
 
     def step(acc: Column, s: Column) -> Column:
         fresh = s["start"] >= acc["at"]
-        more = F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.get(names, s["kind"]))
+        between = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
+        more = F.concat(acc["out"], F.array(between, F.get(names, s["kind"])))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, more).otherwise(acc["out"]).alias("out"))
 
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-    return F.aggregate(in_order, start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.char_length(text))))
+    # pieces are gathered and joined once; a growing text would be copied at every span
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
+    rest = lambda acc: F.substring(text, (acc["at"] + 1).cast("int"), F.char_length(text))
+    return F.aggregate(in_order, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), rest(acc)))
 
 
 def sanitise(docs: DataFrame, **settings) -> DataFrame:

@@ -399,6 +399,93 @@ def test_terms_disclose_from_anywhere_in_the_text(spark):
     assert all(clean[d] == t for d, t in rest)
 
 
+TERMS = re.compile(r"[^\W\d_][\w-]{2,}")
+
+
+def brute_terms(rows, theta=0.9, support=3):
+    """Pairs (entity, term) by PMI over distinct texts, and the term spans of every text."""
+    texts = {t or "" for _, t in rows}
+    words, entities, held = {}, {}, defaultdict(set)
+    for t in texts:
+        spans = brute_spans(t)
+        entities[t] = {(k, t[s:e].lower()) for k, s, e in spans}
+        found = [(m.group().lower(), m.start(), m.end()) for m in TERMS.finditer(t)]
+        words[t] = [w for w in found if not any(s < w[2] and e > w[1] for _, s, e in spans)] if spans else []
+        for m in TERMS.finditer(t.lower()):
+            held[m.group()].add(t)
+    near = defaultdict(set)
+    for t in texts:
+        for c in entities[t]:
+            for w, _, _ in words[t]:
+                near[c, w].add(t)
+    total, of = len(texts), Counter(c for t in texts for c in entities[t])
+    told = set()
+    for (c, w), both in near.items():
+        ic = math.log2(total / of[c])
+        if len(both) >= support and ic > 0 and math.log2(len(both) * total / (of[c] * len(held[w]))) >= theta * ic - 1e-12:
+            told.add((c, w))
+    return {t: sorted({(s, e) for w, s, e in words[t] if any((c, w) in told for c in entities[t])}) for t in texts}
+
+
+def brute_spans(t):
+    out = []
+    for kind, pattern in BRUTE_PATTERNS.items():
+        out += [(kind, m.start(), m.end()) for m in re.finditer(pattern, t) if brute_valid(kind, m.group())]
+    return out
+
+
+def brute_valid(kind, value):
+    digits = re.sub("[^0-9]", "", value)
+    if kind == "ip":
+        return all(int(p) <= 255 for p in value.split("."))
+    if kind == "card":
+        twice = [int(d) * (1 + i % 2) for i, d in enumerate(reversed(digits))]
+        return 13 <= len(digits) <= 19 and sum(d - 9 * (d > 9) for d in twice) % 10 == 0
+    return 9 <= len(digits) <= 15 if kind == "phone" else True
+
+
+BRUTE_PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+    "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def test_terms_equal_brute_force(spark):
+    """Planted words of one owner, words of two, words that stand apart, lists that recur as a whole, and common ones."""
+    rng = np.random.default_rng(8)
+    common = [f"word{chr(97 + i)}" for i in range(20)]
+    rows = []
+    for i in range(260):
+        text = " ".join(rng.choice(common, 12))
+        if i % 10 < 4:
+            who = i % 4
+            text += f" Owner{'abcd'[who]} of p{who}@x.org, call +49 (30) 123-456-7{who} Hint{'xy'[who // 2]}"
+        if i % 13 == 0:
+            text += " list: " + " ".join(f"m{k}@list.org" for k in range(30)) + " Listling abc10.0.0.7def"
+        rows.append((i, text))
+    rows += [(900 + i, t) for i, (_, t) in enumerate(rows[:20])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    want = brute_terms(rows)
+    got = {r["doc_id"]: [tuple(map(int, s.split(":")[1:])) for s in r["spans"].split(",") if s.startswith("term")] for r in pii.span_digests(docs).collect()}
+    assert got == {d: want[t] for d, t in rows}
+    assert any(want.values())
+
+
+def test_a_page_of_values_takes_linear_time(spark):
+    """5,000 addresses among 20,000 words, on three pages."""
+    page = " ".join(f"w{i}ord x{i}@y.org " + "some more words" if i % 4 == 0 else f"v{i}erb x{i}@y.org and words" for i in range(5000))
+    rows = [(i, f"{page} Page{i}") for i in range(3)] + [(10 + i, f"short note {i} of words") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    entities, terms = pii.mentions(pii.materialize(pii.base_spans(docs), "base"))
+    known, told = pii.disclosing(pii.materialize(entities, "e"), pii.materialize(terms, "t"), docs, 0.9, 3)
+    assert known.count() == 5000 and known.select("class").distinct().count() == 1
+    assert told.count() < 10_000
+    got = {r["doc_id"]: r["n_email"] for r in pii.span_digests(docs).collect()}
+    assert got[0] == 5000 and got[10] == 0
+
+
 def test_no_personal_data(no_docs):
     assert pii.span_digests(no_docs).count() == 0
 
