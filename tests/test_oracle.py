@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -31,7 +36,11 @@ def test_every_twin_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+#: The corpus queries have their twins tested beside them.
+RETAIL = sorted(name for name in entry.oracle_sql() if re.match("[a-z][0-9]{2}_", name))
+
+
+@pytest.mark.parametrize("name", RETAIL)
 def test_query_equals_its_twin(spark, con, name):
     folder = folder_of(name)
     con.execute(f"USE {folder.rsplit('/', 1)[1].replace('.', '_')}")
@@ -47,5 +56,14 @@ def test_query_equals_its_twin(spark, con, name):
     assert not wrong.any(axis=None), (a[wrong.any(axis=1)].head(), b[wrong.any(axis=1)].head())
 
 
+@pytest.mark.parametrize("library", ["regex", "tokenizers", "xxhash", "sentencepiece.none", "corpus_pipeline", "marketlens.llm"])
+def test_retail_queries_do_not_need_the_corpus_libraries(library):
+    code = f"import sys; sys.modules[{library!r}] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-W", "ignore", "-c", code], capture_output=True, text=True, cwd=Path(entry.__file__).parent, check=True)
+    queries, twins = map(int, out.stdout.split())
+    retail = [n for n in entry.queries() if re.match("[a-z][0-9]{2}_", n)]
+    assert queries >= len(retail) and twins >= len(RETAIL)
+
+
 def test_flagship(spark):
     assert {r["CustomerGroup"] for r in entry.entry(spark).collect()} <= {"Low-value", "Medium-value", "High-value"}
