@@ -43,14 +43,14 @@ class Retail:
         """Fact with one row per item and payment."""
         return sales_fact(self.tables, columns, empty_orders)
 
-    def category_rows(self) -> DataFrame:
-        """Fact rows of items, with their product category.
+    def category_rows(self, empty_orders: bool = False) -> DataFrame:
+        """Fact rows of items, with their product category; with ``empty_orders`` also a row for each order without items.
 
         Not collapsed first: an order hardly repeats a category, so counting
         would cost a shuffle more than it saves; hot orders are split in the
         join.
         """
-        return self.items(*ORDER_COLUMNS, CATEGORY, empty_orders=False)
+        return self.items(*ORDER_COLUMNS, CATEGORY, empty_orders=empty_orders)
 
     # customers
 

@@ -858,6 +858,9 @@ _twin(
     "rules",
 )
 
+for _name in ("f05_frequent_itemsets", "f09_rule_revenue"):
+    ORACLE[f"{_name}_all"] = ORACLE[_name].replace("WHERE CLTV_new_Segment = 'Medium CLTV' AND category", "WHERE category")
+
 # G
 
 _twin(

@@ -840,14 +840,14 @@ def _joined(items: str) -> Column:
 
 @query
 def f01_baskets(spark, d):
-    rows = basket.baskets(Retail.from_star(spark, d).category_rows())
+    rows = basket.baskets(Retail.from_star(spark, d).category_rows(empty_orders=True))
     return rows.select(ORDER, CUSTOMER, _joined("items").alias("items"))
 
 
 @query
 def f02_segment_baskets(spark, d):
     shop = Retail.from_star(spark, d)
-    rows = basket.segment_baskets(basket.baskets(shop.category_rows()), shop.cltv(), SEGMENT_OF_BASKETS)
+    rows = basket.segment_baskets(basket.baskets(shop.category_rows(empty_orders=True)), shop.cltv(), SEGMENT_OF_BASKETS)
     return rows.select(ORDER, CUSTOMER, _joined("items").alias("items"), cltv.SEGMENT)
 
 
@@ -860,7 +860,7 @@ def f03_multi_item(spark, d):
 @query
 def f04_clean_items(spark, d):
     shop = Retail.from_star(spark, d)
-    shouted = shop.category_rows().withColumn(CATEGORY, F.concat(F.lit("  "), F.upper(CATEGORY), F.lit(" ")))
+    shouted = shop.category_rows(empty_orders=True).withColumn(CATEGORY, F.concat(F.lit("  "), F.upper(CATEGORY), F.lit(" ")))
     rows = basket.clean_items(basket.baskets(shouted))
     return rows.select(ORDER, _joined("items").alias("items"))
 
@@ -871,6 +871,13 @@ def f05_frequent_itemsets(spark, d):
     return basket.frequent_itemsets(b).select(_joined("items").alias("items"), F.size("items").alias("item_count"), "freq")
 
 
+@query
+def f05_frequent_itemsets_all(spark, d):
+    """Of the baskets of all segments."""
+    b = materialize(Retail.from_star(spark, d).baskets(), "baskets")
+    return basket.frequent_itemsets(b).select(_joined("items").alias("items"), F.size("items").alias("item_count"), "freq")
+
+
 def _rules(spark, d) -> DataFrame:
     return Retail.from_star(spark, d).rules(SEGMENT_OF_BASKETS)[0]
 
@@ -901,6 +908,11 @@ def f09_rule_revenue(spark, d):
     return _rules(spark, d).select("rule", "estimated_revenue")
 
 
+@query
+def f09_rule_revenue_all(spark, d):
+    return Retail.from_star(spark, d).rules()[0].select("rule", "estimated_revenue")
+
+
 @query
 def f10_top_bundles(spark, d):
     return basket.top_bundles(_rules(spark, d)).select("rule", "lift", "estimated_revenue")

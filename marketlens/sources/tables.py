@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -108,13 +108,25 @@ class RetailTables:
 MULTI_LINE = ("order_reviews",)
 
 
+def _as_stated(stored: DataFrame, field: T.StructField) -> Column:
+    if field.name not in stored.columns:
+        return F.lit(None).cast(field.dataType).alias(field.name)
+    same = stored.schema[field.name].dataType == field.dataType
+    return F.col(field.name) if same else F.col(field.name).cast(field.dataType).alias(field.name)
+
+
 def read_table(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "csv", multi_line: bool = False) -> DataFrame:
-    """One table with its stated schema; columns are matched by name."""
+    """One table with its stated schema; columns are matched by name.
+
+    Of a parquet file columns that the schema lacks are not read, columns that
+    the file lacks are null, and a column of another type is converted.
+    """
     if fmt == "csv":
         reader = spark.read.schema(schema).option("header", True).option("enforceSchema", False)
         return reader.option("quote", '"').option("escape", '"').option("multiLine", multi_line).csv(path)
     if fmt == "parquet":
-        return spark.read.parquet(path)
+        stored = spark.read.parquet(path)
+        return stored.select(*[_as_stated(stored, field) for field in schema])
     raise ValueError(f"unknown table format: {fmt}")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from helpers import by_key, rows_of
 from marketlens.functions.columns import CATEGORY, CITY, CUSTOMER, ORDER, PAYMENT, PURCHASED, STATE, ZIP
 from marketlens.operators import basket, churn, cltv, fact, filters, geo, profile, reviews, rfm, timeseries
-from marketlens.sources.tables import export_csv, load_tables
+from marketlens.sources.tables import SCHEMAS, export_csv, load_tables, read_table
 
 
 def test_csv_tables_have_their_schemas(raw_market):
@@ -34,6 +34,17 @@ def test_wrong_format(spark, market_folder):
         load_tables(spark, str(market_folder), "xml")
 
 
+def test_parquet_takes_the_stated_schema(spark, tmp_path):
+    """A column too many, one too few, and one of another type."""
+    path = str(tmp_path / "order_items.parquet")
+    rows = [("o1", "p1", 3, "x"), ("o2", None, None, "y")]
+    spark.createDataFrame(rows, "order_id string, product_id string, price int, stray string").write.parquet(path)
+    got = read_table(spark, path, SCHEMAS["order_items"], "parquet")
+    assert [(f.name, f.dataType) for f in got.schema] == [(f.name, f.dataType) for f in SCHEMAS["order_items"]]
+    assert rows_of(got.select("order_id", "product_id", "price", "freight_value")) == [("o1", "p1", 3.0, None), ("o2", None, None, None)]
+    assert "stray" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_bad_timestamps_become_null(market):
     ts = by_key(market.tables.orders, ORDER)
     assert ts["o7"][PURCHASED] is None

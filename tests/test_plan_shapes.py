@@ -90,7 +90,7 @@ def test_customer_questions_build_the_orders_once(spark, monkeypatch):
     assert len(built) == 2  # the month of the cutoff
 
 
-@pytest.mark.parametrize("name, times", [("b12_category_by_segment", 1), ("c13_top_categories_per_segment", 1), ("c16_repeat_rate", 0), ("f02_segment_baskets", 1), ("b14_segment_orders_by_month", 0)])
+@pytest.mark.parametrize("name, times", [("b12_category_by_segment", 1), ("c13_top_categories_per_segment", 1), ("c16_repeat_rate", 0), ("f03_multi_item", 1), ("b14_segment_orders_by_month", 0)])
 def test_answers_by_segment_scan_the_items_once(spark, name, times):
     plan = plan_of(QUERIES[name](spark, SMALL))
     plan = plan[plan.index("Initial Plan") :] if "Initial Plan" in plan else plan
