@@ -22,7 +22,8 @@ run dry in the same round. With weights a queue that runs dry leaves the round
 and the others go on; a source without a weight comes last.
 
 Defined results: a null text is the empty text (one token, the closing id); a
-null source is a queue of its own; rows are packed each, repeated ids included;
+null source is a queue of its own; a very long text is encoded and cut whole; rows
+are packed each, repeated ids included;
 an empty table gives no pieces; other columns do not matter.
 """
 
@@ -50,7 +51,7 @@ WINDOW = 2048
 LEAST_PIECE = 16
 
 #: Bytes of known parts kept by one Python worker.
-KEPT_BYTES = 16 << 20
+KEPT_BYTES = 24 << 20
 _LETTERS = b"abcdefghijklmnopqrstuvwxyz"
 _PUNCTUATION = b".,;:!?"
 #: Stands between parts that are encoded together; its id comes from nothing else. So many at a time.
@@ -82,6 +83,14 @@ class WordEncoder:
         if len(ids) != 1:
             raise ValueError("the tokenizer has no id for a digit of its own")
         self.between = ids[0]
+        self.direct = self._words_need_no_splitting()
+
+    def _words_need_no_splitting(self) -> bool:
+        """Whether the merges alone give the ids of a lower-case ASCII word."""
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        probes = [p.decode() for probe in _PROBES for p in probe.lower().encode().split() if p.isalpha()] + ["s", "zq", "thelongestwordofall"]
+        whole = [self.tokenizer.encode(p, add_special_tokens=False).ids for p in probes]
+        return not any(t.isalpha() for t in added) and whole == [[t.id for t in self.tokenizer.model.tokenize(p)] for p in probes]
 
     @classmethod
     def load(cls, path: str) -> WordEncoder:
@@ -96,10 +105,18 @@ class WordEncoder:
         return encoder
 
     def _ids(self, parts: list[bytes]) -> list[bytes]:
-        """Ids of each part. Parts are encoded many at a time, told apart by a digit between them."""
+        """Ids of each part. ASCII words go to the merges as they are; others are encoded many at a time, told apart by a digit."""
         out: list[bytes] = [b""] * len(parts)
-        single = [i for i, p in enumerate(parts) if _BETWEEN in p]
-        joined = [i for i, p in enumerate(parts) if _BETWEEN not in p]
+        merge, size, words = self.tokenizer.model.tokenize, self.type.itemsize, set()
+        if self.direct:
+            words = {i for i, p in enumerate(parts) if p.isalpha()}  # of bytes: ASCII letters alone
+            found = [[t.id for t in merge(parts[i].decode())] for i in words]
+            ends = np.cumsum([len(ids) * size for ids in found]).tolist()
+            data = np.array([i for ids in found for i in ids], self.type).tobytes()
+            for i, a, b in zip(words, [0, *ends], ends):
+                out[i] = data[a:b]
+        single = [i for i, p in enumerate(parts) if i not in words and _BETWEEN in p]
+        joined = [i for i, p in enumerate(parts) if i not in words and _BETWEEN not in p]
         for i, e in zip(single, self.tokenizer.encode_batch_fast([parts[i].decode() for i in single], add_special_tokens=False)):
             out[i] = np.array(e.ids, self.type).tobytes()
         for at in range(0, len(joined), _TOGETHER):
@@ -109,7 +126,7 @@ class WordEncoder:
             cuts = np.flatnonzero(ids == self.between)
             if len(cuts) != len(some) - 1:
                 raise ValueError("the tokenizer does not keep parts between blanks apart")
-            data, size = ids.tobytes(), self.type.itemsize
+            data = ids.tobytes()
             begins, ends = [0, *(size * (cuts + 1)).tolist()], [*(size * cuts).tolist(), len(data)]
             for i, a, b in zip(some, begins, ends):
                 out[i] = data[a:b]
@@ -234,6 +251,7 @@ def with_checksums(pieces: DataFrame, encoded: DataFrame, width: int) -> DataFra
 
     @F.arrow_udf(T.ArrayType(PIECE))
     def check(ids: pa.Array, placed: pa.Array) -> pa.Array:
+        _ENCODERS.clear()  # a worker that has encoded has no more use for its parts
         places = placed.flatten()
         start, length = (places.field(f).to_numpy() for f in ("start", "length"))
         begin, end = (4 * start).tolist(), (4 * (start + length)).tolist()

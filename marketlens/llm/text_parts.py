@@ -38,9 +38,11 @@ class Cutter:
         self.kind[list(BLANKS)] = 0
         for i, kind in enumerate(kinds):
             self.kind[list(kind)] = i + 1
-        self.border = np.zeros((len(kinds) + 2,) * 2, bool)
-        self.border[:-1, :-1] = ~np.eye(len(kinds) + 1, dtype=bool)
-        self.border[0, -1] = self.border[-1, 0] = True
+        border = np.zeros((16, 16), bool)  # by the kinds before and behind
+        some = len(kinds) + 1
+        border[:some, :some] = ~np.eye(some, dtype=bool)
+        border[0, some] = border[some, 0] = True
+        self.border = border.ravel()
 
     def __call__(self, texts: pa.Array) -> Parts:
         """Parts of the texts of a string array; a null is empty."""
@@ -48,10 +50,10 @@ class Cutter:
         ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
         if not len(texts) or ends[-1] == ends[0]:
             return Parts(pa.array([], pa.binary()), np.empty(0, np.int32), np.zeros(len(texts), np.int64))
-        data = _LOWER[np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]]]
-        kind = self.kind[data]
+        data = _LOWER.take(np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]])
+        kind = self.kind.take(data)
         begins = np.ones(len(data), bool)
-        begins[1:] = self.border[kind[:-1], kind[1:]]
+        begins[1:] = self.border.take(kind[:-1] << 4 | kind[1:])
         begins[(ends[:-1] - ends[0])[ends[:-1] < ends[-1]]] = True
         solid = kind > 0
         begins &= solid
@@ -83,7 +85,7 @@ class Kept:
     """
 
     LONGEST, GATHERED = 64, 20_000
-    _ZOBRIST = np.random.default_rng(11).integers(0, 1 << 63, (LONGEST, 256), dtype=np.uint64)
+    _ZOBRIST = np.random.default_rng(11).integers(0, 1 << 63, (LONGEST, 256), dtype=np.uint64).ravel()
 
     def __init__(self, find: Callable[[list[bytes]], Sequence[bytes]], limit: int):
         self.find, self.limit = find, limit
@@ -96,9 +98,11 @@ class Kept:
         """Hashes of parts; those longer than ``LONGEST`` count with their beginning."""
         ends = np.frombuffer(parts.buffers()[1], np.int32)[parts.offset : parts.offset + len(parts) + 1]
         data = np.frombuffer(parts.buffers()[2], np.uint8)[ends[0] : ends[-1]]
-        begins = (ends[:-1] - ends[0]).astype(np.int64)
-        place = np.arange(len(data)) - np.repeat(begins, np.diff(ends))
-        return np.add.reduceat(self._ZOBRIST[np.minimum(place, self.LONGEST - 1), data], begins)
+        begins, sizes = ends[:-1] - ends[0], np.diff(ends)
+        place = np.arange(len(data), dtype=np.int32) - np.repeat(begins, sizes)
+        if sizes.max(initial=0) > self.LONGEST:
+            np.minimum(place, self.LONGEST - 1, out=place)
+        return np.add.reduceat(self._ZOBRIST.take((place << 8) + data), begins)
 
     def __call__(self, parts: pa.BinaryArray) -> pa.Array:
         """The values of distinct parts, none of them empty."""
