@@ -16,8 +16,9 @@ in sorted order, so no table of all words is ever in one place.
 The filter is built in segments, one for each shuffle bucket, with a fixed
 number of bits per entry, so its error does not depend on the size of the
 corpus and nothing is left out. Segments are broadcast in shards of at most
-``shard_mb``; a token's score needs one shard only, so a filter of several
-shards takes one pass over the texts for each and the parts are added up.
+``shard_mb``, one at a time; a token's score needs one shard only, so a filter
+of several shards takes one pass over the texts for each and the written parts
+are added up. Neither the driver nor a worker holds more than one shard.
 
 Words are told apart by 64-bit hashes, bigrams by 48-bit ones. Defined results:
 a null text is empty (its end token alone); a null id counts as "" when texts
@@ -306,7 +307,7 @@ def _score_chunk(shard, buckets: int, total: int, distinct: int, mu: float) -> C
 
 
 def score_documents(
-    docs: DataFrame, mu: float = 20.0, bits_per_entry: float = 10.0, shard_mb: int = 64, chunk_mb: float = 3.0
+    docs: DataFrame, mu: float = 20.0, bits_per_entry: float = 10.0, shard_mb: int = 48, chunk_mb: float = 3.0
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     spark = docs.sparkSession
@@ -319,7 +320,7 @@ def score_documents(
         "text",
         held.alias("held_out"),
         (~held).alias("learn"),
-        F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(chunks)).alias("chunk"),
+        F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"),
     )
     counted = word_counts(texts, buckets)
     sums = counted.agg(F.sum("n_tokens"), F.sum("n_words")).first()
@@ -330,8 +331,10 @@ def score_documents(
     )
     parts = None
     for begin, end in shards(segments, buckets, shard_mb):
+        # one shard is alive at a time; what it adds to each text's score is written before it goes
         shard = spark.sparkContext.broadcast(_load(segments, begin, end))
-        part = sides.applyInArrow(_score_chunk(shard, buckets, total, distinct, mu), SCORED)
+        part = materialize(sides.applyInArrow(_score_chunk(shard, buckets, total, distinct, mu), SCORED), "score_parts")
+        shard.destroy()
         parts = part if parts is None else parts.unionByName(part)
     same = ["doc_id", "held_out", "n_tokens", "n_known"]
     scored = parts.groupBy("digest", "copy", *same).agg(F.first("base_score").alias("base_score"), F.sum("part").alias("score"))
