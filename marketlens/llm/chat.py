@@ -9,6 +9,7 @@ Defined results: a null role is an unknown role named "", a null text is the
 empty text, rows of one turn number are ordered by role and then text, repeated
 rows are repeated turns, a null ``conv_id`` is a conversation of its own. An
 unknown role is written with its name and makes the conversation invalid.
+A very long text is written whole; a conversation is one row, however long.
 Extra input columns are ignored. An empty table gives no rows.
 """
 

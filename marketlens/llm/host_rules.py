@@ -7,8 +7,8 @@ documents. A host is refused when its shrunken rate reaches ``max_rate``; a
 document is kept when it passes the base rules and its host is not refused.
 
 Defined results: a null text has no words (and so fails the base rules); a
-null host is a host of its own; repeated rows count each; an empty table gives
-no rows; other columns pass through ``screen`` untouched.
+null host is a host of its own, judged like any other; repeated rows count each;
+very long texts are measured whole; an empty table gives no rows; other columns pass through ``screen`` untouched.
 """
 
 from __future__ import annotations

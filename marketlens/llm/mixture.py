@@ -27,7 +27,8 @@ equal; none is sampled below ``LEAST`` of the others for the cap alone.
 Defined results: null class values belong to the rest, and so do empty values of
 a capped margin, which are of no known source; a null text has no tokens; a
 class with a target and no tokens is left out and its weight is shared among the
-others; a cell without tokens keeps its documents, which weigh nothing; repeated rows are drawn together (same id); an empty table gives no rows.
+others; a cell without tokens keeps its documents, which weigh nothing; repeated rows are drawn together (same id);
+very long texts are counted whole; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -329,6 +329,48 @@ def test_scores(awkward, spark):
     assert sum(r["score"] for r in one if not r["held_out"]) > sum(r["base_score"] for r in one if not r["held_out"])
 
 
+def test_scores_equal_a_plain_model(spark):
+    """Counts in a dictionary, rounded down to powers of two; the filter gets so many bits that it errs nowhere."""
+    docs = documents(spark)
+    rows = pairs_of(docs)
+    held = {d: zlib.crc32(str(d).encode()) % 5 == 1 for d, _ in rows}
+    words = {d: [*WORD.findall(lower(t)), None] for d, t in rows}
+    single, pairs = Counter(), Counter()
+    for d, ws in words.items():
+        if not held[d]:
+            single.update(ws)
+            pairs.update(zip(["start", *ws[:-1]], ws))
+    n, v, mu = sum(single.values()), len(single), 20.0
+    starts = sum(not h for h in held.values())
+    got = {r["doc_id"]: r["score"] for r in ngram_filter.score_documents(docs, mu, bits_per_entry=64).collect()}
+    for d, ws in words.items():
+        score = 0.0
+        for before, w in zip(["start", *ws[:-1]], ws):
+            c, b = single[w], starts if before == "start" else single[before]
+            base = (c + 0.5) / (n + 0.5 * (v + 1))
+            seen = pairs[before, w]
+            level = min(2 ** int(math.log2(seen)), c, b) if seen else 0
+            score += math.log10((level + mu * base) / (b + mu))
+        assert got[d] == pytest.approx(score, abs=1e-6)
+
+
+def test_one_shard_is_alive_at_a_time(spark, monkeypatch):
+    alive, most = [0], [0]
+    make, context = spark.sparkContext.broadcast, type(spark.sparkContext)
+
+    def broadcast(self, value):
+        alive[0] += 1
+        most[0] = max(most[0], alive[0])
+        found = make(value)
+        gone = found.destroy
+        found.destroy = lambda: (alive.__setitem__(0, alive[0] - 1), gone())
+        return found
+
+    monkeypatch.setattr(context, "broadcast", broadcast)
+    ngram_filter.score_documents(documents(spark), shard_mb=0, chunk_mb=0.2).count()
+    assert most[0] == 1 and alive[0] == 0
+
+
 def test_filter_never_counts_too_low():
     rng = np.random.default_rng(2)
     keys = np.unique(rng.integers(0, 1 << 48, 5000, dtype=np.uint64))
