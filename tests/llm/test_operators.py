@@ -342,7 +342,7 @@ def test_scores_equal_a_plain_model(spark):
             pairs.update(zip(["start", *ws[:-1]], ws))
     n, v, mu = sum(single.values()), len(single), 20.0
     starts = sum(not h for h in held.values())
-    got = {r["doc_id"]: r["score"] for r in ngram_filter.score_documents(docs, mu, bits_per_entry=64).collect()}
+    got = {r["doc_id"]: r["score"] for r in ngram_filter.score_documents(docs, mu, bits_per_entry=4000).collect()}
     for d, ws in words.items():
         score = 0.0
         for before, w in zip(["start", *ws[:-1]], ws):
