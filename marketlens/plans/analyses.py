@@ -43,8 +43,8 @@ class Retail:
         """Fact with one row per item and payment."""
         return sales_fact(self.tables, columns, empty_orders)
 
-    def category_rows(self, empty_orders: bool = False) -> DataFrame:
-        """Fact rows of items, with their product category; with ``empty_orders`` also a row for each order without items.
+    def category_rows(self, empty_orders: bool = True) -> DataFrame:
+        """Fact rows with their product category; without ``empty_orders`` only those of items, which takes one scan less.
 
         Not collapsed first: an order hardly repeats a category, so counting
         would cost a shuffle more than it saves; hot orders are split in the
@@ -95,7 +95,7 @@ class Retail:
 
     def baskets(self, segment: str | None = None) -> DataFrame:
         """Cleaned baskets of several items, of one value segment or of all."""
-        found = basket.baskets(self.category_rows())
+        found = basket.baskets(self.category_rows(empty_orders=False))
         if segment is not None:
             found = basket.segment_baskets(found, self.cltv(), segment)
         return basket.clean_items(basket.multi_item(found))

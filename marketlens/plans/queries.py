@@ -317,13 +317,13 @@ def b11_score_matrix_mf(spark, d):
 @query
 def b12_category_by_segment(spark, d):
     shop = Retail.from_star(spark, d)
-    return rfm.category_by_segment(shop.category_rows(), shop.rfm(), "BehaviorSegment")
+    return rfm.category_by_segment(shop.category_rows(empty_orders=False), shop.rfm(), "BehaviorSegment")
 
 
 @query
 def b12_category_by_group(spark, d):
     shop = Retail.from_star(spark, d)
-    return rfm.category_by_segment(shop.category_rows(), shop.rfm(rule="code"), "CustomerGroup")
+    return rfm.category_by_segment(shop.category_rows(empty_orders=False), shop.rfm(rule="code"), "CustomerGroup")
 
 
 @query
@@ -458,7 +458,7 @@ def c12_revenue_comparison_model(spark, d):
 @query
 def c13_top_categories_per_segment(spark, d):
     shop = Retail.from_star(spark, d)
-    return cltv.top_categories_per_segment(shop.category_rows(), shop.cltv())
+    return cltv.top_categories_per_segment(shop.category_rows(empty_orders=False), shop.cltv())
 
 
 @query
@@ -840,27 +840,27 @@ def _joined(items: str) -> Column:
 
 @query
 def f01_baskets(spark, d):
-    rows = basket.baskets(Retail.from_star(spark, d).category_rows(empty_orders=True))
+    rows = basket.baskets(Retail.from_star(spark, d).category_rows())
     return rows.select(ORDER, CUSTOMER, _joined("items").alias("items"))
 
 
 @query
 def f02_segment_baskets(spark, d):
     shop = Retail.from_star(spark, d)
-    rows = basket.segment_baskets(basket.baskets(shop.category_rows(empty_orders=True)), shop.cltv(), SEGMENT_OF_BASKETS)
+    rows = basket.segment_baskets(basket.baskets(shop.category_rows()), shop.cltv(), SEGMENT_OF_BASKETS)
     return rows.select(ORDER, CUSTOMER, _joined("items").alias("items"), cltv.SEGMENT)
 
 
 @query
 def f03_multi_item(spark, d):
-    rows = basket.multi_item(basket.baskets(Retail.from_star(spark, d).category_rows()))
+    rows = basket.multi_item(basket.baskets(Retail.from_star(spark, d).category_rows(empty_orders=False)))
     return rows.select(ORDER, CUSTOMER, F.size("items").alias("item_count"))
 
 
 @query
 def f04_clean_items(spark, d):
     shop = Retail.from_star(spark, d)
-    shouted = shop.category_rows(empty_orders=True).withColumn(CATEGORY, F.concat(F.lit("  "), F.upper(CATEGORY), F.lit(" ")))
+    shouted = shop.category_rows().withColumn(CATEGORY, F.concat(F.lit("  "), F.upper(CATEGORY), F.lit(" ")))
     rows = basket.clean_items(basket.baskets(shouted))
     return rows.select(ORDER, _joined("items").alias("items"))
 
@@ -1024,7 +1024,7 @@ def g06_forecast_error(spark, d):
 
 @query
 def g07_category_monthly(spark, d):
-    return timeseries.category_monthly(Retail.from_star(spark, d).category_rows(), "small ring")
+    return timeseries.category_monthly(Retail.from_star(spark, d).category_rows(empty_orders=False), "small ring")
 
 
 # H: reviews

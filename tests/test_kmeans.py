@@ -16,7 +16,7 @@ from marketlens.operators import clusters
 def blobs(spark):
     rng = np.random.default_rng(6)
     centers = rng.normal(scale=6, size=(9, 3))
-    x = np.round(np.concatenate([rng.normal(c, 1 + i % 3, (60, 3)) for i, c in enumerate(centers)]) * 2**20) / 2**20
+    x = np.round(np.concatenate([rng.normal(c, 1 + i % 3, (40, 3)) for i, c in enumerate(centers)]) * 2**20) / 2**20
     rows = [([float(v) for v in row],) for row in x]
     df = spark.createDataFrame(rows, "_x array<double>")
     return materialize(df.select("_x", F.xxhash64("_x").alias("row")).repartition(5)), x

@@ -55,7 +55,7 @@ def test_baskets_reuse_the_placement_by_order(star, spark):
     try:
         from marketlens.operators import basket
 
-        plan = plan_of(basket.baskets(star.category_rows()))
+        plan = plan_of(basket.baskets(star.category_rows(empty_orders=False)))
         # one for the products, one each for items and orders, none for the sets
         assert plan.count("Exchange hashpartitioning") == 4
     finally:
