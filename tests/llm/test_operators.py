@@ -354,23 +354,6 @@ def test_scores_equal_a_plain_model(spark):
         assert got[d] == pytest.approx(score, abs=1e-6)
 
 
-def test_one_shard_is_alive_at_a_time(spark, monkeypatch):
-    alive, most = [0], [0]
-    make, context = spark.sparkContext.broadcast, type(spark.sparkContext)
-
-    def broadcast(self, value):
-        alive[0] += 1
-        most[0] = max(most[0], alive[0])
-        found = make(value)
-        gone = found.destroy
-        found.destroy = lambda: (alive.__setitem__(0, alive[0] - 1), gone())
-        return found
-
-    monkeypatch.setattr(context, "broadcast", broadcast)
-    ngram_filter.score_documents(documents(spark), shard_mb=0, chunk_mb=0.2).count()
-    assert most[0] == 1 and alive[0] == 0
-
-
 def test_filter_never_counts_too_low():
     rng = np.random.default_rng(2)
     keys = np.unique(rng.integers(0, 1 << 48, 5000, dtype=np.uint64))
