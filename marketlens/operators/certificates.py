@@ -16,11 +16,14 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.staging import materialize
 from . import metrics
 from .clusters import standardize
 
 #: Terms of the series of the hypergeometric function.
 _TERMS = 600
+#: A slope is taken between so much above and below a parameter's logarithm.
+_STEP = 1e-3
 
 
 def log_gamma(z: Column) -> Column:
@@ -33,30 +36,32 @@ def log_gamma(z: Column) -> Column:
     return series - steps
 
 
-def pareto_nbd_loglik(x: Column, tx: Column, t: Column, params: Sequence[float]) -> Column:
-    """Log-likelihood of a history from the series of the hypergeometric function, term by term.
-
-    With n = r + s + x the density is the one of a customer alive all along plus
-    s / n times the difference of F(z) / base^n at the last purchase and at the end.
-    """
+def pareto_nbd_series(x: Column, at: Column, params: Sequence[float]) -> Column:
+    """ln of F(z) / base^n of x repeats at a time, from the series of the hypergeometric function, term by term."""
     r, a, s, b = params
     n = x + (r + s)
     big, power = (a, F.lit(s + 1.0)) if a >= b else (b, x + r)
+    z = F.lit(abs(a - b)) / (at + big)
+
+    def step(acc: Column, k: Column) -> Column:
+        term = acc["term"] * (power + k) / (k + 1) * z
+        return F.struct(term.alias("term"), (acc["sum"] + n / (n + k + 1) * term).alias("sum"))
 
-    def log_part(at: Column) -> Column:
-        z = F.lit(abs(a - b)) / (at + big)
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+    total = F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(_TERMS)), lambda k: k.cast("double")), start, step, lambda acc: acc["sum"])
+    return F.log(total) - n * F.log(at + big)
 
-        def step(acc: Column, k: Column) -> Column:
-            term = acc["term"] * (power + k) / (k + 1) * z
-            return F.struct(term.alias("term"), (acc["sum"] + n / (n + k + 1) * term).alias("sum"))
 
-        start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
-        total = F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(_TERMS)), lambda k: k.cast("double")), start, step, lambda acc: acc["sum"])
-        return F.log(total) - n * F.log(at + big)
+def pareto_nbd_loglik(x: Column, tx: Column, t: Column, params: Sequence[float], parts: tuple[Column, Column] | None = None) -> Column:
+    """Log-likelihood of a history; ``parts`` are the series at the last purchase and at the end, where they are known.
 
-    last, end = log_part(tx), log_part(t)
+    With n = r + s + x the density is the one of a customer alive all along plus
+    s / n times the difference of F(z) / base^n at the last purchase and at the end.
+    """
+    r, a, s, b = params
+    last, end = parts or (pareto_nbd_series(x, tx, params), pareto_nbd_series(x, t, params))
     alive = -(x + r) * F.log(t + a) - s * F.log(t + b)
-    gone = F.log(s / n) + last + F.log(-F.expm1(F.least(end - last, F.lit(-1e-300))))
+    gone = F.log(s / (x + (r + s))) + last + F.log(-F.expm1(F.least(end - last, F.lit(-1e-300))))
     top = F.greatest(alive, gone)
     rising = F.aggregate(F.sequence(F.lit(0), x.cast("int") - 1), F.lit(0.0), lambda acc, i: acc + F.log(i + r))
     return rising + r * math.log(a) + s * math.log(b) + top + F.log(F.exp(alive - top) + F.exp(gone - top))
@@ -72,19 +77,55 @@ def gamma_gamma_loglik(x: Column, m: Column, params: Sequence[float]) -> Column:
     )
 
 
-def slopes(df: DataFrame, loglik: Callable[[Sequence[float]], Column], params: dict[str, float], penalizer: float, most: float = 5e-3) -> DataFrame:
-    """parameter, at_rest: whether the penalised mean loss stands still in the parameter's logarithm."""
-    h, names = 1e-3, list(params)
+def _moved(params: dict[str, float]) -> list[list[float]]:
+    """The parameters with each in turn moved up and down a little in its logarithm."""
+    return [[v * math.exp(way * _STEP) if i == j else v for j, v in enumerate(params.values())] for i in range(len(params)) for way in (1, -1)]
 
-    def at(i: int, way: int) -> Column:
-        moved = [v * math.exp(way * h) if i == j else v for j, v in enumerate(params.values())]
-        return -F.avg(loglik(moved)) + penalizer * sum(v * v for v in moved)
 
-    wide = df.agg(*[((at(i, 1) - at(i, -1)) / (2 * h)).alias(n) for i, n in enumerate(names)])
+def slopes(
+    df: DataFrame, loglik: Callable[[Sequence[float]], Column], params: dict[str, float], penalizer: float, most: float = 5e-3, weight: str | None = None
+) -> DataFrame:
+    """parameter, at_rest: whether the penalised mean loss stands still in the parameter's logarithm.
+
+    A row counts ``weight`` times, or once.
+    """
+    names, mass = list(params), F.col(weight) if weight else F.lit(1)
+
+    def at(moved: Sequence[float]) -> Column:
+        return -F.sum(mass * loglik(moved)) / F.sum(mass) + penalizer * sum(v * v for v in moved)
+
+    losses = [at(moved) for moved in _moved(params)]
+    wide = df.agg(*[((losses[2 * i] - losses[2 * i + 1]) / (2 * _STEP)).alias(n) for i, n in enumerate(names)])
     rows = F.array(*[F.struct(F.lit(n).alias("parameter"), (F.abs(n) < most).alias("at_rest")) for n in names])
     return wide.select(F.explode(rows).alias("r")).select("r.*")
 
 
+def pareto_nbd_slopes(summary: DataFrame, params: dict[str, float], scale: float, penalizer: float) -> DataFrame:
+    """``slopes`` of the Pareto/NBD likelihood over whole days times ``scale``.
+
+    A series depends on the purchases and one time alone, so it is added up once
+    for each pair of them, and equal histories count as one: there are as many
+    series as purchases and days allow, however many customers there are.
+    """
+    histories = summary.groupBy("frequency", "recency", "T").agg(F.count(F.lit(1)).alias("n"))
+    histories = materialize(histories, "histories")
+    times = histories.select("frequency", F.explode(F.array(F.col("recency"), F.col("T"))).alias("day")).distinct()
+    sets = _moved(params)
+    x = F.col("frequency").cast("double")
+    # dealt out anew: few rows, much work for each
+    dealt = times.repartition(summary.sparkSession.sparkContext.defaultParallelism * 4, "frequency", "day")
+    series = materialize(dealt.select("frequency", "day", F.array(*[pareto_nbd_series(x, F.col("day") * scale, p) for p in sets]).alias("s")), "series")
+    rows = histories.join(series.select("frequency", F.col("day").alias("recency"), F.col("s").alias("_last")), ["frequency", "recency"])
+    rows = rows.join(series.select("frequency", F.col("day").alias("T"), F.col("s").alias("_end")), ["frequency", "T"])
+    tx, t = F.col("recency") * scale, F.col("T") * scale
+
+    def loglik(moved: Sequence[float]) -> Column:
+        i = sets.index(list(moved))
+        return pareto_nbd_loglik(x, tx, t, moved, (F.col("_last")[i], F.col("_end")[i]))
+
+    return slopes(rows, loglik, params, penalizer, weight="n")
+
+
 def logistic_slopes(model, weighted: DataFrame, label: str, features: Sequence[str], penalty: float, most: float = 1e-3) -> DataFrame:
     """feature, at_rest: whether the penalised weighted loss stands still in the coefficient of the standardised feature."""
     x, w = vector_to_array("features"), F.col("weight")

@@ -533,8 +533,7 @@ def d04_pareto_nbd_at_rest(spark, d):
     # fitted on ages scaled to ten units, with the penalty on those parameters
     scale = 10.0 / kept.agg(F.max("T")).first()[0]
     params = {k: v * scale if k in ("alpha", "beta") else v for k, v in fit.items()}
-    x, tx, t = F.col("frequency").cast("double"), F.col("recency") * scale, F.col("T") * scale
-    return certificates.slopes(kept, lambda p: certificates.pareto_nbd_loglik(x, tx, t, p), params, 1.0)
+    return certificates.pareto_nbd_slopes(kept, params, scale, 1.0)
 
 
 @query

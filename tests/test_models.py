@@ -7,11 +7,12 @@ from math import lgamma
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import by_key, rows_of
 from marketlens.functions.columns import CUSTOMER
 from marketlens.functions.staging import materialize
-from marketlens.operators import churn_models, clusters, metrics, timeseries
+from marketlens.operators import certificates, churn_models, clusters, metrics, timeseries
 from marketlens.operators import lifetime_model as lm
 
 
@@ -297,3 +298,24 @@ def test_forecast_error_and_rolling_mean(make):
     assert (row["mae"], row["rmse"], row["mape"]) == (pytest.approx(5 / 3), pytest.approx(3**0.5), pytest.approx(10.0))
     rolled = timeseries.rolling_mean(actual, "ds", "y").orderBy("ds").collect()
     assert [r["rolling_3mo"] for r in rolled] == [None, None, 10.0]
+
+
+def test_series_of_the_certificate_are_added_up_once_for_equal_histories(spark, monkeypatch):
+    """A series of 600 terms for every customer took longer than the fit."""
+    histories = [(2, 30, 300), (2, 200, 300), (5, 200, 365), (9, 300, 320)]
+    rows = [(*histories[i % 4],) for i in range(400)]
+    df = materialize(spark.createDataFrame(rows, "frequency bigint, recency int, T int"))
+    written, kept = {}, certificates.materialize
+    monkeypatch.setattr(certificates, "materialize", lambda t, label: written.setdefault(label, kept(t, label)))
+    x, scale = F.col("frequency").cast("double"), 10.0 / 365
+    params = {"r": 0.6, "alpha": 0.5, "s": 0.4, "beta": 0.9}
+    plain = certificates.slopes(df, lambda p: certificates.pareto_nbd_loglik(x, F.col("recency") * scale, F.col("T") * scale, p), params, 1.0)
+    folded = certificates.pareto_nbd_slopes(df, params, scale, 1.0)
+    assert written["histories"].count() == 4 and written["series"].count() == 7
+    verdicts = [{r["parameter"]: r["at_rest"] for r in t.collect()} for t in (plain, folded)]
+    assert verdicts[0] == verdicts[1]
+    # the likelihoods behind the verdicts
+    moved = [p * 1.001 for p in params.values()]
+    of_rows = df.agg(F.avg(certificates.pareto_nbd_loglik(x, F.col("recency") * scale, F.col("T") * scale, moved))).first()[0]
+    tx, t = (df.toPandas()[c].to_numpy(float) * scale for c in ("recency", "T"))
+    assert of_rows == pytest.approx(lm.pareto_nbd_loglik(df.toPandas()["frequency"].to_numpy(float), tx, t, moved).mean(), rel=1e-6)
