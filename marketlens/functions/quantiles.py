@@ -98,9 +98,10 @@ def quantile_table(df: DataFrame, col: str, probs: Sequence[float], by: Sequence
         state = state.join(cells, same).where(has_rank(state["rank"]))
         state = state.select(*[state[c] for c in by], "size", "name", (state["rank"] - F.col("first")).alias("rank"), F.col("digit").alias("prefix"))
 
-    found = state.groupBy(*by).agg(
+    # the value is worked out before it is asked for by name: its expression is long, and there may be many names
+    found = state.withColumn("value", key_value(F.col("prefix"))).groupBy(*by).agg(
         F.max("size").alias("size"),
-        *[F.max(F.when(F.col("name") == n, key_value(F.col("prefix")))).alias(n) for i in range(len(probs)) for n in (f"lo{i}", f"hi{i}")],
+        *[F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for i in range(len(probs)) for n in (f"lo{i}", f"hi{i}")],
     )
     cols = []
     for i, p in enumerate(probs):

@@ -13,19 +13,22 @@ driver is bounded by nodes, features and bins, not by rows.
 Gradients are rounded to multiples of 2^-20 and added up as whole numbers, so a
 model does not depend on how the rows are partitioned. Several models are grown
 in the same passes, each without the rows of one fold, as cross-validation asks
-for. Every few rounds the rows are written with their margins, so a pass
-evaluates few trees.
+for. A pass is one short job over blocks of arrays that the executors keep, with
+the margins of all trees so far; every few rounds they are written, so little is
+done again when an executor is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,6 +38,8 @@ from ..functions.staging import materialize
 _UNIT = float(1 << 20)
 #: Rounds between two writes of the margins.
 _WRITTEN = 10
+#: A partition has at least so many rows, where there are as many, and at most so many.
+_LEAST_ROWS, _MOST_ROWS = 1 << 15, 1 << 20
 #: A split must lower the loss by more than this.
 _LEAST_GAIN = 1e-6
 
@@ -168,51 +173,67 @@ def grow(tree: Tree, level: int, g: np.ndarray, h: np.ndarray, settings: Setting
             tree.leaf[2 * node + 2] = answer(right_g[i, j, at], right_h[i, j, at])
 
 
-def _level_sums(rows: DataFrame, models: Sequence[BoostedModel], folds: Sequence[int], weights: Sequence[float], done: int, trees: Sequence[Tree], level: int) -> tuple[np.ndarray, np.ndarray]:
+class Block(NamedTuple):
+    """Rows of a partition as arrays; ``margins`` has one column per model."""
+
+    bins: np.ndarray
+    y: np.ndarray
+    fold: np.ndarray
+    margins: np.ndarray
+
+    def record(self) -> tuple[bytes, ...]:
+        return tuple(a.tobytes() for a in self)
+
+
+_BLOCKS = "bins binary, y binary, fold binary, margins binary"
+
+
+def _blocks(table: DataFrame, width: int, models: int) -> RDD:
+    """The rows of a written table of blocks, kept by the executors for the passes to come."""
+
+    def block(r: Row) -> Block:
+        margins = np.frombuffer(r["margins"], np.float64).reshape(-1, models)
+        return Block(np.frombuffer(r["bins"], np.uint8).reshape(-1, width), np.frombuffer(r["y"], np.float64), np.frombuffer(r["fold"], np.int32), margins)
+
+    return table.rdd.map(block).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _level_sums(rows: RDD, settings: Settings, width: int, folds: Sequence[int], weights: Sequence[float], trees: Sequence[Tree], level: int) -> tuple[np.ndarray, np.ndarray]:
     """Sums by (model, node of the level, feature, bin) over all rows, in one pass."""
-    settings, width = models[0].settings, len(models[0].edges)
-    shape = (len(models), 2**level, width, settings.bins)
+    shape = (len(trees), 2**level, width, settings.bins)
     first, cells = 2**level - 1, 2**level * width * settings.bins
 
-    def add_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g_sum, h_sum = np.zeros((len(models), cells), np.int64), np.zeros((len(models), cells), np.int64)
-        for batch in batches:
-            bins = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, width)
-            y, fold = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            margins = batch.column(3).flatten().to_numpy().reshape(-1, len(models))
-            for m, (model, tree) in enumerate(zip(models, trees)):
-                g, h = gradients(margins[:, m] + model.margin(bins, done), y, np.where(y == 1, weights[m], 1.0))
-                node = tree.nodes(bins, level) - first
-                mine = np.flatnonzero((fold != folds[m]) & (node >= 0))
-                cell = ((node[mine, None] * width + np.arange(width)) * settings.bins + bins[mine]).ravel()
-                for total, part in ((g_sum, g), (h_sum, h)):
-                    total[m] += np.rint(np.bincount(cell, np.repeat(part[mine], width), cells)).astype(np.int64)
-        g_sum, h_sum = g_sum.ravel(), h_sum.ravel()
-        some = np.flatnonzero(h_sum)
-        yield pa.record_batch([pa.array(some), pa.array(g_sum[some]), pa.array(h_sum[some])], names=["cell", "g", "h"])
-
-    sums = rows.select("bins", "y", "fold", "margins").mapInArrow(add_up, "cell bigint, g bigint, h bigint")
-    found = sums.groupBy("cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toArrow()
-    out = []
-    for name in ("g", "h"):
-        total = np.zeros(np.prod(shape))
-        total[found.column("cell").to_numpy()] = found.column(name).to_numpy()
-        out.append(total.reshape(shape))
-    return out[0], out[1]
-
-
-def _written(rows: DataFrame, models: Sequence[BoostedModel], done: int) -> DataFrame:
-    """The rows with the margins of all trees so far."""
-    width = len(models[0].edges)
-
-    @F.arrow_udf(T.ArrayType(T.DoubleType()))
-    def more(margins: pa.Array, bins: pa.Array) -> pa.Array:
-        x = np.frombuffer(b"".join(bins.to_pylist()), np.uint8).reshape(-1, width)
-        old = margins.flatten().to_numpy().reshape(-1, len(models))
-        new = old + np.column_stack([m.margin(x, done) for m in models])
-        return pa.ListArray.from_arrays(pa.array(np.arange(0, new.size + 1, len(models)), pa.int32()), pa.array(new.ravel()))
-
-    return materialize(rows.withColumn("margins", more("margins", "bins")), "margins")
+    def add_up(blocks: Iterable[Block]) -> Iterator[np.ndarray]:
+        sums = np.zeros((2, len(trees), cells), np.int64)
+        for block in blocks:
+            for m, tree in enumerate(trees):
+                node = tree.nodes(block.bins, level) - first
+                mine = np.flatnonzero((block.fold != folds[m]) & (node >= 0))
+                y = block.y[mine]
+                parts = gradients(block.margins[mine, m], y, np.where(y == 1, weights[m], 1.0))
+                cell = ((node[mine, None] * width + np.arange(width)) * settings.bins + block.bins[mine]).ravel()
+                for total, part in zip(sums, parts):
+                    total[m] += np.rint(np.bincount(cell, np.repeat(part, width), cells)).astype(np.int64)
+        yield sums
+
+    g, h = rows.mapPartitions(add_up).treeReduce(np.add)
+    return g.reshape(shape).astype(float), h.reshape(shape).astype(float)
+
+
+def _moved(rows: RDD, trees: Sequence[Tree], depth: int) -> RDD:
+    """The rows with the margins of one more tree per model."""
+
+    def more(block: Block) -> Block:
+        new = np.column_stack([t.leaf[t.nodes(block.bins, depth)] for t in trees])
+        return block._replace(margins=block.margins + new)
+
+    return rows.map(more).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _written(spark: SparkSession, rows: RDD, width: int, models: int) -> RDD:
+    """The same rows from a written table, which a lost executor does not take along."""
+    table = spark.createDataFrame(rows.map(Block.record), _BLOCKS, verifySchema=False)
+    return _blocks(materialize(table, "margins"), width, models)
 
 
 def fit_boosted(train: DataFrame, label: str, fold: str | None = None, folds: Sequence[int] = (-1,), settings: Settings = Settings()) -> list[BoostedModel]:
@@ -231,24 +252,38 @@ def fit_boosted(train: DataFrame, label: str, fold: str | None = None, folds: Se
         n = [sum(r["n"] for r in counts if r["fold"] != f and r["y"] == v) for v in (0.0, 1.0)]
         weights.append(n[0] / n[1] if all(n) else 1.0)
 
-    @F.arrow_udf(T.BinaryType())
-    def binned(x: pa.Array) -> pa.Array:
-        return pa.array([b.tobytes() for b in _binned(_matrix(x, len(edges)), edges)], pa.binary())
+    n = sum(r["n"] for r in counts)
+    least = max(placed.sparkSession.sparkContext.defaultParallelism, -(-n // _MOST_ROWS))
+    parts = max(1, min(least, -(-n // _LEAST_ROWS)))
 
-    zeros = F.array(*[F.lit(0.0)] * len(folds))
-    rows = materialize(placed.select(binned(vector_to_array("features")).alias("bins"), "y", "fold", zeros.alias("margins")), "binned")
-    done = 0
+    def binned(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bins = _binned(_matrix(batch.column(0), len(edges)), edges)
+            y, fold = (batch.column(i).to_numpy() for i in (1, 2))
+            block = Block(bins, y, fold, np.zeros((len(y), len(folds))))
+            yield pa.record_batch([pa.array([b], pa.binary()) for b in block.record()], names=list(Block._fields))
+
+    dealt = placed.select(vector_to_array("features").alias("x"), "y", "fold").repartition(parts)
+    rows = _blocks(materialize(dealt.mapInArrow(binned, _BLOCKS), "binned"), len(edges), len(folds))
+    behind = None
     for turn in range(settings.rounds):
-        if turn - done == _WRITTEN:
-            rows, done = _written(rows, models, done), turn
         trees = [Tree.empty(settings.depth) for _ in models]
         for level in range(settings.depth):
             first = 2**level - 1
             if level and not any((t.feature[(first - 1) // 2 : first] >= 0).any() for t in trees):
                 break
-            g, h = _level_sums(rows, models, folds, weights, done, trees, level)
+            g, h = _level_sums(rows, settings, len(edges), folds, weights, trees, level)
             for m, tree in enumerate(trees):
                 grow(tree, level, g[m], h[m], settings)
+            if behind is not None:
+                behind.unpersist()
+                behind = None
         for model, tree in zip(models, trees):
             model.trees.append(tree)
+        behind, rows = rows, _moved(rows, trees, settings.depth)
+        if (turn + 1) % _WRITTEN == 0:
+            moved, rows = rows, _written(placed.sparkSession, rows, len(edges), len(folds))
+            moved.unpersist()
+    for kept in (behind, rows):
+        kept.unpersist()
     return models

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -102,6 +103,18 @@ def test_folds_share_passes_and_equal_models_of_their_own(table, monkeypatch):
         assert all(same(nested(t), want) for t, want in zip(model.trees, trees))
 
 
+def test_a_pass_is_one_job(table):
+    """600 passes of several jobs each took minutes on any table."""
+    df, _, _ = table
+    sc, jobs = df.sparkSession.sparkContext, []
+    for rounds in (2, 6):
+        sc.setJobGroup(f"rounds-{rounds}", "boosted trees")
+        fit_boosted(df, "churned", settings=replace(SMALL, rounds=rounds))
+        jobs.append(len(sc.statusTracker().getJobIdsForGroup(f"rounds-{rounds}")))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[1] - jobs[0] <= 4 * SMALL.depth
+
+
 def test_a_model_does_not_depend_on_partitions(table):
     df, _, _ = table
     models = [fit_boosted(materialize(df.repartition(n)), "churned", settings=SMALL)[0] for n in (1, 7)]
