@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from math import ceil
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +17,8 @@ from .cltv import SEGMENT
 _SEP = "\u001f"
 #: Itemsets longer than this are an error, as each of k items has 2^k - 2 splits.
 LONGEST_SPLIT = 24
+#: Triples of wider baskets are left to FP-growth.
+MOST_TRIPLES = 200
 
 
 def baskets(fact: DataFrame) -> DataFrame:
@@ -47,14 +52,68 @@ def clean_items(b: DataFrame) -> DataFrame:
     return b.withColumn("items", F.array_sort(F.array_distinct(tidy)))
 
 
+def _enough(rows: DataFrame, least: int, *cols: str) -> DataFrame:
+    """The combinations of ``cols`` that at least so many baskets hold, written."""
+    counts = rows.groupBy(*cols).agg(F.sum("n").alias("freq"))
+    return materialize(counts.where(F.col("freq") >= least), "itemsets")
+
+
+def _next(rows: DataFrame, out: str) -> DataFrame:
+    """A row for every item of ``rest``; the items behind it are the new ``rest``."""
+    others = [c for c in rows.columns if c != "rest"]
+    each = rows.select(*others, "rest", F.posexplode("rest").alias("_at", out))
+    return each.select(*others, out, F.slice("rest", F.col("_at") + 2, F.size("rest")).alias("rest"))
+
+
+def _longer(b: DataFrame, found: DataFrame, size: int, least: int) -> DataFrame | None:
+    """Itemsets of more than ``size`` items by FP-growth, ``found`` being those of ``size``; none if there can be none.
+
+    An item of such an itemset stands in ``size`` of those found at least, so
+    baskets are cut to such items and those with too few of them left go.
+    """
+    items = found.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= size)
+    kept = F.array_intersect("items", items.agg(F.collect_list("item")).scalar())
+    rows = materialize(b.select(kept.alias("items")).where(F.size("items") > size), "long_baskets")
+    n = rows.count()
+    if n < least:
+        return None
+    # the conditional trees are grown per partition: no fewer than there are cores
+    spark = b.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n, numPartitions=parts).fit(rows)
+    return model.freqItemsets.where(F.size("items") > size).select(F.array_sort("items").alias("items"), "freq")
+
+
 def frequent_itemsets(b: DataFrame, min_support: float = 0.001) -> DataFrame:
-    """Itemsets in at least ``min_support`` of the baskets, found by FP-growth."""
+    """Itemsets in at least ``min_support`` of the baskets.
+
+    Items, pairs and triples are counted over distinct baskets: an item is only
+    put to a frequent one, a third only where all three pairs are frequent.
+    Counts are added up on the map side, so no tree of the baskets is built.
+    FP-growth finds what is longer, and triples as well where baskets are so
+    wide that they hold more than ``MOST_TRIPLES`` on average.
+    """
+    known = b.select(F.array_sort(F.array_distinct(F.array_compact("items"))).alias("items")).where(F.col("items").isNotNull())
+    folded = materialize(known.groupBy("items").agg(F.count(F.lit(1)).alias("n")), "patterns")
+    w = F.size("items").cast("double")
+    sums = folded.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.avg(w * (w - 1) * (w - 2) / 6).alias("triples")).first()
     # a hair below, so that a support that meets the limit is not lost to rounding
-    floor = min_support * (1 - 1e-9)
-    # the conditional trees are grown per partition: no fewer than there are cores
-    parts = max(b.sparkSession.sparkContext.defaultParallelism, int(b.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    model = FPGrowth(itemsCol="items", minSupport=floor, numPartitions=parts).fit(b.select("items"))
-    return model.freqItemsets.select(F.array_sort("items").alias("items"), "freq")
+    least = max(1, ceil(min_support * (1 - 1e-9) * sums["n"]))
+
+    one = _next(folded.select("n", F.col("items").alias("rest")), "a")
+    singles = _enough(one, least, "a")
+    common = singles.select("a")
+    two = _next(one.join(common, "a", "left_semi"), "b").join(common.withColumnRenamed("a", "b"), "b", "left_semi")
+    pairs = _enough(two, least, "a", "b")
+    sets = [singles.select(F.array("a").alias("items"), "freq"), pairs.select(F.array("a", "b").alias("items"), "freq")]
+    if (sums["triples"] or 0) <= MOST_TRIPLES:
+        linked = pairs.select("a", "b")
+        three = _next(two.join(linked, ["a", "b"], "left_semi"), "c")
+        for x in ("a", "b"):
+            three = three.join(linked.select(F.col("a").alias(x), F.col("b").alias("c")), [x, "c"], "left_semi")
+        sets.append(_enough(three, least, "a", "b", "c").select(F.array("a", "b", "c").alias("items"), "freq"))
+    longer = _longer(known, sets[-1], len(sets), least)
+    return reduce(DataFrame.unionByName, [*sets, longer] if longer is not None else sets)
 
 
 def _key(items: Column | str) -> Column:

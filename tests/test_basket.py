@@ -63,6 +63,22 @@ def test_itemsets_equal_brute_force(mined, brute):
     assert max(len(k) for k in brute[0]) >= 4
 
 
+def test_wide_baskets_give_the_same_itemsets(mined, brute, monkeypatch):
+    monkeypatch.setattr(basket, "MOST_TRIPLES", 0)
+    assert {tuple(r["items"]): r["freq"] for r in basket.frequent_itemsets(mined[0], SUPPORT).collect()} == brute[0]
+
+
+def test_no_trees_are_grown_where_no_long_itemset_can_be(make, monkeypatch):
+    """Conditional trees of baskets that share pairs only took most of the time."""
+    monkeypatch.setattr(basket, "FPGrowth", None)
+    rows = [(list(pair),) for pair in combinations("abcde", 2)] * 3 + [(["a", "b", "c"],)] * 5 + [(["x"],), (None,), ([],)]
+    got = {tuple(r["items"]): r["freq"] for r in basket.frequent_itemsets(make(rows, "items array<string>"), 0.06).collect()}
+    sets = [set(r[0] or ()) for r in rows]
+    want = {c: sum(s.issuperset(c) for s in sets) for k in (1, 2, 3) for c in combinations("abcdex", k)}
+    assert got == {c: n for c, n in want.items() if n >= 3}
+    assert basket.frequent_itemsets(make([], "items array<string>")).count() == 0
+
+
 def test_rules_and_revenue_equal_brute_force(mined, brute):
     got = {(tuple(r["antecedents"]), tuple(r["consequents"])): r for r in mined[2].collect()}
     assert set(got) == set(brute[1])
