@@ -18,9 +18,11 @@ def skew_join(big: DataFrame, small: DataFrame, key: str, keep: str = "neither")
     come from an inner join and the rows of ``small`` without a partner from an
     anti join against the distinct keys of ``big``, which are found on the map
     side: a hot key of ``big`` can be split in the one and is a single row in
-    the other.
+    the other. The rows of the anti join, few as a rule, are dealt by ``key`` once more:
+    that makes it a stage of its own. In one stage with the inner join it would get
+    as few tasks as its share of the bytes, though its keys are many.
     """
     if keep != "small":
         return big.join(small, key, {"big": "left", "neither": "inner"}[keep])
-    alone = small.join(big.select(key).distinct(), key, "left_anti")
+    alone = small.join(big.select(key).distinct(), key, "left_anti").hint("rebalance", key)
     return big.join(small, key).unionByName(alone, allowMissingColumns=True)

@@ -50,6 +50,17 @@ def test_items_are_counted_before_the_shuffle(star):
     assert plan.count("Exchange hashpartitioning(order_id") <= 2
 
 
+def test_orders_without_items_come_from_a_stage_of_their_own(star, spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(star.items(CUSTOMER, PURCHASED, PAYMENT))
+        # the stage of the union would share its tasks out by bytes, and keys are many in few bytes
+        kept = plan[plan.index("LeftAnti") - 400 : plan.index("LeftAnti")].splitlines()
+        assert any("REBALANCE_PARTITIONS_BY_COL" in line and "hashpartitioning(order_id" in line for line in kept)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "2MB")
+
+
 def test_baskets_reuse_the_placement_by_order(star, spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
