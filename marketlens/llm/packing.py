@@ -53,7 +53,15 @@ LEAST_PIECE = 16
 #: Bytes of known parts kept by one Python worker.
 KEPT_BYTES = 24 << 20
 _LETTERS = b"abcdefghijklmnopqrstuvwxyz"
-_PUNCTUATION = b".,;:!?"
+#: All ASCII symbols but those of contractions and of special tokens.
+_PUNCTUATION = b".,;:!?\"#$%&()*+-/=@[\\]^_`{}~"
+#: What byte-level tokenizers write for each byte; a blank stays.
+_WRITTEN = np.array([b if chr(b).isprintable() and b not in (0x20, 0xAD) else 0 for b in range(256)], np.uint16)
+_WRITTEN[_WRITTEN == 0] = 0x100 + np.arange((_WRITTEN == 0).sum())
+_WRITTEN[0x20] = 0x20
+#: Bytes that no word of the letters a-z and U+00C0 to U+017F holds.
+_FOREIGN = np.ones(256, bool)
+_FOREIGN[[*_LETTERS, *b" \xc3\xc4\xc5", *range(0x80, 0xC0)]] = False
 #: Stands between parts that are encoded together; its id comes from nothing else. So many at a time.
 _BETWEEN, _TOGETHER = b"7", 2000
 #: What shows whether a tokenizer can be given texts in lower-case parts.
@@ -62,6 +70,8 @@ _PROBES = (
     "It's, we're;they'll e.g. U.S. (x),'s 3.5 a,b 10:30!? ...",
     "Ünï ÇA É\u0301a \u00a0x\u3000y Ως 漢字,かな 😀. a\u0301,",
     "<|endoftext|>. <a>,b <|x|>",
+    "a\"b#c$d%e&f(g)h*i+j-k/l=m@n[o\\p]q^r_s`t{u}v~w ###x'x -'s _é_ ==\u0338y ü*** 5%a a%5",
+    "École naïve ŒUVRE Ÿ ÀÖØÝ×÷ıİĲŉſt ß ŁÓDŹ aé'tİ éa\u0301",
 )
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -86,11 +96,29 @@ class WordEncoder:
         self.direct = self._words_need_no_splitting()
 
     def _words_need_no_splitting(self) -> bool:
-        """Whether the merges alone give the ids of a lower-case ASCII word."""
+        """Whether the merges alone give the ids of a word as it is written."""
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        probes = [p.decode() for probe in _PROBES for p in probe.lower().encode().split() if p.isalpha()] + ["s", "zq", "thelongestwordofall"]
-        whole = [self.tokenizer.encode(p, add_special_tokens=False).ids for p in probes]
-        return not any(t.isalpha() for t in added) and whole == [[t.id for t in self.tokenizer.model.tokenize(p)] for p in probes]
+        words = self._words([*" ".join(_PROBES).lower().encode().split(), b"s", b"zq", "thélongestwordofœll".encode()])[1]
+        whole = [self.tokenizer.encode(w.decode(), add_special_tokens=False).ids for w in words]
+        return not any(t.isalpha() for t in added) and whole == [[t.id for t in self.tokenizer.model.tokenize(w)] for w in self._written(words)]
+
+    @staticmethod
+    def _words(parts: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+        """Which parts are words of the letters a-z and U+00C0 to U+017F, and these."""
+        data = np.frombuffer(b" ".join([*parts, b""]), np.uint8)
+        foreign = _FOREIGN.take(data)
+        behind = data[1:]
+        # two signs, and the one letter that is two in lower case
+        foreign[1:] |= ((data[:-1] == 0xC3) & ((behind == 0x97) | (behind == 0xB7))) | ((data[:-1] == 0xC4) & (behind == 0xB0))
+        begins = np.append(0, np.flatnonzero(data == 0x20)[:-1] + 1)
+        which = np.flatnonzero(~np.logical_or.reduceat(foreign, begins))
+        return which, [parts[i] for i in which.tolist()]
+
+    @staticmethod
+    def _written(words: list[bytes]) -> list[str]:
+        """The words in lower case, each byte as ``_WRITTEN``."""
+        text = b" ".join(words).decode().lower().encode()
+        return _WRITTEN.take(np.frombuffer(text, np.uint8)).astype("<u2").tobytes().decode("utf-16-le").split(" ") if words else []
 
     @classmethod
     def load(cls, path: str) -> WordEncoder:
@@ -105,18 +133,20 @@ class WordEncoder:
         return encoder
 
     def _ids(self, parts: list[bytes]) -> list[bytes]:
-        """Ids of each part. ASCII words go to the merges as they are; others are encoded many at a time, told apart by a digit."""
+        """Ids of each part. Words go to the merges as they are; others are encoded as texts, told apart by a digit. Many at a time."""
         out: list[bytes] = [b""] * len(parts)
-        merge, size, words = self.tokenizer.model.tokenize, self.type.itemsize, set()
-        if self.direct:
-            words = {i for i, p in enumerate(parts) if p.isalpha()}  # of bytes: ASCII letters alone
-            found = [[t.id for t in merge(parts[i].decode())] for i in words]
-            ends = np.cumsum([len(ids) * size for ids in found]).tolist()
-            data = np.array([i for ids in found for i in ids], self.type).tobytes()
-            for i, a, b in zip(words, [0, *ends], ends):
+        merge, size, rest = self.tokenizer.model.tokenize, self.type.itemsize, np.ones(len(parts), bool)
+        if self.direct and parts:
+            which, words = self._words(parts)
+            rest[which] = False
+            found = [merge(word) for word in self._written(words)]
+            ends = (size * np.cumsum([len(tokens) for tokens in found])).tolist()
+            data = np.array([t.id for tokens in found for t in tokens], self.type).tobytes()
+            for i, a, b in zip(which.tolist(), [0, *ends], ends):
                 out[i] = data[a:b]
-        single = [i for i, p in enumerate(parts) if i not in words and _BETWEEN in p]
-        joined = [i for i, p in enumerate(parts) if i not in words and _BETWEEN not in p]
+        others = np.flatnonzero(rest).tolist()
+        single = [i for i in others if _BETWEEN in parts[i]]
+        joined = [i for i in others if _BETWEEN not in parts[i]]
         for i, e in zip(single, self.tokenizer.encode_batch_fast([parts[i].decode() for i in single], add_special_tokens=False)):
             out[i] = np.array(e.ids, self.type).tobytes()
         for at in range(0, len(joined), _TOGETHER):

@@ -78,19 +78,22 @@ def steps(texts: pa.Array, step_bytes: int = STEP_BYTES) -> Iterator[pa.Array]:
 class Kept:
     """Values (bytes) of parts, found when first asked for and kept in bounded bytes.
 
-    Most are kept in arrays sorted by a hash, about 40 bytes an entry, and looked
-    up for many parts at a time; the part itself is compared as well. New ones
+    Most are kept in arrays, about 40 bytes an entry, and looked up for many parts
+    at a time by two places that a part's hash gives it; the part itself is
+    compared as well, and one whose places are both taken is not kept. New ones
     are gathered in a dictionary until there are ``GATHERED``. When the arrays
     take ``limit`` bytes, entries not asked for since the last time go.
     """
 
     LONGEST, GATHERED = 64, 20_000
+    _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
     _ZOBRIST = np.random.default_rng(11).integers(0, 1 << 63, (LONGEST, 256), dtype=np.uint64).ravel()
 
     def __init__(self, find: Callable[[list[bytes]], Sequence[bytes]], limit: int):
         self.find, self.limit = find, limit
         self.recent: dict[bytes, bytes] = {}
-        self.hashes = np.empty(0, np.uint64)
+        bits = max(8, (limit // 16).bit_length())
+        self.shift, self.places = np.uint64(64 - bits), np.full(1 << bits, -1, np.int32)
         self.keys, self.values = pa.array([], pa.binary()), pa.array([], pa.binary())
         self.used = np.empty(0, bool)
 
@@ -104,14 +107,24 @@ class Kept:
             np.minimum(place, self.LONGEST - 1, out=place)
         return np.add.reduceat(self._ZOBRIST.take((place << 8) + data), begins)
 
+    def _two_places(self, parts: pa.BinaryArray) -> Iterator[np.ndarray]:
+        h = self._hash(parts)
+        for factor in self._FACTORS:
+            yield (h * factor >> self.shift).astype(np.int64)
+
     def __call__(self, parts: pa.BinaryArray) -> pa.Array:
         """The values of distinct parts, none of them empty."""
         if not len(parts):
             return parts
         at, known = np.zeros(len(parts), np.int64), np.zeros(len(parts), bool)
-        if len(self.hashes):
-            at = np.minimum(np.searchsorted(self.hashes, self._hash(parts)), len(self.hashes) - 1)
-            known = pc.equal(self.keys.take(pa.array(at)), parts).to_numpy(zero_copy_only=False)
+        if len(self.keys):
+            left, asked = np.arange(len(parts)), parts
+            for places in self._two_places(parts):
+                found = self.places.take(places[left])
+                same = pc.equal(self.keys.take(pa.array(np.maximum(found, 0))), asked).to_numpy(zero_copy_only=False) & (found >= 0)
+                at[left[same]], known[left[same]] = found[same], True
+                left = left[~same]
+                asked = parts.take(pa.array(left))
             self.used[at[known]] = True
         rest = np.flatnonzero(~known)
         asked = parts.take(pa.array(rest)).to_pylist()
@@ -129,13 +142,28 @@ class Kept:
 
     def _settle(self) -> None:
         """Move the recent entries into the arrays."""
-        keep = np.ones(len(self.hashes), bool)
-        if self.keys.nbytes + self.values.nbytes + 9 * len(keep) > self.limit:
-            keep, self.used = self.used.copy(), np.zeros(len(keep), bool)
-        keys = pa.concat_arrays([self.keys.filter(pa.array(keep)), pa.array(self.recent, pa.binary())])
-        values = pa.concat_arrays([self.values.filter(pa.array(keep)), pa.array(self.recent.values(), pa.binary())])
-        hashes = self._hash(keys)
-        order = np.argsort(hashes)
-        self.hashes, self.keys, self.values = hashes[order], keys.take(pa.array(order)), values.take(pa.array(order))
-        self.used = np.concatenate([self.used[keep], np.zeros(len(self.recent), bool)])[order]
+        if self.keys.nbytes + self.values.nbytes + len(self.used) + self.places.nbytes > self.limit:
+            keys, values = (x.filter(pa.array(self.used)) for x in (self.keys, self.values))
+            self.keys, self.values, self.used = keys.slice(0, 0), values.slice(0, 0), self.used[:0]
+            self.places.fill(-1)
+            self._add(keys, values)
+            self.used.fill(False)
+        self._add(pa.array(self.recent, pa.binary()), pa.array(self.recent.values(), pa.binary()))
         self.recent = {}
+
+    def _add(self, keys: pa.BinaryArray, values: pa.BinaryArray) -> None:
+        """Keep the entries for which there is a place."""
+        if not len(keys):
+            return
+        taken = np.full(len(keys), -1, np.int64)
+        for places in self._two_places(keys):
+            trying = np.flatnonzero((taken < 0) & (self.places.take(places) < 0))
+            self.places[places[trying]] = trying  # of several the last one stays
+            got = trying[self.places.take(places[trying]) == trying]
+            taken[got] = places[got]
+            self.places[taken[got]] = len(self.used) + got
+        kept = taken >= 0
+        self.places[taken[kept]] = len(self.used) + np.arange(kept.sum())
+        self.keys = pa.concat_arrays([self.keys, keys.filter(pa.array(kept))])
+        self.values = pa.concat_arrays([self.values, values.filter(pa.array(kept))])
+        self.used = np.append(self.used, np.ones(kept.sum(), bool))
